@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import ann, topk
+from tidepool.llm import ann, htmltext, langid, quality, topk
 from tidepool.llm.common import table
 
 
+def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.detect(table(spark, sf_dir, "documents"))
+
+
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_dual_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
@@ -19,7 +31,7 @@ def op9_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_dual_tree_topk, op9_block_matrix_ann)
+    f.__name__: f for f in (op2_language_crf, op3_html_main_text, op5_quality_rules, op8_dual_tree_topk, op9_block_matrix_ann)
 }
 
 ORACLE_SQL: dict[str, str] = {
