@@ -209,10 +209,14 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, rows: int, window
     """
     t = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    languages = t.select("lang").distinct().count()
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    per = max(1, rows // max(1, languages))
-    first = t.withColumn("n", F.row_number().over(by)).where(F.col("n") <= per)
+    sizes = {r["lang"]: r["count"] for r in t.groupBy("lang").count().collect()}  # one row for each language
+    per = max(1, rows // max(1, len(sizes)))
+    # a large language is thinned by a hash of the id first, so that no task sees more than about twice the sample
+    share = F.coalesce(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 2 * per / n))))[F.col("lang")], F.lit(1.0)) if sizes else F.lit(1.0)
+    h = F.xxhash64("doc_id")
+    by = Window.partitionBy("lang").orderBy(h, "doc_id", F.xxhash64("text"))
+    first = (t.where(F.pmod(h, F.lit(1 << 20)) < share * (1 << 20))
+             .withColumn("n", F.row_number().over(by)).where(F.col("n") <= per))
     place = [F.substring("text", F.greatest(F.lit(1), (F.length("text") * i / windows).cast("int") + 1), F.lit(width)) for i in range(windows)]
     return first.select("lang", F.explode(F.array_distinct(F.array(*place))).alias("part"))
 

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import ann, htmltext, langid, quality, topk
+from tidepool.llm import ann, bpe, htmltext, langid, packing, pii, quality, topk
 from tidepool.llm.common import table
 
 
+def op1_pii_lstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.detect(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,8 +38,14 @@ def op9_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_language_crf, op3_html_main_text, op5_quality_rules, op8_dual_tree_topk, op9_block_matrix_ann)
+    f.__name__: f for f in (
+        op1_pii_lstm_crf, op2_language_crf, op3_html_main_text, op4_best_fit_packing, op5_quality_rules,
+        op8_dual_tree_topk, op9_block_matrix_ann, op10_byte_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {
