@@ -221,30 +221,32 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, rows: int, window
     return first.select("lang", F.explode(F.array_distinct(F.array(*place))).alias("part"))
 
 
-def detect(docs: DataFrame, sample_rows: int = 2400, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred, score, n_words and n_switches for every row of docs.
-
-    Learns from at most sample_rows documents whose crc32(doc_id as text) mod 5 is not 0 and whose lang is not
-    null; predicts from the whole text alone. lang_pred is a learned value, or 'und' with score 0 if the text is
-    null or holds no letter, or if nothing could be learned. n_switches counts neighbouring words with different
-    labels. Repeated rows each keep a row; an empty table gives no rows; a null doc_id counts as not held out;
-    other columns are ignored.
-    """
-    rows = sample(docs, doc_id, text, lang, sample_rows).collect()
-    names = sorted({r["lang"] for r in rows})
-    L = len(names)
-    if L:
-        model = train([r["part"] for r in rows], np.array([names.index(r["lang"]) for r in rows]), L)
-    schema = docs.select(F.col(doc_id).alias("doc_id")).schema.add("held_out", "boolean").add("lang_pred", "string").add(
-        "score", "double").add("n_words", "long").add("n_switches", "long")
-    shared = docs.sparkSession.sparkContext.broadcast((names, model)) if L else None
-
-    def label(texts: list[str]):
+class Labeller:
+    """A trained model that workers share: names of the languages, weights and transitions."""
+
+    def __init__(self, docs: DataFrame, sample_rows: int, doc_id: str, text: str, lang: str):
+        rows = sample(docs, doc_id, text, lang, sample_rows).collect()
+        self.names = sorted({r["lang"] for r in rows})
+        at = {n: i for i, n in enumerate(self.names)}
+        model = train([r["part"] for r in rows], np.array([at[r["lang"]] for r in rows]), len(at)) if at else None
+        self.model = docs.sparkSession.sparkContext.broadcast(model)
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the language (-1: none), score, words and switches of each text."""
+        done, at, size = [], 0, 0
+        for i, t in enumerate(texts):  # parts of about 4 million letters bound the arrays
+            size += len(t)
+            if size > 4_000_000 or i + 1 == len(texts):
+                done.append(self._label(texts[at:i + 1]))
+                at, size = i + 1, 0
+        return tuple(np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.int64) for k in range(4))
+
+    def _label(self, texts: list[str]):
         codes, starts, per_text = words_of(texts)
         best, score, switches = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        if shared is None or not len(starts):
+        if self.model.value is None or not len(starts):
             return best, score, per_text, switches
-        weights, trans = shared.value[1]
+        weights, trans = self.model.value
         p = forward_backward(emissions(codes, starts, weights), per_text, trans)
         some = np.flatnonzero(per_text)
         begin = np.cumsum(per_text)[some] - per_text[some]
@@ -256,21 +258,41 @@ def detect(docs: DataFrame, sample_rows: int = 2400, doc_id: str = "doc_id", tex
         switches[some] = np.add.reduceat(change.astype(np.int64), begin)
         return best, score, per_text, switches
 
+
+def detect(docs: DataFrame, sample_rows: int = 2400, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """doc_id, held_out, lang_pred, score, n_words and n_switches for every row of docs.
+
+    Learns from at most sample_rows documents whose crc32(doc_id as text) mod 5 is not 0 and whose lang is not
+    null; predicts from the whole text alone. lang_pred is a learned value, or 'und' with score 0 if the text is
+    null or holds no letter, or if nothing could be learned. n_switches counts neighbouring words with different
+    labels. Repeated rows each keep a row; an empty table gives no rows; a null doc_id counts as not held out;
+    other columns are ignored.
+    """
+    label = Labeller(docs, sample_rows, doc_id, text, lang)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))
+    schema = rows.select("doc_id", "held_out").schema.add("lang_pred", "string").add("score", "double").add("n_words", "long").add("n_switches", "long")
+
     def run(batches):
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            at, cut, size = 0, [], 0
-            for i, t in enumerate(texts):  # parts of about 4 million letters bound the arrays
-                size += len(t)
-                if size > 4_000_000:
-                    cut.append(texts[at:i + 1])
-                    at, size = i + 1, 0
-            done = [label(x) for x in [*cut, texts[at:]] if x]
-            best, score, count, switches = (np.concatenate([d[k] for d in done]) if done else np.zeros(0) for k in range(4))
-            known = shared.value[0] if shared is not None else []
+            best, score, count, switches = label([x or "" for x in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array([known[int(b)] if b >= 0 else UND for b in best], pa.string()),
+                [batch.column("doc_id"), batch.column("held_out"), pa.array([label.names[b] if b >= 0 else UND for b in best.tolist()], pa.string()),
                  pa.array(score, pa.float64()), pa.array(count.astype(np.int64), pa.int64()), pa.array(switches.astype(np.int64), pa.int64())],
                 names=["doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def keep_known(docs: DataFrame, sample_rows: int = 2400, least: float = 0.0, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of docs whose text has a language, with a score of at least least; all columns stay as they are.
+
+    Rows that detect would call 'und' go. Where nothing could be learned (no row with a lang), rows with a letter stay.
+    """
+    label = Labeller(docs, sample_rows, doc_id, text, lang)
+
+    def run(batches):
+        for batch in batches:
+            best, score, count, _ = label([x or "" for x in batch.column(text).to_pylist()])
+            yield batch.filter(pa.array((count > 0) & ((best >= 0) & (score >= least) if label.names else True), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

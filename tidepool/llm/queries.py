@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import ann, bpe, htmltext, langid, packing, pii, quality, topk
+from tidepool.llm import ann, bpe, htmltext, jaccard, langid, packing, pii, quality, suffix_dedup, topk
 from tidepool.llm.common import table
 
 
@@ -30,6 +30,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(table(spark, sf_dir, "documents"))
+
+
 def op8_dual_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
@@ -45,7 +53,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pii_lstm_crf, op2_language_crf, op3_html_main_text, op4_best_fit_packing, op5_quality_rules,
-        op8_dual_tree_topk, op9_block_matrix_ann, op10_byte_bpe)
+        op6_chosen_path_join, op7_suffix_dedup, op8_dual_tree_topk, op9_block_matrix_ann, op10_byte_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {
