@@ -2,8 +2,8 @@
 
 Texts are split into pre-tokens. A block of texts keeps, for each text, the numbers of its pre-tokens in order
 (their positions), and each distinct word of the block once: so a word travels once for each block, not once
-for each place. Distinct words of all blocks are shuffled together and each is encoded once; their ids are
-joined back to the blocks' words, and each block puts its texts together by position. Decoding looks the
+for each place. The blocks' words are shuffled together by a hash of the word and each is encoded once; the ids
+go back to the blocks' words by number, and each block puts its texts together by position. Decoding looks the
 ids up in the table of token bytes.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.llm.common import materialize
+from tidepool.llm.common import blocks_for, materialize
 
-BLOCK_CHARS = 24_000_000
-ROW_CHARS = 200_000
+BLOCK_CHARS = 32_000_000
+ROW_CHARS = 400_000
+BUCKET_WORDS = 300_000  # words of blocks for each bucket
 
 
 class Vocabulary:
@@ -59,71 +61,103 @@ def gather(codes: np.ndarray, start: np.ndarray, length: np.ndarray, flat: np.nd
     return flat[at], ends
 
 
+def pack_words(words: list[str]) -> bytes:
+    """Words as one compressed run: how many, their lengths in bytes, their bytes."""
+    raw = [w.encode() for w in words]
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(raw), *map(len, raw)], "<u4").tobytes() + b"".join(raw))
+
+
+def unpack_words(data: bytes) -> list[str]:
+    whole = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(whole[:4], "little")
+    ends = (4 + 4 * n + np.cumsum(np.frombuffer(whole, "<u4", n, 4), dtype=np.int64)).tolist()
+    return [whole[a:b].decode() for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
+
+
 def split_blocks(docs: DataFrame, pattern: str) -> DataFrame:
-    """Rows of blocks: (block, no, word) for each distinct word, (block, doc_ids, counts, codes) for runs of texts."""
+    """Rows of blocks: (block, n_words, words) once for each block, (block, doc_ids, counts, codes) for runs of texts."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"block long, no int, word string, doc_ids array<{doc_type}>, counts array<int>, codes binary"
+    schema = f"block long, n_words long, words binary, doc_ids array<{doc_type}>, counts array<int>, codes binary"
 
     def run(batches):
         import regex
 
         find = regex.compile(pattern).findall
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         number: dict[str, int] = {}
         block, size = TaskContext.get().partitionId() << 32, 0
         ids, counts, codes, chars = [], [], [], 0
-        kind = {}
+        kind = None
 
-        def batch_of(words, doc_ids=(), doc_counts=(), data=()):
-            n = len(words) or len(data)
-            none = [None] * n
+        def row(words=None, texts=False):
             return pa.RecordBatch.from_arrays(
-                [pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()) if words else pa.array(none, pa.int32()), pa.array(words or none, pa.string()),
-                 pa.array(doc_ids or none, pa.list_(kind["doc_id"])), pa.array(doc_counts or none, pa.list_(pa.int32())), pa.array(data or none, pa.binary())],
-                names=["block", "no", "word", "doc_ids", "counts", "codes"])
-
-        def texts():
-            return batch_of([], [ids], [counts], [pack(np.array(codes, np.uint32).tobytes())])
+                [pa.array([block], pa.int64()), pa.array([words and len(words)], pa.int64()), pa.array([words and pack_words(words)], pa.binary()),
+                 pa.array([ids if texts else None], pa.list_(kind)), pa.array([counts if texts else None], pa.list_(pa.int32())),
+                 pa.array([pack(np.array(codes, np.uint32).tobytes()) if texts else None], pa.binary())],
+                names=["block", "n_words", "words", "doc_ids", "counts", "codes"])
 
         for batch in batches:
-            kind["doc_id"] = batch.schema.field("doc_id").type
+            kind = batch.schema.field("doc_id").type
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = find(text or "")
-                get = number.get
-                got = list(map(get, words))
-                if None in got:
-                    for k, (g, w) in enumerate(zip(got, words, strict=True)):
-                        if g is None:
-                            got[k] = number.setdefault(w, len(number))
+                for w in set(words).difference(number):
+                    number[w] = len(number)
                 ids.append(doc_id)
-                counts.append(len(got))
-                codes += got
+                counts.append(len(words))
+                codes += map(number.__getitem__, words)
                 chars += len(text or "")
                 if chars >= ROW_CHARS:
-                    yield texts()
+                    yield row(texts=True)
                     size += chars
                     ids, counts, codes, chars = [], [], [], 0
                     if size >= BLOCK_CHARS:
-                        yield batch_of(list(number))
+                        yield row(list(number))
                         block, size, number = block + 1, 0, {}
         if ids:
-            yield texts()
+            yield row(texts=True)
         if number:
-            yield batch_of(list(number))
+            yield row(list(number))
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(word, ids): little-endian unsigned 32-bit ids of each distinct word, each encoded once."""
+def encode_words(words: DataFrame, path: str, pattern: str, buckets: int) -> DataFrame:
+    """(of_block, nos, sizes, ids) for each block and bucket: the numbers of its words, how many ids each has, and the ids.
 
-    def run(batches):
-        encode = vocabulary(path, pattern).encoding.encode_ordinary
-        for batch in batches:
-            ids = [np.array(encode(w), "<u4").tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], names=["word", "ids"])
+    Each block's distinct words are dealt to buckets by a hash of the word, so all blocks' copies of a word meet
+    in one bucket, where the word is encoded once.
+    """
 
-    return words.select("word").distinct().mapInArrow(run, "word string, ids binary")
+    def deal(batches):
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                all_words = unpack_words(data)
+                h = np.array([zlib.crc32(w.encode()) for w in all_words]) % buckets
+                order = np.argsort(h, kind="stable")
+                cut = np.searchsorted(h[order], np.arange(buckets + 1))
+                for k in np.flatnonzero(np.diff(cut)):
+                    nos = order[cut[k]:cut[k + 1]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block], pa.int64()), pa.array([k], pa.int64()), pa.array([pack_words([all_words[i] for i in nos.tolist()])], pa.binary()),
+                         pa.array([zstandard.compress(np.diff(nos, prepend=0).astype("<u4").tobytes(), 3)], pa.binary())],
+                        names=["block", "bucket", "words", "nos"])
+
+    def encode(group: pa.Table) -> pa.Table:
+        one = vocabulary(path, pattern).encoding.encode_ordinary
+        known: dict[str, bytes] = {}
+        sizes, ids = [], []
+        for data in group["words"].to_pylist():
+            words = unpack_words(data)
+            known.update((w, np.array(one(w), "<u2" if small else "<u4").tobytes()) for w in set(words).difference(known))
+            got = list(map(known.__getitem__, words))
+            sizes.append(zstandard.compress(np.array([len(x) // width for x in got], "<u4").tobytes(), 3))
+            ids.append(zstandard.compress(b"".join(got), 3))
+        return pa.table({"of_block": group["block"], "nos": group["nos"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
+
+    small = len(vocabulary(path, pattern).length) <= 1 << 16
+    width = 2 if small else 4
+    dealt = words.mapInArrow(deal, "block long, bucket long, words binary, nos binary")
+    return dealt.groupBy("bucket").applyInArrow(encode, "of_block long, nos binary, sizes binary, ids binary")
 
 
 def default_files() -> tuple[str, str]:
@@ -141,9 +175,11 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
     own = default_files()
     path, pattern = path or own[0], pattern or own[1]
     blocks = materialize(split_blocks(docs, pattern), "bpe-blocks")
-    words = blocks.where(F.col("word").isNotNull()).select("block", "no", "word")
-    known = words.join(encode_words(words, path, pattern), "word").select(F.col("block").alias("of_block"), "no", "ids")
+    words = blocks.where(F.col("words").isNotNull())
+    buckets = blocks_for(words.agg(F.sum("n_words")).first()[0] or 0, BUCKET_WORDS)
+    known = encode_words(words.select("block", "words"), path, pattern, buckets)
     runs = blocks.where(F.col("counts").isNotNull()).select("block", "doc_ids", "counts", "codes")
+    id_type = "<u2" if len(vocabulary(path, pattern).length) <= 1 << 16 else "<u4"
     schema = docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if keep_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
@@ -151,10 +187,10 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         v = vocabulary(path, pattern)
         unpack = zstandard.ZstdDecompressor().decompress
-        no = right["no"].to_numpy()
-        column = right["ids"].combine_chunks() if right.num_rows else None
-        data = np.frombuffer(b"".join(column.to_pylist()), "<u4") if right.num_rows else np.zeros(0, np.uint32)
-        size = np.array([len(x) // 4 for x in column.to_pylist()], np.int64) if right.num_rows else np.zeros(0, np.int64)
+        nos, sizes, ids_ = ([unpack(x) for x in right[c].to_pylist()] for c in ("nos", "sizes", "ids"))
+        no = np.concatenate([np.cumsum(np.frombuffer(x, "<u4"), dtype=np.int64) for x in nos] or [np.zeros(0, np.int64)])
+        size = np.frombuffer(b"".join(sizes), "<u4").astype(np.int64)
+        data = np.frombuffer(b"".join(ids_), id_type).astype(np.uint32)
         length, start = np.zeros(len(no), np.int64), np.zeros(len(no), np.int64)
         length[no], start[no] = size, np.cumsum(size) - size
         doc, n_tokens, sha, back, kept = [], [], [], [], []

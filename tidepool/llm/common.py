@@ -45,3 +45,13 @@ def held_out(column: str = "doc_id"):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hash_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """About rows rows of df and never more, those with the least hashes of columns.
+
+    A count thins df by the hash first, so that no task and no reply to the driver holds much more than the sample.
+    """
+    n = df.count()
+    h = F.pmod(F.xxhash64(*columns), F.lit(1 << 40))
+    return df.withColumn("__h", h).where(F.col("__h") < int((1 << 40) * min(1.0, (1.2 * rows + 50) / max(1, n)))).orderBy("__h").limit(rows).drop("__h")

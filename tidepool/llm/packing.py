@@ -25,7 +25,7 @@ Config = tuple[int, list[tuple[int, int]]]  # how many sequences, (length, piece
 
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _SPACE = re.compile("[\x1c-\x1f᠎]")  # white space to Python alone, or to some Unicode versions
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 1_200_000
 
 
 class Encoder:
@@ -61,7 +61,7 @@ class Encoder:
         cores = [c for c in cores if c not in known]
         for i in range(0, len(cores), 256):
             part = cores[i:i + 256]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(part):
                 data, at = ids.tobytes(), [0, *(4 * cut).tolist()]
@@ -79,12 +79,9 @@ class Encoder:
         if len(self.cache) > _CACHE_WORDS:
             self.cache.clear()
         split = [None if _SPACE.search(t) else t.split() for t in texts]
-        get = self.cache.get
-        out: list = [None if w is None else list(map(get, w)) for w in split]
-        missing = {w for ws, got in zip(split, out, strict=True) if got is not None and None in got for w, g in zip(ws, got, strict=True) if g is None}
-        if missing:
-            self.learn(missing)
-        return [self.whole([t])[0] if got is None else b"".join(map(get, ws) if None in got else got) for t, ws, got in zip(texts, split, out, strict=True)]
+        self.learn(set().union(*(w for w in split if w is not None)).difference(self.cache))
+        get = self.cache.__getitem__
+        return [self.whole([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -13,9 +13,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.common import hash_sample
+
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 WIDTH, STRIDE, HIDDEN = 128, 64, 16
@@ -346,12 +348,11 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], x[2])))
 
 
-def sample_texts(docs: DataFrame, text: Column, rows: int, width: int = 2000) -> list[str]:
+def sample_texts(docs: DataFrame, doc_id: str, text: str, rows: int, width: int = 2000) -> list[str]:
     """Parts of at most rows documents, of at most width characters each, for the training windows."""
-    t = F.coalesce(text, F.lit(""))
-    h = F.xxhash64(t)
-    part = F.substring(t, (F.pmod(h, F.greatest(F.length(t) - width, F.lit(1))) + 1).cast("int"), F.lit(width))
-    return [r[0] for r in docs.select(part.alias("part"), h.alias("h")).orderBy("h").limit(rows).collect()]
+    t = F.coalesce(F.col(text), F.lit(""))
+    part = F.substring(t, (F.pmod(F.xxhash64(doc_id), F.greatest(F.length(t) - width, F.lit(1))) + 1).cast("int"), F.lit(width))
+    return [r["part"] for r in hash_sample(docs.select(doc_id, part.alias("part")), rows, doc_id).collect()]
 
 
 def find(docs: DataFrame, sample_rows: int = 300, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -362,7 +363,7 @@ def find(docs: DataFrame, sample_rows: int = 300, doc_id: str = "doc_id", text:
     sample_rows parts of documents (a parameter). A null text counts as empty; repeated rows each keep a row; an
     empty table gives no rows; other columns are ignored.
     """
-    model = train(sample_texts(docs, F.col(text), sample_rows))
+    model = train(sample_texts(docs, doc_id, text, sample_rows))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(F.col(doc_id).alias("doc_id")).schema
     for c in KINDS:
@@ -390,9 +391,9 @@ def _masked(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[at:]
 
 
-def mask(docs: DataFrame, sample_rows: int = 300, text: str = "text") -> DataFrame:
+def mask(docs: DataFrame, sample_rows: int = 300, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with every span of personal data in the text replaced by its kind in brackets; null texts stay null."""
-    model = train(sample_texts(docs, F.col(text), sample_rows))
+    model = train(sample_texts(docs, doc_id, text, sample_rows))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

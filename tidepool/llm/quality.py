@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import held_out
+from tidepool.llm.common import hash_sample, held_out
 
 #: Characters whose share of the text is a statistic each.
 MARKS = {"bar": "|", "star": "*", "hash": "#", "percent": "%", "dollar": "$", "amp": "&", "bang": "!", "question": "?", "dot": ".", "comma": ",", "newline": "\n", "brace": "{", "less": "<", "slash": "/"}
@@ -132,9 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int, text: str = "text"
 
     A document with several labels takes their rounded mean; null labels don't count.
     """
-    bounded = (labels.where(~held_out() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-               .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("__label"))
-               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
+    each = (labels.where(~held_out() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+            .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("__label")))
+    bounded = hash_sample(each, sample_rows, "doc_id")
     stats = statistics(text)
     rows = docs.join(F.broadcast(bounded), "doc_id").select("__label", *(c.alias(k) for k, c in stats.items())).toPandas()
     if not len(rows):
