@@ -38,23 +38,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base modulo 2^64, and of its inverse."""
+    if not _powers or len(_powers[0][0]) < n:
+        back = np.uint64(pow(int(_A), -1, 1 << 64))
+        one = np.ones(1, np.uint64)
+        _powers[0] = tuple(np.concatenate((one, np.cumprod(np.full(n, x, np.uint64)))) for x in (_A, back))
+    return _powers[0]
+
+
+_bytes = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _C)
+
+
 def hash_windows(data: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of each size bytes along the last axis, by doubling."""
-    with np.errstate(over="ignore"):
-        h, width = mix((data.astype(np.uint64) + np.uint64(1)) * _A), 1
-        out, at = None, 0
-        left = size
-        while True:
-            if left & width:
-                n = data.shape[-1] - size + 1
-                part = h[..., at:at + n]
-                out = part * _C if out is None else mix(out + part) * _A
-                at += width
-                left -= width
-            if not left:
-                return mix(out)
-            h = mix(h[..., :-width] * _B + h[..., width:]) if h.shape[-1] > width else h[..., :0]
-            width *= 2
+    """A 64-bit hash of each size bytes: a polynomial over mixed bytes from running sums, exact modulo 2^64."""
+    n = len(data) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_bytes[data] * up[:len(data)], out=sums[1:])
+    return mix((sums[size:] - sums[:n]) * down[:n])
 
 
 class Samples:
@@ -111,7 +118,7 @@ def parts_of(texts: list[bytes]):
         yield at, texts[at:]
 
 
-def long_samples(text: bytes, length: int, gram: int, step: int = 8_000_000):
+def long_samples(text: bytes, length: int, gram: int, step: int = PART_BYTES):
     """Samples of a text in overlapping pieces, so places fit their bits: (offset, Samples)."""
     for at in range(0, max(1, len(text) - length + 1), step):
         yield at, Samples([text[at:at + step + length - 1]], length, gram)
@@ -120,18 +127,18 @@ def long_samples(text: bytes, length: int, gram: int, step: int = 8_000_000):
 def block_samples(texts: list[bytes], length: int, gram: int):
     """(number of the first text, offset in it, samples) covering all windows of a block, in a fixed order."""
     for at, part in parts_of(texts):
-        if len(part) == 1 and len(part[0]) > 8_000_000:
+        if len(part) == 1 and len(part[0]) > PART_BYTES:
             yield from ((at, offset, s) for offset, s in long_samples(part[0], length, gram))
         else:
             yield at, 0, Samples(part, length, gram)
 
 
-def unique_grams(texts: list[bytes], ids: list, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """A block's distinct grams in order, and which of them stand under more than one doc_id."""
+def unique_grams(samples: list, ids: list) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of a block's samples in order, and which of them stand under more than one doc_id."""
     hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     number = {d: i for i, d in enumerate(dict.fromkeys(ids))}
     code = np.array([number[d] for d in ids], np.int64)
-    for at, _, s in block_samples(texts, length, gram):
+    for at, _, s in samples:
         hashes.append(s.hash)
         docs.append(code[at + s.text])
     h, d = np.concatenate(hashes), np.concatenate(docs)
@@ -197,14 +204,14 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 class Contexts:
     """A block's windows over repeated samples: each distinct (gram, bytes around it) once, and where it stands."""
 
-    def __init__(self, texts: list[bytes], ids: list, repeated: np.ndarray, length: int, gram: int):
-        hashes, lows, sizes, shifts, doc_at, blobs = [], [], [], [], [], []
+    def __init__(self, samples: list, ids: list, repeated: np.ndarray, length: int, gram: int):
         self.where = []  # (text, first window, entry) of every occurrence
         side = length - gram
         known: dict[tuple[int, int, bytes], int] = {}
         self.hash, self.doc, self.shift, self.bytes = [], [], [], []
-        for at, offset, s in block_samples(texts, length, gram):
-            keep = np.flatnonzero(np.isin(s.hash, repeated))
+        for at, offset, s in samples:
+            near = np.searchsorted(repeated, s.hash)
+            keep = np.flatnonzero((near < len(repeated)) & (repeated[np.minimum(near, len(repeated) - 1)] == s.hash)) if len(repeated) else near[:0]
             raw = s.data.tobytes()
             base = s.first[s.text[keep]]
             for h, text, low, high, place, f in zip(s.hash[keep].tolist(), (at + s.text[keep]).tolist(), s.low[keep].tolist(), s.high[keep].tolist(), s.place[keep].tolist(), base.tolist(), strict=True):
@@ -242,7 +249,7 @@ def remove(docs: DataFrame, length: int = 50, gram: int = 24, keep_text: bool =
     def grams(batches):
         for batch in batches:
             for block, ids, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_ids", "sizes", "data")), strict=True):
-                h, multi = unique_grams(unpacked(data, sizes), ids, length, gram)
+                h, multi = unique_grams(block_samples(unpacked(data, sizes), length, gram), ids)
                 b = bucket_of(h, buckets)
                 order = np.argsort(b, kind="stable")
                 cut = np.searchsorted(b[order], np.arange(buckets + 1))
@@ -275,7 +282,8 @@ def remove(docs: DataFrame, length: int = 50, gram: int = 24, keep_text: bool =
 
     def contexts(block: pa.Table, bits: pa.Table) -> tuple[list, list[bytes], Contexts]:
         ids, texts = block["doc_ids"][0].as_py(), unpacked(block["data"][0].as_py(), block["sizes"][0].as_py())
-        h, _ = unique_grams(texts, ids, length, gram)
+        samples = list(block_samples(texts, length, gram))  # texts once more, and a place for each ten bytes or so
+        h, _ = unique_grams(samples, ids)
         b = bucket_of(h, buckets)
         hit = np.zeros(len(h), bool)
         order = np.argsort(b, kind="stable")
@@ -283,7 +291,7 @@ def remove(docs: DataFrame, length: int = 50, gram: int = 24, keep_text: bool =
         for k, packed in zip(bits["bucket"].to_pylist(), bits["bits"].to_pylist(), strict=True):
             rows = order[cut[k]:cut[k + 1]]
             hit[rows] = np.unpackbits(np.frombuffer(packed, np.uint8), count=len(rows)).astype(bool)
-        return ids, texts, Contexts(texts, ids, h[hit], length, gram)
+        return ids, texts, Contexts(samples, ids, h[hit], length, gram)
 
     side = length - gram  # a window starts at most so far before its sample
 
@@ -326,19 +334,24 @@ def remove(docs: DataFrame, length: int = 50, gram: int = 24, keep_text: bool =
         new = np.diff(h[order], prepend=h[order][:1] + np.uint64(1)) != 0
         group_size = np.diff(np.append(np.flatnonzero(new), len(h)))
         live = order[np.repeat(group_size, group_size) > 1]
+        # the hash of every window of every entry, a run of entries at a time
+        n_windows = size - length + 1
+        window_at = np.cumsum(n_windows) - n_windows
+        windows = np.empty(int(n_windows.sum()), np.uint64)
+        edges = [0, *np.searchsorted(first, np.arange(PART_BYTES, len(flat), PART_BYTES)).tolist(), len(h)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a < b:
+                at = np.repeat(first[a:b] - first[a] - (window_at[a:b] - window_at[a]), n_windows[a:b]) + np.arange(int(n_windows[a:b].sum()))
+                windows[window_at[a]:window_at[b - 1] + n_windows[b - 1]] = hash_windows(flat[first[a]:first[b - 1] + size[b - 1]], length)[at]
         for k in range(side + 1):  # one offset from the sample at a time
             rows = live[(shift[live] <= k) & (size[live] - length >= k - shift[live])]
             if len(rows) < 2:
                 continue
-            at = first[rows] + k - shift[rows]
-            w = np.zeros(len(rows), np.uint64)
-            for i in range(0, len(rows), 20_000):
-                part = flat[at[i:i + 20_000, None] + np.arange(length)]
-                w[i:i + 20_000] = hash_windows(part, length)[:, 0]
-            by = np.lexsort((doc[rows], w))
+            w = windows[window_at[rows] + k - shift[rows]]
+            by = np.argsort(w)
             w, d = w[by], doc[rows][by]
             begin = np.flatnonzero(np.diff(w, prepend=w[0] + np.uint64(1)) != 0)
-            least = np.repeat(d[begin], np.diff(np.append(begin, len(w))))
+            least = np.repeat(np.minimum.reduceat(d, begin), np.diff(np.append(begin, len(w))))
             hit = rows[by[d > least]]
             mask[hit] |= np.uint64(1) << np.uint64(k)
         bits = [x.tobytes() for x in np.split(mask, np.cumsum(counts)[:-1])]
