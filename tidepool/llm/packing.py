@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import string
 import zlib
 
 import numpy as np
@@ -23,7 +24,8 @@ from tidepool.llm.common import blocks_for, materialize
 CAPACITY = 4096
 Config = tuple[int, list[tuple[int, int]]]  # how many sequences, (length, pieces of it in each)
 
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = string.punctuation.replace("'", "")
 _SPACE = re.compile("[\x1c-\x1f᠎]")  # white space to Python alone, or to some Unicode versions
 _CACHE_WORDS = 1_200_000
 
@@ -36,9 +38,13 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # on composed Latin letters between spaces the other normal forms and patterns do nothing
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Lowercase()
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(size)])
         self.cache: dict[str, bytes] = {}
@@ -49,19 +55,21 @@ class Encoder:
     def learn(self, words: set[str]) -> None:
         """Add words to the cache: runs of letters many at a time, cut apart at the tokens that end a word."""
         cores, marks, rest = set(), set(), []
-        split = {}
+        split = []
         for w in words:
-            if m := _WORD.fullmatch(w):
-                split[w] = m.groups()
-                cores.add(m[1])
-                marks.add(m[2])
+            c = w.rstrip(_MARKS)
+            if c.isalpha() and (c.isascii() or _LATIN.fullmatch(c)):
+                m = w[len(c):]
+                split.append((w, c, m))
+                cores.add(c)
+                marks.add(m)
             else:
                 rest.append(w)
         known = {"": b""} | {c: self.cache[c] for c in cores if c in self.cache}
         cores = [c for c in cores if c not in known]
         for i in range(0, len(cores), 256):
             part = cores[i:i + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(part):
                 data, at = ids.tobytes(), [0, *(4 * cut).tolist()]
@@ -70,7 +78,7 @@ class Encoder:
                 known.update(zip(part, self.whole(part), strict=True))
         marks = [m for m in marks if m not in known]
         known.update(zip(marks, self.whole(marks), strict=True))
-        self.cache.update((w, known[a] + known[b]) for w, (a, b) in split.items())
+        self.cache.update((w, known[c] + known[m]) for w, c, m in split)
         for i in range(0, len(rest), 1024):
             self.cache.update(zip(rest[i:i + 1024], self.whole(rest[i:i + 1024]), strict=True))
 
