@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tidepool.llm.common import blocks_for, materialize
 
 CAPACITY = 4096
+RANK_BLOCKS = 1 << 16  # besides one of each length: so many counts of blocks are broadcast at most
 Config = tuple[int, list[tuple[int, int]]]  # how many sequences, (length, pieces of it in each)
 
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -248,22 +249,24 @@ def places(configs: list[Config]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "each", "base", "offset"), table.T, strict=True))
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 1, rank_block: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 1, rank_block: int = 1_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every row of docs.
 
     A null text counts as empty (one piece, the end id alone); repeated rows are packed each; an empty table gives
     no rows; texts of any length are cut, none dropped; other columns are ignored. Sequences are filled without
-    gaps from 0 and numbered from 0.
+    gaps from 0 and numbered from 0. Ranks are taken in blocks of rank_block pieces of a length, larger only where
+    there would be over RANK_BLOCKS of them.
     """
     cut = materialize(pieces(docs, tokenizer or default_tokenizer(), capacity, end_id), "pieces")
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
-    salts = blocks_for(sum(histogram.values()), rank_block)
-    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    per_block = max(rank_block, -(-sum(histogram.values()) // RANK_BLOCKS))
+    salts = docs.sparkSession.createDataFrame([(k, blocks_for(n, per_block)) for k, n in histogram.items()], "length long, salts long")
+    cut = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), "salts"))
     counts = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = cut.join(counts, ["length", "salt"]).withColumn("rank", F.row_number().over(within) - 1 + F.col("before"))
+    ranked = cut.join(F.broadcast(counts), ["length", "salt"]).withColumn("rank", F.row_number().over(within) - 1 + F.col("before"))
     shared = docs.sparkSession.sparkContext.broadcast(places(plan(histogram, capacity)))
     schema = ranked.select("doc_id", "piece", "start", "length", "ids_crc32").schema.add("sequence_id", "long").add("offset", "long")
 
