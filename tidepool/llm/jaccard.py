@@ -1,8 +1,8 @@
 """Near-duplicate join of documents by the Jaccard similarity of their word n-grams: the chosen-path join.
 
 Sets are embedded as minimum hashes. A run splits all sets on one sampled position: sets that share the
-token there meet in a node. Nodes are split again on further sampled positions until they are small or of
-one kind, and small nodes are compared by brute force on the embedding. Runs repeat until a pair at the
+token there meet in a node. Nodes are split again on further sampled positions until they are small or can't be
+split with gain, and are then compared by brute force on the embedding. Runs repeat until a pair at the
 threshold is missed with at most the probability asked for. What meets is only a candidate: candidates are
 gathered into components, and within each every pair is compared exactly on the whole n-gram sets.
 """
@@ -132,40 +132,86 @@ def local_roots(close: np.ndarray) -> np.ndarray:
         label = new
 
 
+def tie(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """label, the smallest row of each row's component, after the links (x, y) are added."""
+    while len(x := x[apart := label[x] != label[y]]):
+        y = y[apart]
+        low = np.minimum(label[x], label[y])
+        label = label.copy()
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while ((new := label[label]) != label).any():
+            label = new
+    return label
+
+
+def agreeing(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of a and b agree in at least that share of the positions (of their low bytes, so rarely more)."""
+    if len(a) * len(b) <= LEAF * LEAF:
+        return (a[:, None] == b[None]).sum(2) >= least * POSITIONS
+    count = np.zeros((len(a), len(b)), np.uint8)
+    for x, y in zip(a.T, b.T, strict=True):
+        count += x[:, None] == y[None, :]
+    return count >= least * POSITIONS
+
+
+def compare_all(low: np.ndarray, least: float) -> np.ndarray:
+    """The smallest row of each row's component, where rows that agree in at least that share are linked: every pair counts.
+
+    Of a large node the rows near a few heads are tied first: pairs of tiles that are tied already say nothing new.
+    """
+    label = np.arange(len(low))
+    if len(low) > TILE:
+        for _ in range(16):
+            free = np.flatnonzero(np.bincount(label, minlength=len(low))[label] == 1)
+            if not len(free):
+                break
+            near = np.flatnonzero((low == low[free[0]]).sum(1) >= least * POSITIONS)
+            label = tie(label, near, np.full(len(near), free[0]))
+            if 16 * len(near) < len(low):
+                break
+    order = np.argsort(label, kind="stable")
+    for i in range(0, len(low), TILE):
+        a = order[i:i + TILE]
+        for j in range(i, len(low), 8 * TILE):
+            b = order[j:j + 8 * TILE]
+            if (label[a] == label[a[0]]).all() and (label[b] == label[a[0]]).all():
+                continue
+            x, y = np.nonzero(agreeing(low[a], low[b], least))
+            label = tie(label, a[x], b[y])
+    return label
+
+
 def chosen_paths(ids: np.ndarray, sigs: np.ndarray, used: tuple[int, ...], least: float, rng: np.random.Generator, branch: int = 4):
-    """Split one node on sampled positions down to small or uniform nodes; yield (id, smaller id) links of each.
+    """Split one node on sampled positions down to small nodes; yield (id, smaller id) links of each.
 
-    branch positions are sampled at each node, so a pair at 0.8 parts here with probability 0.2 ** branch.
-    A part that keeps nearly all of its node's sets is of one kind: it is compared block by block.
+    branch positions are sampled at each node, so a pair at 0.8 parts here with probability 0.2 ** branch; positions
+    where all sets agree part nothing and don't count. A node whose parts would cost about as much to compare as
+    itself is not split: all of its pairs are compared.
     """
-    stack = [(np.arange(len(ids)), set(used))]
+    low = sigs.astype(np.uint8)
+    stack = [(np.arange(len(ids)), frozenset(used))]
     while stack:
         rows, done = stack.pop()
         if len(rows) < 2:
             continue
-        free = [i for i in range(POSITIONS) if i not in done]
-        if len(rows) > LEAF and free:
-            picks = rng.permutation(free)[:branch]
-            parts = []
-            for i in picks:
+        if len(rows) > LEAF:
+            parts, splits = [], 0
+            for i in rng.permutation([i for i in range(POSITIONS) if i not in done]).tolist():
                 order = rows[np.argsort(sigs[rows, i], kind="stable")]
                 cut = np.flatnonzero(np.diff(sigs[order, i])) + 1
-                parts += [(p, done | {int(i)}) for p in np.split(order, cut) if len(p) > 1]
-            if max((len(p) for p, _ in parts), default=0) <= 0.6 * len(rows):
-                stack += parts
+                if not len(cut):
+                    done |= {i}
+                    continue
+                parts += [(np.sort(p), i) for p in np.split(order, cut) if len(p) > 1]
+                splits += 1
+                if splits == branch:
+                    break
+            if splits == branch and sum(len(p) ** 2 for p, _ in parts) <= 0.7 * len(rows) ** 2:
+                stack += [(p, done | {i}) for p, i in parts]
                 continue
-        for i in range(0, len(rows), TILE):  # brute force on the embedding, linked through block representatives
-            a = rows[i:i + TILE]
-            close = np.zeros((len(a), len(a)), np.int16)
-            for c in range(POSITIONS):
-                close += sigs[a, c][:, None] == sigs[a, c][None, :]
-            root = local_roots(close >= least * POSITIONS)
-            yield from ((ids[x], ids[y]) for x, y in zip(a, a[root], strict=True) if x != y)
-        if len(rows) > TILE:
-            heads = rows[::TILE]
-            for h in heads:
-                close = (sigs[rows] == sigs[h]).sum(1) >= least * POSITIONS
-                yield from ((ids[x], ids[h]) for x in rows[close] if x != h)
+        label = compare_all(low[rows], least)
+        yield from ((ids[rows[x]], ids[rows[label[x]]]) for x in np.flatnonzero(label != np.arange(len(rows))))
 
 
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
