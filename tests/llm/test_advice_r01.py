@@ -32,3 +32,20 @@ def test_shared_passage_loses_no_pairs():
             for x, y in jaccard.chosen_paths(np.arange(len(sigs)), sigs, (), 0.5, np.random.default_rng(seed)):
                 label = jaccard.tie(label, np.array([x]), np.array([y]))
             assert (label[a] != label[b]).mean() <= 0.02  # 0.2 ** 4 at each of some levels
+
+
+def test_no_node_goes_whole_to_one_task(spark):
+    """Near copies of one text, and sets that share a passage: every node is bounded, and no pair is lost."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 32, jaccard.POSITIONS, np.uint32)
+    copies = np.where(rng.random((1500, jaccard.POSITIONS)) < 0.85, base, rng.integers(0, 1 << 32, (1500, jaccard.POSITIONS), np.uint32))
+    sigs, a, b = passage_pairs(700, 0.45, rng)
+    sigs = np.concatenate([sigs, copies])
+    reps = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sigs)], "id long, sig binary")
+    nodes, _, _ = jaccard.bounded_nodes(reps, 0.8, 1e-6, 200)
+    assert max(r["count"] for r in nodes.groupBy("key").count().collect()) <= 460
+    label = np.arange(len(sigs))
+    x, y = np.array([tuple(r) for r in jaccard.candidate_links(reps, 0.8, 1e-6, 200).collect()]).T
+    label = jaccard.tie(label, x, y)
+    assert (label[a] == label[b]).all()
+    assert len(np.unique(label[len(a) + len(b):])) == 1

@@ -22,6 +22,7 @@ from tidepool.llm.common import blocks_for, materialize
 POSITIONS = 64
 LEAF = 64
 TILE = 256
+HEADS = 16
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -242,26 +243,138 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def candidate_links(reps: DataFrame, threshold: float, miss: float, node_rows: int = 20_000) -> DataFrame:
-    """(a, b) links that tie together all sets which may reach the threshold.
+def at(i: int):
+    """The token at a position of the embedding, named by the position."""
+    return F.concat(F.lit(f"{i}:"), F.hex(F.expr(f"substring(sig, {4 * i + 1}, 4)")))
+
+
+def _near_heads(rows: DataFrame, least: float) -> DataFrame:
+    """(id, key, label, head) for rows (id, key, sig): a head of the node that the row is near to, and the first head near that one.
 
-    Runs: one sampled position each, as many as keep a pair at the threshold apart with probability at most miss.
-    A node of over node_rows sets is first split by Spark on a second position, so no task gets it whole.
+    Without a near head label is -1. A node has at most HEADS heads, and only large nodes come here, so the heads are few.
+    """
+    heads: dict[str, list] = {}
+    first = F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id", "sig")).alias("s")
+    for r in rows.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(HEADS))).agg(first).select("key", "s.id", "s.sig").collect():
+        heads.setdefault(r["key"], []).append((r["id"], np.frombuffer(r["sig"], np.uint32).astype(np.uint8)))
+    known = {}
+    for key, pairs in heads.items():
+        low = np.stack([x for _, x in pairs])
+        known[key] = (np.array([i for i, _ in pairs]), low, local_roots(agreeing(low, low, least)))
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+
+    def mark(batches):
+        for batch in batches:
+            ids, key = batch.column("id").to_numpy(), batch.column("key").to_numpy(zero_copy_only=False)
+            label, head = np.full(len(ids), -1), ids.copy()
+            order = np.argsort(key, kind="stable")
+            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, POSITIONS).astype(np.uint8)
+            for k in np.split(order, np.flatnonzero(key[order][1:] != key[order][:-1]) + 1) if len(ids) else ():
+                names, low, root = shared.value[key[k[0]]]
+                near = agreeing(sigs[k], low, least)
+                hit, near = near.any(1), near.argmax(1)
+                label[k], head[k] = np.where(hit, root[near], -1), np.where(hit, names[near], ids[k])
+                # heads that are near each other count as one group, so their links must be there too
+                at_head = np.isin(ids[k], names)
+                for x in k[at_head]:
+                    label[x] = root[(names == ids[x]).argmax()]
+                    head[x] = names[label[x]]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(label, pa.int32()), pa.array(head, pa.int64())], names=["id", "key", "label", "head"])
+
+    return rows.select("id", "key", "sig").mapInArrow(mark, "id long, key string, label int, head long")
+
+
+def divide(large: DataFrame, reps: DataFrame, least: float, picks: list[int], node_rows: int):
+    """One level for nodes (id, key) of over node_rows sets: links, bounded nodes, their rows, and nodes still too large.
+
+    Sets near a head of their node are tied to it, and pairs of sets tied to one head say nothing new. What is
+    left outside the largest such group meets everything in tiles of that group, if it is at most node_rows sets;
+    otherwise the node is split on the positions picks, or, where the parts would cost as much to compare as the node
+    (or no position is left), each pair of its tiles becomes a node. No row is left out.
+    """
+    spark = large.sparkSession
+    tagged = materialize(_near_heads(large.join(reps.select("id", "sig"), "id"), least), "heads")
+    links = tagged.where("head <> id").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    sizes: dict[str, dict[int, int]] = {}
+    for r in tagged.groupBy("key", "label").count().collect():  # at most HEADS + 1 rows of each large node
+        sizes.setdefault(r["key"], {})[r["label"]] = r["count"]
+    few, wide = [], {}
+    for key, by in sizes.items():
+        most = max((x for x in by if x >= 0), key=by.__getitem__, default=-1)
+        rest = sum(by.values()) - by.get(most, 0) if most >= 0 else sum(by.values())
+        if most >= 0 and 0 < rest <= node_rows:
+            few.append((key, most, math.ceil(by[most] / node_rows), by[most], rest))
+        elif rest:
+            wide[key] = sum(by.values())
+    bounded, total = [], 0
+    if few:
+        t = tagged.join(F.broadcast(spark.createDataFrame(few, "key string, most int, tiles int, n long, rest long")), "key")
+        own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+        every = F.sequence(F.lit(0), F.col("tiles") - 1)
+        t = t.select("id", "key", F.explode(F.when(F.col("label") == F.col("most"), F.array(own)).otherwise(every)).alias("tile"))
+        bounded.append(t.select("id", F.concat_ws("/", "key", F.concat(F.lit("t"), F.col("tile").cast("string"))).alias("key")))
+        total += sum(n + rest * tiles for _, _, tiles, n, rest in few)
+    again = None
+    if wide and picks:
+        t = tagged.join(F.broadcast(spark.createDataFrame([(k,) for k in wide], "key string")), "key").join(reps.select("id", "sig"), "id")
+        kids = materialize(t.select("id", "label", F.col("key").alias("parent"), F.explode(F.array(*(F.concat_ws("/", "key", at(i)) for i in picks))).alias("key")), "parts")
+        counts = kids.groupBy("parent", "key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        counts = materialize(counts.where("n > 1 AND (low < high OR low < 0)"), "parts")
+        cost = {r["parent"]: r["c"] for r in counts.groupBy("parent").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("c")).collect()}
+        split = [k for k, n in wide.items() if cost.get(k, 0) <= 0.7 * n * n]
+        if split:
+            chosen = counts.join(F.broadcast(spark.createDataFrame([(k,) for k in split], "parent string")), "parent").select("key", "n")
+            # the few large parts are found by broadcast, so none of them goes through one task of a shuffle
+            again = kids.join(F.broadcast(chosen.where(F.col("n") > node_rows).select("key")), "key").select("id", "key")
+            bounded.append(kids.join(chosen.where(F.col("n") <= node_rows), "key").select("id", "key"))
+            total += int(chosen.where(F.col("n") <= node_rows).agg(F.sum("n")).first()[0] or 0)
+        wide = {k: n for k, n in wide.items() if k not in set(split)}
+    if wide:
+        half = max(1, node_rows // 2)
+        plan = [(k, math.ceil(n / half)) for k, n in wide.items()]
+        t = tagged.join(F.broadcast(spark.createDataFrame(plan, "key string, tiles int")), "key")
+        t = t.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        pair = F.concat_ws("-", F.least("tile", "other").cast("string"), F.greatest("tile", "other").cast("string"))
+        bounded.append(t.select("id", F.concat_ws("/", "key", pair).alias("key")))
+        total += sum(n * math.ceil(n / half) for n in wide.values())
+    return links, bounded, total, again
+
+
+def bounded_nodes(reps: DataFrame, threshold: float, miss: float, node_rows: int, branch: int = 4):
+    """(nodes, links, rows): nodes (id, key) of about node_rows sets at most, links (a, b) found on the way (or None), and about how many rows nodes has.
+
+    Runs: one sampled position each, as many as keep a pair at the threshold apart with probability at most miss. Nodes of
+    over node_rows sets are divided by Spark, level by level on further positions, until all are bounded.
     """
     runs = min(POSITIONS // 2, math.ceil(math.log(miss) / math.log(1 - threshold)))
-    rng = np.random.default_rng(17)
-    picks = [int(x) for x in rng.permutation(POSITIONS)[:2 * runs]]
-    first, second = picks[:runs], picks[runs:]
-    at = lambda i: F.hex(F.expr(f"substring(sig, {4 * i + 1}, 4)"))
-    keys = reps.select("id", "sig", F.posexplode(F.array(*(F.concat(F.lit(f"{i}:"), at(i)) for i in first))).alias("run", "key"))
+    picks = [int(x) for x in np.random.default_rng(17).permutation(POSITIONS)]
+    first, free = picks[:runs], picks[runs:]
+    keys = reps.select("id", "sig", F.explode(F.array(*(at(i) for i in first))).alias("key"))
     counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialize(keys.select("id", "run", "key").join(counts, "key"), "nodes")
-    # nodes that are too large are split on every second position: a pair there survives with 1 - (1 - s)^runs
-    more = (met.where(F.col("n") > node_rows).select("id", "key", "n").join(reps.select("id", "sig"), "id")
-            .select("id", "n", F.explode(F.array(*(F.concat_ws("/", "key", F.lit(f"{i}:"), at(i)) for i in second))).alias("key")))
-    nodes = met.where(F.col("n") <= node_rows).select("id", "key").unionByName(more.select("id", "key")).join(reps.select("id", "sig"), "id")
-    parts = blocks_for(reps.count(), 10_000)
-    least = threshold - 6 * math.sqrt(threshold * (1 - threshold) / POSITIONS)
+    met = materialize(keys.select("id", "key").join(counts, "key"), "nodes")
+    nodes, links, rows = met.where(F.col("n") <= node_rows).select("id", "key"), None, reps.count()
+    large = met.where(F.col("n") > node_rows).select("id", "key")
+    while large is not None and not large.isEmpty():
+        found, bounded, more, large = divide(large, reps, least_share(threshold), free[:branch], node_rows)
+        free, rows = free[branch:], rows + more
+        links = found if links is None else links.unionByName(found)
+        for b in bounded:
+            nodes = nodes.unionByName(b)
+        large = None if large is None else materialize(large, "nodes")
+    return nodes, links, rows
+
+
+def least_share(threshold: float) -> float:
+    """The share of positions in which a pair at the threshold agrees, but for six standard deviations."""
+    return threshold - 6 * math.sqrt(threshold * (1 - threshold) / POSITIONS)
+
+
+def candidate_links(reps: DataFrame, threshold: float, miss: float, node_rows: int = 20_000) -> DataFrame:
+    """(a, b) links that tie together all sets which may reach the threshold; no task gets a node of over about 2 * node_rows sets."""
+    nodes, links, rows = bounded_nodes(reps, threshold, miss, node_rows)
+    nodes = nodes.join(reps.select("id", "sig"), "id")
+    parts = blocks_for(rows, 10_000)
+    least = least_share(threshold)
 
     def split(group: pa.Table) -> pa.Table:
         order = np.lexsort((group["id"].to_numpy(), group["key"].to_numpy(zero_copy_only=False)))
@@ -277,7 +390,8 @@ def candidate_links(reps: DataFrame, threshold: float, miss: float, node_rows: i
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return (nodes.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4 * parts))).groupBy("part").applyInArrow(split, "a long, b long"))
+    near = nodes.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4 * parts))).groupBy("part").applyInArrow(split, "a long, b long")
+    return near if links is None else near.unionByName(links)
 
 
 def _links_within(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, threshold: float, own: bool):
