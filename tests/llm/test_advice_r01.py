@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tidepool.llm import jaccard
+from tidepool.llm import htmltext, jaccard
 
 
 def passage_pairs(pairs, share, rng, near=0.8):
@@ -49,3 +49,18 @@ def test_no_node_goes_whole_to_one_task(spark):
     label = jaccard.tie(label, x, y)
     assert (label[a] == label[b]).all()
     assert len(np.unique(label[len(a) + len(b):])) == 1
+
+
+LONG = "A sentence of the article that goes on for quite a while, with words enough to fill some lines of a page. " * 6
+
+
+def test_layout_names_keep_the_article():
+    text = "\n".join([LONG.strip()] * 4)
+    body = f"<p>{LONG}</p>" * 4
+    ad = "<div class='ad'>Buy now, today only.</div>"
+    for page in (f"<div class='layout has-sidebar'>{body}{ad}</div>", f"<div id='page' class='no-ads'>{body}{ad}</div>",
+                 f"<div class='sidebar'>{body}{ad}</div>", f"<div class='widget'><article>{body}{ad}</article></div>",
+                 f"<article><p>{LONG}</p><section class='related-work'>{body[:-len(body) // 4]}</section>{ad}</article>"):
+        assert htmltext.main_text(f"<html><body>{page}</body></html>") == text
+    assert htmltext.main_text(f"<body><article>{body}</article><div class='comments'>{body}</div>{ad}</body>") == text
+    assert htmltext.main_text(f"<body><div>{body}</div><div class='site-footer'><p><a href='/'>All rights</a></p></div>{ad}</body>") == text

@@ -30,19 +30,33 @@ DROPPED_WORDS = frozenset(
     "notification alert popup modal overlay newsletter subscribe subscription signup comment comments commentlist respond disqus "
     "replies related recommended recommendations share sharing social login search pagination pager widget toolbar "
     "skip copyright".split())
+#: A name with one of these says nothing of the element's own kind.
+LAYOUT_WORDS = frozenset("has no not with without".split())
 CONTENT = frozenset(("article", "main"))
 #: An element of these kinds ends an open element of the same kind.
 SELF_CLOSING = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SIGMA = 1.0
 
 
+def names_of(value: str) -> list[set[str]]:
+    """The words of each name in a class or id, without names that speak of the layout."""
+    names = [set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower())) - {""} for x in value.split()]
+    return [x for x in names if LAYOUT_WORDS.isdisjoint(x)]
+
+
+def marked(names: list[set[str]]) -> int:
+    """2 if a name is made of dropped words alone, 1 if one only contains such a word, else 0."""
+    return max((2 if DROPPED_WORDS.issuperset(x) else 1 for x in names if not DROPPED_WORDS.isdisjoint(x)), default=0)
+
+
 class Lines(HTMLParser):
-    """Lines of text with their tag counts, link characters, and whether they stand in a dropped or an article element."""
+    """Lines of text with their tag counts, link characters, whether they stand in a dropped or an article element, and the numbers of marked elements around them."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, bool]] = []
-        self.stack: list[tuple[str, bool, bool]] = []  # name, dropped, content
+        self.lines: list[tuple[str, int, int, bool, bool, tuple[int, ...]]] = []
+        self.stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # name, dropped, content, marks
+        self.marks: list[int] = []  # of each marked element: how strongly
         self.open: Counter[str] = Counter()
         self.parts: list[str] = []
         self.tags = self.link = self.links = 0
@@ -50,8 +64,8 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, dropped, content = self.stack[-1] if self.stack else ("", False, False)
-            self.lines.append((text, self.tags, self.link, dropped, content))
+            _, dropped, content, marks = self.stack[-1] if self.stack else ("", False, False, ())
+            self.lines.append((text, self.tags, self.link, dropped, content, marks))
             self.tags = self.link = 0
         self.parts.clear()
 
@@ -69,19 +83,23 @@ class Lines(HTMLParser):
             self._pop()
         if tag == "a":
             self.links += 1
-        _, dropped, content = self.stack[-1] if self.stack else ("", False, False)
-        named = set()
+        _, dropped, content, marks = self.stack[-1] if self.stack else ("", False, False, ())
+        named: list[set[str]] = []
         for key, value in attrs:
             if value and key in ("class", "id"):
-                named.update(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+                named += names_of(value)
             elif value and key == "role":
                 dropped |= value.strip().lower() in DROPPED_ROLES
         dropped |= tag in DROPPED or (tag == "header" and not content)
-        dropped |= tag not in ("html", "body", "article", "main") and not named.isdisjoint(DROPPED_WORDS)
-        dropped |= tag == "article" and not named.isdisjoint(("comment", "comments", "related", "teaser"))
+        dropped |= tag == "article" and any(not x.isdisjoint(("comment", "comments", "related", "teaser")) for x in named)
         if tag == "body":
             dropped = False
-        self.stack.append((tag, dropped, content or tag in CONTENT))
+        if tag in ("html", "body", "article", "main"):
+            marks = ()
+        elif mark := marked(named):
+            marks = (*marks, len(self.marks))
+            self.marks.append(mark)
+        self.stack.append((tag, dropped, content or tag in CONTENT, marks))
         self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
@@ -117,7 +135,9 @@ def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 def main_text(html: str | None) -> str:
     """The main text, its blocks joined by one line break; empty if there is none.
 
-    Lines in dropped elements never count. A page with article or main elements has its content there, of
+    Lines in dropped elements never count. An element whose class or id is made of such words (ad, sidebar) is dropped too,
+    unless it holds over three quarters of the page's text outside links; article and main elements within it stay.
+    Where a name only contains a word (related-work), lines go that are links or of a low ratio. A page with article or main elements has its content there, of
     which only lines made of links with a low smoothed ratio go; any other page keeps the lines whose
     smoothed text-to-tag ratio reaches the threshold between its two clusters.
     """
@@ -128,6 +148,13 @@ def main_text(html: str | None) -> str:
     parser.close()
     parser.flush()
     lines = [x for x in parser.lines if not x[3]]
+    prose: Counter[int] = Counter()
+    for x in lines:
+        for m in x[5]:
+            prose[m] += max(0, len(x[0]) - x[2])
+    most = 0.75 * sum(max(0, len(x[0]) - x[2]) for x in lines)
+    said = [max((parser.marks[m] for m in x[5] if prose[m] <= most), default=0) for x in lines]
+    lines = [(*x[:5], said[i]) for i, x in enumerate(lines) if said[i] < 2]
     inside = [x for x in lines if x[4]]
     scoped = bool(inside)
     lines = inside or lines
@@ -135,10 +162,10 @@ def main_text(html: str | None) -> str:
         return ""
     chars = np.array([len(x[0]) for x in lines], float)
     ratio = smooth((chars - np.minimum(chars, [x[2] for x in lines])) / np.maximum(1, [x[1] for x in lines]))
-    if scoped:
-        keep = (ratio >= threshold(ratio)) | np.array([2 * x[2] < len(x[0]) for x in lines])
-    else:
-        keep = ratio >= threshold(ratio)
+    dense = ratio >= threshold(ratio)
+    links = np.array([2 * x[2] >= len(x[0]) for x in lines])
+    keep = dense | ~links if scoped else dense
+    keep &= (dense & ~links) | np.array([x[5] == 0 for x in lines])
     return "\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
 
 
