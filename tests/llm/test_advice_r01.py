@@ -64,3 +64,17 @@ def test_layout_names_keep_the_article():
         assert htmltext.main_text(f"<html><body>{page}</body></html>") == text
     assert htmltext.main_text(f"<body><article>{body}</article><div class='comments'>{body}</div>{ad}</body>") == text
     assert htmltext.main_text(f"<body><div>{body}</div><div class='site-footer'><p><a href='/'>All rights</a></p></div>{ad}</body>") == text
+
+
+def test_regions_keep_lists_and_short_paragraphs():
+    """Pages with and without an article: lines between the first and the last dense line of the content stay."""
+    long = f"<p>{LONG}</p>"
+    items = "".join(f"<li>Item {i} of the list." for i in range(5))
+    talk = "".join(f"<p>Yes, said person {i}.</p>" for i in range(12))
+    refs = "".join(f"<li><a href='/{i}'>Reference number {i}</a></li>" for i in range(4))
+    nav = "".join(f"<div><a href='/{i}'>Place {i}</a></div>" for i in range(15))
+    kept = [*[LONG.strip()] * 3, *(f"Item {i} of the list." for i in range(5)), LONG.strip(), *(f"Yes, said person {i}." for i in range(12)), LONG.strip(),
+            *(f"Reference number {i}" for i in range(4)), LONG.strip()]
+    body = f"{long * 3}<ul>{items}</ul>{long}{talk}{long}<ul>{refs}</ul>{long}"
+    for tag in ("div", "article"):
+        assert htmltext.main_text(f"<html><body>{nav}<{tag}>{body}</{tag}>{nav}</body></html>").split("\n") == kept

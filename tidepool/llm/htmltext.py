@@ -137,9 +137,10 @@ def main_text(html: str | None) -> str:
 
     Lines in dropped elements never count. An element whose class or id is made of such words (ad, sidebar) is dropped too,
     unless it holds over three quarters of the page's text outside links; article and main elements within it stay.
-    Where a name only contains a word (related-work), lines go that are links or of a low ratio. A page with article or main elements has its content there, of
-    which only lines made of links with a low smoothed ratio go; any other page keeps the lines whose
-    smoothed text-to-tag ratio reaches the threshold between its two clusters.
+    Where a name only contains a word (related-work), lines go that are links or of a low ratio. On every page the lines whose
+    smoothed text-to-tag ratio reaches the threshold between its two clusters, and aren't made of links, are the cores of regions, and short or
+    plain lines between two cores belong to their region. A page with article or main elements has its content
+    there: all between its first and last core stays, and outside of them only lines made of links with a low ratio go.
     """
     if not html:
         return ""
@@ -164,11 +165,26 @@ def main_text(html: str | None) -> str:
     ratio = smooth((chars - np.minimum(chars, [x[2] for x in lines])) / np.maximum(1, [x[1] for x in lines]))
     dense = ratio >= threshold(ratio)
     links = np.array([2 * x[2] >= len(x[0]) for x in lines])
-    keep = dense | ~links if scoped else dense
+    core = dense & ~links if (dense & ~links).any() else dense  # smoothing also lifts links beside a long line
+    keep = regions(core, chars, np.minimum(chars, [x[2] for x in lines]), scoped)
+    if scoped:
+        keep |= dense | ~links
     keep &= (dense & ~links) | np.array([x[5] == 0 for x in lines])
     return "\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
 
 
+def regions(dense: np.ndarray, chars: np.ndarray, link: np.ndarray, whole: bool) -> np.ndarray:
+    """The dense lines and the gaps between them: all gaps if whole, else those mostly outside links or with less text than the runs beside."""
+    keep = dense.copy()
+    ends = np.flatnonzero(np.diff(np.concatenate(([False], dense, [False])).astype(int)))
+    runs = ends.reshape(-1, 2)
+    for (a, b), (c, d) in zip(runs[:-1], runs[1:], strict=True):
+        size = chars[b:c].sum()
+        if whole or 2 * link[b:c].sum() < size or size < min(chars[a:b].sum(), chars[c:d].sum()):
+            keep[b:c] = True
+    return keep
+
+
 def threshold(ratio: np.ndarray) -> float:
     """Two clusters on the line by 2-means; their midpoint, or the lowest ratio where they lie close."""
     low, high = float(ratio.min()), float(ratio.max())
