@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
 from collections import defaultdict
@@ -162,7 +163,58 @@ def test_language(docs, odd):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows)
     got = {r["doc_id"]: r["lang_pred"] for r in langid.detect(odd).collect()}
     assert got[1] == got[2] == got[8] == "und" and got[3] == "en"
-    assert {r["doc_id"] for r in langid.keep_known(odd).collect()} == {3, 4, 5, 6, 7, 9, 10}
+
+
+JUNK = [
+    (-1, "Съешь же ещё этих мягких французских булок да выпей чаю " * 5), (-2, "吾輩は猫である。名前はまだ無い。どこで生れたか " * 6), (-3, "24be64439e3e49cf46b2d7c90f3602a3d0b907ff " * 30),
+    (-4, " ".join("".join(chr(97 + x) for x in np.random.default_rng(i).integers(0, 26, 2 + i % 7)) for i in range(300))), (-5, None), (-6, "123 !!!")]
+
+
+def test_language_stage(spark, docs):
+    """Texts in unknown languages and letters that make no words go, all clean documents stay, lang is the model's."""
+    hidden = docs.selectExpr("doc_id", "text", "if(crc32(cast(doc_id AS string)) % 5 = 0, 'zz', lang) AS lang", "source", "n_chars", "1 AS __extra")
+    rows = hidden.union(spark.createDataFrame([(i, t, None, "junk", 0, 2) for i, t in JUNK], hidden.schema))
+    kept = langid.keep_known(rows.union(rows.where("doc_id = 7")))
+    assert kept.columns == rows.columns
+    got = kept.collect()
+    want = {r["doc_id"]: r["lang"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert {r["doc_id"] for r in got} == set(want)
+    assert sum(r["doc_id"] == 7 for r in got) == 2
+    assert sum(want[r["doc_id"]] == r["lang"] for r in got) >= 0.97 * len(got)
+    assert langid.keep_known(rows.limit(0)).count() == 0
+
+
+def test_language_gradient():
+    """Word and pairwise marginals against all label sequences of short chains, and of one cut into chunks."""
+    rng = np.random.default_rng(1)
+    trans = rng.normal(size=(3, 3)).astype(np.float32)
+    scores, per_text = rng.normal(size=(9, 3)).astype(np.float32), np.array([5, 0, 1, 3])
+    word, pair, at = np.zeros((9, 3)), np.zeros((3, 3)), 0
+    for n in per_text.tolist():
+        total, w, q = 0.0, np.zeros((n, 3)), np.zeros((3, 3))
+        for path in itertools.product(range(3), repeat=n):
+            p = np.exp(sum(scores[at + i, x] for i, x in enumerate(path)) + sum(trans[x, y] for x, y in itertools.pairwise(path)))
+            total += p
+            for i, x in enumerate(path):
+                w[i, x] += p
+            for x, y in itertools.pairwise(path):
+                q[x, y] += p
+        word[at:at + n] = w / total
+        pair += q / total
+        at += n
+    soft = np.zeros((3, 3), np.float32)
+    assert np.allclose(langid.forward_backward(scores, per_text, trans, soft), word, atol=1e-4)
+    assert np.allclose(soft, pair, atol=1e-4)
+    long = rng.normal(size=(3 * langid.STEP + 7, 3)).astype(np.float32)
+    alpha = np.empty((len(long), 3))
+    beta = np.ones((len(long), 3))
+    alpha[0] = np.exp(long[0])
+    for i in range(1, len(long)):
+        alpha[i] = alpha[i - 1] / alpha[i - 1].sum() @ np.exp(trans) * np.exp(long[i])
+    for i in range(len(long) - 2, -1, -1):
+        beta[i] = np.exp(trans) @ (np.exp(long[i + 1]) * beta[i + 1] / beta[i + 1].sum())
+    want = alpha * beta / (alpha * beta).sum(1, keepdims=True)
+    assert np.allclose(langid.forward_backward(long, np.array([len(long)]), trans), want, atol=1e-3)
 
 
 def test_quality(spark, odd):

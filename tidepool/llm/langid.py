@@ -10,6 +10,7 @@ language's mean probability. Code-switched text keeps a label for each word.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from tidepool.llm.common import held_out
 
 FEATURES = 1 << 16
 STEP = 64  # words in a chunk
+PART = 300_000  # letters worked on at once
 UND = "und"
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -100,9 +102,12 @@ def emissions(codes: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.
     return total
 
 
-def forward_backward(scores: np.ndarray, per_text: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+def forward_backward(scores: np.ndarray, per_text: np.ndarray, transitions: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
     """Each word's probability of each language, given all words of its text.
 
+    To pairs, if given, is added how often each language is expected to follow each within the texts: the sums of the
+    pairwise marginals. A text's first word has no transition before it.
+
     Texts are cut into chunks of STEP words, which are worked on side by side. A first pass gives each chunk's
     transfer matrix; messages across a text's chunks follow from these; then each chunk is labelled. The
     result is that of one chain over the whole text.
@@ -129,8 +134,12 @@ def forward_backward(scores: np.ndarray, per_text: np.ndarray, transitions: np.n
         return x / x.sum(-1, keepdims=True)
 
     m = np.broadcast_to(np.eye(L, dtype=np.float32), (total, L, L)).copy()
+    opens = (order == 0)[:, None]
     for t in range(STEP):
-        new = (m.reshape(-1, L) @ trans).reshape(m.shape) * e[t][:, None, :]
+        new = (m.reshape(-1, L) @ trans).reshape(m.shape)
+        if t == 0:
+            new = np.where(opens[:, :, None], m, new)
+        new = new * e[t][:, None, :]
         new /= new.sum((1, 2), keepdims=True)
         m = np.where(live[t][:, None, None], new, m)
     into = np.full((total, L), 1.0 / L, np.float32)
@@ -145,11 +154,15 @@ def forward_backward(scores: np.ndarray, per_text: np.ndarray, transitions: np.n
     alpha = np.empty_like(e)
     a = into
     for t in range(STEP):
-        new = norm((a @ trans) * e[t])
+        new = norm((np.where(opens, a, a @ trans) if t == 0 else a @ trans) * e[t])
         a = np.where(live[t][:, None], new, a)
         alpha[t] = a
     b = back
     for t in range(STEP - 1, -1, -1):
+        if pairs is not None:
+            both = (alpha[t - 1] if t else into)[:, :, None] * trans * (e[t] * b)[:, None, :]
+            both /= both.sum((1, 2), keepdims=True)
+            pairs += both[live[t] if t else live[t] & ~opens[:, 0]].sum(0)
         alpha[t] *= b
         b = np.where(live[t][:, None], norm((b * e[t]) @ trans.T), b)
     p = norm(alpha)
@@ -177,7 +190,8 @@ def train(texts: list[str], labels: np.ndarray, languages: int, epochs: int = 5,
                 continue
             gold = np.repeat(labels[pick], per_text)
             pairs = np.add.reduceat(np.append(per_text, 0) if len(per_text) % 2 else per_text, np.arange(0, len(per_text), 2))
-            p = forward_backward(emissions(codes, starts, weights), pairs, trans)
+            soft = np.zeros_like(trans)
+            p = forward_backward(emissions(codes, starts, weights), pairs, trans, soft)
             err = np.eye(languages, dtype=np.float32)[gold] - p
             grad = np.zeros_like(weights)
             for slots, word in features_of(codes, starts):
@@ -194,9 +208,7 @@ def train(texts: list[str], labels: np.ndarray, languages: int, epochs: int = 5,
             k = k[k + 1 < len(gold)]
             real = np.zeros_like(trans)
             np.add.at(real, (gold[k], gold[k + 1]), 1)
-            soft = np.exp(trans)[None] * p[k][:, :, None] * p[k + 1][:, None, :]
-            soft /= soft.sum((1, 2), keepdims=True)
-            g = (real - soft.sum(0)) / max(1, len(k))
+            g = (real - soft) / max(1, len(k))
             seen_t += g * g
             trans += rate * g / np.sqrt(seen_t)
     return weights, np.clip(trans - trans.max(), -8, 0)
@@ -222,41 +234,59 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, rows: int, window
 
 
 class Labeller:
-    """A trained model that workers share: names of the languages, weights and transitions."""
+    """A trained model that workers share: names of the languages, weights and transitions.
+
+    least is the evidence (see _label) under which a text counts as in none of the languages: half of what all but a hundredth
+    of the sample's windows reach that the weights weren't learned from.
+    """
 
     def __init__(self, docs: DataFrame, sample_rows: int, doc_id: str, text: str, lang: str):
         rows = sample(docs, doc_id, text, lang, sample_rows).collect()
         self.names = sorted({r["lang"] for r in rows})
         at = {n: i for i, n in enumerate(self.names)}
-        model = train([r["part"] for r in rows], np.array([at[r["lang"]] for r in rows]), len(at)) if at else None
+        self.least = 0.0
+        # windows of every fifth document set the bar, the others the weights; with few windows all do both
+        apart = np.array([zlib.crc32(r["part"].encode()) % 5 == 0 for r in rows], bool)
+        apart &= len(rows) >= 500
+        learn = [r for r, x in zip(rows, apart.tolist(), strict=True) if not x]
+        model = train([r["part"] for r in learn], np.array([at[r["lang"]] for r in learn]), len(at)) if at else None
         self.model = docs.sparkSession.sparkContext.broadcast(model)
+        if len(at) > 1:
+            seen = self([r["part"] for r, x in zip(rows, apart.tolist(), strict=True) if x or not apart.any()])[4]
+            self.least = 0.5 * float(np.quantile(seen, 0.01))
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Number of the language (-1: none), score, words and switches of each text."""
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """Number of the language (-1: none), score, words, switches and evidence of each text."""
         done, at, size = [], 0, 0
-        for i, t in enumerate(texts):  # parts of about 4 million letters bound the arrays
+        for i, t in enumerate(texts):  # parts of about PART letters bound the arrays
             size += len(t)
-            if size > 4_000_000 or i + 1 == len(texts):
+            if size > PART or i + 1 == len(texts):
                 done.append(self._label(texts[at:i + 1]))
                 at, size = i + 1, 0
-        return tuple(np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.int64) for k in range(4))
+        return tuple(np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.int64) for k in range(5))
 
     def _label(self, texts: list[str]):
+        """As __call__. Evidence: by how much a word's features speak for its label rather than for the next language, the mean over the words."""
         codes, starts, per_text = words_of(texts)
-        best, score, switches = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        best, score, switches, evidence = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts))
         if self.model.value is None or not len(starts):
-            return best, score, per_text, switches
+            return best, score, per_text, switches, evidence
         weights, trans = self.model.value
-        p = forward_backward(emissions(codes, starts, weights), per_text, trans)
+        e = emissions(codes, starts, weights)
+        p = forward_backward(e, per_text, trans)
         some = np.flatnonzero(per_text)
         begin = np.cumsum(per_text)[some] - per_text[some]
         mean = np.add.reduceat(p.astype(np.float64), begin, axis=0) / per_text[some][:, None]
         best[some], score[some] = mean.argmax(1), np.clip(mean.max(1), 0, 1)
         hard = p.argmax(1)
+        if e.shape[1] > 1:
+            own = e[np.arange(len(hard)), hard]
+            e[np.arange(len(hard)), hard] = -np.inf
+            evidence[some] = np.add.reduceat((own - e.max(1)).astype(np.float64), begin) / per_text[some]
         change = np.diff(hard, prepend=hard[0]) != 0
         change[begin] = False
         switches[some] = np.add.reduceat(change.astype(np.int64), begin)
-        return best, score, per_text, switches
+        return best, score, per_text, switches, evidence
 
 
 def detect(docs: DataFrame, sample_rows: int = 2400, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -274,7 +304,7 @@ def detect(docs: DataFrame, sample_rows: int = 2400, doc_id: str = "doc_id", tex
 
     def run(batches):
         for batch in batches:
-            best, score, count, switches = label([x or "" for x in batch.column("text").to_pylist()])
+            best, score, count, switches, _ = label([x or "" for x in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array([label.names[b] if b >= 0 else UND for b in best.tolist()], pa.string()),
                  pa.array(score, pa.float64()), pa.array(count.astype(np.int64), pa.int64()), pa.array(switches.astype(np.int64), pa.int64())],
@@ -283,16 +313,24 @@ def detect(docs: DataFrame, sample_rows: int = 2400, doc_id: str = "doc_id", tex
     return rows.mapInArrow(run, schema)
 
 
-def keep_known(docs: DataFrame, sample_rows: int = 2400, least: float = 0.0, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of docs whose text has a language, with a score of at least least; all columns stay as they are.
+def keep_known(docs: DataFrame, sample_rows: int = 2400, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of docs whose text is in one of the learned languages, or in several; lang becomes the predicted language.
 
-    Rows that detect would call 'und' go. Where nothing could be learned (no row with a lang), rows with a letter stay.
+    Rows that detect would call 'und' go, and so do those whose words' own features tell the languages apart by less than half of what nearly all labelled
+    windows show (Labeller.least): texts in an unknown language or script, or of letters that make no words. Where
+    nothing could be learned (no row with a lang), rows with a letter stay as they are; where only one language is known,
+    nothing tells it from others and rows with a letter stay. Other columns, repeated rows and the order of columns stay; an empty
+    table gives no rows; a null text goes.
     """
     label = Labeller(docs, sample_rows, doc_id, text, lang)
 
     def run(batches):
         for batch in batches:
-            best, score, count, _ = label([x or "" for x in batch.column(text).to_pylist()])
-            yield batch.filter(pa.array((count > 0) & ((best >= 0) & (score >= least) if label.names else True), pa.bool_()))
+            best, _, count, _, evidence = label([x or "" for x in batch.column(text).to_pylist()])
+            if label.names:
+                at = batch.schema.get_field_index(lang)
+                new = pa.array([label.names[b] if b >= 0 else None for b in best.tolist()], pa.string())
+                batch = batch.set_column(at, batch.schema.field(at).with_type(pa.string()), new)
+            yield batch.filter(pa.array((count > 0) & (evidence >= label.least), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
