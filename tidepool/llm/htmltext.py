@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,18 @@ DROPPED_WORDS = frozenset(
 #: A name with one of these says nothing of the element's own kind.
 LAYOUT_WORDS = frozenset("has no not with without".split())
 CONTENT = frozenset(("article", "main"))
+#: An article named so is what a reader wrote, or a link to another one.
+OTHER_ARTICLES = frozenset(("comment", "comments", "reply", "related", "teaser"))
 #: An element of these kinds ends an open element of the same kind.
 SELF_CLOSING = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SIGMA = 1.0
+#: Blocks of text and lists: their lines belong to the container around them.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote center address figcaption caption table thead tbody tfoot tr td th summary hgroup".split())
+#: A heading that begins so opens what readers wrote, or what isn't the article.
+ASIDE_HEADING = re.compile(
+    r"(?:\d+\s+)?(?:comments?|responses?|repl(?:y|ies)|leave a (?:comment|reply)|kommentare?|commentaires?|comentarios?|related (?:articles|posts|stories)|"
+    r"advertisement|anzeige|publicit[eé]|publicidad|you may also like)\b.{0,30}$", re.I)
+RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 
 
 def names_of(value: str) -> list[set[str]]:
@@ -49,23 +59,51 @@ def marked(names: list[set[str]]) -> int:
     return max((2 if DROPPED_WORDS.issuperset(x) else 1 for x in names if not DROPPED_WORDS.isdisjoint(x)), default=0)
 
 
+class Line(NamedTuple):
+    text: str
+    tags: int
+    link: int  # characters in links
+    dropped: bool
+    content: bool  # within article or main
+    marks: tuple[int, ...]  # numbers of the marked elements around it
+    place: int  # number of its container
+    heading: bool
+
+
 class Lines(HTMLParser):
-    """Lines of text with their tag counts, link characters, whether they stand in a dropped or an article element, and the numbers of marked elements around them."""
+    """The lines of a page from parser events, its containers (parent, tag, class) and its marked elements."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, bool, tuple[int, ...]]] = []
-        self.stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # name, dropped, content, marks
+        self.lines: list[Line] = []
+        self.stack: list[tuple[str, bool, bool, tuple[int, ...], int]] = []  # name, dropped, content, marks, container
+        self.places: list[tuple[int, str, str]] = [(-1, "", "")]
         self.marks: list[int] = []  # of each marked element: how strongly
         self.open: Counter[str] = Counter()
         self.parts: list[str] = []
         self.tags = self.link = self.links = 0
 
+    def parse_marked_section(self, i, report=1):
+        """Sections such as <![x[ are comments to HTML, whatever their name."""
+        at = self.rawdata.find(">", i)
+        return at + 1 if at >= 0 else -1
+
+    def state(self) -> tuple[str, bool, bool, tuple[int, ...], int]:
+        return self.stack[-1] if self.stack else ("", False, False, (), 0)
+
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, dropped, content, marks = self.stack[-1] if self.stack else ("", False, False, ())
-            self.lines.append((text, self.tags, self.link, dropped, content, marks))
+            _, dropped, content, marks, place = self.state()
+            heading = any(self.open[h] for h in HEADING)
+            if heading and not content and ASIDE_HEADING.match(text):
+                self.places[place] = (*self.places[place][:2], f"{self.places[place][2]} \0")  # no longer like its neighbours
+                dropped = True
+                # what follows in the same container, and in those within it, is dropped too
+                for k, x in enumerate(self.stack):
+                    if x[4] == place and self.places[place][1] not in ("", "html", "body"):
+                        self.stack[k] = (x[0], True, *x[2:])
+            self.lines.append(Line(text, self.tags, min(self.link, len(text)), dropped, content, marks, place, heading))
             self.tags = self.link = 0
         self.parts.clear()
 
@@ -83,23 +121,29 @@ class Lines(HTMLParser):
             self._pop()
         if tag == "a":
             self.links += 1
-        _, dropped, content, marks = self.stack[-1] if self.stack else ("", False, False, ())
+        _, dropped, content, marks, place = self.state()
         named: list[set[str]] = []
+        look = ""
         for key, value in attrs:
             if value and key in ("class", "id"):
                 named += names_of(value)
+                look += value if key == "class" else ""
             elif value and key == "role":
                 dropped |= value.strip().lower() in DROPPED_ROLES
         dropped |= tag in DROPPED or (tag == "header" and not content)
-        dropped |= tag == "article" and any(not x.isdisjoint(("comment", "comments", "related", "teaser")) for x in named)
         if tag == "body":
             dropped = False
-        if tag in ("html", "body", "article", "main"):
+        other = tag == "article" and any(OTHER_ARTICLES.issuperset(x) for x in named if x)
+        mark = 2 if other else marked(named)
+        if tag in ("html", "body", "article", "main") and not other:
             marks = ()
-        elif mark := marked(named):
+        elif mark:
             marks = (*marks, len(self.marks))
             self.marks.append(mark)
-        self.stack.append((tag, dropped, content or tag in CONTENT, marks))
+        if tag in BLOCK and tag not in LEAVES:
+            self.places.append((place, tag, look))
+            place = len(self.places) - 1
+        self.stack.append((tag, dropped, content or tag in CONTENT and not other, marks, place))
         self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
@@ -135,12 +179,11 @@ def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 def main_text(html: str | None) -> str:
     """The main text, its blocks joined by one line break; empty if there is none.
 
-    Lines in dropped elements never count. An element whose class or id is made of such words (ad, sidebar) is dropped too,
-    unless it holds over three quarters of the page's text outside links; article and main elements within it stay.
-    Where a name only contains a word (related-work), lines go that are links or of a low ratio. On every page the lines whose
-    smoothed text-to-tag ratio reaches the threshold between its two clusters, and aren't made of links, are the cores of regions, and short or
-    plain lines between two cores belong to their region. A page with article or main elements has its content
-    there: all between its first and last core stays, and outside of them only lines made of links with a low ratio go.
+    Lines in elements that never hold main text (nav, footer, form, script) don't count. Of the others, each has its ratio of text
+    outside links to tags. Names, roles and headings are evidence, no verdicts: an element named as an advert or a sidebar is left out
+    unless it holds most of the page's text, one whose name only contains such a word lowers the ratio of its lines, and article
+    and main elements raise it. The lines whose smoothed ratio reaches the threshold between its two clusters, and that aren't made
+    of links, are cores; their containers, and what lies between them, are the content regions (see regions).
     """
     if not html:
         return ""
@@ -148,40 +191,84 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = [x for x in parser.lines if not x[3]]
+    lines = [x for x in parser.lines if not x.dropped]
     prose: Counter[int] = Counter()
     for x in lines:
-        for m in x[5]:
-            prose[m] += max(0, len(x[0]) - x[2])
-    most = 0.75 * sum(max(0, len(x[0]) - x[2]) for x in lines)
-    said = [max((parser.marks[m] for m in x[5] if prose[m] <= most), default=0) for x in lines]
-    lines = [(*x[:5], said[i]) for i, x in enumerate(lines) if said[i] < 2]
-    inside = [x for x in lines if x[4]]
-    scoped = bool(inside)
-    lines = inside or lines
+        for m in x.marks:
+            prose[m] += len(x.text) - x.link
+    most = 0.75 * sum(len(x.text) - x.link for x in lines)
+    said = [max((parser.marks[m] for m in x.marks if prose[m] <= most), default=0) for x in lines]
+    if prose and all(s == 2 for s in said):  # named amiss: the fullest of them isn't what its name says
+        lead = max(prose, key=lambda m: (prose[m], -m))
+        said = [1 if lead in x.marks else s for x, s in zip(lines, said, strict=True)]
+    weak = np.array([s == 1 for s in said if s < 2], bool)
+    lines = [x for x, s in zip(lines, said, strict=True) if s < 2]
     if not lines:
         return ""
-    chars = np.array([len(x[0]) for x in lines], float)
-    ratio = smooth((chars - np.minimum(chars, [x[2] for x in lines])) / np.maximum(1, [x[1] for x in lines]))
-    dense = ratio >= threshold(ratio)
-    links = np.array([2 * x[2] >= len(x[0]) for x in lines])
-    core = dense & ~links if (dense & ~links).any() else dense  # smoothing also lifts links beside a long line
-    keep = regions(core, chars, np.minimum(chars, [x[2] for x in lines]), scoped)
-    if scoped:
-        keep |= dense | ~links
-    keep &= (dense & ~links) | np.array([x[5] == 0 for x in lines])
-    return "\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
-
-
-def regions(dense: np.ndarray, chars: np.ndarray, link: np.ndarray, whole: bool) -> np.ndarray:
-    """The dense lines and the gaps between them: all gaps if whole, else those mostly outside links or with less text than the runs beside."""
-    keep = dense.copy()
-    ends = np.flatnonzero(np.diff(np.concatenate(([False], dense, [False])).astype(int)))
-    runs = ends.reshape(-1, 2)
-    for (a, b), (c, d) in zip(runs[:-1], runs[1:], strict=True):
-        size = chars[b:c].sum()
-        if whole or 2 * link[b:c].sum() < size or size < min(chars[a:b].sum(), chars[c:d].sum()):
-            keep[b:c] = True
+    chars = np.array([len(x.text) for x in lines], float)
+    plain = chars - [x.link for x in lines]
+    content = np.array([x.content for x in lines])
+    prior = np.where(weak, 0.2, 1.0) * np.where(content, 4.0, 1.0)
+    own = plain / np.maximum(1, [x.tags for x in lines])
+    ratio = smooth(own) * prior
+    least = threshold(ratio)
+    dense = ratio >= least
+    links = 2 * plain <= chars
+    rights = np.array([not x.content and bool(RIGHTS.match(x.text)) for x in lines])
+    core = dense & (own * prior >= 0.5 * least) & ~links & ~rights  # smoothing also lifts what stands beside a long line
+    core = core if core.any() else dense & ~links & ~rights
+    if content.any():
+        core &= content if (core & content).any() else True
+    if not core.any():  # links alone: the densest of them are all there is
+        core = dense & (content if (dense & content).any() else True)
+    keep = regions(lines, core, plain, links, parser.places) & ~rights
+    keep &= ~weak | (dense & ~links)
+    return "\n".join(x.text for x, k in zip(lines, keep, strict=True) if k)
+
+
+def regions(lines: list[Line], core: np.ndarray, plain: np.ndarray, links: np.ndarray, places: list[tuple[int, str, str]]) -> np.ndarray:
+    """Which lines belong to the content regions around the cores.
+
+    The container with the most text in its core lines leads. Other containers with a core count too, but for small ones of one or two lines without a
+    heading beside the lead. A region takes all lines of its container that aren't made of links, the like containers beside it where
+    there are three or more, a main heading right before it, and whatever lies between two of its lines within one element (or
+    lines of links between lines of one container).
+    """
+    at = np.array([x.place for x in lines])
+
+    def chain(p: int) -> list[int]:
+        out = [p]
+        while (p := places[p][0]) >= 0:
+            out.append(p)
+        return out
+
+    size = np.bincount(at, plain * core, len(places))
+    every = np.bincount(at, minlength=len(places))
+    lead = int(size.argmax())
+    titled = {x.place for x in lines if x.heading}
+    like = Counter(places[p] for p in np.unique(at[core]).tolist())
+    lead_chain = set(chain(lead))
+    counted = set()
+    for p in np.unique(at[core]).tolist():
+        side = p not in lead_chain and lead not in chain(p)
+        if not (side and p not in titled and every[p] <= 2 and size[p] < 0.15 * size[lead] and like[places[p]] < 3):
+            counted.add(p)
+    alike = {places[p] for p in counted if like[places[p]] >= 3}
+    member = np.array([p in counted or places[p] in alike for p in at.tolist()])
+    keep = (member & ~links) | (core & member)
+    held = np.flatnonzero(keep)
+    for a, b in zip(held[:-1].tolist(), held[1:].tolist(), strict=True):
+        if b - a > 1:
+            up = set(chain(int(at[a])))
+            shared = next(p for p in chain(int(at[b])) if p in up)
+            if places[shared][1] not in ("", "html", "body"):
+                inside = [k for k in range(a + 1, b) if shared in chain(int(at[k]))]
+                if not links[inside].all() or at[a] == at[b]:
+                    keep[inside] = True
+            elif at[a] == at[b]:
+                keep[[k for k in range(a + 1, b) if at[k] == at[a]]] = True
+    if len(held) and held[0] > 0 and lines[held[0] - 1].heading and not links[held[0] - 1]:
+        keep[held[0] - 1] = True
     return keep
 
 
