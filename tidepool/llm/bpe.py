@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.llm.common import blocks_for, materialize
+from tidepool.llm.common import blocks_for, materialize_by
 
 BLOCK_CHARS = 32_000_000
 ROW_CHARS = 400_000
@@ -143,7 +143,7 @@ def encode_words(words: DataFrame, path: str, pattern: str, buckets: int) -> Dat
                         names=["block", "bucket", "words", "nos"])
 
     def encode(group: pa.Table) -> pa.Table:
-        one = vocabulary(path, pattern).encoding.encode_ordinary
+        one = vocabulary(path, pattern).encoding._encode_single_piece  # a word is one match of the pattern: it isn't split again
         known: dict[str, bytes] = {}
         sizes, ids = [], []
         for data in group["words"].to_pylist():
@@ -174,7 +174,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
     """
     own = default_files()
     path, pattern = path or own[0], pattern or own[1]
-    blocks = materialize(split_blocks(docs, pattern), "bpe-blocks")
+    blocks = materialize_by(split_blocks(docs, pattern), "bpe-blocks", "block")  # so that codes are written once and never shuffled
     words = blocks.where(F.col("words").isNotNull())
     buckets = blocks_for(words.agg(F.sum("n_words")).first()[0] or 0, BUCKET_WORDS)
     known = encode_words(words.select("block", "words"), path, pattern, buckets)

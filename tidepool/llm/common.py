@@ -15,11 +15,14 @@ _own_dir: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is made.
+    Only where the session names none and all runs on one machine (tests) a temporary folder is made. What is written there
+    stays until whoever named the folder clears it: results read from it lazily.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="tidepool-"))
     return _own_dir[0]
@@ -33,6 +36,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As materialize, but as a table bucketed by column, one bucket for each shuffle partition: grouping what is read by column needs no shuffle."""
+    spark = df.sparkSession
+    own = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    (df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{own}")
+     .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).format("parquet").saveAsTable(own))
+    return spark.table(own)
+
+
 def blocks_for(rows: int, per_block: int) -> int:
     """How many blocks hold rows at about per_block each."""
     return max(1, math.ceil(rows / per_block))
