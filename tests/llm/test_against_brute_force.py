@@ -116,6 +116,47 @@ def test_near_duplicates(docs, odd):
         assert got == near_classes(rows_of(df))
 
 
+def chosen(rows):
+    """Of each id the text whose set has the smallest name: the operator's rule for repeated ids."""
+    best = {}
+    for d, t in rows:
+        (s,) = jaccard.shingle_sets([t or ""], 5)
+        if len(s):
+            best[d] = min(best.get(d, ("g",)), (jaccard.set_name(s.tobytes()), t))
+        best.setdefault(d, ("g", None))
+    return [(d, t) for d, (_, t) in best.items()]
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Ids with several texts, in every order of the rows; links of sets in one component with very different sizes; several thresholds."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(500)]
+    a, b = (" ".join(rng.choice(words, 60)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (None, a), (4, None), (4, a + " other end")]
+    want = near_classes(chosen([r for r in rows if r[0]]))
+    for _ in range(3):
+        rng.shuffle(rows)
+        df = spark.createDataFrame([tuple(None if x is None else x for x in (None if r[0] is None else int(r[0]), r[1])) for r in rows], "doc_id long, text string").repartition(3)
+        assert {r["doc_id"]: (r["class_id"], r["same_id"], r["n_links"]) for r in jaccard.join(df).collect()} == want
+
+
+def test_chain_of_near_copies(spark):
+    """1,000 texts, each near the next few only: one class, exact links, and recall at several thresholds."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in rng.integers(0, 100_000, 2200)]
+    rows = [(i, " ".join(words[2 * i:2 * i + 60 + i // 8])) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [shingles(t) for _, t in rows]
+    for threshold in (0.6, 0.8, 0.9):
+        want = near_classes(rows, threshold)
+        got = {r["doc_id"]: (r["class_id"], r["same_id"], r["n_links"]) for r in jaccard.join(df, threshold=threshold).collect()}
+        assert sum(got[d][2] for d in got) >= 0.999 * sum(want[d][2] for d in want)
+        assert got == want
+    assert len(sets) == 1000
+    with pytest.raises(ValueError):
+        jaccard.join(df, threshold=0.2)
+
+
 def test_bpe_round_trip(docs, odd):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -99,6 +99,10 @@ def signature(tokens: np.ndarray) -> np.ndarray:
     return (low & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def set_name(tokens: bytes) -> str:
+    return hashlib.blake2b(tokens, digest_size=16).hexdigest()
+
+
 def embed(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     """(doc_id, set_id, sig) of every document with a word: set_id names its n-gram set, sig is the embedding."""
     def run(batches):
@@ -112,7 +116,7 @@ def embed(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
                 for k, tokens in enumerate(shingle_sets(texts[at:i + 1], n), at):
                     if len(tokens):
                         row.append(k)
-                        ids.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).hexdigest())
+                        ids.append(set_name(tokens.tobytes()))
                         sigs.append(signature(tokens).tobytes())
                 at, size = i + 1, 0
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(ids, pa.string()), pa.array(sigs, pa.binary())], names=["doc_id", "set_id", "sig"])
@@ -215,11 +219,11 @@ def chosen_paths(ids: np.ndarray, sigs: np.ndarray, used: tuple[int, ...], least
         yield from ((ids[rows[x]], ids[rows[label[x]]]) for x in np.flatnonzero(label != np.arange(len(rows))))
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id of every node's component, for undirected edges (a, b).
 
     Alternating large-star and small-star steps; each is a minimum per node, joined back, and is written to the
-    shared folder. Stops when a round changes nothing.
+    shared folder. Stops when a round changes nothing: each round brings nodes nearer to their component's smallest, so one does.
     """
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -234,13 +238,12 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     print_of = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = print_of(edges)
-    for _ in range(rounds):
+    while True:
         edges = materialize(star(star(edges, True), False), "edges")
         now = print_of(edges)
         if now == before:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
         before = now
-    raise RuntimeError("components did not settle")
 
 
 def at(i: int):
@@ -346,7 +349,9 @@ def bounded_nodes(reps: DataFrame, threshold: float, miss: float, node_rows: int
     Runs: one sampled position each, as many as keep a pair at the threshold apart with probability at most miss. Nodes of
     over node_rows sets are divided by Spark, level by level on further positions, until all are bounded.
     """
-    runs = min(POSITIONS // 2, math.ceil(math.log(miss) / math.log(1 - threshold)))
+    runs = math.ceil(math.log(miss) / math.log(1 - threshold))
+    if runs > POSITIONS // 2:
+        raise ValueError(f"a threshold of {threshold} at a miss rate of {miss} takes {runs} runs, over {POSITIONS // 2}")
     picks = [int(x) for x in np.random.default_rng(17).permutation(POSITIONS)]
     first, free = picks[:runs], picks[runs:]
     keys = reps.select("id", "sig", F.explode(F.array(*(at(i) for i in first))).alias("key"))
@@ -424,12 +429,24 @@ def _links_within(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, thr
 def exact_links(members: DataFrame, threshold: float, rows: int) -> DataFrame:
     """(a, b, n) for members (id, root, tokens): star links (a, b) of each tile pair, and n, the links of a in it.
 
-    A component of over TILE sets is cut into tiles by a hash of the id, and each pair of tiles is one group.
+    Sets whose sizes differ by more than the threshold can't be near, so each size class (a power of the threshold) only meets itself and
+    the next. A class of over TILE sets is cut into tiles by a hash of the id, and each pair of tiles that may be near is one
+    group. A component of at most TILE sets is one tile.
     """
-    sizes = members.groupBy("root").agg(F.count("*").alias("g"))
-    tiles = F.ceil(F.col("g") / TILE).cast("int")
-    tiled = members.join(sizes, "root").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    met = tiled.select("id", "root", "tokens", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    step = F.floor(F.log(F.length("tokens") / 8.0) / -math.log(threshold) + 1e-9).cast("int")
+    small = members.groupBy("root").agg((F.count("*") <= TILE).alias("small"))
+    members = members.join(small, "root").withColumn("step", F.when(F.col("small"), 0).otherwise(step))
+    sizes = members.groupBy("root", "step").agg(F.greatest(F.ceil(F.count("*") / TILE), F.lit(1)).cast("int").alias("tiles"))
+    after = sizes.select("root", (F.col("step") - 1).alias("step"), F.col("tiles").alias("next"))
+    before = sizes.select("root", (F.col("step") + 1).alias("step"), F.col("tiles").alias("last"))
+    plan = sizes.join(after, ["root", "step"], "left").join(before, ["root", "step"], "left")
+    name = lambda c, t: c.cast("long") * (1 << 32) + t
+    tiled = members.join(plan, ["root", "step"]).withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    step = F.col("step")
+    every = lambda c, n: F.transform(F.sequence(F.lit(0), n - 1), lambda t: name(c, t))
+    some = lambda c, n: F.when(n.isNotNull(), every(c, F.coalesce(n, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
+    others = F.concat(every(step, F.col("tiles")), some(step + 1, F.col("next")), some(step - 1, F.col("last")))
+    met = tiled.select("id", "root", "tokens", name(F.col("step"), F.col("t")).alias("tile"), F.explode(others).alias("other"))
     met = met.select("id", "root", "tokens", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
     parts = blocks_for(rows, 500)  # about that many sets in a group, and none of over two tiles is split
 
@@ -470,11 +487,14 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, miss: float = 1e-6
 
     def tokens(batches):
         for batch in batches:
-            got = [t for i in range(0, batch.num_rows, 256) for t in shingle_sets([x or "" for x in batch.column("text").slice(i, 256).to_pylist()], n)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), pa.array([t.tobytes() for t in got], pa.binary())], names=["id", "root", "tokens"])
+            got = [t.tobytes() for i in range(0, batch.num_rows, 256) for t in shingle_sets([x or "" for x in batch.column("text").slice(i, 256).to_pylist()], n)]
+            own = pa.array([set_name(t) == x for t, x in zip(got, batch.column("set_id").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), pa.array(got, pa.binary())], names=["id", "root", "tokens"]).filter(own)
 
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    members = texts.join(near, "id").mapInArrow(tokens, "id long, root long, tokens binary").dropDuplicates(["id"])
+    # an id may have several texts: only those whose set is the one that was embedded are compared
+    members = (texts.join(near.join(reps.select("id", "set_id"), "id"), "id").mapInArrow(tokens, "id long, root long, tokens binary")
+               .dropDuplicates(["id"]))
     links = materialize(exact_links(members, threshold, near.count()), "links")
     degree = links.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
     classes = components(links.select("a", "b"))
