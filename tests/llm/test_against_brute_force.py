@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidepool.llm import ann, bpe, htmltext, jaccard, langid, packing, pii, quality, queries, suffix_dedup, topk
@@ -110,6 +111,22 @@ def test_suffix_dedup(docs, odd):
         assert got == removed(rows_of(df))
 
 
+def test_suffix_dedup_of_long_texts(spark):
+    """Texts beyond the size of a part, passages across their borders, bytes 0, repeats within a document alone, and the order of rows."""
+    rng = np.random.default_rng(2)
+    text = lambda n: "".join(map(chr, rng.choice([0, 9, 32, 65, 66, 97, 98, 99, 233, 26085], n)))
+    assert suffix_dedup.PART_BYTES < 1_500_000
+    long, passage = text(700_000), text(49)
+    rows = [(5, long), (2, "x" + long[100:300] + "y" + passage), (9, passage + "z"), (7, long[-600_000:] + "q" * 3000), (8, "q" * 100), (1, "q" * 49), (3, None), (None, long[:200]), (6, passage + passage)]
+    for _ in range(2):
+        rows = [rows[i] for i in rng.permutation(len(rows))]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((tuple(r) for r in suffix_dedup.remove(df).collect() if r["doc_id"] is not None))
+        assert got == removed([r for r in rows if r[0] is not None])
+    with pytest.raises(ValueError):
+        suffix_dedup.remove(df.withColumn("n_bytes", F.lit(1)), carry=("n_bytes",))
+
+
 def test_near_duplicates(docs, odd):
     for df in (docs, odd):
         got = {r["doc_id"]: (r["class_id"], r["same_id"], r["n_links"]) for r in jaccard.join(df).collect()}

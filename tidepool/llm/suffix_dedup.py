@@ -1,15 +1,16 @@
-"""Removal of repeated byte strings across documents: blockwise suffix sorting over a cover sample.
+"""Removal of repeated byte strings across documents: suffixes of a cover sample sorted bucket by bucket.
 
 A suffix counts up to `length` bytes. The cover sample holds, of each window of `length` bytes, the place whose
-hashed `gram` bytes are least: like a difference cover, equal windows hold a sample place at the same offset,
-wherever they stand, so places need never be compared but through samples. First the samples are ranked:
-those whose gram stands in one document alone leave, and with them all windows they cover. Then one suffix bucket
-at a time, the windows over one gram, is sorted: windows are grouped by their bytes, one offset from the
-sample at a time, and the smallest document of each group is found. Ties as long as whole documents need no
-more memory, since a window is known by its sample and at most `length` bytes to either side.
+hashed `gram` bytes are least. Like the sample of a difference cover it holds, for two equal windows, places at the same offset in
+both; it is chosen by content instead of by fixed residues, so that this offset is the same for all windows that are equal, wherever
+they stand, and not one for each pair of residues. Samples whose gram stands in one document alone leave first, and with them all
+windows they cover. Then one suffix bucket at a time, the samples over some grams, is sorted: their suffixes byte by byte, and what
+precedes them, read backwards. With the ranks and the longest common prefixes of both orders, two ranks say whether two windows
+over samples are equal, at any offset, however long the ties run on outside of them: no window is sorted or compared by itself, and
+memory is bounded by the samples of a bucket and at most `length` bytes to either side.
 
 Texts stay in compressed blocks. What moves are packed arrays: grams, the bytes around repeated
-samples (each once for a block), and one bit for each window in return.
+samples (each once for a block), and one bit for each window in return. Hashes only choose and filter; what is removed was equal by its bytes.
 """
 
 from __future__ import annotations
@@ -201,6 +202,32 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
+def around(flat: np.ndarray, at: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """The bytes of flat from each place on, at most size and width of them, in rows of whole 8-byte words filled with zeros."""
+    width = -(-width // 8) * 8
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([flat, np.zeros(width, np.uint8)]), width)[at]
+    rows[np.arange(width) >= size[:, None]] = 0
+    return rows
+
+
+def sorted_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lexicographic order of rows of bytes, and how many bytes each row there has in common with the one before."""
+    order = np.lexsort(rows.view(">u8").astype(np.uint64).T[::-1])
+    common = np.zeros(len(rows), np.int64)
+    for i in range(1, len(rows), 65_536):
+        a = rows[order[i - 1:i + 65_536]]
+        differ = a[1:] != a[:-1]
+        common[i:i + 65_536] = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    return order, common
+
+
+def ranks(order: np.ndarray, common: np.ndarray, size: int) -> np.ndarray:
+    """Each row's rank among all by its first size bytes; equal bytes, equal rank."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(common < size)
+    return out
+
+
 class Contexts:
     """A block's windows over repeated samples: each distinct (gram, bytes around it) once, and where it stands."""
 
@@ -334,25 +361,19 @@ def remove(docs: DataFrame, length: int = 50, gram: int = 24, keep_text: bool =
         new = np.diff(h[order], prepend=h[order][:1] + np.uint64(1)) != 0
         group_size = np.diff(np.append(np.flatnonzero(new), len(h)))
         live = order[np.repeat(group_size, group_size) > 1]
-        # the hash of every window of every entry, a run of entries at a time
-        n_windows = size - length + 1
-        window_at = np.cumsum(n_windows) - n_windows
-        windows = np.empty(int(n_windows.sum()), np.uint64)
-        edges = [0, *np.searchsorted(first, np.arange(PART_BYTES, len(flat), PART_BYTES)).tolist(), len(h)]
-        for a, b in zip(edges, edges[1:], strict=False):
-            if a < b:
-                at = np.repeat(first[a:b] - first[a] - (window_at[a:b] - window_at[a]), n_windows[a:b]) + np.arange(int(n_windows[a:b].sum()))
-                windows[window_at[a]:window_at[b - 1] + n_windows[b - 1]] = hash_windows(flat[first[a]:first[b - 1] + size[b - 1]], length)[at]
-        for k in range(side + 1):  # one offset from the sample at a time
-            rows = live[(shift[live] <= k) & (size[live] - length >= k - shift[live])]
+        at = (first + side - shift)[live]  # the samples
+        right, right_lcp = sorted_rows(around(flat, at, (first + size)[live] - at, length))
+        left, left_lcp = sorted_rows(around(flat[::-1], len(flat) - at, side - shift[live], side))
+        for k in range(side + 1):  # windows that start at one offset from the sample, together
+            rows = np.flatnonzero((shift[live] <= k) & (size[live] - length >= k - shift[live]))
             if len(rows) < 2:
                 continue
-            w = windows[window_at[rows] + k - shift[rows]]
+            w = ranks(left, left_lcp, side - k)[rows] * len(live) + ranks(right, right_lcp, gram + k)[rows]
             by = np.argsort(w)
-            w, d = w[by], doc[rows][by]
-            begin = np.flatnonzero(np.diff(w, prepend=w[0] + np.uint64(1)) != 0)
+            w, d = w[by], doc[live[rows]][by]
+            begin = np.flatnonzero(np.diff(w, prepend=w[0] - 1) != 0)
             least = np.repeat(np.minimum.reduceat(d, begin), np.diff(np.append(begin, len(w))))
-            hit = rows[by[d > least]]
+            hit = live[rows[by[d > least]]]
             mask[hit] |= np.uint64(1) << np.uint64(k)
         bits = [x.tobytes() for x in np.split(mask, np.cumsum(counts)[:-1])]
         return pa.table({"of_block": group["block"], "bucket": group["bucket"], "masks": pa.array(bits, pa.binary())})
@@ -366,6 +387,8 @@ def remove(docs: DataFrame, length: int = 50, gram: int = 24, keep_text: bool =
     if keep_text:
         schema = schema.add("text", "string")
     own = schema.names
+    if clash := set(own).intersection(carry):
+        raise ValueError(f"columns {sorted(clash)} can't be carried: the result has its own")
     schema = T.StructType([*schema, *docs.select(*carry).schema])
 
     def cut_out(block: pa.Table, replies: pa.Table) -> pa.Table:
