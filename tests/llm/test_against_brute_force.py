@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -216,6 +217,41 @@ def test_personal_data(docs, odd):
     assert masked[1] is None and "[email]" in masked[7] and "[ip]" in masked[7] and "[card]" in masked[9]
 
 
+def test_personal_data_beyond_the_patterns():
+    """Planted entities that no base pattern finds, in texts of another part of the corpus: recall, precision, and nothing in clean texts."""
+    learn, other = ([r[0] for r in duckdb.sql(f"SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL AND doc_id % 2 = {k} ORDER BY doc_id").fetchall()] for k in (0, 1))
+    model = pii.train([t[:2000] for t in learn[:300]])
+    rng = np.random.default_rng(99)
+    docs, gold = [], []
+    for t in other * 2:
+        t = re.sub(r"[0-9@]", "", t)[:1500]
+        spots = [m.end() for m in re.finditer(r"\s", t)]
+        if spots:
+            (s, kind), p = pii.generated(rng), spots[rng.integers(len(spots))]
+            docs.append(f"{t[:p]}{s} {t[p:]}")
+            gold.append((p, p + len(s), kind))
+    hit, wrong, added = {k: [] for k in range(4)}, 0, 0
+    for (base, new), g in zip(pii.spans_of(docs, model), gold, strict=True):
+        added, wrong = added + len(new), wrong + sum(x != g for x in new)
+        if g[2] >= 0 and not any(s < g[1] and g[0] < e for s, e, _ in base):
+            hit[g[2]].append(g in new)
+    assert all(len(x) >= 30 and np.mean(x) >= 0.9 for x in hit.values()), {k: (len(x), np.mean(x)) for k, x in hit.items()}
+    assert wrong <= 0.03 * added
+    clean = [re.sub(r"[0-9@]", "", t) for t in other]
+    assert not any(a or b for a, b in pii.spans_of(clean, model))
+
+
+def test_personal_data_columns(spark, odd):
+    """Counts and spans say the same; added spans overlap no base span."""
+    texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
+    for r in pii.find(odd).collect():
+        base = [x for x in base_spans(texts[r["doc_id"]]).split(",") if x]
+        spans = [x for x in r["spans"].split(",") if x]
+        assert set(base) <= set(spans) and len(spans) == len(base) + r["n_added"]
+        assert spans == sorted(spans, key=lambda x: (int(x.split(":")[1]), pii.KINDS.index(x.split(":")[0])))
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x.startswith(k) for x in base) for k in pii.KINDS]
+
+
 def test_language(docs, odd):
     rows = langid.detect(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows)
