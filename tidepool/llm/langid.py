@@ -102,6 +102,22 @@ def emissions(codes: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.
     return total
 
 
+def known_share(codes: np.ndarray, starts: np.ndarray, per_text: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The share of each text's features that the weights have met before, less what chance makes of features never met: 1 if all are known, about 0 if none is."""
+    n = len(starts)
+    known, all_ = np.zeros(n), np.zeros(n)
+    for slots, word in features_of(codes, starts) if n else ():
+        hit = used[slots]
+        known += hit if word is None else np.bincount(word, hit, n)
+        all_ += 1 if word is None else np.bincount(word, minlength=n)
+    some = np.flatnonzero(per_text)
+    begin = np.cumsum(per_text)[some] - per_text[some]
+    out, chance = np.zeros(len(per_text)), used.mean()
+    if len(some):
+        out[some] = (np.add.reduceat(known, begin) / np.add.reduceat(all_, begin) - chance) / max(1e-9, 1 - chance)
+    return out
+
+
 def forward_backward(scores: np.ndarray, per_text: np.ndarray, transitions: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
     """Each word's probability of each language, given all words of its text.
 
@@ -233,60 +249,63 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, rows: int, window
     return first.select("lang", F.explode(F.array_distinct(F.array(*place))).alias("part"))
 
 
+def runs_of(texts: list[str]):
+    """(begin, end) of runs of texts of about PART letters, which bound the arrays; a longer text is alone."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size > PART or i + 1 == len(texts):
+            yield at, i + 1
+            at, size = i + 1, 0
+
+
 class Labeller:
     """A trained model that workers share: names of the languages, weights and transitions.
 
-    least is the evidence (see _label) under which a text counts as in none of the languages: half of what all but a hundredth
-    of the sample's windows reach that the weights weren't learned from.
+    least is the known share (see known_share) under which a text counts as in none of the languages: two thirds (0.65) of what all but a hundredth
+    of the windows reach that the weights weren't learned from; no bar where there are too few windows to tell.
     """
 
     def __init__(self, docs: DataFrame, sample_rows: int, doc_id: str, text: str, lang: str):
         rows = sample(docs, doc_id, text, lang, sample_rows).collect()
         self.names = sorted({r["lang"] for r in rows})
         at = {n: i for i, n in enumerate(self.names)}
-        self.least = 0.0
-        # windows of every fifth document set the bar, the others the weights; with few windows all do both
-        apart = np.array([zlib.crc32(r["part"].encode()) % 5 == 0 for r in rows], bool)
-        apart &= len(rows) >= 500
+        self.least = -np.inf
+        # windows of every fifth place set the bar, the others the weights
+        apart = np.array([zlib.crc32(r["part"].encode()) % 5 == 0 for r in rows], bool) & (len(rows) >= 100)
         learn = [r for r, x in zip(rows, apart.tolist(), strict=True) if not x]
         model = train([r["part"] for r in learn], np.array([at[r["lang"]] for r in learn]), len(at)) if at else None
         self.model = docs.sparkSession.sparkContext.broadcast(model)
-        if len(at) > 1:
-            seen = self([r["part"] for r, x in zip(rows, apart.tolist(), strict=True) if x or not apart.any()])[4]
-            self.least = 0.5 * float(np.quantile(seen, 0.01))
+        if model is not None and apart.any():
+            self.least = 0.65 * float(np.quantile(self.known([r["part"] for r, x in zip(rows, apart.tolist(), strict=True) if x]), 0.01))
+
+    def known(self, texts: list[str]) -> np.ndarray:
+        """The known share of each text's features."""
+        used = np.abs(self.model.value[0]).sum(1) > 0
+        done = [known_share(*words_of(texts[a:b]), used) for a, b in runs_of(texts)]
+        return np.concatenate(done) if done else np.zeros(0)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, ...]:
-        """Number of the language (-1: none), score, words, switches and evidence of each text."""
-        done, at, size = [], 0, 0
-        for i, t in enumerate(texts):  # parts of about PART letters bound the arrays
-            size += len(t)
-            if size > PART or i + 1 == len(texts):
-                done.append(self._label(texts[at:i + 1]))
-                at, size = i + 1, 0
-        return tuple(np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.int64) for k in range(5))
+        """Number of the language (-1: none), score, words and switches of each text."""
+        done = [self._label(texts[a:b]) for a, b in runs_of(texts)]
+        return tuple(np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.int64) for k in range(4))
 
     def _label(self, texts: list[str]):
-        """As __call__. Evidence: by how much a word's features speak for its label rather than for the next language, the mean over the words."""
         codes, starts, per_text = words_of(texts)
-        best, score, switches, evidence = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        best, score, switches = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         if self.model.value is None or not len(starts):
-            return best, score, per_text, switches, evidence
+            return best, score, per_text, switches
         weights, trans = self.model.value
-        e = emissions(codes, starts, weights)
-        p = forward_backward(e, per_text, trans)
+        p = forward_backward(emissions(codes, starts, weights), per_text, trans)
         some = np.flatnonzero(per_text)
         begin = np.cumsum(per_text)[some] - per_text[some]
         mean = np.add.reduceat(p.astype(np.float64), begin, axis=0) / per_text[some][:, None]
         best[some], score[some] = mean.argmax(1), np.clip(mean.max(1), 0, 1)
         hard = p.argmax(1)
-        if e.shape[1] > 1:
-            own = e[np.arange(len(hard)), hard]
-            e[np.arange(len(hard)), hard] = -np.inf
-            evidence[some] = np.add.reduceat((own - e.max(1)).astype(np.float64), begin) / per_text[some]
         change = np.diff(hard, prepend=hard[0]) != 0
         change[begin] = False
         switches[some] = np.add.reduceat(change.astype(np.int64), begin)
-        return best, score, per_text, switches, evidence
+        return best, score, per_text, switches
 
 
 def detect(docs: DataFrame, sample_rows: int = 2400, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -304,7 +323,7 @@ def detect(docs: DataFrame, sample_rows: int = 2400, doc_id: str = "doc_id", tex
 
     def run(batches):
         for batch in batches:
-            best, score, count, switches, _ = label([x or "" for x in batch.column("text").to_pylist()])
+            best, score, count, switches = label([x or "" for x in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array([label.names[b] if b >= 0 else UND for b in best.tolist()], pa.string()),
                  pa.array(score, pa.float64()), pa.array(count.astype(np.int64), pa.int64()), pa.array(switches.astype(np.int64), pa.int64())],
@@ -316,21 +335,24 @@ def detect(docs: DataFrame, sample_rows: int = 2400, doc_id: str = "doc_id", tex
 def keep_known(docs: DataFrame, sample_rows: int = 2400, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs whose text is in one of the learned languages, or in several; lang becomes the predicted language.
 
-    Rows that detect would call 'und' go, and so do those whose words' own features tell the languages apart by less than half of what nearly all labelled
-    windows show (Labeller.least): texts in an unknown language or script, or of letters that make no words. Where
-    nothing could be learned (no row with a lang), rows with a letter stay as they are; where only one language is known,
-    nothing tells it from others and rows with a letter stay. Other columns, repeated rows and the order of columns stay; an empty
+    Rows that detect would call 'und' go, and so do those of which the model knows too few features (affixes, n-grams, words; see Labeller.least):
+    texts in an unknown language or script, or of letters that make no words. Where
+    nothing could be learned (no row with a lang), rows with a letter stay as they are; where there is little to learn from, all rows
+    with a letter stay. Other columns, repeated rows and the order of columns stay; an empty
     table gives no rows; a null text goes.
     """
     label = Labeller(docs, sample_rows, doc_id, text, lang)
 
     def run(batches):
         for batch in batches:
-            best, _, count, _, evidence = label([x or "" for x in batch.column(text).to_pylist()])
+            texts = [x or "" for x in batch.column(text).to_pylist()]
+            best, _, count, _ = label(texts)
+            keep = count > 0
             if label.names:
+                keep &= label.known(texts) >= label.least
                 at = batch.schema.get_field_index(lang)
                 new = pa.array([label.names[b] if b >= 0 else None for b in best.tolist()], pa.string())
                 batch = batch.set_column(at, batch.schema.field(at).with_type(pa.string()), new)
-            yield batch.filter(pa.array((count > 0) & (evidence >= label.least), pa.bool_()))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ Config = tuple[int, list[tuple[int, int]]]  # how many sequences, (length, piece
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MARKS = string.punctuation.replace("'", "")
 _SPACE = re.compile("[\x1c-\x1f᠎]")  # white space to Python alone, or to some Unicode versions
-_CACHE_WORDS = 1_200_000
+_CACHE_WORDS = 300_000  # about 60 MB; a worker keeps them from task to task
 
 
 class Encoder:
