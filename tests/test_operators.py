@@ -163,7 +163,7 @@ def test_runs(spark):
     log = spark.createDataFrame([(1, TS(2024, 1, 1) + dt.timedelta(seconds=s)) for s in (0, 30, 60, 100, 121)], "run long, at timestamp")
     assert [r["at"].second + 60 * r["at"].minute for r in runs.heartbeats(log, "run", "at", 60).collect()] == [0, 60, 121]
     tally = spark.createDataFrame([("a", 0, 1), ("b", 0, 1), ("b", 0, 2), ("a", 1, 5)], "stage string, processed long, failed long")
-    kinds = spark.createDataFrame([("a", "lossy"), ("b", "self_healing")], "stage string, kind string")
+    kinds = {"a": "lossy", "b": "self_healing"}
     assert sorted(r["total_failure"] for r in runs.stage_failure(tally, kinds).collect()) == [False, False, True, True]
 
 
@@ -215,3 +215,53 @@ def test_stream_appends_each_key_once(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
     assert streams.run_available(streams.first_seen(stream, "url", "at"), f"{tmp_path}/out").count() == 2
+
+
+def test_scores_by_rare_tokens_are_the_same(spark):
+    """The broadcast index, the join by rare tokens alone, and plain counting give the same scores; the rare tokens are fewer."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{int(rng.paretovariate(0.6)) % 60}" for _ in range(4000)]
+    stories = [(i, sorted(set(rng.choices(words, k=25)))) for i in range(120)]
+    titles = [(i, 0, rng.sample(words, k=rng.randint(1, 8)), "") for i in range(80)]
+    want = {}
+    for s, tokens in stories:
+        for f, _, t, _ in titles:
+            share = len(set(t) & set(tokens)) / len(set(t))
+            if share >= 0.5:
+                want[s, f] = share
+    terms = spark.createDataFrame(stories, "story_id long, tokens array<string>")
+    cat = spark.createDataFrame(titles, "film_id long, title_no long, tokens array<string>, fold string")
+    for small in (0, 10**6):
+        assert {(r[0], r[1]): r[2] for r in retrieval.token_scores(terms, cat, least=0.5, small=small).collect()} == want
+    index = retrieval.inverted_index(cat)
+    probes = retrieval.rare_tokens(index, terms.select("story_id", F.explode("tokens").alias("token")), "film_id", 0.5)
+    assert probes.where("probe").count() < 0.8 * index.count()
+
+
+def test_initialisms(spark):
+    cases = [("Warner’s ‘F.A.S.T.’ and S/H/V", ["warner", "fast", "shv"]), ("U.S. box office", ["box", "office"]), ("u.s.army", ["usarmy"]), ("noS.O.S", ["nos"]), ("x.J.R.R. Tolkien", ["xjrr", "tolkien"]), ("A/B", [])]
+    for text, want in cases:
+        assert one(spark, X.significant_tokens(X.lower_nfc(F.col("t"))), t=text) == want
+    assert one(spark, X.lower_nfc(F.col("t")), t="Ame\u0301lie") == "amélie"
+
+
+def test_feed_times_and_malformed_payloads(spark):
+    for text, want in (("Wed, 02 Oct 2024 13:00:00 GMT", TS(2024, 10, 2, 13)), ("2 Oct 2024 13:00:00 +0200", TS(2024, 10, 2, 11)), ("Wed, 02 Oct 2024 13:00 EST", TS(2024, 10, 2, 18)), ("2024-10-02T13:00:00Z", TS(2024, 10, 2, 13)), ("soon", None)):
+        assert one(spark, readers.feed_time(F.col("t")), t=text) == want
+    payloads = spark.createDataFrame([('{"id": 1, "title": "A"}',), ("not json",), ('{"id": 2',)], "payload string")
+    assert [r["id"] for r in readers.movies(payloads).collect()] == [1] and readers.malformed(payloads).count() == 2
+
+
+def test_atom_and_feed_lists(spark, tmp_path):
+    (tmp_path / "a.xml").write_text('<feed><entry><title>T</title><link rel="self" href="x"/><link href="https://a/1"/><updated>2024-01-02T00:00:00Z</updated></entry></feed>')
+    assert [(r["title"], r["link"]) for r in readers.atom_entries(spark, f"file://{tmp_path}/a.xml").collect()] == [("T", "https://a/1")]
+    assert readers.feed_list(spark, [("A", "a"), ("B", "b")], [("C", "c")], False).count() == 2
+    assert [r["name"] for r in readers.feed_list(spark, [("A", "a")], [("C", "c")], True).orderBy("position").collect()] == ["A", "C"]
+
+
+def test_unknown_stage_is_an_error(spark):
+    tally = spark.createDataFrame([("x", 0, 1)], "stage string, processed long, failed long")
+    with pytest.raises(Exception, match="unknown stage"):
+        runs.stage_failure(tally, {"a": "lossy"}).collect()

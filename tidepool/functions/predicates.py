@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import values as V
 
+# Statuses out of play, early event types, writing jobs, and how many billed count.
 EXCLUDED_STATUSES = ("Released", "Canceled")
 EARLY_TYPES = ("announced", "casting", "crew_attached", "production_start", "production_wrap")
 SEED_JOBS = ("Writer", "Screenplay")

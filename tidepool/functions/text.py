@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -17,31 +16,28 @@ FOLD_MIN_CHARS = 6
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "co.kr", "co.in", "com.br", "com.mx", "com.tr", "co.za", "com.cn")
 
 
+# Ranges whose letters are composed already and that hold no combining marks: Latin, Cyrillic, kana, Han, Hangul, punctuation.
+_COMPOSED = r"^[\x00-\u02FF\u0400-\u0482\u048A-\u052F\u2010-\u2027\u2030-\u205E\u20A0-\u20C0\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3]*$"
+# Fixed pattern: an initialism is two or more pairs of a letter and a dot or slash, the first not after a letter or digit, and perhaps one more
+# letter; from three letters on its separators go. As Spark's replacement has no conditions, one pair is replaced at a time, if what stands
+# before and after makes the run long enough.
+_PAIR = r"(?<![\p{L}\p{N}])\p{L}[./]"
+_INITIALISM = rf"(?<![\p{{L}}\p{{N}}])(\p{{L}})[./](?=\p{{L}}[./]\p{{L}})|(?<={_PAIR})(\p{{L}})[./](?=\p{{L}})|(?<={_PAIR}\p{{L}}[./])(\p{{L}})[./]"
+
+
 def lower_nfc(text: Column) -> Column:
-    """Lower case in composed form; plain ASCII never leaves the JVM's lower()."""
+    """Lower case in composed form. Only texts with characters that composing may change go to Python; for all others it gets a null."""
     @F.pandas_udf(T.StringType())
     def composed(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x.lower()))
 
-    return F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(composed(text))
+    plain = text.rlike(_COMPOSED)
+    return F.coalesce(F.when(plain, F.lower(text)), composed(F.when(~plain, text)))
 
 
 def collapse_initialisms(text: Column) -> Column:
-    """Runs of three letters and more, each before a dot or slash, lose their separators (u.s.a. -> usa); shorter runs stay.
-
-    Spark's replacement has no conditions, so the pattern asks for the length: a run of pairs and an optional last letter.
-    """
-    @F.pandas_udf(T.StringType())
-    def collapsed(s: pd.Series) -> pd.Series:
-        run = re.compile(r"(?<![^\W_])(?:[^\W\d_][./]){2,}(?:[^\W\d_](?![^\W_]))?")
-
-        def one(m: re.Match) -> str:
-            letters = re.sub(r"[./]", "", m.group())
-            return letters if len(letters) >= 3 else m.group()
-
-        return s.map(lambda x: None if x is None else run.sub(one, x))
-
-    return F.when(text.rlike(r"\p{L}[./]\p{L}[./]"), collapsed(text)).otherwise(text)
+    """Runs of three letters and more, each before a dot or slash, lose their separators (u.s.a. -> usa); shorter runs stay."""
+    return F.when(text.rlike(r"\p{L}[./]\p{L}[./]"), F.regexp_replace(text, _INITIALISM, "$1$2$3")).otherwise(text)
 
 
 def words(text: Column) -> Column:
@@ -50,8 +46,8 @@ def words(text: Column) -> Column:
 
 
 def significant_tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
-    """Words longer than one character that are no stopwords, in order, repeats kept. Takes text in its normal form."""
-    return F.filter(words(text), lambda w: (F.length(w) > 1) & ~w.isin(*stopwords))
+    """Words longer than one character that are no stopwords, in order, repeats kept; initialisms are one word. Takes text in its normal form."""
+    return F.filter(words(collapse_initialisms(text)), lambda w: (F.length(w) > 1) & ~w.isin(*stopwords))
 
 
 def squash_fold(text: Column) -> Column:

@@ -63,7 +63,7 @@ def f1(precision: Column, recall: Column) -> Column:
 def backoff_seconds(attempt: Column, base: float, cap: float, retry_after: Column | None = None) -> Column:
     """base doubled with each attempt, at most cap; a server's own wait, clamped to cap, comes first."""
     own = F.least(F.lit(float(cap)), F.lit(float(base)) * F.pow(F.lit(2.0), attempt - 1))
-    return own if retry_after is None else F.coalesce(F.least(retry_after.cast("double"), F.lit(float(cap))), own)
+    return own if retry_after is None else F.when(retry_after.isNotNull(), F.least(retry_after.cast("double"), F.lit(float(cap)))).otherwise(own)
 
 
 def token_estimate(text: Column) -> Column:

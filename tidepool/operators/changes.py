@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +19,7 @@ def insert_ignore(stored: DataFrame, batch: DataFrame, keys: list[str], order: l
 
 
 def upsert_last_wins(stored: DataFrame, batch: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """All keys, each with its row of highest seq; the batch wins a tie."""
+    """All keys: the batch's row of highest seq where the batch has the key, else the stored one."""
     both = stored.withColumn("__new", F.lit(0)).unionByName(batch.withColumn("__new", F.lit(1)))
     return first_per_key(both, keys, [F.desc("__new"), F.desc(seq)]).drop("__new")
 
@@ -50,8 +48,8 @@ def field_changes(old: DataFrame, new: DataFrame, key: str, changed_at: Column,
     Values are JSON texts; a null value is SQL null on that side.
     """
     fields = [c for c in old.columns if c != key and c not in unlogged]
-    text = lambda side, c: F.to_json(F.struct(F.col(f"{side}.{c}").alias("v")))
-    each = F.array(*(F.struct(F.lit(c).alias("field"), F.get_json_object(text("o", c), "$.v").alias("old_value"), F.get_json_object(text("n", c), "$.v").alias("new_value"),
+    text = lambda side, c: F.nullif(F.regexp_extract(F.to_json(F.struct(F.col(f"{side}.{c}").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit(""))
+    each = F.array(*(F.struct(F.lit(c).alias("field"), text("o", c).alias("old_value"), text("n", c).alias("new_value"),
                               F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")).alias("same")) for c in fields))
     both = old.alias("o").join(new.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"))
     return both.select(F.col(f"o.{key}").alias(key), F.explode(F.filter(each, lambda s: ~s["same"])).alias("c")).select(
@@ -147,7 +145,3 @@ def resolve_attempt(state: Column, attempts: Column, resolved: Column, most: int
     n = attempts + 1
     return F.when(state != "pending", state).when(resolved.isNotNull(), "resolved").when(n >= most, "failed").otherwise("pending"), F.when(state == "pending", n).otherwise(attempts)
 
-
-def same_rows(a: DataFrame, b: DataFrame) -> Column:
-    """All columns of two aliased rows equal, nulls equal."""
-    return reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in a.columns if c in b.columns])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import predicates as P
 from tidepool.functions import text as X
+from tidepool.functions import values as V
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
@@ -124,3 +125,35 @@ def calendar(releases: DataFrame, films: DataFrame, directors: DataFrame, days:
     rows = page_of_keys(releases, day, days, offset, descending=False).dropDuplicates([film, day])
     named = ordered_join(directors, [film], "name", ["credit_order", "name"], "directors")
     return rows.join(films, film).join(named, film, "left")
+
+
+def flat_feed(events: DataFrame, summaries: DataFrame, films: DataFrame, members: DataFrame, stories: DataFrame, limit: int, offset: int = 0, *, outlets: int = 3, hidden: tuple[str, ...] = ("other",), home: str = "US") -> DataFrame:
+    """A page of visible events, newest first, each with up to `outlets` stories of different outlets (newest first) and the count of all visible events.
+
+    events: (event_id, film_id, event_type, region, created_at); films: (film_id, slug, origin, an array of countries); members: (event_id, story_id);
+    stories: (story_id, outlet, published_at). Stories are fetched for the page's events alone.
+    """
+    seen = P.visible_event(F.col("event_type"), hidden) & P.region_visible(F.col("event_type"), F.col("region"), F.col("origin"), home)
+    rows = visible_spine(events, summaries, films).where(seen)
+    total = rows.agg(F.count("*").alias("total"))
+    shown = page(rows, [F.desc("created_at"), F.asc("event_id")], limit, offset)
+    of_page = P.having(members, shown, "event_id").join(stories, "story_id")
+    best = top_n_distinct(of_page, ["event_id"], X.outlet_key(F.col("outlet")), [F.col("published_at").desc_nulls_last(), F.asc("story_id")], outlets)
+    told = best.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "story_id"))), lambda x: x["story_id"]).alias("stories"))
+    return shown.join(told, "event_id", "left").join(F.broadcast(total))  # one row
+
+
+def visible_calendar(releases: DataFrame, films: DataFrame, genres: DataFrame, directors: DataFrame, today, days: int, offset: int = 0) -> DataFrame:
+    """A page of coming release days, soonest first: visible releases, each film once a day with its label, first genres and directors.
+
+    releases: (film_id, region, release_type, at); films: (film_id, slug, adult, runtime, popularity).
+    """
+    day = F.to_date("at")
+    rows = releases.where(F.col("at") >= F.lit(today)).join(films, "film_id").withColumn("day", day)
+    rows = rows.where(P.calendar_visible(F.col("region"), F.col("release_type"), F.col("day"), F.col("slug"), F.col("adult"), F.col("runtime"), F.col("popularity"), today))
+    rows = page_of_keys(rows, "day", days, offset, descending=False)
+    once = rows.groupBy("film_id", "day", "slug").agg(F.max("release_type").alias("release_type"))
+    label = V.mapped(F.col("release_type"), V.RELEASE_LABEL)
+    three = top_n(P.having(genres, once, "film_id"), ["film_id"], [F.asc("name")], 3, "place")
+    return (once.withColumn("label", label).join(ordered_join(three, ["film_id"], "name", ["place"], "genres"), "film_id", "left")
+            .join(ordered_join(P.having(directors, once, "film_id"), ["film_id"], "name", ["credit_order", "name"], "directors"), "film_id", "left"))

@@ -112,13 +112,27 @@ def hash_sample(df: DataFrame, strata: str, ident: str, seed: str, n: int) -> Da
 
 
 def nearest_rank(df: DataFrame, value: str, q: float, by: list[str]) -> DataFrame:
-    """The ceil(q n)-th smallest value."""
-    return df.groupBy(*by).agg(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias("value"))
+    """The ceil(q n)-th smallest value of each group; nulls don't count.
+
+    Values are cut into about a thousand ranges of equal width and only counted; a running sum over the ranges finds the one that holds the place, and only
+    its values are sorted, so no task holds a group.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    edge = rows.groupBy(*by).agg(F.min(value).cast("double").alias("__low"), F.max(value).cast("double").alias("__high"), F.count("*").alias("__n"))
+    part = F.when(F.col("__high") > F.col("__low"), F.least(F.floor((F.col(value) - F.col("__low")) / (F.col("__high") - F.col("__low")) * 1024), F.lit(1023))).otherwise(F.lit(0)).alias("__part")
+    placed = rows.select(*by, value).join(F.broadcast(edge) if not by else edge, by).select(*by, value, "__n", part)
+    counts = placed.groupBy(*by, "__part").agg(F.count("*").alias("__c"), F.first("__n").alias("__n"))
+    run = F.sum("__c").over(Window.partitionBy(*by).orderBy("__part"))
+    goal = F.ceil(F.col("__n") * F.lit(q) - F.lit(1e-9))
+    home = counts.withColumn("__to", run).where((F.col("__to") >= goal) & (F.col("__to") - F.col("__c") < goal)).select(*by, "__part", (goal - F.col("__to") + F.col("__c")).alias("__place"))
+    inside = placed.join(home, [*by, "__part"]).groupBy(*by, "__place", value).agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*by).orderBy(value))
+    return inside.withColumn("__to", upto).where((F.col("__to") >= F.col("__place")) & (F.col("__to") - F.col("__c") < F.col("__place"))).select(*by, value)
 
 
 def call_cost(calls: DataFrame, rates: DataFrame, keys: list[str]) -> DataFrame:
     """calls with cost_usd as decimal(12,6). rates: keys, input, output, write_mult, read_mult, per million tokens; batch calls cost half."""
-    t = calls.join(F.broadcast(rates), keys, "left")  # the price list has a row for each model
+    t = calls.join(rates, keys, "left")  # a price list is small, which Spark sees by itself
     cost = (F.col("input_tokens") * F.col("input") + F.col("output_tokens") * F.col("output") + F.col("cache_write_tokens") * F.col("input") * F.col("write_mult")
             + F.col("cache_read_tokens") * F.col("input") * F.col("read_mult")) / 1e6
     return t.withColumn("cost_usd", (cost * F.when(F.col("batch"), 0.5).otherwise(1.0)).cast("decimal(12,6)")).drop("input", "output", "write_mult", "read_mult")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.functions import predicates as P
 from tidepool.functions import text as X
 from tidepool.functions import values as V
 
 # The operating point and the limits of health.
 THRESHOLD, CAP = 0.5, 47
 ZERO_LIMIT, SATURATION_LIMIT, LEAST_N = 0.10, 0.05, 50
+SMALL = 500_000  # rows of the titles' index that may be broadcast: some 30 MB
 
 
 def searchable_titles(films: DataFrame, alternatives: DataFrame | None = None, *, film: str = "film_id", title: str = "title", original: str | None = None,
@@ -46,34 +48,65 @@ def story_terms(stories: DataFrame, *, story: str = "story_id", headline: str =
                           F.array(X.squash_fold(normal(F.coalesce(headline, F.lit("")))), X.squash_fold(normal(F.coalesce(dek, F.lit(""))))).alias("folds"))
 
 
-def token_scores(terms: DataFrame, titles: DataFrame, *, story: str = "story_id", film: str = "film_id") -> DataFrame:
-    """(story, film, score): the best share of a title's distinct tokens that the story holds.
+def token_scores(terms: DataFrame, titles: DataFrame, *, story: str = "story_id", film: str = "film_id", least: float = 0.0, small: int = SMALL) -> DataFrame:
+    """(story, film, score): the best share of a title's distinct tokens that the story holds, where it reaches least.
 
-    An equi-join on tokens; matches are counted per title before the best title is taken. Titles are the smaller table
-    by far, but their size isn't bounded, so the join is left to Spark's statistics.
+    Matches are counted per title before the best title is taken. An index of at most `small` rows (it is counted first) is broadcast:
+    stories are dealt by their key once, as whole rows, and all that follows stays in place. A larger one is joined by
+    token, and with least over 0 only through the rarest tokens of each title (see rare_tokens), so that common words don't pair
+    everything with everything; what meets there is then counted in full.
     """
-    probe = terms.select(story, F.explode("tokens").alias("token"))
-    hits = probe.join(inverted_index(titles, film), "token").groupBy(story, film, "title_no", "n_tokens").agg(F.count("*").alias("hits"))
-    return hits.groupBy(story, film).agg(F.max(F.col("hits") / F.col("n_tokens")).alias("score"))
+    index = inverted_index(titles, film)
+    if P.oversized(index, small):
+        return _scores_by_token(terms, index, story, film, least)
+    probe = terms.select(story, "tokens").repartition(story).select(story, F.explode("tokens").alias("token"))
+    hits = probe.join(F.broadcast(index), "token").groupBy(story, film, "title_no", "n_tokens").agg(F.count("*").alias("hits"))
+    return _best(hits, story, film, least)
 
 
-def rescued(terms: DataFrame, titles: DataFrame, *, story: str = "story_id", film: str = "film_id", gram: int = X.FOLD_MIN_CHARS) -> DataFrame:
+def _best(hits: DataFrame, story: str, film: str, least: float) -> DataFrame:
+    return hits.where(F.col("hits") >= F.lit(least) * F.col("n_tokens") - 1e-9).groupBy(story, film).agg(F.max(F.col("hits") / F.col("n_tokens")).alias("score"))
+
+
+def rare_tokens(index: DataFrame, seen: DataFrame, film: str, least: float) -> DataFrame:
+    """index with probe: the n - ceil(least n) + 1 tokens of each title that the fewest stories hold. A story that reaches least has one of them."""
+    df = P.having(seen, index, "token").groupBy("token").agg(F.count("*").alias("__df"))
+    place = F.row_number().over(Window.partitionBy(film, "title_no").orderBy(F.coalesce("__df", F.lit(0)), "token"))
+    rows = index.join(df, "token", "left").withColumn("__place", place)
+    return rows.withColumn("probe", F.col("__place") <= F.col("n_tokens") - F.ceil(F.lit(least) * F.col("n_tokens") - 1e-9) + 1).drop("__df", "__place")
+
+
+def _scores_by_token(terms: DataFrame, index: DataFrame, story: str, film: str, least: float) -> DataFrame:
+    seen = terms.select(story, F.explode("tokens").alias("token"))
+    if least <= 0:
+        return _best(seen.join(index, "token").groupBy(story, film, "title_no", "n_tokens").agg(F.count("*").alias("hits")), story, film, least)
+    key = [film, "title_no", "n_tokens"]
+    ranked = rare_tokens(index, seen, film, least)
+    met = seen.join(ranked.where("probe").select(*key, "token"), "token").groupBy(story, *key).agg(F.count("*").alias("first"))
+    rest = ranked.where("NOT probe").groupBy(*key).agg(F.collect_list("token").alias("rest"))
+    more = met.join(rest, key).select(story, *key, F.explode("rest").alias("token")).join(seen, [story, "token"]).groupBy(story, *key).agg(F.count("*").alias("more"))
+    hits = met.join(more, [story, *key], "left").withColumn("hits", F.col("first") + F.coalesce("more", F.lit(0)))
+    return _best(hits, story, film, least)
+
+
+def rescued(terms: DataFrame, titles: DataFrame, *, story: str = "story_id", film: str = "film_id", gram: int = X.FOLD_MIN_CHARS, small: int = SMALL) -> DataFrame:
     """(story, film) where a title's fold stands in one of the story's folds.
 
     A fold's first characters must stand there too: each story gives its distinct runs of that many characters, titles
     join on their first, and contains() settles what meets. So no pair is looked at without a shared run, and texts
-    are fetched for such pairs alone.
+    are fetched for such pairs alone. At most `small` titles (they are counted first) are broadcast, so a run that begins no title goes nowhere.
     """
     texts = terms.select(story, F.posexplode("folds").alias("field", "text")).where(F.length("text") >= gram)
     runs = texts.select(story, "field", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{gram}}}))"), F.lit(1)))).alias("run"))
-    met = runs.join(rescue_folds(titles, film).withColumn("run", F.substring("fold", 1, gram)), "run").select(story, "field", film, "fold")
+    folds = rescue_folds(titles, film).withColumn("run", F.substring("fold", 1, gram))
+    met = runs.join(folds if P.oversized(folds, small) else F.broadcast(folds), "run").select(story, "field", film, "fold")
     return met.join(texts, [story, "field"]).where(F.contains("text", "fold")).select(story, film).distinct()
 
 
 def candidates(terms: DataFrame, titles: DataFrame, threshold: float = THRESHOLD, cap: int = CAP, *, story: str = "story_id", film: str = "film_id",
                order: list[Column] | None = None, rescue: bool = True) -> DataFrame:
     """(story, film, score, rank, n_over): what reaches the threshold, best first, at most cap per story; n_over is the count before the cap."""
-    found = token_scores(terms, titles, story=story, film=film)
+    found = token_scores(terms, titles, story=story, film=film, least=threshold)
     if rescue:
         found = found.unionByName(rescued(terms, titles, story=story, film=film).withColumn("score", F.lit(1.0))).groupBy(story, film).agg(F.max("score").alias("score"))
     return cut(found, threshold, cap, story=story, film=film, order=order)
@@ -123,8 +156,7 @@ def sweep(scores: DataFrame, stories: DataFrame, thresholds: list[float], caps:
 def growth_curve(scores: DataFrame, films: DataFrame, sizes: list[int], threshold: float = THRESHOLD, *, story: str = "story_id", film: str = "film_id") -> DataFrame:
     """Candidates over the threshold if only the first size films by id were known.
 
-    Films are numbered by a count of smaller ids over a range-partitioned sort's offsets, not in one task: only the
-    boundary id of each size is looked up.
+    Only the first max(sizes) films are numbered, in one task: the sizes, not the catalog, bound it. Each size's last id then bounds its films.
     """
     bounds = films.select(film).distinct().orderBy(film).limit(max(sizes)).withColumn("n", F.row_number().over(Window.orderBy(film)))  # at most max(sizes) rows
     edge = [bounds.select(F.max(F.when(F.col("n") <= s, F.col(film))).alias("last"), F.lit(int(s)).alias("size")) for s in sizes]

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import predicates as P
+from tidepool.functions import values as V
 
 # How many failures alone fail a stage whose items get no second chance, and one whose items do.
 FAILURE_FLOOR = {"lossy": 1, "self_healing": 2}
@@ -44,10 +45,10 @@ def watermark(runs: DataFrame, kind: str) -> DataFrame:
     return runs.where("status = 'finished'").groupBy(kind).agg(F.max("started_at").alias("watermark"))
 
 
-def stage_failure(tally: DataFrame, kinds: DataFrame, stage: str = "stage") -> DataFrame:
-    """tally (stage, processed, failed) with total_failure: nothing processed, and as many failures as the stage's kind needs. Unknown stages are null."""
-    floor = F.when(F.col("kind") == "lossy", FAILURE_FLOOR["lossy"]).when(F.col("kind") == "self_healing", FAILURE_FLOOR["self_healing"])
-    return tally.join(F.broadcast(kinds), stage, "left").withColumn("total_failure", (F.col("processed") == 0) & (F.col("failed") >= floor))  # a row for each stage
+def stage_failure(tally: DataFrame, kinds: dict[str, str], stage: str = "stage") -> DataFrame:
+    """tally (stage, processed, failed) with total_failure: nothing processed, and as many failures as the stage's kind needs. An unknown stage is an error."""
+    floor = F.coalesce(V.mapped(F.col(stage), {k: FAILURE_FLOOR[v] for k, v in kinds.items()}), F.raise_error(F.concat(F.lit("unknown stage: "), F.coalesce(stage, F.lit("null")))).cast("int"))
+    return tally.withColumn("total_failure", (F.col("processed") == 0) & (F.col("failed") >= floor))
 
 
 def run_status(*errors: Column) -> tuple[Column, Column]:
@@ -57,9 +58,18 @@ def run_status(*errors: Column) -> tuple[Column, Column]:
 
 
 def rate_audit(log: DataFrame, by: str, at: str, seconds: int, limit: int) -> DataFrame:
-    """log with in_window, the calls of the last seconds up to each one, and over, whether they pass the limit."""
-    w = Window.partitionBy(by).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return log.withColumn("in_window", F.count("*").over(w)).withColumn("over", F.col("in_window") > limit)
+    """log with in_window, the calls of the last seconds up to each one, and over, whether they pass the limit.
+
+    Time is cut into spans of that length: a row also stands, as a copy that only counts, in the span after its own, and the window
+    runs within (key, span). So a key with a third of all rows is split by time.
+    """
+    micros = seconds * 1_000_000
+    t = F.unix_micros(F.col(at).cast("timestamp"))
+    span = F.floor(t / micros)
+    rows = log.withColumn("__t", t).withColumn("__span", F.explode(F.array(span, span + 1))).withColumn("__own", F.floor(F.col("__t") / micros) == F.col("__span"))
+    w = Window.partitionBy(by, "__span").orderBy("__t").rangeBetween(-micros, 0)
+    counted = rows.withColumn("in_window", F.count("*").over(w)).where("__own")
+    return counted.drop("__t", "__span", "__own").withColumn("over", F.col("in_window") > limit)
 
 
 def heartbeats(log: DataFrame, by: str, at: str, seconds: int) -> DataFrame:
@@ -89,9 +99,22 @@ def usage_by(calls: DataFrame, *keys: str) -> DataFrame:
     return calls.groupBy(*keys).agg(F.count("*").alias("calls"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")))
 
 
-def health_trend(health: DataFrame, runs: DataFrame, run: str, n: int) -> DataFrame:
-    """The newest n runs with a health row."""
-    return health.join(runs, run).orderBy(F.desc("started_at"), F.desc(run)).limit(n)
+def with_health(rows: DataFrame, health: DataFrame, probes: DataFrame, run: str = "run_id") -> DataFrame:
+    """rows with their run's health and its probe totals: picks and, of those, retrieved; a run without probes has none (0, 0)."""
+    totals = probes.groupBy(run).agg(F.count("*").alias("picks"), F.count_if("retrieved").alias("picks_retrieved"))
+    return rows.join(health, run, "left").join(totals, run, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("picks", "picks_retrieved")})
+
+
+def health_trend(health: DataFrame, runs: DataFrame, run: str, n: int, probes: DataFrame | None = None, since: Column | None = None) -> DataFrame:
+    """The newest n runs with a health row, those since a time if one is given, with their probe totals if there are probes."""
+    rows = health.join(runs, run)
+    rows = (rows if since is None else rows.where(F.col("started_at") >= since)).orderBy(F.desc("started_at"), F.desc(run)).limit(n)
+    return rows if probes is None else with_health(rows, health.select(run), probes, run)
+
+
+def usage_window(usage: DataFrame, runs: DataFrame, start: Column, end: Column, by: str, run: str = "run_id") -> DataFrame:
+    """Usage of the runs that began from start up to and without end, summed up."""
+    return usage_by(usage.join(runs.where((F.col("started_at") >= start) & (F.col("started_at") < end)).select(run), run, "left_semi"), by)
 
 
 def detail_text(parts: dict[str, Column]) -> Column:

@@ -120,11 +120,25 @@ _NORMAL = "lower(nfc_normalize(coalesce(text, '')))"
 _STOP = "('the','a','an','of','and','or','to','in','on','at','for','part')"
 
 
-@query(f"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all({_NORMAL}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1 AND w NOT IN {_STOP}) AS w FROM documents)
-    SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct FROM t""")
+def _tokens(normal: str) -> str:
+    """SQL of the significant tokens of a text in normal form. A sign marks the places of an initialism's separators, from its first three letters on."""
+    t = f"regexp_replace({normal}, '(^|[^\\p{{L}}\\p{{N}}])(\\p{{L}})[./](\\p{{L}})[./](\\p{{L}})', '\\1\\2\u2063\\3\u2063\\4', 'g')"
+    for _ in range(12):
+        t = f"regexp_replace({t}, '\u2063(\\p{{L}})[./]', '\u2063\\1\u2063', 'g')"
+    return f"list_filter(regexp_extract_all(replace({t}, '\u2063', ''), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1 AND w NOT IN {_STOP})"
+
+
+# initials planted in every seventh text, so that the rule for them has work to do
+_DOTTED = "CASE WHEN doc_id % 7 = 0 THEN regexp_replace(coalesce(text, ''), '([A-Za-z])([a-z])([a-z]) ', '\\1.\\2.\\3. ', 'g') ELSE text END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_DOTTED} AS text FROM documents), t AS (SELECT doc_id, {_tokens(_NORMAL)} AS w FROM d)
+    SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct, md5(array_to_string(w, ' ')) AS tokens_md5 FROM t""")
 def significant_tokens(documents):
-    t = documents.select("doc_id", X.significant_tokens(X.lower_nfc(F.coalesce("text", F.lit("")))).alias("w"))
-    return t.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
+    text = F.coalesce("text", F.lit(""))
+    dotted = F.when(F.col("doc_id") % 7 == 0, F.regexp_replace(text, "([A-Za-z])([a-z])([a-z]) ", "$1.$2.$3. ")).otherwise(text)
+    t = documents.select("doc_id", X.significant_tokens(X.lower_nfc(dotted)).alias("w"))
+    return t.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), F.md5(F.array_join("w", " ")).alias("tokens_md5"))
 
 
 @query(f"SELECT doc_id, md5(regexp_replace({_NORMAL}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS fold_md5 FROM documents")
@@ -138,13 +152,14 @@ def _catalog(pages):
 
 def _scores(documents, pages):
     stories = documents.select(F.col("doc_id").alias("story_id"), F.lit("").alias("headline"), F.coalesce("text", F.lit("")).alias("dek"))
-    return retrieval.token_scores(retrieval.story_terms(stories), retrieval.searchable_titles(_catalog(pages)))
+    return retrieval.token_scores(retrieval.story_terms(stories), retrieval.searchable_titles(_catalog(pages)), least=0.5)
 
 
+_TITLE = "lower(nfc_normalize(regexp_extract(html, '<title>(.*?)</title>', 1)))"
 _SCORES = f"""
-    t AS (SELECT page_id AS film_id, list_distinct(list_filter(regexp_extract_all(lower(nfc_normalize(regexp_extract(html, '<title>(.*?)</title>', 1))), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1 AND w NOT IN {_STOP})) AS w FROM pages),
+    t AS (SELECT page_id AS film_id, list_distinct({_tokens(_TITLE)}) AS w FROM pages),
     i AS (SELECT film_id, len(w) AS n, unnest(w) AS token FROM t),
-    s AS (SELECT doc_id AS story_id, unnest(list_distinct(list_filter(regexp_extract_all({_NORMAL}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1 AND w NOT IN {_STOP}))) AS token FROM documents),
+    s AS (SELECT doc_id AS story_id, unnest(list_distinct({_tokens(_NORMAL)})) AS token FROM documents),
     sc AS (SELECT story_id, film_id, count(*) / any_value(n) AS score FROM s JOIN i USING (token) GROUP BY ALL),
     ov AS (SELECT *, count(*) OVER (PARTITION BY story_id) AS n_over, row_number() OVER (PARTITION BY story_id ORDER BY score DESC, film_id) AS rank FROM sc WHERE score >= 0.5)"""
 
@@ -246,7 +261,7 @@ def latest_change(events):
 
 @query("""WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS p_size, CASE WHEN p_partkey % 11 <> 0 THEN p_brand END AS p_brand FROM part)
     SELECT p_partkey, 'p_size' AS field, CAST(o.p_size AS VARCHAR) AS old_value, CAST(n.p_size AS VARCHAR) AS new_value FROM part o JOIN n USING (p_partkey) WHERE o.p_size IS DISTINCT FROM n.p_size
-    UNION ALL SELECT p_partkey, 'p_brand', o.p_brand, n.p_brand FROM part o JOIN n USING (p_partkey) WHERE o.p_brand IS DISTINCT FROM n.p_brand""")
+    UNION ALL SELECT p_partkey, 'p_brand', '"' || o.p_brand || '"', '"' || n.p_brand || '"' FROM part o JOIN n USING (p_partkey) WHERE o.p_brand IS DISTINCT FROM n.p_brand""")
 def field_change_cdc(part):
     new = part.withColumn("p_size", F.when(F.col("p_partkey") % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size"))).withColumn("p_brand", F.when(F.col("p_partkey") % 11 != 0, F.col("p_brand")))
     return changes.field_changes(part, new, "p_partkey", F.lit(dt.datetime(2024, 1, 1))).drop("changed_at")
@@ -518,27 +533,56 @@ def take_while_floor(part):
     return readers.take_while(rows, ["__down", "p_partkey"], F.col("p_retailprice") >= 950).select("p_partkey")
 
 
-@query("SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+# A stream gives what its watermark has closed: windows that end by the latest time less the delay.
+
+
+@query("""WITH w AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)
+    SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 4) AS total FROM events, w WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= mark GROUP BY 1, 2""")
 def stream_day_rollup(events):
-    out = _streamed(events, lambda s: streams.day_rollup(s, ["user_id"], "ts"))
+    out = streams.run_table(events, lambda s: streams.day_rollup(s, ["user_id"], "ts"))
     return out.select("user_id", day_text("day").alias("day"), "n", F.round("total", 4).alias("total"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM i GROUP BY user_id, k""")
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM i GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stream_sessions(events):
-    out = _streamed(events, lambda s: streams.sessions(s, "user_id", "ts"))
+    """Runs of progress with less than half an hour between rows: a run whose session has closed is stale."""
+    out = streams.run_table(events, lambda s: streams.sessions(s, "user_id", "ts"))
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-def _streamed(events: DataFrame, transform) -> DataFrame:
-    """The transformation run as a stream over the table's files, everything that is there; results as a table."""
-    import tempfile
-    import uuid
+@query("""WITH w AS (SELECT epoch_us(max(ts)) // 1000 - 60000 AS mark FROM events), s AS (SELECT unnest(range(0, 10)) AS k), b AS (SELECT epoch_us(ts) // 60000000 - k AS m FROM events, s)
+    SELECT strftime(make_timestamp(m * 60000000), '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM b, w WHERE (m + 10) * 60000 <= mark GROUP BY m""")
+def stream_sliding_counts(events):
+    """Calls in sliding windows, the audit of a rate limit."""
+    out = streams.run_table(events, lambda s: streams.sliding_counts(s, "ts", "10 minutes", "1 minute"))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+
+
+@query("SELECT user_id, event_type FROM events WHERE event_type IN ('signup', 'error') GROUP BY ALL")
+def stream_singular_beats(events):
+    """Beats that count once: the first of each user and kind, within a horizon longer than the table."""
+    rows = events.where("event_type IN ('signup', 'error')")
+    return streams.run_table(rows, lambda s: streams.once_within(s.where("event_type IN ('signup', 'error')"), ["user_id", "event_type"], "ts", "400 days")).select("user_id", "event_type")
+
+
+@query("""SELECT h.event_id AS held, c.event_id AS change FROM events h JOIN events c ON h.user_id = c.user_id AND h.event_type = 'signup' AND c.event_type = 'purchase' AND c.ts BETWEEN h.ts - INTERVAL 4 DAY AND h.ts + INTERVAL 4 DAY""")
+def stream_confirmed_holds(events):
+    """Held rows that a change confirms within four days, before or after: a stream joined to a stream; what isn't met in time leaves the state."""
+    def holds(s):
+        held = s.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("held"), F.col("ts").alias("held_at"))
+        moved = s.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("change"), F.col("ts").alias("changed_at"))
+        return streams.confirmed_holds(held, moved, "user_id", 4, ("change",))
+
+    return streams.run_table(events, holds).select("held", "change")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'view' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 4 DAY")
+def stream_link_window(events):
+    """Rows that are still within the window of four days when all has been read; what is older is lost."""
+    last = events.agg(F.max("ts").alias("last"))
+    out = streams.run_table(events, lambda s: s.where("event_type = 'view'").select("event_id", "user_id", "ts"))
+    return streams.within_window(out, last, "ts", 4).select("event_id", "user_id")
+
 
-    spark = events.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
-    files = events.inputFiles()
-    path = files[0].rsplit("/", 1)[0] + ("/*.parquet" if len(files) > 1 else "/" + files[0].rsplit("/", 1)[1].replace("events", "event[s]"))
-    source = spark.readStream.schema(events.schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
-    return streams.run_available(transform(source), folder, "complete")
+from tidepool.plans import views  # noqa: E402, F401  registers its queries here

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOVIE = (
@@ -20,13 +20,22 @@ LABEL = "url string, source string, title string, summary string, relation strin
 RAW_KEYS = ("title", "link", "summary", "published", "updated", "id", "author", "source")
 
 
+def _read(payloads: DataFrame, column: str) -> DataFrame:
+    return payloads.select(F.from_json(column, MOVIE + ", __bad string", {"columnNameOfCorruptRecord": "__bad"}).alias("m"), column)
+
+
+def malformed(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """The documents that movies drops."""
+    return _read(payloads, column).where("m IS NULL OR m.__bad IS NOT NULL").select(column)
+
+
 def movies(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """Movie documents; empty dates become null, unknown fields are ignored."""
-    return payloads.select(F.from_json(column, MOVIE).alias("m"), column).where("m IS NOT NULL").select("m.*", F.col(column).alias("raw")).withColumn("release_date", F.try_to_date(F.nullif("release_date", F.lit(""))))
+    """Movie documents; empty dates become null, unknown fields are ignored, malformed documents are dropped (see malformed)."""
+    return _read(payloads, column).where("m IS NOT NULL AND m.__bad IS NULL").select("m.*", F.col(column).alias("raw")).drop("__bad").withColumn("release_date", F.try_to_date(F.nullif("release_date", F.lit(""))))
 
 
 def movie_credits(m: DataFrame) -> DataFrame:
-    """(film, person_id, name, credit_id, credit_type, job, department, credit_order), each credit_id once, cast before crew."""
+    """(film, person_id, name, credit_id, credit_type, job, department, credit_order), each credit_id once: cast before crew, then the lesser film id."""
     cast = m.select(F.col("id").alias("film_id"), F.explode("credits.cast").alias("c")).select("film_id", F.col("c.id").alias("person_id"), "c.name", "c.credit_id", F.lit("cast").alias("credit_type"), F.lit(None).cast("string").alias("job"), F.lit(None).cast("string").alias("department"), F.col("c.order").alias("credit_order"))
     crew = m.select(F.col("id").alias("film_id"), F.explode("credits.crew").alias("c")).select("film_id", F.col("c.id").alias("person_id"), "c.name", "c.credit_id", F.lit("crew").alias("credit_type"), "c.job", "c.department", F.lit(None).cast("int").alias("credit_order"))
     return cast.unionByName(crew).groupBy("credit_id").agg(F.min(F.struct("credit_type", "film_id", "person_id", "name", "job", "department", "credit_order")).alias("s")).select("credit_id", "s.*")
@@ -51,15 +60,38 @@ def take_while(df: DataFrame, order: list[str], ok) -> DataFrame:
     return df.join(F.broadcast(bad)).where(F.col("__end").isNull() | (F.struct(*order) < F.col("__end"))).drop("__end")
 
 
+def feed_time(text: Column) -> Column:
+    """A feed's time: ISO 8601, or as in mail (RFC 822), with a numeric zone, GMT, UT, UTC or Z, or a North American zone; null for anything else."""
+    bare = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", "")
+    for name, offset in (("GMT|UTC|UT|Z", "+0000"), ("EST|CDT", "-0500"), ("EDT", "-0400"), ("CST|MDT", "-0600"), ("MST|PDT", "-0700"), ("PST", "-0800")):
+        bare = F.regexp_replace(bare, rf" (?:{name})$", f" {offset}")
+    mail = F.coalesce(*(F.try_to_timestamp(F.when(bare.rlike(r"^\d{1,2} [A-Z][a-z]{2} \d{4} "), bare), F.lit(p)) for p in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z")))
+    return F.coalesce(F.try_to_timestamp(F.when(text.rlike(r"^\d{4}-"), text)), mail)
+
+
 def feed_entries(raw: DataFrame, now: dt.datetime, days: int = 3, source: str = "source", entry: str = "entry") -> DataFrame:
     """Entries with a url and a title: published, else updated, else null; those older than days go, undated ones stay; eight raw keys are kept."""
     e = F.col(entry)  # map<string,string>
-    at = F.coalesce(F.try_to_timestamp(e["published"]), F.try_to_timestamp(e["updated"]))
+    at = F.coalesce(feed_time(e["published"]), feed_time(e["updated"]))
     rows = raw.select(source, e["link"].alias("url"), e["title"].alias("title"), at.alias("published_at"), F.map_filter(e, lambda k, v: k.isin(*RAW_KEYS) & v.isNotNull()).alias("raw"))
     cutoff = F.lit(now - dt.timedelta(days=days))
     return rows.where((F.length("url") > 0) & (F.length("title") > 0) & (F.col("published_at").isNull() | (F.col("published_at") >= cutoff)))
 
 
+def feed_list(spark: SparkSession, fixed: list[tuple[str, str]], extra: list[tuple[str, str]], with_extra: bool) -> DataFrame:
+    """(name, url) of the feeds to read, and the extra queries only when they are switched on."""
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(fixed)], "position int, name string, url string")
+    more = spark.createDataFrame([(len(fixed) + i, *x) for i, x in enumerate(extra)], "position int, name string, url string")
+    return rows.unionByName(more.where(F.lit(with_extra)))
+
+
+def atom_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of Atom files, by Spark's XML reader: (link, title, published, updated, summary, id); the first link that is no other relation."""
+    rows = spark.read.option("rowTag", "entry").schema("title string, link array<struct<_href:string,_rel:string>>, published string, updated string, summary string, id string").xml(path)
+    own = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    return rows.withColumn("link", F.get(own, F.lit(0))["_href"])
+
+
 def rss_entries(spark: SparkSession, path: str) -> DataFrame:
     """Items of RSS files, by Spark's XML reader: (link, title, pubDate, description, guid)."""
     return spark.read.option("rowTag", "item").schema("link string, title string, pubDate string, description string, guid string").xml(path)

@@ -5,9 +5,11 @@ The transformations hold for batch and stream alike, so a stream over a table mu
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,21 +45,52 @@ def append_new(table: str, key: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def confirmed_holds(held: DataFrame, changes: DataFrame, key: str, days: int = 14) -> DataFrame:
+def once_within(rows: DataFrame, keys: list[str], at: str, horizon: str = "14 days") -> DataFrame:
+    """The first row of each key, and no other of that key for at least the horizon; the state of a key leaves after it."""
+    return rows.withWatermark(at, horizon).dropDuplicatesWithinWatermark(keys)
+
+
+def within_window(rows: DataFrame, last: DataFrame, at: str, days: int) -> DataFrame:
+    """Rows of the days before the latest time, a table of one row (last)."""
+    return rows.join(F.broadcast(last)).where(F.col(at) >= F.col("last") - F.expr(f"INTERVAL {int(days)} DAYS")).drop("last")
+
+
+def confirmed_holds(held: DataFrame, changes: DataFrame, key: str, days: int = 14, keep: tuple[str, ...] = ()) -> DataFrame:
     """Stream-stream join: held rows that a change of their key confirms within days, before or after."""
     a = held.withWatermark("held_at", f"{days} days").alias("h")
     b = changes.withWatermark("changed_at", f"{days} days").alias("c")
     near = F.expr(f"c.changed_at BETWEEN h.held_at - INTERVAL {int(days)} DAYS AND h.held_at + INTERVAL {int(days)} DAYS")
-    return a.join(b, (F.col(f"h.{key}") == F.col(f"c.{key}")) & near).select("h.*", "c.changed_at")
+    return a.join(b, (F.col(f"h.{key}") == F.col(f"c.{key}")) & near).select("h.*", "c.changed_at", *(f"c.{x}" for x in keep))
 
 
-def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return what it made, as a table in folder."""
+def run_available(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over what is there and return what it made, as a table in folder: rows are appended once their watermark has passed, state is dropped behind it."""
     spark = stream.sparkSession
-    if mode == "append":
-        query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    else:  # the last batch's complete result is the table
-        query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state")
-                 .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/rows")).trigger(availableNow=True).start())
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one only where all runs on one machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = f"file://{tempfile.gettempdir()}"
+    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def files_of(table: DataFrame, name: str) -> tuple[str, str]:
+    """The folder that holds a table's files and a pattern of their names: its own folder, or for a table of one file that file alone."""
+    first = table.inputFiles()[0]
+    above, file = first.rsplit("/", 1)
+    return (above, file) if file == name else (first.split(f"/{name}/")[0] + f"/{name}", "*.parquet")
+
+
+def run_table(table: DataFrame, transform: Callable[[DataFrame], DataFrame], name: str = "events.parquet", at: str = "ts") -> DataFrame:
+    """The transformation run as a stream over all of a table's files."""
+    spark = table.sparkSession
+    folder, pattern = files_of(table, name)
+    source = spark.readStream.schema(table.schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").parquet(folder)
+    return run_available(transform(source.withColumn(at, F.col(at).cast("timestamp"))), shared_folder(spark))
