@@ -28,14 +28,16 @@ Config = tuple[int, list[tuple[int, int]]]  # how many sequences, (length, piece
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MARKS = string.punctuation.replace("'", "")
 _SPACE = re.compile("[\x1c-\x1f᠎]")  # white space to Python alone, or to some Unicode versions
+_TRIAL = ("The", "naïve", "Straße", "don't", "word,", "word!!", "x.y", "ALL", "Été…", "日本語", "a1b2", "(see", "e-mail", "ÿ", "Ünïcödé?!", "tion***", "&&&", "i", "supercalifragilistic")
 _CACHE_WORDS = 300_000  # about 60 MB; a worker keeps them from task to task
 
 
 class Encoder:
     """Ids of whole texts, as the tokenizers library gives them; repeated words are encoded once.
 
-    This vocabulary's tokenizer drops white space and never merges across it, so a text's ids are those of
-    its words between white space. A word of Latin letters with marks after it is two runs for the tokenizer.
+    Where the tokenizer drops white space, never merges across it and parts Latin letters from the marks after them, a text's ids are those of
+    its words between white space, and a word's those of its letters and of its marks. That is tried on load, on words of all kinds; a tokenizer of
+    another kind reads whole texts.
     """
 
     def __init__(self, path: str):
@@ -47,8 +49,13 @@ class Encoder:
         self.letters.normalizer = normalizers.Lowercase()
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = self.tokenizer.get_vocab_size()
-        self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(size)])
+        tokens = [str(self.tokenizer.id_to_token(i)) for i in range(size)]
+        self.ends = np.array([t.endswith("</w>") for t in tokens])
+        self.bytes = np.array([len(t.removesuffix("</w>")) for t in tokens])  # a letter of a token stands for a byte
         self.cache: dict[str, bytes] = {}
+        self.by_word = True
+        trial = [" ".join(_TRIAL), "  ".join(reversed(_TRIAL)), *_TRIAL]
+        self.by_word = self.encode(trial) == self.whole(trial)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -72,7 +79,8 @@ class Encoder:
             part = cores[i:i + 256]
             ids = np.array(self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(part):
+            # as many ends as words, each after as many bytes as its word has
+            if len(cut) == len(part) and (np.diff(np.cumsum(self.bytes[ids])[cut - 1], prepend=0) == [len(c.encode()) for c in part]).all():
                 data, at = ids.tobytes(), [0, *(4 * cut).tolist()]
                 known.update((c, data[at[k]:at[k + 1]]) for k, c in enumerate(part))
             else:
@@ -85,6 +93,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.by_word:
+            return self.whole(texts)
         if len(self.cache) > _CACHE_WORDS:
             self.cache.clear()
         split = [None if _SPACE.search(t) else t.split() for t in texts]
@@ -161,7 +171,11 @@ def knapsack(lengths: np.ndarray, values: np.ndarray, limits: np.ndarray, capaci
 
 
 def linear_program(histogram: dict[int, int], capacity: int, rounds: int = 1500, items: int = 96, eta: float = 1.0) -> list[tuple[float, list[tuple[int, int]]]]:
-    """A fractional packing: (amount, configuration). Prices fall as exp(-eta * covered share), lengths once covered leave."""
+    """A fractional packing: (amount, configuration). Prices fall as exp(-eta * covered share), lengths once covered leave.
+
+    A round is a knapsack over at most `items` of the open lengths, half of them the dearest for their tokens and half spread over all, and covers one of them
+    or more; at most `rounds` are made. Both bound the driver's time (some ten seconds); lengths still open then are left to the rounding.
+    """
     lengths = np.array(sorted(histogram))
     demand = np.array([histogram[x] for x in lengths.tolist()], float)
     covered = np.zeros(len(lengths))
@@ -191,7 +205,6 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[Config]:
     groups: dict[int, list[Config]] = {}
     spaces: list[int] = []
 
-
     def put(space: int, config: Config) -> None:
         if space not in groups:
             bisect.insort(spaces, space)
@@ -220,18 +233,29 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[Config]:
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[Config]:
-    """Configurations with multiplicities that hold every piece exactly once."""
+    """Configurations with multiplicities that hold every piece exactly once.
+
+    The program's configurations that are at least 0.99 full are rounded down, and what they leave is packed best fit. As late configurations are made of
+    what is left over, the rounding keeps the first of them, up to the place (of a few tried) from which on best fit does better; at worst that is the first.
+    """
+    kept: list[tuple[int, list[tuple[int, int]]]] = []
     left = dict(histogram)
-    out: list[Config] = []
     for amount, config in linear_program(histogram, capacity):
-        n = int(amount + 1e-9)
-        n = min([n, *(left[length] // each for length, each in config)])
+        n = min([int(amount + 1e-9), *(left[length] // each for length, each in config)])
         if n and sum(a * b for a, b in config) >= 0.99 * capacity:
-            out.append((n, config))
+            kept.append((n, config))
             for length, each in config:
                 left[length] -= n * each
-    both = [out + best_fit({k: v for k, v in left.items() if v}, capacity), best_fit(histogram, capacity)]
-    return min(both, key=lambda p: sum(n for n, _ in p))
+
+    def rounded(k: int) -> list[Config]:
+        rest = dict(histogram)
+        for n, config in kept[:k]:
+            for length, each in config:
+                rest[length] -= n * each
+        return kept[:k] + best_fit({length: n for length, n in rest.items() if n}, capacity)
+
+    tried = sorted({round(len(kept) * share) for share in (1, 0.98, 0.95, 0.9, 0.75, 0.5, 0.25, 0)}, reverse=True)
+    return min((rounded(k) for k in tried), key=lambda p: sum(n for n, _ in p))
 
 
 def places(configs: list[Config]) -> dict[str, np.ndarray]:
