@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import json
 import re
+import unicodedata
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -117,23 +119,20 @@ def cluster(stories: DataFrame, events: DataFrame, films: DataFrame, as_of: dt.d
     """One row for each group of each film's reply: what was decided, and what it makes.
 
     stories: (film_id, n, story_id, at, tier); events: (film_id, position, event_ref, event_type, provenance, occurred_at, subject_key);
-    films: (film_id, status, release_date, changed_at, reply), one row each. A film's stories are those that wait
-    for clustering, so a group is small; films are spread over the cluster.
+    films: (film_id, status, release_date, changed_at, reply), one row each. Only stories whose number stands in the film's reply are brought to
+    it, so a reply bounds its stories however many wait; events are those that the reply's positions point into. Films are spread over the cluster.
     """
-    from tidepool.functions.text import name_key
-
     days = lambda a, b: (pd.Timestamp(a) - pd.Timestamp(b).normalize()).days
 
-    def decide(key, film: pd.DataFrame, stories: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
-        if not len(film):
-            return pd.DataFrame(columns=columns)
-        f = film.iloc[0]
-        by_no = {int(s.n): s for s in stories.itertuples()}
-        known = [{"ref": e.event_ref, "type": e.event_type, "from": e.provenance, "at": e.occurred_at, "names": list(e.subject_key) if e.subject_key is not None else []}
-                 for e in events.sort_values("position").itertuples()]
+    def decide(f, stories, events) -> list[list]:
+        """The rows of one film (f, a row of films), its stories and its events."""
+        key = (f.film_id,)
+        by_no = {int(s["n"]): SimpleNamespace(story_id=s["story_id"], at=pd.Timestamp(s["at"]), tier=s["tier"]) for s in stories}
+        known = [{"ref": e["event_ref"], "type": e["event_type"], "from": e["provenance"], "at": pd.Timestamp(e["occurred_at"]), "names": list(e["subject_key"]) if e["subject_key"] is not None else []}
+                 for e in sorted(events, key=lambda e: e["position"])]
         groups = parse_groups(f.reply or "", max(by_no, default=0))
         if groups is None:
-            return pd.DataFrame([[key[0], 0, "unparseable", None, None, None, None, None, None, None, []]], columns=columns)
+            return [[key[0], 0, "unparseable", None, None, None, None, None, None, None, []]]
         floor = pd.Timestamp(as_of) - pd.Timedelta(days=dedup_days)
         beats: dict[str, dict] = {}
         for e in known:
@@ -211,25 +210,19 @@ def cluster(stories: DataFrame, events: DataFrame, films: DataFrame, as_of: dt.d
                 recorded.update(new)
                 row("create", made["ref"], region=g["region"] if kind == "release_date" else None, at=first, conf=conf, names=new if kind == "casting" else None)
             used.update(ids)
-        return pd.DataFrame(rows, columns=columns)
-
-    import unicodedata
+        return rows
 
     normal = lambda s: " ".join(unicodedata.normalize("NFKC", s).casefold().split())
     columns = [c.split()[0] for c in GROUP_SCHEMA.split(", ")]
-    del name_key
     # three tables meet per film: stories and events travel as arrays of one film each
-    s = stories.groupBy("film_id").agg(F.collect_list(F.struct("n", "story_id", "at", "tier")).alias("s"))
+    named = films.select("film_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("reply", F.lit(r"\d{1,9}"), F.lit(0)), lambda x: x.cast("int")))).alias("n"))
+    s = stories.join(named, ["film_id", "n"], "left_semi").groupBy("film_id").agg(F.collect_list(F.struct("n", "story_id", "at", "tier")).alias("s"))
     e = events.groupBy("film_id").agg(F.collect_list(F.struct("position", "event_ref", "event_type", "provenance", "occurred_at", "subject_key")).alias("e"))
     rows = films.join(s, "film_id", "left").join(e, "film_id", "left")
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                st = pd.DataFrame(list(r.s) if r.s is not None else [], columns=["n", "story_id", "at", "tier"])
-                ev = pd.DataFrame(list(r.e) if r.e is not None else [], columns=["position", "event_ref", "event_type", "provenance", "occurred_at", "subject_key"])
-                out.append(decide((r.film_id,), pd.DataFrame([r]), st, ev))
-            yield pd.concat([x for x in out if len(x)] or [pd.DataFrame(columns=columns)], ignore_index=True)
+            out = [x for r in pdf.itertuples() for x in decide(r, r.s if r.s is not None else (), r.e if r.e is not None else ())]
+            yield pd.DataFrame(out, columns=columns)
 
     return rows.mapInPandas(run, GROUP_SCHEMA)

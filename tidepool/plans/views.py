@@ -424,6 +424,47 @@ def type_agreement(documents):
     return audits.type_agreement(rows, "source", "lang", "lang").select("clusters", F.round("share", 6).alias("share"), "band")
 
 
+_CLUSTER = """s AS (SELECT l_orderkey AS k, l_linenumber AS ln, min(l_shipdate) AS tm FROM lineitem GROUP BY 1, 2), f AS (SELECT k, arg_min(tm, ln) AS first, min(ln) AS ln FROM s GROUP BY 1),
+    o AS (SELECT o_orderkey AS k, ['announced', 'casting', 'production_start', 'release_date', 'trailer', 'first_look', 'other', 'off_topic', 'bogus'][o_orderkey % 9 + 1] AS t, ['confirmed', 'rumored', 'confirmed', 'maybe'][o_orderkey % 4 + 1] AS c,
+        o_orderstatus IN ('F', 'P') AS done, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 2 THEN DATE '1998-06-01' ELSE CAST(o_orderdate AS DATE) END AS rel, CASE WHEN o_orderkey % 2 = 0 THEN DATE '1998-06-01' END AS cl,
+        CASE o_orderkey % 3 WHEN 1 THEN TIMESTAMP '1997-12-27' WHEN 2 THEN TIMESTAMP '1997-11-02' END AS ch FROM orders),
+    e AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 < 7 THEN ['announced', 'casting', 'production_start', 'release_date', 'trailer', 'first_look', 'other'][o_orderkey % 9 + 1] ELSE 'other' END AS et, o_orderkey % 2 = 0 AS cat,
+        TIMESTAMP '1998-01-01' - INTERVAL 1 DAY * CAST(o_orderkey % 40 AS INTEGER) AS tm, o_orderkey % 7 < 3 AS ann FROM orders WHERE o_orderkey % 5 < 2),
+    j AS (SELECT o.*, first, ln, et, cat, tm, ann, ch IS NOT NULL AND date_diff('day', CAST(ch AS DATE), DATE '1998-01-01') <= 14 AS moved FROM o JOIN f USING (k) LEFT JOIN e USING (k)),
+    d AS (SELECT *, CASE WHEN k % 17 = 0 THEN 'unparseable' WHEN k % 11 = 0 AND et IS NOT NULL THEN 'attach' WHEN t = 'off_topic' THEN 'reject' WHEN t = 'bogus' OR c = 'maybe' THEN 'invalid'
+        WHEN t IN ('announced', 'casting', 'production_start') AND (done OR coalesce(rel < DATE '1998-01-01', false)) THEN 'reject'
+        WHEN t = 'release_date' AND NOT moved THEN CASE WHEN cl IS NOT NULL AND cl IS DISTINCT FROM rel AND date_diff('day', CAST(first AS DATE), DATE '1998-01-01') <= 14 THEN 'hold' ELSE 'reject' END
+        WHEN t IN ('trailer', 'first_look') AND et = t AND CAST(tm AS DATE) >= DATE '1997-12-18' THEN 'dedup_attach'
+        WHEN t = 'casting' AND et = 'casting' AND cat AND ann THEN 'catalog_attach' WHEN t = 'casting' AND et = 'casting' AND ann AND k % 2 = 1 THEN 'reject'
+        WHEN t = 'production_start' AND et = t AND cat THEN 'catalog_attach' WHEN t = 'release_date' AND et = t AND cat AND abs(epoch(tm) - epoch(ch)) <= 14 * 86400 THEN 'catalog_attach' ELSE 'create' END AS outcome FROM j)"""
+
+
+@query(f"""WITH {_CLUSTER} SELECT k AS film_id, outcome, CASE outcome WHEN 'reject' THEN CASE WHEN t = 'off_topic' THEN 'off-topic' WHEN t IN ('announced', 'casting', 'production_start') AND (done OR coalesce(rel < DATE '1998-01-01', false)) THEN 'stale-stage:' || t
+        WHEN t = 'casting' THEN 'casting-recorded' WHEN cl IS NULL THEN 'release-date-unchanged' WHEN cl IS DISTINCT FROM rel THEN 'release-date-uncorroborated' ELSE 'release-date-restated' END END AS note,
+    CASE WHEN outcome IN ('attach', 'dedup_attach', 'catalog_attach') THEN 'e' || k WHEN outcome = 'create' THEN 'new:' || k || ':1' END AS event_ref, CASE WHEN outcome = 'create' THEN CASE WHEN ln % 3 = 0 THEN 'rumored' ELSE c END END AS confidence,
+    CASE WHEN outcome = 'create' AND t = 'release_date' THEN 'US' END AS region FROM d""")
+def cluster_decisions(orders, lineitem):
+    """What becomes of each film's group of stories: attached, held, rejected with its reason, merged into a known beat, or a new event."""
+    k, as_of = F.col("o_orderkey"), dt.date(1998, 1, 1)
+    kinds = ("announced", "casting", "production_start", "release_date", "trailer", "first_look", "other")
+    kind = pick(k % 9, *kinds, "off_topic", "bogus")
+    text = lambda name, c: F.concat(F.lit(f', "{name}": '), c)
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    reply = F.concat(F.lit('{"events": [{"stories": [1]'), text("type", quoted(kind)), text("confidence", quoted(pick(k % 4, "confirmed", "rumored", "confirmed", "maybe"))), text("existing", F.when(k % 11 == 0, "1").otherwise("null")),
+                     text("claimed_date", F.when(k % 2 == 0, '"1998-06-01"').otherwise("null")), F.lit(', "region": "us"'), text("cast", F.when(k % 2 == 0, '["Ann", "Bob"]').otherwise('["ANN"]')), F.lit("}]}"))
+    films = orders.select(
+        k.alias("film_id"), F.when(F.col("o_orderstatus") == "F", "Released").when(F.col("o_orderstatus") == "P", "Post Production").otherwise("Planned").alias("status"),
+        F.when(k % 4 == 0, F.lit(None)).when(k % 4 == 2, F.lit(dt.date(1998, 6, 1))).otherwise(F.to_date("o_orderdate")).alias("release_date"),
+        F.when(k % 3 == 1, F.lit(_T(1997, 12, 27))).when(k % 3 == 2, F.lit(_T(1997, 11, 2))).alias("changed_at"), F.when(k % 17 == 0, F.lit("no json here")).otherwise(reply).alias("reply"))
+    rows = lineitem.groupBy(F.col("l_orderkey").alias("film_id"), "l_linenumber").agg(F.min("l_shipdate").alias("at"))
+    stories = audits.latest_in_order(rows, ["film_id"], [F.asc("l_linenumber")], [F.asc("l_linenumber")], 100).select(
+        "film_id", "n", (F.col("film_id") * 10 + F.col("l_linenumber")).alias("story_id"), "at", pick(F.col("l_linenumber") % 3, "low", "trusted", None).alias("tier"))
+    known = orders.where(k % 5 < 2).select(
+        k.alias("film_id"), F.lit(1).alias("position"), F.concat(F.lit("e"), k.cast("string")).alias("event_ref"), F.when(k % 9 < 7, pick(k % 9, *kinds)).otherwise("other").alias("event_type"), F.when(k % 2 == 0, "catalog").otherwise("story").alias("provenance"),
+        (F.lit(_T(1998, 1, 1)) - F.make_dt_interval(days=(k % 40).cast("int"))).alias("occurred_at"), F.when(k % 7 < 3, F.array(F.lit("ann"))).otherwise(F.array().cast("array<string>")).alias("subject_key"))
+    return decisions.cluster(stories, known, P.having(films, stories, "film_id"), as_of).select("film_id", "outcome", "note", "event_ref", "confidence", "region")
+
+
 # --- order, populations and lookups ---
 
 
