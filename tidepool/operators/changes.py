@@ -94,15 +94,20 @@ def tombstoned(present: Column, missing_at: str, now: Column) -> Column:
 
 
 def slugs(films: DataFrame, taken: DataFrame | None, base: Column, film: str = "film_id") -> DataFrame:
-    """(film, slug): the lowest id of each base keeps it plain unless taken, others get the id behind it."""
+    """(film, slug): the lowest id of each base keeps it plain unless it is taken, others get the id behind it.
+
+    A slug with an id behind it may itself be taken, or be another film's plain slug; such a film gets its id behind it once more.
+    """
     b = films.select(film, base.alias("slug_base"))
-    n = F.row_number().over(Window.partitionBy("slug_base").orderBy(film))
-    rows = b.withColumn("__n", n)
-    if taken is not None:
-        rows = rows.join(taken.select(F.col("slug").alias("slug_base"), F.lit(True).alias("__taken")).distinct(), "slug_base", "left")
-    else:
-        rows = rows.withColumn("__taken", F.lit(None).cast("boolean"))
-    return rows.select(film, F.when((F.col("__n") == 1) & F.col("__taken").isNull(), F.col("slug_base")).otherwise(F.concat_ws("-", "slug_base", film)).alias("slug"))
+    rows = b.withColumn("__n", F.row_number().over(Window.partitionBy("slug_base").orderBy(film)))
+    used = (taken.select("slug") if taken is not None else films.select(F.lit(None).cast("string").alias("slug")).limit(0)).distinct()
+    rows = rows.join(used.select(F.col("slug").alias("slug_base"), F.lit(True).alias("__taken")), "slug_base", "left")
+    plain = (F.col("__n") == 1) & F.col("__taken").isNull()
+    longer = F.concat_ws("-", "slug_base", film)
+    claimed = used.union(rows.where(plain).select(F.col("slug_base").alias("slug"))).distinct()
+    rows = rows.withColumn("__plain", plain).withColumn("slug", F.when(plain, F.col("slug_base")).otherwise(longer))
+    clash = claimed.select("slug", F.lit(True).alias("__clash"))
+    return rows.join(clash, "slug", "left").select(film, F.when(~F.col("__plain") & F.col("__clash").isNotNull(), F.concat_ws("-", "slug", film)).otherwise(F.col("slug")).alias("slug"))
 
 
 def event_repair(events: DataFrame, members: DataFrame, rejected: DataFrame | None = None, *, event: str = "event_id", story: str = "story_id", occurred: str = "occurred_at", at: str = "at") -> DataFrame:
@@ -140,6 +145,11 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def queued(state: Column, url: Column) -> Column:
+    """The first state of an address: pending if it has to be resolved, else none; later states stay."""
+    return F.when(state.isNull() | (state == "none"), F.when(url.isNotNull(), "pending").otherwise("none")).otherwise(state)
+
+
 def resolve_attempt(state: Column, attempts: Column, resolved: Column, most: int) -> tuple[Column, Column]:
     """Next state and attempts of a pending url: resolved, or failed after the last attempt."""
     n = attempts + 1

@@ -141,3 +141,9 @@ def call_cost(calls: DataFrame, rates: DataFrame, keys: list[str]) -> DataFrame:
 def unpriced(used: DataFrame, rates: DataFrame, keys: list[str]) -> DataFrame:
     """What is used without a price; none should be."""
     return used.select(*keys).distinct().join(rates.select(*keys), keys, "left_anti")
+
+
+def config_faults(used: DataFrame, rates: DataFrame, credentials: DataFrame, keys: list[str], owner: str) -> DataFrame:
+    """(keys, fault) of everything that stands in the way of a run, all at once: unpriced, or without credentials of its owner."""
+    bare = used.select(*keys).distinct().join(credentials.select(owner).distinct(), owner, "left_anti")
+    return unpriced(used, rates, keys).withColumn("fault", F.lit("unpriced")).unionByName(bare.select(*keys).withColumn("fault", F.lit("no-credentials")))

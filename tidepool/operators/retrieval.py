@@ -184,8 +184,15 @@ def recall(covered: DataFrame) -> DataFrame:
     return covered.agg(hits.alias("retrieved"), inside.alias("labels"), V.ratio(hits, inside, 0.0).alias("recall"))
 
 
-def display_attributes(films: DataFrame, genres: DataFrame, directors: DataFrame, cast: DataFrame, *, film: str = "film_id") -> DataFrame:
-    """Films with genres, directors and the three first billed as text; each is gathered before its join."""
+def display_attributes(films: DataFrame, genres: DataFrame, directors: DataFrame, cast: DataFrame, *, film: str = "film_id", collections: DataFrame | None = None, release: str | None = None) -> DataFrame:
+    """Films with genres, directors and the three first billed as text; each is gathered before its join.
+
+    collections (collection_id, collection) name the film's collection if it has one; release is a date column whose year is added.
+    """
+    if collections is not None:
+        films = films.join(collections.select("collection_id", "collection"), "collection_id", "left")
+    if release:
+        films = films.withColumn("year", F.year(release))
     from tidepool.operators.feeds import ordered_join, top_n
 
     top = top_n(cast, [film], [F.asc_nulls_last("credit_order"), F.asc("name")], 3, "place")

@@ -99,6 +99,12 @@ def usage_by(calls: DataFrame, *keys: str) -> DataFrame:
     return calls.groupBy(*keys).agg(F.count("*").alias("calls"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")))
 
 
+def usage_merged(stored: DataFrame, batch: DataFrame, *keys: str) -> DataFrame:
+    """Stored counts with a batch's added: one row for each key."""
+    both = stored.unionByName(batch)
+    return both.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in stored.columns if c not in keys))
+
+
 def with_health(rows: DataFrame, health: DataFrame, probes: DataFrame, run: str = "run_id") -> DataFrame:
     """rows with their run's health and its probe totals: picks and, of those, retrieved; a run without probes has none (0, 0)."""
     totals = probes.groupBy(run).agg(F.count("*").alias("picks"), F.count_if("retrieved").alias("picks_retrieved"))

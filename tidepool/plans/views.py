@@ -598,12 +598,15 @@ def unpriced_calls(conversations):
     c AS (SELECT l_orderkey, string_agg(s_name, ', ' ORDER BY k) AS "cast" FROM s WHERE k <= 3 GROUP BY 1),
     d AS (SELECT l_orderkey, string_agg(s_name, ', ' ORDER BY l_linenumber, s_name) AS directors FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'A' GROUP BY 1),
     g AS (SELECT l_orderkey, string_agg(DISTINCT l_linestatus, ', ' ORDER BY l_linestatus) AS genres FROM lineitem GROUP BY 1)
-    SELECT o_orderkey AS film_id, genres, directors, "cast" FROM orders LEFT JOIN g ON g.l_orderkey = o_orderkey LEFT JOIN d ON d.l_orderkey = o_orderkey LEFT JOIN c ON c.l_orderkey = o_orderkey""")
-def display_attributes(orders, lineitem, supplier):
-    """Films with genres, directors and the first billed, gathered before the joins."""
+    SELECT o_orderkey AS film_id, year(o_orderdate)::INTEGER AS year, CASE WHEN o_custkey % 3 = 0 THEN c_name END AS collection, genres, directors, "cast" FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN g ON g.l_orderkey = o_orderkey LEFT JOIN d ON d.l_orderkey = o_orderkey LEFT JOIN c ON c.l_orderkey = o_orderkey""")
+def display_attributes(orders, lineitem, supplier, customer):
+    """Films with year, collection, genres, directors and the first billed, gathered before the joins."""
     named = lineitem.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("film_id"), F.col("s_name").alias("name"), F.col("l_linenumber").alias("credit_order"), "l_returnflag")
     genres = lineitem.select(F.col("l_orderkey").alias("film_id"), F.col("l_linestatus").alias("name")).distinct()
-    return retrieval.display_attributes(orders.select(F.col("o_orderkey").alias("film_id")), genres, named.where("l_returnflag = 'A'"), named.where("l_returnflag = 'N'"))
+    films = orders.select(F.col("o_orderkey").alias("film_id"), F.col("o_custkey").alias("collection_id"), "o_orderdate")
+    sets = customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("collection_id"), F.col("c_name").alias("collection"))
+    out = retrieval.display_attributes(films, genres, named.where("l_returnflag = 'A'"), named.where("l_returnflag = 'N'"), collections=sets, release="o_orderdate")
+    return out.select("film_id", "year", "collection", "genres", "directors", "cast")
 
 
 @query("""SELECT p_partkey, '{' || concat_ws(',', '"title":"' || p_name || '"', CASE WHEN p_partkey % 2 = 0 THEN '"original_title":"x"' END, '"overview":"' || left(repeat(p_brand || ' ', 20), 120) || '"') || '}' AS rendered FROM part""")
@@ -628,3 +631,55 @@ def label_coverage(orders):
 def request_batches(lineitem):
     rows = lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
     return retrieval.batches(rows, 25, by="l_suppkey", order=[F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_partkey")])
+
+
+@query("""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7), p AS (SELECT p_partkey, p_name, p_retailprice, contains(p_name, 'widget') OR contains(lower(p_type), 'widg') AS main FROM part)
+    SELECT p_partkey AS film_id, main AS primary_match FROM p LEFT JOIN a ON k = p_partkey WHERE main OR k IS NOT NULL ORDER BY main DESC, p_retailprice DESC NULLS LAST, p_partkey LIMIT 60 OFFSET 3""")
+def title_search_alternatives(part, lineitem):
+    """Search over main, original and other titles: matches in a main title first."""
+    films = part.select(F.col("p_partkey").alias("film_id"), F.col("p_name").alias("title"), F.col("p_type").alias("original"), F.col("p_retailprice").alias("popularity"))
+    others = lineitem.where("l_returnflag = 'R' AND l_linenumber = 7").select(F.col("l_partkey").alias("film_id"), F.lit("The WIDG-ets").alias("title"))
+    return feeds.search(films, others, "Widg", 60, 3, original="original").select("film_id", "primary_match")
+
+
+@query("""WITH b AS (SELECT c_custkey, 's' || c_nationkey % 5 AS base FROM customer), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY c_custkey) = 1 AND base <> 's2' AS plain FROM b), x AS (SELECT *, CASE WHEN plain THEN base ELSE base || '-' || c_custkey END AS slug FROM n)
+    SELECT c_custkey, CASE WHEN NOT plain AND (slug IN ('s2', 's3-77', 's1-50', 's0-20', 's4-33') OR slug IN (SELECT base FROM x WHERE plain)) THEN slug || '-' || c_custkey ELSE slug END AS slug FROM x""")
+def slug_collisions(customer):
+    """Slugs where some are taken, one with an id behind it too."""
+    taken = customer.sparkSession.createDataFrame([("s2",), ("s3-77",), ("s1-50",), ("s0-20",), ("s4-33",)], "slug string")
+    return changes.slugs(customer, taken, F.concat(F.lit("s"), (F.col("c_nationkey") % 5).cast("string")), "c_custkey")
+
+
+@query("SELECT role, count(*) AS calls, sum(length(coalesce(text, '')))::BIGINT AS input_tokens FROM conversations GROUP BY role")
+def usage_upsert(conversations):
+    """Usage of a first run kept, and that of a second added to it."""
+    n = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    calls = conversations.select("conv_id", "role", n.alias("input_tokens"), *(F.lit(0).cast("long").alias(c) for c in ("output_tokens", "cache_read_tokens", "cache_write_tokens")))
+    first, second = (runs.usage_by(calls.where(f"conv_id % 2 = {i}"), "role") for i in (0, 1))
+    return runs.usage_merged(first, second, "role").select("role", "calls", "input_tokens")
+
+
+@query("SELECT DISTINCT role, 'unpriced' AS fault FROM conversations WHERE role <> 'user' UNION ALL SELECT DISTINCT role, 'no-credentials' FROM conversations WHERE role <> 'assistant'")
+def config_faults(conversations):
+    spark = conversations.sparkSession
+    rates, owned = spark.createDataFrame([("user", 1.0)], "role string, input double"), spark.createDataFrame([("assistant",)], "role string")
+    return metrics.config_faults(conversations, rates, owned, ["role"], "role")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'done' WHEN page_id % 4 = 0 THEN 'pending' ELSE 'none' END AS state FROM pages")
+def resolve_queue(pages):
+    k = F.col("page_id")
+    return pages.select("page_id", changes.queued(F.when(k % 3 == 0, "done").when(k % 3 == 1, "none"), F.when(k % 4 == 0, F.col("url"))).alias("state"))
+
+
+@query("""WITH t AS (SELECT item_id AS film_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+')[1:5], lambda w: length(w) > 1 AND w NOT IN ('the','a','an','of','and','or','to','in','on','at','for','part'))) AS w, regexp_replace(lower(array_to_string(regexp_extract_all(text, '[A-Za-z0-9_]+')[1:5], ' ')), '[^a-z0-9]+', '', 'g') AS fold FROM benchmark),
+    s AS (SELECT conv_id * 1000 + turn AS story_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS w, regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', '', 'g') AS fold FROM conversations),
+    c AS (SELECT story_id, film_id, CASE WHEN length(t.fold) >= 6 AND contains(s.fold, t.fold) THEN 1.0 ELSE len(list_intersect(t.w, s.w)) / len(t.w) END AS score FROM s, t WHERE len(t.w) > 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY score DESC, film_id) AS rank, count(*) OVER (PARTITION BY story_id) AS n_over FROM c WHERE score >= 0.5) SELECT story_id, film_id, round(score, 6)::DOUBLE AS score, rank, n_over FROM r WHERE rank <= 10""")
+def candidates_with_rescue(conversations, benchmark):
+    """Candidates by tokens and by folded titles together, ranked and capped."""
+    stories = conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("story_id"), F.lit("").alias("headline"), F.coalesce("text", F.lit("")).alias("dek"))
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)), 1, 5), " ")
+    titles = retrieval.searchable_titles(benchmark.select(F.col("item_id").alias("film_id"), words.alias("title")))
+    out = retrieval.candidates(retrieval.story_terms(stories), titles, 0.5, 10)
+    return out.select("story_id", "film_id", F.round("score", 6).alias("score"), "rank", "n_over")
