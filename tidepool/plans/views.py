@@ -673,7 +673,7 @@ def resolve_queue(pages):
 
 
 @query("""WITH t AS (SELECT item_id AS film_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+')[1:5], lambda w: length(w) > 1 AND w NOT IN ('the','a','an','of','and','or','to','in','on','at','for','part'))) AS w, regexp_replace(lower(array_to_string(regexp_extract_all(text, '[A-Za-z0-9_]+')[1:5], ' ')), '[^a-z0-9]+', '', 'g') AS fold FROM benchmark),
-    s AS (SELECT conv_id * 1000 + turn AS story_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS w, regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', '', 'g') AS fold FROM conversations),
+    s AS (SELECT conv_id * 1000 + turn AS story_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS w, regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', '', 'g') AS fold FROM conversations),
     c AS (SELECT story_id, film_id, CASE WHEN length(t.fold) >= 6 AND contains(s.fold, t.fold) THEN 1.0 ELSE len(list_intersect(t.w, s.w)) / len(t.w) END AS score FROM s, t WHERE len(t.w) > 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY score DESC, film_id) AS rank, count(*) OVER (PARTITION BY story_id) AS n_over FROM c WHERE score >= 0.5) SELECT story_id, film_id, round(score, 6)::DOUBLE AS score, rank, n_over FROM r WHERE rank <= 10""")
 def candidates_with_rescue(conversations, benchmark):
