@@ -230,7 +230,7 @@ def test_personal_data_beyond_the_patterns():
             (s, kind), p = pii.generated(rng), spots[rng.integers(len(spots))]
             docs.append(f"{t[:p]}{s} {t[p:]}")
             gold.append((p, p + len(s), kind))
-    hit, wrong, added = {k: [] for k in range(4)}, 0, 0
+    hit, wrong, added = {k: [] for k in range(5)}, 0, 0
     for (base, new), g in zip(pii.spans_of(docs, model), gold, strict=True):
         added, wrong = added + len(new), wrong + sum(x != g for x in new)
         if g[2] >= 0 and not any(s < g[1] and g[0] < e for s, e, _ in base):
@@ -249,6 +249,7 @@ def test_personal_data_columns(spark, odd):
         spans = [x for x in r["spans"].split(",") if x]
         assert set(base) <= set(spans) and len(spans) == len(base) + r["n_added"]
         assert spans == sorted(spans, key=lambda x: (int(x.split(":")[1]), pii.KINDS.index(x.split(":")[0])))
+        assert r["n_found"] == len(spans) + len([x for x in r["secrets"].split(",") if x])
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x.startswith(k) for x in base) for k in pii.KINDS]
 
 

@@ -46,3 +46,42 @@ def test_pipeline(spark, data):
     assert [g[0] for g in got] == [w[0] for w in sorted(want)]
     same = sum(g == w for g, w in zip(got, sorted(want), strict=True))
     assert same >= 0.99 * len(want)  # the network may learn from rows in another order
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, rank int, label int"
+LONG = " ".join(f"wort{i % 977} text{i % 31}" for i in range(60_000))
+PASSAGE = "this passage of well over fifty bytes stands in several documents of the table"
+ODD = [(1, None, "en", "a", None, 1, 1, 1), (2, "", None, None, 0, 1, 1, 1), (3, f"{PASSAGE} and more of it", "en", "a", 1, None, None, None), (3, f"{PASSAGE} and more of it", "en", "a", 1, None, None, None),
+       (4, f"{PASSAGE} and more of it", "en", "b", 1, 1, 1, 1), (5, f"other words first, then {PASSAGE}", None, "b", 1, 1, 1, 1), (6, LONG, "de", "a", 1, 1, 1, 1), (7, "write to a.b@c.org", "en", "a", 1, 1, 1, 1), (None, "no id here", "en", "a", 1, 1, 1, 1)]
+
+
+def test_stages_on_odd_rows(spark, data):
+    """Nulls in any column, empty and very long texts, repeated rows, extra columns with clashing names, and empty tables."""
+    docs = spark.createDataFrame(ODD, SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        got, none = stage(spark, docs, data), stage(spark, docs.limit(0), data)
+        assert none.count() == 0
+        rows = got.collect()
+        if name == "packing":
+            assert sorted({r["doc_id"] or 0 for r in rows}) == [0, 1, 2, 3, 4, 5, 6, 7]
+            assert sum(r["doc_id"] == 3 for r in rows) == 2
+            continue
+        assert got.columns == none.columns == corpus_pipeline.COLUMNS
+        ids = sorted(r["doc_id"] or 0 for r in rows)
+        by = {r["doc_id"]: r["text"] for r in rows}
+        if name == "language_id":  # rows without a letter go
+            assert ids == [0, 3, 3, 4, 5, 6, 7]
+        if name == "near_duplicates":  # of an id's rows all stay or go together
+            assert ids == [0, 1, 2, 3, 3, 5, 6, 7]
+        if name == "suffix_dedup":
+            assert ids == [0, 1, 2, 3, 3, 4, 5, 6, 7] and by[3].startswith(PASSAGE) and by[4] == "" and by[5].startswith("other words") and PASSAGE not in by[5]
+        if name == "pii":
+            assert ids == [0, 1, 2, 3, 3, 4, 5, 6, 7] and by[7] == "write to [email]" and by[1] is None
+
+
+def test_the_language_stage_needs_its_model(spark, data):
+    """Texts with letters in a language that the model doesn't know go: holding a letter isn't enough."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    odd = [(-1, "Съешь же ещё этих мягких французских булок да выпей чаю " * 5, None, "x", 1), (-2, "xqzk vwpt kkjh zzrtl qqw mnbv xcvzl " * 30, None, "x", 1)]
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language(spark, docs.union(spark.createDataFrame(odd, docs.schema)), data).collect()}
+    assert -1 not in got and -2 not in got and len(got) == docs.where("text RLIKE '[a-zA-Z]'").count()

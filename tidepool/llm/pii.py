@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from tidepool.llm.common import hash_sample
 
 KINDS = ("email", "ip", "card", "phone")
-TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
+SECRET = len(KINDS)  # keys, tokens and passwords: found by the network alone and reported apart
+NAMES = (*KINDS, "secret")
+TAGS = 1 + 2 * len(NAMES)  # outside, then begin and inside of each kind
 WIDTH, STRIDE, HIDDEN = 128, 64, 16
 LEAST = 0.6  # mean probability of a span's characters
 Span = tuple[int, int, int]  # start, end (exclusive), number of the kind
@@ -78,6 +80,8 @@ def plausible(s: str, kind: int) -> bool:
     if kind == 0:
         name, at, host = s.partition("@")
         return bool(at and name.strip() and "@" not in host and re.search(r"[A-Za-z0-9-]\W*\.\W*[A-Za-z0-9-]", host))
+    if kind == SECRET:
+        return len(s) <= 120 and any(any(c.isdigit() for c in w) and any(c.isalpha() for c in w) for w in re.findall(r"[A-Za-z0-9_/+-]{12,}", s))
     if any(c.isalpha() for c in s):
         return False
     if kind == 1:
@@ -219,7 +223,8 @@ def generated(rng: np.random.Generator) -> tuple[str, int]:
     d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     word = lambda lo, hi: "".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(lo, hi)))
     pick = lambda *x: x[rng.integers(len(x))]
-    kind = int(rng.integers(-2, 4))
+    mixed = lambda n, letters: "".join(pick(*"0123456789") if rng.random() < 0.5 else pick(*letters) for _ in range(n))
+    kind = int(rng.integers(-2, 5))
     if kind == 0:
         at, dot = pick("@", "@", " @ "), pick(".", ".", " . ")
         return pick(word(3, 9), word(3, 7) + pick(".", "_", "-") + word(3, 9), word(3, 7) + d(2)) + at + word(3, 10) + dot + pick("com", "org", "net", "example.com", "de", "co.uk"), 0
@@ -231,7 +236,9 @@ def generated(rng: np.random.Generator) -> tuple[str, int]:
         return pick("", " ", "-", ".", " - ").join([body[:4], body[4:8], body[8:12], body[12:]]), 2
     if kind == 3:
         return pick(f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"00{d(2)} {d(3)} {d(3)} {d(4)}", f"00{d(1)} {d(3)} {d(3)} {d(4)}", f"+{d(11)}", f"({d(3)}) {d(3)} {d(4)}"), 3
-    return pick(f"20{d(2)}-{d(2)}-{d(2)}", f"{d(1)}.{d(1)}", f"version {d(1)}.{d(1)}.{d(1)}", f"${d(3)}.{d(2)}", d(5), d(3) + "," + d(3), "AKIA" + word(16, 17).upper(), f'token = "{d(6)}{word(4, 9)}{d(9)}"', f"password={word(2, 5)}{d(4)}{word(2, 4)}{d(5)}", f"{d(2)}:{d(2)}", f"{d(3)}%", f"@{word(3, 9)}", f"{d(1)}. ", f"{d(24)}"), -1
+    if kind == SECRET:
+        return pick("AKIA" + mixed(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), f'token = "{mixed(40, "abcdef")}"', f"password={mixed(18, 'abcdef')}", f"api_key: {mixed(int(rng.integers(20, 33)), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ')}", f"sk-{mixed(32, 'abcdefghijklmnopqrstuvwxyz')}"), SECRET
+    return pick(f"20{d(2)}-{d(2)}-{d(2)}", f"{d(1)}.{d(1)}", f"version {d(1)}.{d(1)}.{d(1)}", f"${d(3)}.{d(2)}", d(5), d(3) + "," + d(3), f"{word(3, 8)}-{d(2)}", f"{word(2, 6)}{d(2)}", f"{word(5, 12)}_{word(5, 12)}", f"token = \"{word(3, 8)}\"", f"password={word(3, 7)}", f"{d(2)}:{d(2)}", f"{d(3)}%", f"@{word(3, 9)}", f"{d(1)}. ", f"{d(24)}"), -1
 
 
 def training_windows(texts: list[str], count: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -375,7 +382,7 @@ def spans_of(texts: list[str], model: dict[str, np.ndarray]) -> list[tuple[list[
 
 
 def written(spans: list[Span]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], x[2])))
+    return ",".join(f"{NAMES[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], x[2])))
 
 
 def sample_texts(docs: DataFrame, doc_id: str, text: str, rows: int, width: int = 2000) -> list[str]:
@@ -386,10 +393,10 @@ def sample_texts(docs: DataFrame, doc_id: str, text: str, rows: int, width: int
 
 
 def find(docs: DataFrame, sample_rows: int = 300, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_added for every row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, secrets and n_found for every row of docs.
 
     The counts and base_sha256 (of the spans as written, by start, then kind) are those of the base patterns; spans holds all,
-    n_added says how many the network added. Places count code points. The network learns from at most
+    n_added says how many the network added. secrets holds the spans of keys, tokens and passwords, n_found counts spans and secrets. Places count code points. The network learns from at most
     sample_rows parts of documents (a parameter). A null text counts as empty; repeated rows each keep a row; an
     empty table gives no rows; other columns are ignored.
     """
@@ -398,7 +405,7 @@ def find(docs: DataFrame, sample_rows: int = 300, doc_id: str = "doc_id", text:
     schema = docs.select(F.col(doc_id).alias("doc_id")).schema
     for c in KINDS:
         schema = schema.add(f"n_{c}", "long")
-    schema = schema.add("base_sha256", "string").add("spans", "string").add("n_added", "long")
+    schema = schema.add("base_sha256", "string").add("spans", "string").add("n_added", "long").add("secrets", "string").add("n_found", "long")
 
     def run(batches):
         for batch in batches:
@@ -406,7 +413,8 @@ def find(docs: DataFrame, sample_rows: int = 300, doc_id: str = "doc_id", text:
             counts = [pa.array([sum(s[2] == k for s in b) for b, _ in got], pa.int64()) for k in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *counts, pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b, _ in got], pa.string()),
-                 pa.array([written(b + a) for b, a in got], pa.string()), pa.array([len(a) for _, a in got], pa.int64())],
+                 pa.array([written(b + [x for x in a if x[2] != SECRET]) for b, a in got], pa.string()), pa.array([sum(x[2] != SECRET for x in a) for _, a in got], pa.int64()),
+                 pa.array([written([x for x in a if x[2] == SECRET]) for _, a in got], pa.string()), pa.array([len(b) + len(a) for b, a in got], pa.int64())],
                 names=schema.names)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
@@ -416,7 +424,7 @@ def _masked(text: str, spans: list[Span]) -> str:
     out, at = [], 0
     for s, e, k in sorted(spans):
         if s >= at:
-            out += [text[at:s], f"[{KINDS[k]}]"]
+            out += [text[at:s], f"[{NAMES[k]}]"]
         at = max(at, e)
     return "".join(out) + text[at:]
 
