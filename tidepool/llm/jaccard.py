@@ -427,13 +427,13 @@ def _links_within(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, thr
 
 
 def exact_links(members: DataFrame, threshold: float, rows: int) -> DataFrame:
-    """(a, b, n) for members (id, root, tokens): star links (a, b) of each tile pair, and n, the links of a in it.
+    """(a, b, n) for members (id, root, size, tokens): star links (a, b) of each tile pair, and n, the links of a in it.
 
     Sets whose sizes differ by more than the threshold can't be near, so each size class (a power of the threshold) only meets itself and
     the next. A class of over TILE sets is cut into tiles by a hash of the id, and each pair of tiles that may be near is one
     group. A component of at most TILE sets is one tile.
     """
-    step = F.floor(F.log(F.length("tokens") / 8.0) / -math.log(threshold) + 1e-9).cast("int")
+    step = F.floor(F.log(F.col("size").cast("double")) / -math.log(threshold) + 1e-9).cast("int")
     small = members.groupBy("root").agg((F.count("*") <= TILE).alias("small"))
     members = members.join(small, "root").withColumn("step", F.when(F.col("small"), 0).otherwise(step))
     sizes = members.groupBy("root", "step").agg(F.greatest(F.ceil(F.count("*") / TILE), F.lit(1)).cast("int").alias("tiles"))
@@ -487,14 +487,16 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, miss: float = 1e-6
 
     def tokens(batches):
         for batch in batches:
-            got = [t.tobytes() for i in range(0, batch.num_rows, 256) for t in shingle_sets([x or "" for x in batch.column("text").slice(i, 256).to_pylist()], n)]
-            own = pa.array([set_name(t) == x for t, x in zip(got, batch.column("set_id").to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), pa.array(got, pa.binary())], names=["id", "root", "tokens"]).filter(own)
+            got = [t for i in range(0, batch.num_rows, 256) for t in shingle_sets([x or "" for x in batch.column("text").slice(i, 256).to_pylist()], n)]
+            raw = [t.tobytes() for t in got]
+            size = pa.array(map(len, got), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), pa.array(map(set_name, raw), pa.string()), size, pa.array(raw, pa.binary())], names=["id", "root", "name", "size", "tokens"]).filter(
+                pa.array([len(t) > 0 for t in got], pa.bool_()))
 
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    # an id may have several texts: only those whose set is the one that was embedded are compared
-    members = (texts.join(near.join(reps.select("id", "set_id"), "id"), "id").mapInArrow(tokens, "id long, root long, tokens binary")
-               .dropDuplicates(["id"]))
+    # an id may have several texts: the set of least name is the one that was embedded, so it is compared too
+    named = texts.join(near, "id").mapInArrow(tokens, "id long, root long, name string, size int, tokens binary")
+    members = materialize(named.groupBy("id").agg(F.min_by(F.struct("root", "size", "tokens"), "name").alias("s")).select("id", "s.*"), "members")
     links = materialize(exact_links(members, threshold, near.count()), "links")
     degree = links.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
     classes = components(links.select("a", "b"))
