@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.llm.common import blocks_for, materialize
+from tidepool.llm.common import blocks_for, materialize, materialize_by
 
 BLOCK_BYTES = 6_000_000
 PART_BYTES = 1_000_000
@@ -269,7 +269,7 @@ def remove(docs: DataFrame, length: int = 50, gram: int = 24, keep_text: bool =
     nothing; an empty table gives no rows; other columns are ignored. Bytes kept may cut a character: text drops
     what is no whole character.
     """
-    blocks = materialize(blocks_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry), carry), "dedup-blocks")
+    blocks = materialize_by(blocks_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry), carry), "dedup-blocks", "block")  # read by block twice, without a shuffle
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = blocks_for(total, BUCKET_BYTES)
 
