@@ -327,6 +327,19 @@ def tagged_spans(tags: np.ndarray) -> list[Span]:
     return out
 
 
+def whole_words(text: str, start: int, end: int, kind: int) -> tuple[int, int]:
+    """A span with its ends moved to the ends of the words that they cut; of the words before an @ only the last belongs to an address."""
+    least, most = start - 40, end + 40
+    while start > max(0, least) and (text[start - 1].isalnum() or kind == 0 and text[start - 1] in LOCAL):
+        start -= 1
+    while end < min(len(text), most) and text[end].isalnum():
+        end += 1
+    if kind == 0 and "@" in (s := text[start:end]):
+        name = s.partition("@")[0].rstrip()
+        start += max((i + 1 for i, c in enumerate(name) if c.isspace()), default=0)
+    return start, end
+
+
 def reconcile(found: list[tuple[Span, bool]], base: list[Span], text: str) -> list[Span]:
     """One set of spans from all windows of a text: whole before cut off at a window's edge, then longer, then earlier.
 
@@ -339,6 +352,7 @@ def reconcile(found: list[tuple[Span, bool]], base: list[Span], text: str) -> li
             end -= 1
         while end > start and text[start] in " .,;:-":
             start += 1
+        start, end = whole_words(text, start, end, kind)
         if plausible(text[start:end], kind) and not any(s < end and start < e for s, e, _ in taken) and not any(s < end and start < e for s, e, _ in out):
             before, after = text[start - 1:start], text[end:end + 1]
             if not (before.isalnum() or after.isalnum() or cut and (before.strip() or after.strip())):
