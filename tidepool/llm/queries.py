@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import ann, bpe, htmltext, jaccard, langid, packing, pii, quality, suffix_dedup, topk
+from tidepool.llm import ann, bpe, filter_audit, htmltext, jaccard, langid, packing, pii, quality, suffix_dedup, topk, whitening
 from tidepool.llm.common import table
 
 
@@ -50,10 +50,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pii_lstm_crf, op2_language_crf, op3_html_main_text, op4_best_fit_packing, op5_quality_rules,
-        op6_chosen_path_join, op7_suffix_dedup, op8_dual_tree_topk, op9_block_matrix_ann, op10_byte_bpe)
+        op6_chosen_path_join, op7_suffix_dedup, op8_dual_tree_topk, op9_block_matrix_ann, op10_byte_bpe,
+        op11_filter_audit, op13_whitening)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -66,4 +75,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, rank::INTEGER AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         WHERE rank <= 10""",
+    "op11_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        w AS (SELECT d.*, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM d LEFT JOIN l USING (doc_id)),
+        m AS (SELECT part, good, toxic,
+                (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t))::INT
+                + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS m FROM w),
+        c AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+        f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) f(f, b)),
+        p AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM f a, f b, f c, f d, f e WHERE a.b | b.b | c.b | d.b | e.b = 31),
+        s AS (SELECT filter_order, i::INTEGER AS step, bits[i] AS bit, list_sum(bits[1:i]) - bits[i] AS before FROM p, range(1, 6) r(i)),
+        x AS (SELECT part, filter_order, step, bit, sum(CASE WHEN m & (before::INT | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN m & before::INT = 0 AND m & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                sum(CASE WHEN m & before::INT > 0 AND m & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN m = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                sum(CASE WHEN m & before::INT = 0 AND m & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN m & before::INT = 0 AND m & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+              FROM c, s GROUP BY ALL)
+        SELECT * EXCLUDE (bit), sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM x""",
 }
