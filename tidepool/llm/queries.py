@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import ann, bpe, filter_audit, htmltext, jaccard, langid, packing, pii, quality, suffix_dedup, topk, whitening
+from tidepool.llm import ann, bpe, filter_audit, htmltext, jaccard, langid, lsh_forest, packing, pii, quality, suffix_dedup, topk, whitening
 from tidepool.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -62,7 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pii_lstm_crf, op2_language_crf, op3_html_main_text, op4_best_fit_packing, op5_quality_rules,
         op6_chosen_path_join, op7_suffix_dedup, op8_dual_tree_topk, op9_block_matrix_ann, op10_byte_bpe,
-        op11_filter_audit, op13_whitening)
+        op11_filter_audit, op12_lsh_forest, op13_whitening)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -91,4 +95,13 @@ ORACLE_SQL: dict[str, str] = {
                 sum(CASE WHEN m & before::INT = 0 AND m & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN m & before::INT = 0 AND m & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
               FROM c, s GROUP BY ALL)
         SELECT * EXCLUDE (bit), sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM x""",
+    "op12_lsh_forest": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+        s AS (SELECT doc_id, unnest(g) AS s FROM g),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        k AS (SELECT a, b FROM c JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = b WHERE 100 * n >= 80 * (len(x.g) + len(y.g) - n)),
+        r AS (SELECT doc_id, doc_id AS node FROM g UNION SELECT r.doc_id, k.b FROM r JOIN k ON k.a = r.node),
+        m AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM g JOIN m USING (doc_id)""",
 }
