@@ -585,4 +585,4 @@ def stream_link_window(events):
     return streams.within_window(out, last, "ts", 4).select("event_id", "user_id")
 
 
-from tidepool.plans import views  # noqa: E402, F401  registers its queries here
+from tidepool.plans import state, views  # noqa: E402, F401  register their queries here
