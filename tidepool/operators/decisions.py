@@ -6,9 +6,8 @@ import datetime as dt
 import json
 import re
 import unicodedata
-from types import SimpleNamespace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,11 +83,17 @@ def chunked(df: DataFrame, by: str, order: list[Column], size: int, name: str =
 
 # --- clustering: one film's groups in order; each decision depends on those before it ---
 
-GROUP_SCHEMA = "film_id long, group_no int, outcome string, event_type string, event_ref string, note string, region string, occurred_at timestamp, confidence string, subject_key array<string>, story_ids array<long>"
+GROUP_SCHEMA = "film_id long, group_no int, intent string, outcome string, event_type string, event_ref string, note string, region string, occurred_at timestamp, confidence string, subject_key array<string>, story_ids array<long>"
+_EPOCH = dt.date(1970, 1, 1).toordinal()
+_DAY = 86_400_000_000
+
+
+def epoch_day(day: dt.date) -> int:
+    return day.toordinal() - _EPOCH
 
 
 def parse_groups(reply: str, n_stories: int) -> list[dict] | None:
-    """The groups of a reply: whole story numbers in range and once each, region of two letters, ISO dates, text names; None if unreadable."""
+    """The groups of a reply: whole story numbers in range and once each, region of two letters, ISO dates (as days since 1970), text names; None if unreadable."""
     a, b = reply.find("{"), reply.rfind("}")
     try:
         events = json.loads(reply[a:b + 1])["events"]
@@ -105,7 +110,7 @@ def parse_groups(reply: str, n_stories: int) -> list[dict] | None:
             continue
         region, day = e.get("region"), e.get("claimed_date")
         try:
-            day = dt.date.fromisoformat(day) if isinstance(day, str) else None
+            day = epoch_day(dt.date.fromisoformat(day)) if isinstance(day, str) else None
         except ValueError:
             day = None
         out.append({
@@ -115,114 +120,122 @@ def parse_groups(reply: str, n_stories: int) -> list[dict] | None:
     return out
 
 
+def person_key(name: str) -> str:
+    return " ".join(unicodedata.normalize("NFKC", name).casefold().split())
+
+
+class FilmState:
+    """What one film's groups have come to so far: stories that are used, beats that others join, names on record. Times are microseconds, days since 1970."""
+
+    def __init__(self, film: dict, as_of: int, window_days: int, dedup_days: int, default_rank: int):
+        self.film, self.as_of, self.window, self.default_rank = film, as_of, window_days, default_rank
+        self.stories = {s["n"]: s for s in film["s"] or ()}
+        self.known = [{**e, "names": list(e["subject_key"] or ())} for e in sorted(film["e"] or (), key=lambda e: e["position"])]
+        self.beats: dict[str, dict] = {}
+        for e in self.known:
+            if e["event_type"] in SINGULAR and e["day"] >= as_of - dedup_days and (e["event_type"] not in self.beats or e["us"] > self.beats[e["event_type"]]["us"]):
+                self.beats[e["event_type"]] = e
+        self.recorded = {n for e in self.known if e["event_type"] == "casting" for n in e["names"]}
+        self.used: set[int] = set()
+
+    def catalog_target(self, kind: str, names: list[str]) -> dict | None:
+        """The catalog's own event that a group of this kind joins: one that names someone of it, one that happens once, or a release change in the window."""
+        pool = [e for e in self.known if e["provenance"] == "catalog"]
+        if kind in CREDIT_TYPES:
+            pool = [e for e in pool if e["event_type"] in CREDIT_TYPES and set(e["names"]) & set(names)]
+        elif kind in ONCE:
+            pool = [e for e in pool if e["event_type"] == kind]
+        elif kind == "release_date" and self.film["changed_us"] is not None:
+            pool = [e for e in pool if e["event_type"] == kind and abs(e["us"] - self.film["changed_us"]) <= self.window * _DAY]
+        else:
+            pool = []
+        return max(pool, key=lambda e: (e["us"], e["event_ref"]), default=None)
+
+    def refusal(self, group: dict, first_day: int) -> tuple[str, str | None] | None:
+        """(outcome, note) if a new event of this group may not form."""
+        f, kind = self.film, group["type"]
+        if kind == "off_topic":
+            return "reject", "off-topic"
+        if kind not in EVENT_TYPES or group["confidence"] not in ("confirmed", "rumored"):
+            return "invalid", None
+        if kind in EARLY_TYPES and (f["status"] in ("Post Production", "Released") or f["release_day"] is not None and f["release_day"] < self.as_of):
+            return "reject", f"stale-stage:{kind}"
+        if kind == "release_date" and (f["changed_day"] is None or self.as_of - f["changed_day"] > self.window):
+            if group["claimed"] is None:
+                return "reject", "release-date-unchanged"
+            if group["claimed"] == f["release_day"]:
+                return "reject", "release-date-restated"
+            return ("hold", None) if self.as_of - first_day <= self.window else ("reject", "release-date-uncorroborated")
+        return None
+
+    def decide(self, no: int, g: dict) -> list:
+        """The row of one group; what it uses, makes and names is kept for those after it."""
+        mine = [self.stories[n] for n in g["stories"] if n in self.stories and self.stories[n]["story_id"] not in self.used]
+        ids, kind = [s["story_id"] for s in mine], g["type"]
+        intent = "create" if g["existing"] is None else "attach"
+
+        def row(outcome, ref=None, note=None, region=None, at=None, conf=None, names=None):
+            if outcome not in ("superseded", "invalid", "hold"):
+                self.used.update(ids)
+            return [self.film["film_id"], no, intent, outcome, kind, ref, note, region, at, conf, names, ids]
+
+        if not mine:
+            return row("superseded")
+        if g["existing"] is not None and 1 <= g["existing"] <= len(self.known):
+            return row("attach", self.known[g["existing"] - 1]["event_ref"])
+        refused = self.refusal(g, min((s["us"], s["day"]) for s in mine)[1])
+        if refused:
+            return row(refused[0], note=refused[1])
+        names = list(dict.fromkeys(n for n in map(person_key, g["cast"]) if n)) if kind == "casting" else []
+        new = [n for n in names if n not in self.recorded]
+        if kind in SINGULAR and kind in self.beats:
+            return row("dedup_attach", self.beats[kind]["event_ref"])
+        target = self.catalog_target(kind, names)
+        if kind == "casting" and not new and target is None:
+            return row("reject", note="casting-recorded")
+        self.recorded.update(new)
+        if target is not None:
+            target["names"] += new
+            return row("catalog_attach", target["event_ref"], names=new)
+        best = max((-1 if s["rank"] is None else s["rank"] for s in mine), default=-1)
+        best = self.default_rank if best < 0 else best
+        ref, at = f"new:{self.film['film_id']}:{no}", min(s["us"] for s in mine)
+        if kind in SINGULAR:
+            self.beats[kind] = {"event_ref": ref, "us": at}
+        return row("create", ref, region=g["region"] if kind == "release_date" else None, at=at, conf="rumored" if best == V.TIER_RANK["low"] else g["confidence"], names=new if kind == "casting" else None)
+
+
 def cluster(stories: DataFrame, events: DataFrame, films: DataFrame, as_of: dt.date, window_days: int = 14, dedup_days: int = 14, default_tier: str = "acceptable") -> DataFrame:
-    """One row for each group of each film's reply: what was decided, and what it makes.
+    """One row for each group of each film's reply: what the reply meant, what was decided, and what it makes.
 
     stories: (film_id, n, story_id, at, tier); events: (film_id, position, event_ref, event_type, provenance, occurred_at, subject_key);
     films: (film_id, status, release_date, changed_at, reply), one row each. Only stories whose number stands in the film's reply are brought to
     it, so a reply bounds its stories however many wait; events are those that the reply's positions point into. Films are spread over the cluster.
+    Times, days and tiers are made numbers by Spark; Python only goes through the groups of a film, each of which depends on those before.
     """
-    days = lambda a, b: (pd.Timestamp(a) - pd.Timestamp(b).normalize()).days
-
-    def decide(f, stories, events) -> list[list]:
-        """The rows of one film (f, a row of films), its stories and its events."""
-        key = (f.film_id,)
-        by_no = {int(s["n"]): SimpleNamespace(story_id=s["story_id"], at=pd.Timestamp(s["at"]), tier=s["tier"]) for s in stories}
-        known = [{"ref": e["event_ref"], "type": e["event_type"], "from": e["provenance"], "at": pd.Timestamp(e["occurred_at"]), "names": list(e["subject_key"]) if e["subject_key"] is not None else []}
-                 for e in sorted(events, key=lambda e: e["position"])]
-        groups = parse_groups(f.reply or "", max(by_no, default=0))
-        if groups is None:
-            return [[key[0], 0, "unparseable", None, None, None, None, None, None, None, []]]
-        floor = pd.Timestamp(as_of) - pd.Timedelta(days=dedup_days)
-        beats: dict[str, dict] = {}
-        for e in known:
-            if e["type"] in SINGULAR and e["at"].normalize() >= floor and (e["type"] not in beats or e["at"] > beats[e["type"]]["at"]):
-                beats[e["type"]] = e
-        recorded = {n for e in known if e["type"] == "casting" for n in e["names"]}
-        release = None if pd.isna(f.release_date) else f.release_date
-        used: set[int] = set()
-        rows = []
-
-        def catalog_target(kind, names):
-            pool = [e for e in known if e["from"] == "catalog"]
-            if kind in CREDIT_TYPES:
-                pool = [e for e in pool if e["type"] in CREDIT_TYPES and set(e["names"]) & set(names)]
-            elif kind in ONCE:
-                pool = [e for e in pool if e["type"] == kind]
-            elif kind == "release_date" and not pd.isna(f.changed_at):
-                pool = [e for e in pool if e["type"] == kind and abs(e["at"] - f.changed_at) <= pd.Timedelta(days=window_days)]
-            else:
-                pool = []
-            return max(pool, key=lambda e: (e["at"], e["ref"]), default=None)
-
-        for no, g in enumerate(groups, 1):
-            mine = [by_no[n] for n in g["stories"] if n in by_no and by_no[n].story_id not in used]
-            ids = [int(s.story_id) for s in mine]
-            row = lambda outcome, ref=None, note=None, **x: rows.append([key[0], no, outcome, g["type"], ref, note, x.get("region"), x.get("at"), x.get("conf"), x.get("names"), ids])  # noqa: E731, B023
-            if not mine:
-                row("superseded")
-                continue
-            if g["existing"] is not None and 1 <= g["existing"] <= len(known):
-                row("attach", known[g["existing"] - 1]["ref"])
-                used.update(ids)
-                continue
-            kind, conf = g["type"], g["confidence"]
-            first = min(s.at for s in mine)
-            reject = None
-            if kind == "off_topic":
-                reject = "off-topic"
-            elif kind not in EVENT_TYPES or conf not in ("confirmed", "rumored"):
-                row("invalid")
-                continue
-            elif kind in EARLY_TYPES and (f.status in ("Post Production", "Released") or release is not None and release < as_of):
-                reject = f"stale-stage:{kind}"
-            elif kind == "release_date" and (pd.isna(f.changed_at) or days(as_of, f.changed_at) > window_days):
-                if g["claimed"] is not None and g["claimed"] != release:
-                    if days(as_of, first) <= window_days:
-                        row("hold")
-                        continue
-                    reject = "release-date-uncorroborated"
-                else:
-                    reject = "release-date-restated" if g["claimed"] is not None else "release-date-unchanged"
-            if reject:
-                row("reject", note=reject)
-                used.update(ids)
-                continue
-            names = list(dict.fromkeys(n for n in (normal(c) for c in g["cast"]) if n)) if kind == "casting" else []
-            new = [n for n in names if n not in recorded]
-            target = beats.get(kind) if kind in SINGULAR else None
-            catalog = catalog_target(kind, names) if target is None else None
-            if kind == "casting" and not new and catalog is None:
-                row("reject", note="casting-recorded")
-            elif target is not None:
-                row("dedup_attach", target["ref"])
-            elif catalog is not None:
-                catalog["names"] += new
-                recorded.update(new)
-                row("catalog_attach", catalog["ref"], names=new)
-            else:
-                best = max((V.TIER_RANK.get(s.tier, -1) for s in mine), default=-1)
-                best = V.TIER_RANK[default_tier] if best < 0 else best
-                conf = "rumored" if best == V.TIER_RANK["low"] else conf
-                made = {"ref": f"new:{key[0]}:{no}", "type": kind, "from": "story", "at": first, "names": new}
-                if kind in SINGULAR:
-                    beats[kind] = made
-                recorded.update(new)
-                row("create", made["ref"], region=g["region"] if kind == "release_date" else None, at=first, conf=conf, names=new if kind == "casting" else None)
-            used.update(ids)
-        return rows
-
-    normal = lambda s: " ".join(unicodedata.normalize("NFKC", s).casefold().split())
-    columns = [c.split()[0] for c in GROUP_SCHEMA.split(", ")]
     # three tables meet per film: stories and events travel as arrays of one film each
+    number = lambda c: (F.unix_micros(c).alias("us"), F.unix_date(F.to_date(c)).alias("day"))
     named = films.select("film_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("reply", F.lit(r"\d{1,9}"), F.lit(0)), lambda x: x.cast("int")))).alias("n"))
-    s = stories.join(named, ["film_id", "n"], "left_semi").groupBy("film_id").agg(F.collect_list(F.struct("n", "story_id", "at", "tier")).alias("s"))
-    e = events.groupBy("film_id").agg(F.collect_list(F.struct("position", "event_ref", "event_type", "provenance", "occurred_at", "subject_key")).alias("e"))
-    rows = films.join(s, "film_id", "left").join(e, "film_id", "left")
+    s = stories.join(named, ["film_id", "n"], "left_semi").groupBy("film_id").agg(F.collect_list(F.struct(F.col("n").cast("int").alias("n"), F.col("story_id").cast("long").alias("story_id"), *number(F.col("at").cast("timestamp")),
+                                                                                                V.mapped(F.col("tier"), V.TIER_RANK, None).alias("rank"))).alias("s"))
+    e = events.groupBy("film_id").agg(F.collect_list(F.struct("position", "event_ref", "event_type", "provenance", *number(F.col("occurred_at").cast("timestamp")), "subject_key")).alias("e"))
+    changed = number(F.col("changed_at").cast("timestamp"))
+    rows = films.select("film_id", "status", F.unix_date("release_date").alias("release_day"), changed[0].alias("changed_us"), changed[1].alias("changed_day"), F.coalesce("reply", F.lit("")).alias("reply"))
+    rows = rows.join(s, "film_id", "left").join(e, "film_id", "left")
+    today, rank = epoch_day(as_of), V.TIER_RANK[default_tier]
+    types = [pa.int64(), pa.int32(), *[pa.string()] * 6, pa.timestamp("us", tz="UTC"), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
+    columns = [c.split()[0] for c in GROUP_SCHEMA.split(", ")]
 
     def run(batches):
-        for pdf in batches:
-            out = [x for r in pdf.itertuples() for x in decide(r, r.s if r.s is not None else (), r.e if r.e is not None else ())]
-            yield pd.DataFrame(out, columns=columns)
+        for batch in batches:
+            out = []
+            for film in batch.to_pylist():
+                state = FilmState(film, today, window_days, dedup_days, rank)
+                groups = parse_groups(film["reply"], max(state.stories, default=0))
+                if groups is None:
+                    out.append([film["film_id"], 0, None, "unparseable", None, None, None, None, None, None, None, []])
+                else:
+                    out += [state.decide(no, g) for no, g in enumerate(groups, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names=columns)
 
-    return rows.mapInPandas(run, GROUP_SCHEMA)
+    return rows.mapInArrow(run, GROUP_SCHEMA)

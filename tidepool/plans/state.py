@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from tidepool.operators import audits, decisions
 from tidepool.plans.registry import query
+from tidepool.plans.views import pick, texts
 from tidepool.streaming import keyed, streams
 
 # What the watermark of a stream has passed when all is read: a time whose millisecond lies before the latest one less a day.
@@ -47,3 +51,38 @@ def stream_heartbeats(events):
     """Heartbeats of runs, at most one in three hours, and a time-out once a run has been quiet for twelve."""
     out = streams.run_table(events, lambda s: keyed.run(s, "user_id", "ts", F.lit("row"), "event_id", keyed.Beats(3 * 3600, 12 * 3600)))
     return out.select("user_id", F.col("ref").alias("event_id"), "beat", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+_GROUPS = """s AS (SELECT l_orderkey AS k, l_linenumber AS ln, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),
+    f AS (SELECT k, count(*) AS m, list(CASE ln % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'trusted' END ORDER BY n) AS t FROM s GROUP BY 1),
+    x AS (SELECT *, k % 5 = 0 AS old, k % 7 = 0 AS cat, k % 2 = 0 AS even, CASE WHEN t[1] = 'low' THEN 'rumored' ELSE 'confirmed' END AS c1, CASE WHEN t[3] = 'low' THEN 'rumored' ELSE 'confirmed' END AS c3, CASE WHEN t[4] = 'low' THEN 'rumored' ELSE 'confirmed' END AS c4,
+        CASE WHEN (t[5] = 'low' OR coalesce(t[6] = 'low', false)) AND NOT coalesce(t[5] = 'trusted', false) AND NOT coalesce(t[6] = 'trusted', false) THEN 'rumored' ELSE 'confirmed' END AS c6 FROM f)"""
+
+
+@query(f"""WITH {_GROUPS}
+    SELECT k AS film_id, 1 AS group_no, 'create' AS intent, CASE WHEN old THEN 'dedup_attach' ELSE 'create' END AS outcome, NULL AS note, CASE WHEN old THEN 'e' || k || 't' ELSE 'new:' || k || ':1' END AS event_ref, CASE WHEN NOT old THEN c1 END AS confidence, NULL AS names, 1 AS stories FROM x
+    UNION ALL SELECT k, 2, 'create', CASE WHEN m = 1 THEN 'superseded' ELSE 'dedup_attach' END, NULL, CASE WHEN m > 1 THEN CASE WHEN old THEN 'e' || k || 't' ELSE 'new:' || k || ':1' END END, NULL, NULL, CASE WHEN m = 1 THEN 0 ELSE 1 END FROM x
+    UNION ALL SELECT k, 3, 'create', CASE WHEN m = 2 THEN 'superseded' WHEN cat THEN 'catalog_attach' ELSE 'create' END, NULL, CASE WHEN m > 2 THEN CASE WHEN cat THEN 'e' || k || 'c' ELSE 'new:' || k || ':3' END END, CASE WHEN m > 2 AND NOT cat THEN c3 END,
+        CASE WHEN m > 2 THEN CASE WHEN cat THEN 'ann' ELSE 'ann,bo' END END, CASE WHEN m = 2 THEN 0 ELSE 1 END FROM x WHERE m >= 2
+    UNION ALL SELECT k, 4, 'create', CASE WHEN cat THEN 'catalog_attach' WHEN even THEN 'create' ELSE 'reject' END, CASE WHEN NOT cat AND NOT even THEN 'casting-recorded' END, CASE WHEN cat THEN 'e' || k || 'c' WHEN even THEN 'new:' || k || ':4' END, CASE WHEN even AND NOT cat THEN c4 END,
+        CASE WHEN even THEN 'cy' WHEN cat THEN '' END, 1 FROM x WHERE m >= 4
+    UNION ALL SELECT k, 3 + (m >= 2)::INT + (m >= 4)::INT, 'attach', 'superseded', NULL, NULL, NULL, NULL, 0 FROM x
+    UNION ALL SELECT k, 6, 'create', 'create', NULL, 'new:' || k || ':6', c6, NULL, CASE WHEN m = 5 THEN 1 ELSE 2 END FROM x WHERE m >= 5
+    UNION ALL SELECT k, 7, 'create', CASE WHEN m = 6 THEN 'superseded' ELSE 'dedup_attach' END, NULL, CASE WHEN m > 6 THEN 'new:' || k || ':6' END, NULL, NULL, CASE WHEN m = 6 THEN 0 ELSE 1 END FROM x WHERE m >= 6""")
+def cluster_groups(orders, lineitem):
+    """Replies of up to seven groups: later groups lose stories that earlier ones took, join events that earlier ones made, and know the names that earlier ones recorded."""
+    k = F.col("o_orderkey")
+    group = lambda kind, numbers, cast=None, existing="null": f'{{"type": "{kind}", "confidence": "confirmed", "stories": {numbers}, "existing": {existing}, "cast": {cast or "[]"}}}'
+    first = [group("trailer", [1]), group("trailer", [1, 2]), group("casting", [2, 3], '["Ann", "Bo"]')]
+    rest = [group("first_look", [1, 2, 3, 4], existing="1"), group("first_look", [5, 6]), group("first_look", [6, 7])]
+    reply = lambda cast: '{"events": [' + ", ".join([*first, group("casting", [4], cast), *rest]) + "]}"
+    films = orders.select(k.alias("film_id"), F.lit("Planned").alias("status"), F.lit(None).cast("date").alias("release_date"), F.lit(None).cast("timestamp").alias("changed_at"),
+                          F.when(k % 2 == 0, reply('["Bo", "Cy"]')).otherwise(reply('["BO "]')).alias("reply"))
+    rows = lineitem.groupBy(F.col("l_orderkey").alias("film_id"), "l_linenumber").agg(F.min("l_shipdate").alias("at"))
+    stories = audits.latest_in_order(rows, ["film_id"], [F.asc("l_linenumber")], [F.asc("l_linenumber")], 100).select(
+        "film_id", "n", (F.col("film_id") * 10 + F.col("l_linenumber")).alias("story_id"), "at", pick(F.col("l_linenumber") % 3, "low", "trusted", None).alias("tier"))
+    event = lambda rows, position, ref, kind, origin, names: rows.select(k.alias("film_id"), F.lit(position).alias("position"), F.concat(F.lit("e"), k.cast("string"), F.lit(ref)).alias("event_ref"), F.lit(kind).alias("event_type"),
+                                                                        F.lit(origin).alias("provenance"), F.lit(dt.datetime(1997, 12, 30)).alias("occurred_at"), names.cast("array<string>").alias("subject_key"))
+    known = event(orders.where(k % 5 == 0), 1, "t", "trailer", "story", F.array()).unionByName(event(orders.where(k % 7 == 0), 2, "c", "casting", "catalog", F.array(F.lit("bo"))))
+    out = decisions.cluster(stories, known, films.join(rows.select("film_id").distinct(), "film_id", "left_semi"), dt.date(1998, 1, 1))
+    return out.select("film_id", "group_no", "intent", "outcome", "note", "event_ref", "confidence", texts("subject_key").alias("names"), F.size("story_ids").alias("stories"))
