@@ -11,6 +11,7 @@ from tidepool.functions import text as X
 from tidepool.functions import values as V
 from tidepool.operators import cards, changes, decisions, feeds, metrics, retrieval, runs
 from tidepool.sources import readers, sinks
+from tidepool.sources.keyed_table import KeyedTable
 from tidepool.streaming import streams
 
 D, TS = dt.date, dt.datetime
@@ -206,12 +207,11 @@ def test_sources(spark, tmp_path):
 
 def test_stream_appends_each_key_once(spark, tmp_path):
     df = spark.createDataFrame([("u", TS(2024, 1, 1)), ("u", TS(2024, 1, 1)), ("v", TS(2024, 1, 2))], "url string, at timestamp")
-    table = f"{tmp_path}/t"
-    df.limit(0).write.parquet(table)
-    write = streams.append_new(table, "url")
+    table = KeyedTable(spark, f"{tmp_path}/t", ["url"], df.schema, 4)
+    write = table.batch_writer(ignore=True)
     write(df, 0)
-    write(df, 0)
-    assert rows(spark.read.parquet(table).select("url"), "url") == [("u",), ("v",)]
+    write(df, 1)
+    assert rows(table.rows().select("url"), "url") == [("u",), ("v",)]
     df.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
     assert streams.run_available(streams.first_seen(stream, "url", "at"), f"{tmp_path}/out").count() == 2
@@ -265,3 +265,21 @@ def test_unknown_stage_is_an_error(spark):
     tally = spark.createDataFrame([("x", 0, 1)], "stage string, processed long, failed long")
     with pytest.raises(Exception, match="unknown stage"):
         runs.stage_failure(tally, {"a": "lossy"}).collect()
+
+
+def test_rescue_by_automata_and_by_runs_is_the_same(spark):
+    """One automaton, several, and the join find what plain containment finds: nested, overlapping and repeated folds, two fields, nulls, folds of several films."""
+    import random
+
+    rng = random.Random(7)
+    words = ["abcdef", "bcdefg", "abcdefg", "defghi", "cdefgh", "zzzzzz", "zzzzzzz", "ééééoü", "日本日本日本"]
+    texts = ["".join(rng.choice([*words, "ab", "cd", "efg", "z", " - "]) for _ in range(rng.randrange(12))) for _ in range(300)]
+    stories = spark.createDataFrame([(i, None if i % 50 == 0 else t, None if i % 7 == 0 else texts[-i]) for i, t in enumerate(texts)], "story_id long, headline string, dek string")
+    titles = retrieval.searchable_titles(spark.createDataFrame([(i, w) for i, w in enumerate([*words, "abc def", "A-B-C-D-E-F", "abcde", "never there", None])], "film_id long, title string"))
+    terms = retrieval.story_terms(stories)
+    want = {tuple(r) for r in terms.select("story_id", F.explode("folds").alias("t")).crossJoin(retrieval.rescue_folds(titles)).where(F.contains("t", "fold")).select("story_id", "film_id").collect()}
+    assert len(want) > 300 and len({f for _, f in want}) >= len(words)
+    for letters, most in ((1000, 16), (9, 16), (9, 1)):
+        got = [tuple(r) for r in retrieval.rescued(terms, titles, letters=letters, most=most).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert retrieval.rescued(terms, titles.limit(0)).count() == 0

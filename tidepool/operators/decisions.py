@@ -215,13 +215,14 @@ def cluster(stories: DataFrame, events: DataFrame, films: DataFrame, as_of: dt.d
     """
     # three tables meet per film: stories and events travel as arrays of one film each
     number = lambda c: (F.unix_micros(c).alias("us"), F.unix_date(F.to_date(c)).alias("day"))
-    named = films.select("film_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("reply", F.lit(r"\d{1,9}"), F.lit(0)), lambda x: x.cast("int")))).alias("n"))
-    s = stories.join(named, ["film_id", "n"], "left_semi").groupBy("film_id").agg(F.collect_list(F.struct(F.col("n").cast("int").alias("n"), F.col("story_id").cast("long").alias("story_id"), *number(F.col("at").cast("timestamp")),
-                                                                                                V.mapped(F.col("tier"), V.TIER_RANK, None).alias("rank"))).alias("s"))
+    numbers = films.select("film_id", F.transform(F.regexp_extract_all("reply", F.lit(r"\d{1,9}"), F.lit(0)), lambda x: x.cast("int")).alias("numbers"))
+    named = stories.withColumn("n", F.col("n").cast("int")).join(numbers, "film_id").where(F.array_contains("numbers", F.col("n")))
+    s = named.groupBy("film_id").agg(F.collect_list(F.struct("n", F.col("story_id").cast("long").alias("story_id"), *number(F.col("at").cast("timestamp")), V.mapped(F.col("tier"), V.TIER_RANK, None).alias("rank"))).alias("s"))
     e = events.groupBy("film_id").agg(F.collect_list(F.struct("position", "event_ref", "event_type", "provenance", *number(F.col("occurred_at").cast("timestamp")), "subject_key")).alias("e"))
     changed = number(F.col("changed_at").cast("timestamp"))
     rows = films.select("film_id", "status", F.unix_date("release_date").alias("release_day"), changed[0].alias("changed_us"), changed[1].alias("changed_day"), F.coalesce("reply", F.lit("")).alias("reply"))
-    rows = rows.join(s, "film_id", "left").join(e, "film_id", "left")
+    # films are dealt once, into as many tasks as the session shuffles by: rows are small, but each costs Python time
+    rows = rows.repartition(int(films.sparkSession.conf.get("spark.sql.shuffle.partitions")), "film_id").join(s, "film_id", "left").join(e, "film_id", "left")
     today, rank = epoch_day(as_of), V.TIER_RANK[default_tier]
     types = [pa.int64(), pa.int32(), *[pa.string()] * 6, pa.timestamp("us", tz="UTC"), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
     columns = [c.split()[0] for c in GROUP_SCHEMA.split(", ")]

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import predicates as P
 from tidepool.functions import text as X
 from tidepool.functions import values as V
+from tidepool.operators import automata
 
 # The operating point and the limits of health.
 THRESHOLD, CAP = 0.5, 47
 ZERO_LIMIT, SATURATION_LIMIT, LEAST_N = 0.10, 0.05, 50
+LETTERS = 2_000_000  # letters of the folds that one automaton holds: some 100 MB in each Python worker
 SMALL = 500_000  # rows of the titles' index that may be broadcast: some 30 MB
 
 
@@ -89,17 +93,39 @@ def _scores_by_token(terms: DataFrame, index: DataFrame, story: str, film: str,
     return _best(hits, story, film, least)
 
 
-def rescued(terms: DataFrame, titles: DataFrame, *, story: str = "story_id", film: str = "film_id", gram: int = X.FOLD_MIN_CHARS, small: int = SMALL) -> DataFrame:
+def rescued(terms: DataFrame, titles: DataFrame, *, story: str = "story_id", film: str = "film_id", gram: int = X.FOLD_MIN_CHARS, letters: int = LETTERS, most: int = 16) -> DataFrame:
     """(story, film) where a title's fold stands in one of the story's folds.
 
-    A fold's first characters must stand there too: each story gives its distinct runs of that many characters, titles
+    All folds are sought at once: an Aho-Corasick automaton over them goes over each text one time, whatever their number.
+    Their letters are counted first: an automaton holds about `letters` of them, more folds make more automata, each with a
+    pass over the texts. Folds for more than `most` automata are joined instead (rescued_by_runs).
+    """
+    folds = rescue_folds(titles, film).where(F.length("fold") >= gram)
+    distinct = folds.select("fold").distinct()
+    size = distinct.agg(F.sum(F.length("fold"))).first()[0] or 0
+    parts = max(1, math.ceil(size / letters))
+    if parts > most:
+        return rescued_by_runs(terms, folds, story=story, film=film, gram=gram)
+    texts = terms.select(story, F.explode("folds").alias("text")).where(F.length("text") >= gram)
+    found = None
+    for part in range(parts):
+        own = distinct if parts == 1 else distinct.where(F.pmod(F.xxhash64("fold"), F.lit(parts)) == part)
+        words = [r[0] for r in own.collect()]  # about `letters` letters
+        hits = automata.occurring(texts, "text", words, story).withColumnRenamed("word", "fold")
+        found = hits if found is None else found.unionByName(hits)
+    return found.join(folds, "fold").select(story, film).distinct()
+
+
+def rescued_by_runs(terms: DataFrame, folds: DataFrame, *, story: str = "story_id", film: str = "film_id", gram: int = X.FOLD_MIN_CHARS) -> DataFrame:
+    """The same by a join, for folds (film, fold) of any number.
+
+    A fold's first characters must stand in the text too: each story gives its distinct runs of that many characters, folds
     join on their first, and contains() settles what meets. So no pair is looked at without a shared run, and texts
-    are fetched for such pairs alone. At most `small` titles (they are counted first) are broadcast, so a run that begins no title goes nowhere.
+    are fetched for such pairs alone.
     """
     texts = terms.select(story, F.posexplode("folds").alias("field", "text")).where(F.length("text") >= gram)
     runs = texts.select(story, "field", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{gram}}}))"), F.lit(1)))).alias("run"))
-    folds = rescue_folds(titles, film).withColumn("run", F.substring("fold", 1, gram))
-    met = runs.join(folds if P.oversized(folds, small) else F.broadcast(folds), "run").select(story, "field", film, "fold")
+    met = runs.join(folds.withColumn("run", F.substring("fold", 1, gram)), "run").select(story, "field", film, "fold")
     return met.join(texts, [story, "field"]).where(F.contains("text", "fold")).select(story, film).distinct()
 
 

@@ -6,9 +6,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidepool.operators import audits, decisions
-from tidepool.plans.registry import query
+from tidepool.operators import audits, cards, decisions
+from tidepool.plans.registry import day_text, query
 from tidepool.plans.views import pick, texts
+from tidepool.sources.keyed_table import KeyedTable
 from tidepool.streaming import keyed, streams
 
 # What the watermark of a stream has passed when all is read: a time whose millisecond lies before the latest one less a day.
@@ -86,3 +87,70 @@ def cluster_groups(orders, lineitem):
     known = event(orders.where(k % 5 == 0), 1, "t", "trailer", "story", F.array()).unionByName(event(orders.where(k % 7 == 0), 2, "c", "casting", "catalog", F.array(F.lit("bo"))))
     out = decisions.cluster(stories, known, films.join(rows.select("film_id").distinct(), "film_id", "left_semi"), dt.date(1998, 1, 1))
     return out.select("film_id", "group_no", "intent", "outcome", "note", "event_ref", "confidence", texts("subject_key").alias("names"), F.size("story_ids").alias("stories"))
+
+
+# --- tables that batches go into ---
+
+
+def _catalog_batches(part):
+    """Two batches of a catalog: the even parts, then every third part with a new price and, for some, a lower one."""
+    rows = part.select("p_partkey", "p_name", F.col("p_retailprice").alias("price"))
+    again = rows.where("p_partkey % 3 = 0").select("p_partkey", F.concat(F.lit("new "), "p_name").alias("p_name"), (F.col("price") + F.when(F.col("p_partkey") % 5 == 0, -1).when(F.col("p_partkey") % 7 == 0, 0).otherwise(1)).alias("price"))
+    return rows.where("p_partkey % 2 = 0"), again
+
+
+def _catalog_table(part):
+    first, second = _catalog_batches(part)
+    table = KeyedTable(part.sparkSession, streams.shared_folder(part.sparkSession), ["p_partkey"], first.schema, 16)
+    higher = F.col("new_price") >= F.col("old_price")
+    # each batch comes twice, and each of its rows too; the second time changes nothing
+    counts = [table.upsert(b.unionByName(b), i, keep=("p_name",), when=higher) for i, b in ((0, first), (0, second), (1, second), (1, first), (0, second))]
+    return table, counts
+
+
+_CATALOG = """a AS (SELECT p_partkey, p_name, p_retailprice AS price FROM part WHERE p_partkey % 2 = 0),
+    b AS (SELECT p_partkey, 'new ' || p_name AS p_name, p_retailprice + CASE WHEN p_partkey % 5 = 0 THEN -1 WHEN p_partkey % 7 = 0 THEN 0 ELSE 1 END AS price FROM part WHERE p_partkey % 3 = 0)"""
+
+
+@query(f"""WITH {_CATALOG} SELECT p_partkey, coalesce(a.p_name, b.p_name) AS p_name, round(CASE WHEN a.price IS NULL OR b.price >= a.price THEN b.price ELSE a.price END, 4) AS price FROM a FULL JOIN b USING (p_partkey)""")
+def upsert_rows(part):
+    """A table after two batches that came more than once: names stay as first stored, prices only rise."""
+    table, _ = _catalog_table(part)
+    return table.rows().withColumn("price", F.round("price", 4))
+
+
+@query(f"""WITH {_CATALOG}, j AS (SELECT a.p_partkey IS NOT NULL AS had, b.price > a.price AS more FROM b LEFT JOIN a USING (p_partkey)),
+    x AS (SELECT (SELECT count(*) FROM a) AS n, count(*) FILTER (NOT had) AS i, count(*) FILTER (had AND more) AS u, count(*) FILTER (had AND NOT more) AS k FROM j)
+    SELECT call::INTEGER AS call, CASE WHEN call < 2 THEN n ELSE i END AS inserted, CASE WHEN call < 2 THEN 0 ELSE u END AS updated, CASE WHEN call < 2 THEN 0 ELSE k END AS unchanged FROM x, range(5) r(call)""")
+def upsert_counts(part):
+    """What each call put in: a batch that comes again reports what it did the first time."""
+    _, counts = _catalog_table(part)
+    return part.sparkSession.createDataFrame([(i, c["inserted"], c["updated"], c["unchanged"]) for i, c in enumerate(counts)], "call int, inserted long, updated long, unchanged long")
+
+
+@query("""WITH r AS (SELECT user_id, event_type, event_id, ts, CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 1 ELSE 2 END AS run FROM events WHERE event_type IN ('signup', 'error') AND value > 40),
+    a AS (SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM r WHERE run = 1 AND ts >= TIMESTAMP '2024-01-13' GROUP BY ALL),
+    b AS (SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM r WHERE ts >= TIMESTAMP '2024-01-18' AND ts < TIMESTAMP '2024-01-25' AND (user_id, event_type) NOT IN (SELECT user_id, event_type FROM a) GROUP BY ALL)
+    SELECT *, 1 AS run FROM a UNION ALL SELECT *, 2 FROM b""")
+def cards_reread(events):
+    """Two runs over a change log, the second on the 25th, each reading the seven days before it: what the first carded is not carded again, older changes are never read."""
+    log = events.where("event_type IN ('signup', 'error') AND value > 40").select(F.col("user_id").alias("film_id"), "event_type", F.col("ts").alias("changed_at"), F.col("event_id").alias("id"))
+    schema = log.select("film_id", "event_type", "id", F.lit(1).alias("run")).schema
+    table = KeyedTable(events.sparkSession, streams.shared_folder(events.sparkSession), ["film_id", "event_type"], schema, 8)
+    for run, now in ((1, dt.datetime(2024, 1, 20)), (2, dt.datetime(2024, 1, 25)), (2, dt.datetime(2024, 1, 25))):
+        seen = cards.lookback(log.where(F.col("changed_at") < F.lit(now)), now, 7)
+        found = cards.once_per_entity(seen, table.rows())
+        table.upsert(found.withColumn("run", F.lit(run)), run, ignore=True)
+    return table.rows().select(F.col("film_id").alias("user_id"), "event_type", F.col("id").alias("event_id"), "run")
+
+
+@query("""SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE event_type IN ('signup', 'error') GROUP BY ALL""")
+def stream_cards(events):
+    """The change log as a stream, batch by batch into a table of cards: the earliest change of each film and kind, in whatever batches it came."""
+    spark = events.sparkSession
+    folder = streams.shared_folder(spark)
+    table = KeyedTable(spark, f"{folder}/table", ["user_id", "event_type"], events.select("user_id", "event_type", "event_id", "ts").schema, 8)
+    earlier = F.struct("new_ts", "new_event_id") < F.struct("old_ts", "old_event_id")
+    write = table.batch_writer("cards", lambda b: b.where("event_type IN ('signup', 'error')"), order=[F.asc("ts"), F.asc("event_id")], when=earlier)
+    streams.run_batches(events, write, f"{folder}/state")
+    return table.rows().select("user_id", "event_type", "event_id")

@@ -36,15 +36,6 @@ def undated(rows: DataFrame, at: str) -> DataFrame:
     return rows.where(F.col(at).isNull())
 
 
-def append_new(table: str, key: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: append each key once, however often its batch is run. table: a Parquet folder that exists."""
-    def write(batch: DataFrame, _: int) -> None:
-        stored = batch.sparkSession.read.parquet(table).select(key)
-        batch.dropDuplicates([key]).join(stored, key, "left_anti").write.mode("append").parquet(table)
-
-    return write
-
-
 def once_within(rows: DataFrame, keys: list[str], at: str, horizon: str = "14 days") -> DataFrame:
     """The first row of each key, and no other of that key for at least the horizon; the state of a key leaves after it."""
     return rows.withWatermark(at, horizon).dropDuplicatesWithinWatermark(keys)
@@ -88,9 +79,18 @@ def files_of(table: DataFrame, name: str) -> tuple[str, str]:
     return (above, file) if file == name else (first.split(f"/{name}/")[0] + f"/{name}", "*.parquet")
 
 
+def source_of(table: DataFrame, name: str = "events.parquet", at: str = "ts", **options) -> DataFrame:
+    """A table's files as a stream; options are the file source's, such as maxFilesPerTrigger."""
+    folder, pattern = files_of(table, name)
+    source = table.sparkSession.readStream.schema(table.schema).options(**options).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").parquet(folder)
+    return source.withColumn(at, F.col(at).cast("timestamp"))
+
+
+def run_batches(table: DataFrame, write: Callable[[DataFrame, int], None], state: str, name: str = "events.parquet", **options) -> None:
+    """What there is of a table, batch by batch through write; a run with the same state folder goes on where the last one stopped."""
+    source_of(table, name, **options).writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_table(table: DataFrame, transform: Callable[[DataFrame], DataFrame], name: str = "events.parquet", at: str = "ts") -> DataFrame:
     """The transformation run as a stream over all of a table's files."""
-    spark = table.sparkSession
-    folder, pattern = files_of(table, name)
-    source = spark.readStream.schema(table.schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").parquet(folder)
-    return run_available(transform(source.withColumn(at, F.col(at).cast("timestamp"))), shared_folder(spark))
+    return run_available(transform(source_of(table, name, at)), shared_folder(table.sparkSession))
