@@ -283,3 +283,22 @@ def test_rescue_by_automata_and_by_runs_is_the_same(spark):
         got = [tuple(r) for r in retrieval.rescued(terms, titles, letters=letters, most=most).collect()]
         assert len(got) == len(want) and set(got) == want
     assert retrieval.rescued(terms, titles.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("url", "domain", "hosted"), [
+    ("https://news.bbc.co.uk:80/a?b", "bbc.co.uk", "bbc.co.uk"), ("https://www.mshale.com/a", "mshale.com", "mshale.com"), ("m.mshale.com/amp", "mshale.com", "mshale.com"), ("//a.b.c.com", "c.com", "c.com"),
+    ("http://www.ck/x", "www.ck", "www.ck"), ("http://a.www.ck", "www.ck", "www.ck"), ("http://foo.ck", None, None), ("http://bar.foo.ck", "bar.foo.ck", "bar.foo.ck"), ("http://ck", None, None),
+    ("http://co.uk/", None, None), ("http://com", None, None), ("https://me.github.io/x", "github.io", "me.github.io"), ("https://github.io", "github.io", None), ("http://a.eu.compute.amazonaws.com", "amazonaws.com", "a.eu.compute.amazonaws.com"),
+    ("http://city.kawasaki.jp", "city.kawasaki.jp", "city.kawasaki.jp"), ("http://a.b.kawasaki.jp", "a.b.kawasaki.jp", "a.b.kawasaki.jp"), ("http://b.kawasaki.jp", None, None),
+    ("http://127.0.0.1/a", None, None), ("http://[::1]/a", None, None), ("not a url", None, None), (None, None, None), ("", None, None), ("HTTPS://User@WWW.Example.ORG./", "example.org", "example.org"), ("http://x.unlisted", "x.unlisted", "x.unlisted")])
+def test_registrable_domains(spark, url, domain, hosted):
+    row = spark.createDataFrame([(url,)], "t string").select(X.registrable_domain(F.col("t")).alias("d"), X.registrable_domain(F.col("t"), X.suffix_rules(private=True)).alias("h")).first()
+    assert (row["d"], row["h"]) == (domain, hosted)
+
+
+def test_suffix_rules_of_another_file(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("// ===BEGIN ICANN DOMAINS===\n\ncom  // a note\na.b.c.d.e\n// ===END ICANN DOMAINS===\n// ===BEGIN PRIVATE DOMAINS===\nx.com\n// ===END PRIVATE DOMAINS===\n")
+    rules = X.suffix_rules(str(tmp_path / "list.txt"))
+    assert rules == (frozenset({"com", "a.b.c.d.e"}), frozenset(), frozenset())
+    df = spark.createDataFrame([("http://q.z.a.b.c.d.e",), ("http://q.x.com",), ("http://q.net",)], "t string")
+    assert [r[0] for r in df.select(X.registrable_domain(F.col("t"), rules, unlisted=False)).collect()] == ["z.a.b.c.d.e", "x.com", None]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
+from pathlib import Path
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,8 +15,6 @@ from pyspark.sql import types as T
 # Words that tell no title apart, and the shortest fold that may match as a substring.
 STOPWORDS = ("the", "a", "an", "of", "and", "or", "to", "in", "on", "at", "for", "part")
 FOLD_MIN_CHARS = 6
-#: Suffixes of two labels under which names are registered.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "co.kr", "co.in", "com.br", "com.mx", "com.tr", "co.za", "com.cn")
 
 
 # Ranges whose letters are composed already and that hold no combining marks: Latin, Cyrillic, kana, Han, Hangul, punctuation.
@@ -113,12 +114,57 @@ def bare_host(url: Column) -> Column:
     return F.regexp_replace(url_host(url), r"^www\.", "")
 
 
-def registrable_domain(url: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
-    """The host's last two labels, or three under a suffix of two labels; null without a dot."""
-    host = url_host(url)
-    two = F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit(""))
-    three = F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+\.[^.]+)$", 1), F.lit(""))
-    return F.when(two.isin(*suffixes), three).otherwise(two)
+class SuffixRules(NamedTuple):
+    """Public suffixes by kind, without their marks: plain ones, those before which any one label belongs to the suffix, and names that are none in spite of it."""
+
+    plain: frozenset[str]
+    any_label: frozenset[str]
+    no_suffix: frozenset[str]
+
+
+@functools.cache
+def suffix_rules(path: str | None = None, private: bool = False) -> SuffixRules:
+    """The rules of a file in the format of the public suffix list (the package's own by default); private: those of hosting services too."""
+    kinds: dict[str, set[str]] = {"": set(), "*": set(), "!": set()}
+    within = True
+    for line in (Path(path) if path else Path(__file__).with_name("public_suffixes.txt")).read_text("utf-8").splitlines():
+        line = line.strip()
+        if line.startswith("//"):
+            within = private if "BEGIN PRIVATE" in line else True if "END PRIVATE" in line else within
+        elif line and within:
+            rule = line.split()[0].lower()
+            kind = "*" if rule.startswith("*.") else "!" if rule.startswith("!") else ""
+            kinds[kind].add(rule.removeprefix("*.").removeprefix("!"))
+    return SuffixRules(*(frozenset(x) for x in kinds.values()))
+
+
+def host_of(url: Column) -> Column:
+    """The host of a url or of a bare host with a path; lower case, without user, port and final dots; null if it has a blank or no dot, and for addresses of numbers."""
+    bare = F.lower(F.regexp_extract(url, r"^\s*(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//)?(?:[^/@?#]*@)?([^/:?#@]+)", 1))
+    host = F.regexp_replace(bare, r"[.\u3002\uff0e\uff61]+$", "")
+    return F.when(host.rlike(r"^[^\s.\[\]]+(\.[^\s.\[\]]+)+$") & ~host.rlike(r"^[0-9]+(\.[0-9]+){3}$"), host)
+
+
+def public_labels(host: Column, rules: SuffixRules, unlisted: bool = True) -> Column:
+    """How many of a host's labels are its public suffix: an exception's rule first, else the longest rule that fits.
+
+    The last one to five labels are looked up in sets, so the number of rules doesn't count. unlisted: a last label that no rule names counts as a suffix; else the host has none (null).
+    """
+    n = F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+    last = lambda k: F.substring_index(host, ".", -k)
+    holds = lambda k, rules: (n >= k) & last(k).isin(*sorted(rules)) if rules else F.lit(False)
+    depth = range(1, 2 + max(x.count(".") for kind in rules for x in kind) if any(rules) else 1)
+    exempt = F.coalesce(*(F.when(holds(k, rules.no_suffix), k - 1) for k in reversed(depth)), F.lit(None).cast("int"))
+    fits = [F.when(holds(k, rules.any_label) & (n > k), k + 1).when(holds(k, rules.plain), k) for k in depth]
+    return F.coalesce(exempt, F.greatest(F.lit(1) if unlisted else F.lit(None).cast("int"), F.lit(None).cast("int"), *fits))
+
+
+def registrable_domain(url: Column, rules: SuffixRules | None = None, unlisted: bool = True) -> Column:
+    """The public suffix of the url's host and one label before it; null for a host that is a suffix itself, has no dot, or is an address of numbers."""
+    host = host_of(url)
+    public = public_labels(host, rules or suffix_rules(), unlisted)
+    n = F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+    return F.when(n > public, F.call_function("substring_index", host, F.lit("."), -(public + 1)))
 
 
 def is_redirect(url: Column, hosts: tuple[str, ...], path_part: str) -> Column:

@@ -585,4 +585,4 @@ def stream_link_window(events):
     return streams.within_window(out, last, "ts", 4).select("event_id", "user_id")
 
 
-from tidepool.plans import views, state  # noqa: E402, F401, I001  register their queries here
+from tidepool.plans import views, lookups, state  # noqa: E402, F401, I001  register their queries here
