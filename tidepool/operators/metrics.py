@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.functions import predicates as P
 from tidepool.functions import values as V
+from tidepool.session import written
 
 
 def prf(df: DataFrame, expected: Column, predicted: Column, by: list[str] | None = None) -> DataFrame:
@@ -111,23 +115,48 @@ def hash_sample(df: DataFrame, strata: str, ident: str, seed: str, n: int) -> Da
     return df.withColumn("hash", h).withColumn("place", F.row_number().over(Window.partitionBy(strata).orderBy("hash", ident))).where(F.col("place") <= n)
 
 
-def nearest_rank(df: DataFrame, value: str, q: float, by: list[str]) -> DataFrame:
-    """The ceil(q n)-th smallest value of each group; nulls don't count.
+def nearest_rank(df: DataFrame, value: str, q: float, by: list[str], few: int = 50_000, groups: int = 100_000) -> DataFrame:
+    """The ceil(q n)-th smallest value of each group; nulls don't count. However the values lie, no task holds a group.
 
-    Values are cut into about a thousand ranges of equal width and only counted; a running sum over the ranges finds the one that holds the place, and only
-    its values are sorted, so no task holds a group.
+    A KLL sketch of each group brackets the place between two values, and what lies below and between them is counted exactly.
+    That is repeated within the brackets until they hold at most few rows or one value; then their values are counted, in order.
+    A bracket that misses the place (sketches err) is not taken and made wider. Tables of at most `groups` groups (they
+    are counted) are broadcast to the rows, so that no group is dealt to one task.
     """
-    rows = df.where(F.col(value).isNotNull())
-    edge = rows.groupBy(*by).agg(F.min(value).cast("double").alias("__low"), F.max(value).cast("double").alias("__high"), F.count("*").alias("__n"))
-    part = F.when(F.col("__high") > F.col("__low"), F.least(F.floor((F.col(value) - F.col("__low")) / (F.col("__high") - F.col("__low")) * 1024), F.lit(1023))).otherwise(F.lit(0)).alias("__part")
-    placed = rows.select(*by, value).join(F.broadcast(edge) if not by else edge, by).select(*by, value, "__n", part)
-    counts = placed.groupBy(*by, "__part").agg(F.count("*").alias("__c"), F.first("__n").alias("__n"))
-    run = F.sum("__c").over(Window.partitionBy(*by).orderBy("__part"))
-    goal = F.ceil(F.col("__n") * F.lit(q) - F.lit(1e-9))
-    home = counts.withColumn("__to", run).where((F.col("__to") >= goal) & (F.col("__to") - F.col("__c") < goal)).select(*by, "__part", (goal - F.col("__to") + F.col("__c")).alias("__place"))
-    inside = placed.join(home, [*by, "__part"]).groupBy(*by, "__place", value).agg(F.count("*").alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy(*by).orderBy(value))
-    return inside.withColumn("__to", upto).where((F.col("__to") >= F.col("__place")) & (F.col("__to") - F.col("__c") < F.col("__place"))).select(*by, value)
+    keys = [f"__k{i}" for i in range(max(1, len(by)))]
+    rows = df.where(F.col(value).isNotNull()).select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=False)), F.col(value).alias("__v"))
+    rows = rows if by else rows.withColumn("__k0", F.lit(0))
+    on = lambda left, right: functools.reduce(lambda a, b: a & b, (F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys))
+    place = F.greatest(F.lit(1), F.ceil(F.col("inside") * F.lit(q) - F.lit(1e-9)))
+    state = rows.groupBy(*keys).agg(F.count("*").alias("inside"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+    state = written(state.select(*keys, "low", "high", "inside", place.alias("place"), F.lit(0.02).alias("margin"), F.lit(False).alias("stuck")))
+    open_ = (F.col("inside") > few) & (F.col("low") < F.col("high")) & ~F.col("stuck")
+
+    def inside(g: DataFrame, *more: str) -> DataFrame:
+        g = F.broadcast(g) if not P.oversized(g, groups) else g
+        return rows.alias("r").join(g.alias("g"), on("r", "g")).where(F.col("__v").between(F.col("low"), F.col("high"))).select("r.*", *more)
+
+    number = F.col("__v").cast("double")  # a bracket in doubles holds all values that round to its ends
+    while not state.where(open_).isEmpty():
+        part = inside(state.where(open_), "place", "inside", "margin").groupBy(*keys, "place", "inside", "margin").agg(F.kll_sketch_agg_double(number).alias("s"))
+        rank = F.col("place") / F.col("inside")
+        # a sketch answers constant ranks only: it gives 257 of them, and the bracket is cut at two
+        grid = part.withColumn("cuts", F.kll_sketch_get_quantile_double("s", F.array(*(F.lit(i / 256) for i in range(257)))))
+        cut = lambda i: F.element_at("cuts", F.greatest(F.lit(0), F.least(F.lit(256), i)).cast("int") + 1)
+        guess = written(grid.select(*keys, cut(F.floor((rank - F.col("margin")) * 256)).alias("from"), cut(F.ceil((rank + F.col("margin")) * 256)).alias("to")))
+        ahead = state.alias("a").join(guess.alias("b"), on("a", "b")).select("a.*", "from", "to")
+        between = number.between(F.col("from"), F.col("to"))
+        counts = inside(ahead, "from", "to").groupBy(*keys).agg(F.count_if(number < F.col("from")).alias("below"), F.count_if(between).alias("between"), F.min(F.when(between, F.col("__v"))).alias("new_low"), F.max(F.when(between, F.col("__v"))).alias("new_high"))
+        hit = F.coalesce((F.col("place") > F.col("below")) & (F.col("place") <= F.col("below") + F.col("between")) & (F.col("between") < F.col("inside")), F.lit(False))
+        take = lambda new, old: F.when(hit, new).otherwise(F.col(old)).alias(old)
+        # where even a bracket of the whole group is no narrower, its values are counted as they are
+        state = written(state.alias("a").join(counts.alias("b"), on("a", "b"), "left").select(
+            *(f"a.{k}" for k in keys), take(F.col("new_low"), "low"), take(F.col("new_high"), "high"), take(F.col("between"), "inside"), take(F.col("place") - F.col("below"), "place"),
+            F.when(hit, 0.02).otherwise(F.col("margin") * 2).alias("margin"), (F.col("stuck") | (~hit & (F.col("margin") > 1))).alias("stuck")))
+    kept = inside(state, "place").groupBy(*keys, "place", "__v").agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__v"))
+    found = kept.withColumn("__to", upto).where((F.col("__to") >= F.col("place")) & (F.col("__to") - F.col("__c") < F.col("place")))
+    return found.select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=False)), F.col("__v").alias(value))
 
 
 def call_cost(calls: DataFrame, rates: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import bisect
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,17 +16,41 @@ from tidepool.functions import values as V
 FAILURE_FLOOR = {"lossy": 1, "self_healing": 2}
 
 
-def streaks(log: DataFrame, by: str, order: list[str], failed: Column, neutral: Column | None = None) -> DataFrame:
-    """log with streak: consecutive failures up to and with each row. Success resets it; neutral rows leave it as it is."""
-    w = Window.partitionBy(by).orderBy(*order)
-    skip = F.lit(False) if neutral is None else neutral
-    island = F.sum((~failed & ~skip).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = log.withColumn("__island", island).withColumn("__bad", (failed & ~skip).cast("int"))
-    return rows.withColumn("streak", F.sum("__bad").over(Window.partitionBy(by, "__island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).drop("__island", "__bad")
+def _sliced(log: DataFrame, by: str, order: list[str], failed: Column, neutral: Column | None, seconds: int) -> tuple[DataFrame, DataFrame]:
+    """log with its place in a slice of time, and (by, __slice, lead, best, carry): what each slice begins with, its best run, and the run that comes into it.
 
+    A slice is summed up as its run up to the first reset, its run after the last one, and whether it has a reset. Such sums
+    join to that of a longer stretch, so only slices are ordered over a whole key; rows are ordered within theirs.
+    """
+    skip = F.lit(False) if neutral is None else F.coalesce(neutral, F.lit(False))
+    rows = log.withColumns({"__slice": F.floor(F.unix_micros(F.col(order[0]).cast("timestamp")) / (seconds * 1_000_000)), "__bad": (failed & ~skip).cast("int"), "__reset": (~failed & ~skip).cast("int")})
+    within = Window.partitionBy(by, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__island", F.coalesce(F.sum("__reset").over(within), F.lit(0)))
+    parts = rows.groupBy(by, "__slice", "__island").agg(F.coalesce(F.sum("__bad"), F.lit(0)).alias("n"))
+    sums = parts.groupBy(by, "__slice").agg(F.coalesce(F.max(F.when(F.col("__island") == 0, F.col("n"))), F.lit(0)).alias("lead"), F.max_by("n", "__island").alias("trail"), F.max("n").alias("best"), F.max("__island").alias("resets"))
+    key = Window.partitionBy(by).orderBy("__slice")
+    sums = sums.withColumn("__stretch", F.sum((F.col("resets") > 0).cast("int")).over(key.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = F.sum("trail").over(Window.partitionBy(by, "__stretch").orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0))  # the run that a slice ends with
+    return rows, sums.withColumn("__ends", ends).select(by, "__slice", "lead", "best", F.coalesce(F.lag("__ends").over(key), F.lit(0)).alias("carry"))
+
+
+def streaks(log: DataFrame, by: str, order: list[str], failed: Column, neutral: Column | None = None, seconds: int = 86_400) -> DataFrame:
+    """log with streak: consecutive failures up to and with each row. Success resets it; neutral rows leave it as it is.
+
+    order begins with a time; time is cut into slices of that many seconds, and no task orders more of a key than a slice.
+    """
+    rows, sums = _sliced(log, by, order, failed, neutral, seconds)
+    local = F.sum("__bad").over(Window.partitionBy(by, "__slice", "__island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__local", local).withColumnRenamed("__slice", "__own")
+    own = sums.select(F.col(by).alias("__by"), F.col("__slice").alias("__of"), "carry")
+    joined = rows.join(own, F.col(by).eqNullSafe(F.col("__by")) & F.col("__own").eqNullSafe(F.col("__of")))
+    return joined.select(*log.columns, (F.col("__local") + F.when(F.col("__island") == 0, F.col("carry")).otherwise(0)).alias("streak"))
 
-def longest_streak(log: DataFrame, by: str, order: list[str], failed: Column, neutral: Column | None = None) -> DataFrame:
-    return streaks(log, by, order, failed, neutral).groupBy(by).agg(F.max("streak").alias("longest"))
+
+def longest_streak(log: DataFrame, by: str, order: list[str], failed: Column, neutral: Column | None = None, seconds: int = 86_400) -> DataFrame:
+    """(by, longest); see streaks."""
+    _, sums = _sliced(log, by, order, failed, neutral, seconds)
+    return sums.groupBy(by).agg(F.max(F.greatest("best", F.col("carry") + F.col("lead"))).alias("longest"))
 
 
 def run_state(log: DataFrame, run: str, at: str, finished: Column) -> DataFrame:
@@ -72,26 +99,70 @@ def rate_audit(log: DataFrame, by: str, at: str, seconds: int, limit: int) -> Da
     return counted.drop("__t", "__span", "__own").withColumn("over", F.col("in_window") > limit)
 
 
-def heartbeats(log: DataFrame, by: str, at: str, seconds: int) -> DataFrame:
-    """(by, at) of the rows that are emitted: the first, then each that comes seconds or more after the last emitted one.
+def chain_exits(times: np.ndarray, wait: int, until: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted times of one block: (entries, exits). A chain that may go on from a time t not after until begins at the first row from t on; the first
+    entry not before t gives the last row that the chain takes in this block.
 
-    Each depends on the one before. Rows arrive sorted within their key from Spark's shuffle and only the last
-    emitted time is kept, so a key of any length streams through.
+    Each row points to the next that the chain takes after it; pointers are followed in doubling steps until all stand at their last.
+    """
+    n = len(times)
+    after = np.searchsorted(times, times + wait)
+    jump = np.where(after < n, after, np.arange(n))
+    while len(step := jump[jump]) and (step != jump).any():
+        jump = step
+    first = np.arange(min(n, np.searchsorted(times, until) + 1))
+    last = jump[first]
+    # neighbours that lead to the same end are one entry, at the latest of them
+    ends = np.flatnonzero(np.append(last[1:] != last[:-1], True)) if len(first) else first
+    return times[first[ends]], times[last[ends]]
+
+
+def chain_rows(times: np.ndarray, wait: int, t: int) -> np.ndarray:
+    """The rows that a chain takes which may begin at t."""
+    out, i = [], int(np.searchsorted(times, t))
+    while i < len(times):
+        out.append(i)
+        i = int(np.searchsorted(times, times[i] + wait))
+    return np.array(out, np.int64)
+
+
+def heartbeats(log: DataFrame, by: str, at: str, seconds: int, block_seconds: int | None = None) -> DataFrame:
+    """(by, at) of the rows that are emitted: the first of each key, then each that comes seconds or more after the last emitted one.
+
+    Each depends on the one before, but time is cut into blocks: for each place where a chain may enter a block, the block tells
+    where it leaves; only these few entries go through a key in order; then every block emits its rows by itself.
+    So no task holds more rows of a key than a block. Rows without a time or a key are left out.
     """
-    rows = log.select(by, F.col(at).alias("at")).repartition(F.col(by)).sortWithinPartitions(by, "at")
-    gap = pd.Timedelta(seconds=seconds)
-
-    def run(batches):
-        key, last = None, None
-        for pdf in batches:
-            keep = []
-            for k, t in zip(pdf[by].tolist(), pdf["at"], strict=True):
-                emit = k != key or t - last >= gap
-                key, last = k, t if emit else last
-                keep.append(emit)
-            yield pdf[keep]
-
-    return rows.mapInPandas(run, rows.schema)
+    wait = seconds * 1_000_000
+    width = max(wait, (block_seconds or 64 * seconds) * 1_000_000)
+    rows = log.where(F.col(at).isNotNull() & F.col(by).isNotNull()).select(F.col(by).alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"))
+    rows = rows.withColumn("block", F.floor(F.col("us") / width))
+    kind = rows.schema["k"].dataType.simpleString()
+
+    def entries(group: pa.Table) -> pa.Table:
+        times = np.sort(group["us"].to_numpy())
+        block = group["block"][0].as_py()
+        enter, leave = chain_exits(times, wait, block * width + wait)
+        return pa.table({"k": group["k"].slice(0, 1), "block": pa.array([block], pa.int64()), "enter": pa.array([enter], pa.list_(pa.int64())), "leave": pa.array([leave], pa.list_(pa.int64()))})
+
+    def compose(group: pa.Table) -> pa.Table:
+        group = group.sort_by("block")
+        t, starts = -(1 << 62), []
+        for enter, leave in zip(group["enter"].to_pylist(), group["leave"].to_pylist(), strict=True):
+            starts.append(t)
+            i = bisect.bisect_left(enter, t)
+            t = leave[i] + wait if i < len(enter) else t
+        return pa.table({"k": group["k"], "block": group["block"], "start": pa.array(starts, pa.int64())})
+
+    def emit(group: pa.Table, start: pa.Table) -> pa.Table:
+        times = np.sort(group["us"].to_numpy()) if group.num_rows else np.zeros(0, np.int64)
+        taken = times[chain_rows(times, wait, start["start"][0].as_py())] if len(times) else times
+        return pa.table({"k": group["k"].take(pa.array(np.zeros(len(taken), np.int64))), "us": pa.array(taken, pa.int64())})
+
+    tables = rows.groupBy("k", "block").applyInArrow(entries, f"k {kind}, block long, enter array<long>, leave array<long>")
+    starts = tables.groupBy("k").applyInArrow(compose, f"k {kind}, block long, start long")
+    out = rows.groupBy("k", "block").cogroup(starts.groupBy("k", "block")).applyInArrow(emit, f"k {kind}, us long")
+    return out.select(F.col("k").alias(by), F.timestamp_micros("us").alias("at"))
 
 
 def usage_by(calls: DataFrame, *keys: str) -> DataFrame:

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidepool.operators import audits, cards, decisions
+from tidepool.operators import audits, cards, decisions, metrics, runs
 from tidepool.plans.registry import day_text, query
 from tidepool.plans.views import pick, texts
 from tidepool.sources.keyed_table import KeyedTable
@@ -154,3 +154,31 @@ def stream_cards(events):
     write = table.batch_writer("cards", lambda b: b.where("event_type IN ('signup', 'error')"), order=[F.asc("ts"), F.asc("event_id")], when=earlier)
     streams.run_batches(events, write, f"{folder}/state")
     return table.rows().select("user_id", "event_type", "event_id")
+
+
+# --- streaks, heartbeats and percentiles without a whole key in one task ---
+
+
+@query("""WITH g AS (SELECT *, event_type = 'error' AS bad, event_type = 'signup' AS skip FROM events), i AS (SELECT *, sum(CASE WHEN NOT bad AND NOT skip THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id) AS island FROM g)
+    SELECT event_id, sum(bad::INT) OVER (PARTITION BY island ORDER BY ts, event_id)::BIGINT AS streak FROM i""")
+def streaks_of_all(events):
+    """The streak up to each row over the whole log: one key holds every row, and its slices of a day share the work."""
+    out = runs.streaks(events.withColumn("all", F.lit(1)), "all", ["ts", "event_id"], F.col("event_type") == "error", F.col("event_type") == "signup")
+    return out.select("event_id", "streak")
+
+
+@query("""WITH RECURSIVE e AS (SELECT CASE WHEN user_id % 3 = 0 THEN -1 ELSE user_id END AS k, ts FROM events), n AS (SELECT a.k, a.ts, (SELECT min(b.ts) FROM e b WHERE b.k = a.k AND b.ts >= a.ts + INTERVAL 6 HOUR) AS next FROM (SELECT DISTINCT k, ts FROM e) a),
+    c AS (SELECT k, min(ts) AS ts FROM e GROUP BY 1 UNION ALL SELECT c.k, n.next FROM c JOIN n USING (k, ts) WHERE n.next IS NOT NULL)
+    SELECT k, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM c""")
+def heartbeats_throttled(events):
+    """At most one heartbeat in six hours for each run; a third of all rows belong to one run."""
+    log = events.select(F.when(F.col("user_id") % 3 == 0, -1).otherwise(F.col("user_id")).alias("k"), "ts")
+    return runs.heartbeats(log, "k", "ts", 6 * 3600, 24 * 3600).select("k", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("""SELECT event_type, quantile_disc(v, 0.5) AS middle, quantile_disc(v, 0.99) AS high FROM (SELECT event_type, CASE WHEN event_id % 50 = 0 THEN value * 1e13 WHEN event_id % 3 = 0 THEN 7 ELSE value END AS v FROM events) GROUP BY 1""")
+def percentile_heavy_tail(events):
+    """Percentiles where a few values are a million million times the others and a third are equal."""
+    v = events.select("event_type", F.when(F.col("event_id") % 50 == 0, F.col("value") * 1e13).when(F.col("event_id") % 3 == 0, 7).otherwise(F.col("value")).alias("v"))
+    each = lambda q, name: metrics.nearest_rank(v, "v", q, ["event_type"], 500).withColumnRenamed("v", name)
+    return each(0.5, "middle").join(each(0.99, "high"), "event_type")

@@ -5,13 +5,13 @@ The transformations hold for batch and stream alike, so a stream over a table mu
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.session import shared_folder
+
 
 def day_rollup(rows: DataFrame, by: list[str], at: str, delay: str = "1 day") -> DataFrame:
     """Counts and sums per key and day."""
@@ -62,16 +62,6 @@ def run_available(stream: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one only where all runs on one machine."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        top = f"file://{tempfile.gettempdir()}"
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def files_of(table: DataFrame, name: str) -> tuple[str, str]:
     """The folder that holds a table's files and a pattern of their names: its own folder, or for a table of one file that file alone."""
     first = table.inputFiles()[0]
