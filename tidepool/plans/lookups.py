@@ -1,12 +1,16 @@
-"""Named queries over lookups: registrable domains by public suffix rules. Registered beside those of registry."""
+"""Named queries over what comes from outside: registrable domains by public suffix rules, feed documents, nested documents. Registered beside those of registry."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as X
+from tidepool.operators import documents
 from tidepool.plans.registry import query
 from tidepool.plans.views import pick
+from tidepool.sources import feed_documents, readers
 
 _HOSTS = (".co.uk", ".github.io", ".ck", ".www.ck", ".a.b.ck", ".city.kawasaki.jp", ".x.kawasaki.jp", ".nhs.uk", ".sch.uk", ".com.au", ".blogspot.com", ".io", ".unlisted")
 _ENDS = (*_HOSTS, *(h[1:] for h in _HOSTS), "10.0.0.7", "localhost", ".co.uk.", ".eu-west.compute.amazonaws.com")
@@ -36,3 +40,70 @@ def public_suffix_domains(pages):
     host = F.when(F.startswith(end, F.lit(".")), F.concat(F.lit("WWW."), word, end)).otherwise(end)
     url = F.concat(pick(F.col("page_id") % 3, "https://", "http://user:pw@", ""), host, pick(F.col("page_id") % 4, "/a.b/c", ":8080/x?y=z.com", "", "#top"))
     return pages.select("page_id", X.registrable_domain(url).alias("domain"), X.registrable_domain(url, X.suffix_rules(private=True)).alias("hosted"))
+
+
+# --- feeds ---
+
+
+def _feed_documents(documents):
+    """Ten documents to a feed, RSS and Atom by turns: entries without a link, undated ones, initials of a zone, and feeds that break off."""
+    d = F.col("doc_id")
+    day = F.date_add(F.lit(dt.date(2024, 1, 1)), (d % 28).cast("int"))
+    title = F.concat(F.lit("T"), d.cast("string"), F.lit(" &amp; "), F.coalesce("lang", F.lit("?")))
+    link = F.concat(F.lit("https://ex.org/"), d.cast("string"))
+    rss = F.concat(F.lit("<item><title><![CDATA[T"), d.cast("string"), F.lit(" & "), F.coalesce("lang", F.lit("?")), F.lit("]]></title>"), F.when(d % 11 != 0, F.concat(F.lit("<link>"), link, F.lit("</link>"))).otherwise(""),
+                   F.when(d % 13 != 0, F.concat(F.lit("<pubDate>Mon, "), F.date_format(day, "dd MMM yyyy"), F.lit(" 10:00:00 "), pick(d % 3, "+0200", "GMT", "EST"), F.lit("</pubDate>"))).otherwise(""), F.lit("<dc:creator>"), F.coalesce("source", F.lit("")), F.lit("</dc:creator></item>"))
+    atom = F.concat(F.lit("<entry><title>"), title, F.lit("</title>"), F.when(d % 11 != 0, F.concat(F.lit('<link rel="self" href="no"/><link href="'), link, F.lit('"/>'))).otherwise(""),
+                    F.when(d % 13 != 0, F.concat(F.lit("<updated>"), F.date_format(day, "yyyy-MM-dd"), F.lit("T10:00:00"), pick(d % 3, "+02:00", "Z", "-05:00"), F.lit("</updated>"))).otherwise(""), F.lit("<author><name>"), F.coalesce("source", F.lit("")), F.lit("</name><uri>u</uri></author></entry>"))
+    feed = F.floor(d / 10)
+    items = documents.select(feed.alias("feed"), "doc_id", F.when(feed % 2 == 0, rss).otherwise(atom).alias("item")).groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("doc_id", "item"))).alias("items"))
+    body = F.array_join(F.transform("items", lambda x: x["item"]), "\n")
+    end = F.when(F.col("feed") % 9 == 4, "<item><title>oops").when(F.col("feed") % 2 == 0, "</channel></rss>").otherwise("</feed>")
+    head = F.when(F.col("feed") % 2 == 0, '<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>c</title>').otherwise('<feed xmlns="http://www.w3.org/2005/Atom"><title>c</title>')
+    whole = F.when(F.col("feed") % 17 == 0, "<html><body>Too many requests</body></html>").otherwise(F.concat(head, body, end))
+    return items.select("feed", whole.alias("document"))
+
+
+@query("""SELECT doc_id // 10 AS feed, 'https://ex.org/' || doc_id AS url, 'T' || doc_id || ' & ' || coalesce(lang, '?') AS title, nullif(coalesce(source, ''), '') AS author,
+    strftime(CASE WHEN doc_id % 13 <> 0 THEN DATE '2024-01-01' + CAST(doc_id % 28 AS INTEGER) + CASE doc_id % 3 WHEN 0 THEN INTERVAL 8 HOUR WHEN 1 THEN INTERVAL 10 HOUR ELSE INTERVAL 15 HOUR END END, '%Y-%m-%d %H:%M') AS at
+    FROM documents WHERE doc_id % 11 <> 0 AND (doc_id // 10) % 17 <> 0 AND (doc_id % 13 = 0 OR doc_id % 28 >= 10)""")
+def feed_documents_read(documents):
+    """RSS and Atom documents to entries of one shape: dates of mail and ISO 8601 in all zones, stale ones dropped, what stands before a break kept."""
+    raw = feed_documents.entries_of(_feed_documents(documents), "document", "feed").where("position >= 0")
+    out = readers.feed_entries(raw, dt.datetime(2024, 1, 13), 2, source="feed")
+    return out.select("feed", "url", "title", F.col("raw")["author"].alias("author"), F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("at"))
+
+
+@query("""WITH f AS (SELECT doc_id // 10 AS feed, doc_id FROM documents) SELECT CASE WHEN feed % 17 = 0 THEN 'none' WHEN feed % 2 = 0 THEN 'rss' ELSE 'atom' END AS format, count(*) FILTER (feed % 17 <> 0) AS entries,
+    count(*) FILTER (feed % 17 <> 0 AND doc_id % 11 = 0) AS unusable, count(DISTINCT feed) FILTER (feed % 17 = 0 OR feed % 9 = 4) AS faults FROM f GROUP BY 1""")
+def feed_faults(documents):
+    """What the feeds gave, what of it can't be stored, and how many documents broke off or were no feeds."""
+    return feed_documents.faults(feed_documents.entries_of(_feed_documents(documents), "document").withColumn("format", F.coalesce("format", F.lit("none"))), "format")
+
+
+# --- nested documents ---
+
+
+def _order_documents(orders, lineitem, changed: bool):
+    k = F.col("o_orderkey")
+    lines = lineitem.groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("int").alias("n")).agg(F.max(F.col("l_partkey")).alias("part"), F.max("l_returnflag").alias("flag"))
+    lines = lines.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "part", "flag"))).alias("lines"))
+    rows = orders.join(lines, k == F.col("k"), "left")
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    part = lambda x: F.when(k % 3 == 0, text(x["part"].cast("string"))).otherwise(x["part"].cast("string")) if changed else x["part"].cast("string")
+    line = lambda x: F.concat(F.lit('{"n": '), x["n"].cast("string"), F.lit(', "of": {"part": '), part(x), F.lit(', "a/b": '), text(x["flag"]), F.lit("}}"))
+    shown = F.coalesce("lines", F.array().cast("array<struct<n:int,part:bigint,flag:string>>"))
+    shown = F.when(k % 4 == 0, F.slice(shown, 1, 1)).otherwise(shown) if changed else shown
+    more = F.when(k % 5 == 0, F.concat(F.lit(', "note": {"by": null, "ok": '), F.lit("true" if changed else "false"), F.lit("}"))).when(k % 5 == 1, ', "tags": []' if changed else ', "tags": {}').otherwise("")
+    return rows.select(k.alias("order_id"), F.concat(F.lit('{"lines": ['), F.array_join(F.transform(shown, line), ", "), F.lit('], "status": '), text(F.col("o_orderstatus")), more, F.lit("}")).alias("doc"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, CAST(l_linenumber AS INTEGER) AS n, max(l_partkey) AS part, max(l_returnflag) AS flag FROM lineitem GROUP BY ALL), i AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n) - 1 AS i FROM l),
+    c AS (SELECT k, '/lines/' || i || '/of/part' AS path, 'changed' AS change, 'number' AS old_kind, CAST(part AS VARCHAR) AS old_value, 'string' AS new_kind, '"' || part || '"' AS new_value FROM i WHERE k % 3 = 0 AND (k % 4 <> 0 OR i = 0)),
+    g AS (SELECT k, '/lines/' || i AS p, n, part, flag FROM i WHERE k % 4 = 0 AND i > 0),
+    x AS (SELECT k, p || '/n' AS path, 'number' AS kind, CAST(n AS VARCHAR) AS v FROM g UNION ALL SELECT k, p || '/of/part', 'number', CAST(part AS VARCHAR) FROM g UNION ALL SELECT k, p || '/of/a~1b', 'string', '"' || flag || '"' FROM g)
+    SELECT k AS order_id, path, change, old_kind, old_value, new_kind, new_value FROM c SEMI JOIN orders ON o_orderkey = k UNION ALL SELECT k, path, 'removed', kind, v, NULL, NULL FROM x SEMI JOIN orders ON o_orderkey = k
+    UNION ALL SELECT o_orderkey, '/note/ok', 'changed', 'boolean', 'false', 'boolean', 'true' FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, '/tags', 'changed', 'object', '{}', 'array', '[]' FROM orders WHERE o_orderkey % 5 = 1""")
+def document_diff(orders, lineitem):
+    """Two versions of nested documents: a number that became a text, lines that went, a flag deep inside, an object that became an array."""
+    return documents.document_changes(_order_documents(orders, lineitem, False), _order_documents(orders, lineitem, True), "order_id", "doc")
