@@ -112,3 +112,100 @@ def test_table_cases(spark):
     assert got[0]["text"] == PROSE[0] and got[1]["text"] == got[2]["text"] == "" and got[3]["text"].count("\n") == 19_999
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert htmltext.extract(df.limit(0)).count() == 0
+
+
+INLINE = ['<script>var leaked = 1; if (a < b) { x("</p>"); }</script>', "<style>p { leaked: 1 }</style>", "<noscript>leaked</noscript>", "<button>leaked</button>", "<textarea>leaked <p>x</textarea>", "<svg><title>leaked</title><text>leaked</text></svg>", "<iframe>leaked</iframe>",
+          "<select><option>leaked<option>leaked</select>", "<label>leaked</label>", "<template><p>leaked</p></template>", '<span class="ad">leaked</span>', "<canvas>leaked</canvas>", "<object>leaked</object>", '<svg viewBox="0"/>', "<!-- leaked -->"]
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "main"])
+@pytest.mark.parametrize("inline", INLINE)
+def test_text_belongs_to_the_element_it_stands_in(inline, tag):
+    """Scripts, styles and widgets within a line, between lines, first and last: nothing of them, and nothing else lost."""
+    between = f"<{tag}>{inline}<p>{PROSE[0]}</p>{inline}<p>{PROSE[1]}</p>{inline}</{tag}>"
+    assert htmltext.main_text(f"<html><body>{between}</body></html>").split("\n") == PROSE[:2]
+    within = f"<{tag}><p>{inline}Before {inline}after{inline}, {PROSE[0]}</p><ul><li>{inline}one<li>two {inline}</ul><h2>{inline}Head</h2><p>{PROSE[1]}{inline}</p></{tag}>"
+    assert htmltext.main_text(f"<html><body>{within}</body></html>").split("\n") == [f"Before after, {PROSE[0]}", "one", "two", "Head", PROSE[1]]
+
+
+@pytest.mark.parametrize("heading", ["Responses to the crisis", "Comment on the budget", "Reply from the minister", "Advertisement in wartime", "Copyright law in Europe has changed"])
+def test_the_first_words_of_a_line_cut_nothing(heading):
+    page = f"<body><div><h1>Title</h1><p>{PROSE[0]}</p><h2>{heading}</h2><p>{PROSE[1]}</p><p>Copyright law in Europe, they say.</p><h2>Next</h2><p>{PROSE[2]}</p></div></body>"
+    assert htmltext.main_text(page).split("\n") == ["Title", PROSE[0], heading, PROSE[1], "Copyright law in Europe, they say.", "Next", PROSE[2]]
+
+
+def test_a_page_in_one_form_and_a_form_in_a_page():
+    body = f"<div><h1>Title</h1><p>{PROSE[0]}</p><p>{PROSE[1]}</p></div>"
+    assert htmltext.main_text(f"<body><form action=x><nav><a href=1>Home</a></nav>{body}<input type=hidden></form></body>").split("\n") == ["Title", *PROSE[:2]]
+    assert htmltext.main_text(f"<body>{body}<form><p>Your mail, please, and we will write to you.</p><input><button>Send</button></form></body>").split("\n") == ["Title", *PROSE[:2]]
+
+
+def test_a_list_of_sources_stays_and_a_list_of_other_pages_goes():
+    page = f"<body><div><h1>Title</h1><p>{PROSE[0]}</p><p>{PROSE[1]}</p><h2>Sources</h2><ul><li><a href=1>First source</a><li><a href=2>Second source</a></ul></div><div><a href=3>Other</a> <a href=4>Pages</a></div></body>"
+    assert htmltext.main_text(page).split("\n") == ["Title", *PROSE[:2], "Sources", "First source", "Second source"]
+
+
+def tree_text(node) -> list[str]:
+    """The blocks of a made tree (tag, children), by plain recursion: what a reader sees of the article."""
+    out, line = [], []
+
+    def walk(n):
+        if isinstance(n, str):
+            line.append(n)
+        elif n[0] not in ("script", "style", "button", "svg", "template", "select"):
+            block = n[0] in htmltext.BLOCK
+            if block:
+                end()
+            for c in n[1]:
+                walk(c)
+            if block:
+                end()
+
+    def end():
+        text = " ".join("".join(line).split())
+        line.clear()
+        if text:
+            out.append(text)
+    walk(node)
+    end()
+    return out
+
+
+LEAF = st.one_of(st.sampled_from([*PROSE, "short ", " & < ", "é日本 "]), st.tuples(st.sampled_from(["script", "style", "button", "svg", "template", "select"]), st.just(["leaked"])))
+INNER = st.tuples(st.sampled_from(["b", "i", "span", "em"]), st.lists(LEAF, min_size=1, max_size=3))
+BLOCKS = st.tuples(st.sampled_from(["p", "h2", "blockquote", "li", "div", "section"]), st.lists(st.one_of(LEAF, INNER), min_size=1, max_size=4))
+
+
+def html_of(node) -> str:
+    return escape.escape(node) if isinstance(node, str) else f"<{node[0]}>{''.join(map(html_of, node[1]))}</{node[0]}>"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(BLOCKS, max_size=6))
+def test_generated_articles_are_read_as_a_plain_walk_reads_them(blocks):
+    tree = ("article", [("h1", ["Title"]), ("p", [PROSE[0]]), *blocks, ("p", [PROSE[1]])])
+    page = f"<html><head><title>no</title></head><body><nav><a href=1>no</a></nav>{html_of(tree)}<footer>no</footer></body></html>"
+    assert htmltext.main_text(page).split("\n") == tree_text(tree)
+
+
+def test_how_much_the_clusters_decide(pages):
+    """Without what parts the clusters, lines come in on many of the fixture's pages: each page with an advert is decided by its ratios."""
+    decided = 0
+    for page in pages:
+        parser = htmltext.Lines()
+        parser.feed(page)
+        parser.close()
+        parser.flush()
+        with_all, with_cut = (htmltext.chosen(parser, cut) for cut in (lambda r: float(r.min()), htmltext.threshold))
+        assert not (with_cut & ~with_all).any()
+        decided += int((with_all & ~with_cut).sum())
+    assert decided > len(pages) // 4
+
+
+@pytest.mark.parametrize("page", ['<div class="ad">' * 40_000 + "x" + "</div>" * 40_000, "<div>" * 40_000 + "<p>x</p>" * 2000, '<div class="ad"><p>x</p>' * 20_000, "<div><h2>Comments</h2>" * 10_000])
+def test_deep_pages_take_no_longer_than_flat_ones(page):
+    import time
+
+    began = time.process_time()
+    htmltext.main_text(page)
+    assert time.process_time() - began < 5
