@@ -302,3 +302,41 @@ def test_suffix_rules_of_another_file(spark, tmp_path):
     assert rules == (frozenset({"com", "a.b.c.d.e"}), frozenset(), frozenset())
     df = spark.createDataFrame([("http://q.z.a.b.c.d.e",), ("http://q.x.com",), ("http://q.net",)], "t string")
     assert [r[0] for r in df.select(X.registrable_domain(F.col("t"), rules, unlisted=False)).collect()] == ["z.a.b.c.d.e", "x.com", None]
+
+
+def test_waits(spark):
+    df = spark.createDataFrame([(1, None), (3, None), (9, None), (1, 0.0), (2, -4.0), (1, 7.0), (1, 900.0)], "n int, own double")
+    wait = V.backoff_seconds(F.col("n"), 1.0, 30.0, F.col("own"), 60.0)
+    assert [r[0] for r in df.select(wait).collect()] == [1.0, 4.0, 30.0, 1.0, 2.0, 7.0, 60.0]
+    spread = V.backoff_seconds(F.col("n"), 1.0, 30.0, F.col("own"), 60.0, 0.5, V.draw_of(F.col("n"), F.col("own")))
+    both = df.select(wait.alias("w"), spread.alias("s"), F.col("own")).collect()
+    assert all((r["w"] == r["s"]) if (r["own"] or 0) > 0 else r["w"] / 2 < r["s"] <= r["w"] for r in both)
+    assert [r[0] for r in df.select(V.backoff_seconds(F.col("n"), 1.0, 30.0, jitter=0.5, draw=F.lit(1.0))).collect()][:2] == [0.5, 2.0]
+    with pytest.raises(ValueError, match="draw"):
+        V.backoff_seconds(F.col("n"), 1.0, 30.0, jitter=0.5)
+    texts = spark.createDataFrame([("7",), (" 2.5 ",), ("0",), ("-3",), ("soon",), ("Mon, 01 Jan 2024 00:02:00 GMT",), ("Sun, 31 Dec 2023 00:00:00 GMT",), ("nan",), (None,)], "t string")
+    assert [r[0] for r in texts.select(V.wait_header(F.col("t"), F.lit(TS(2024, 1, 1)))).collect()] == [7.0, 2.5, None, None, None, 120.0, None, None, None]
+
+
+def test_outlets_are_case_folded(spark):
+    df = spark.createDataFrame([("The STRASSE  Post",), ("Straße post",), ("ΟΔΟΣ",), ("οδος",)], "t string")
+    a, b, c, d = (r[0] for r in df.select(X.outlet_key(F.col("t"))).collect())
+    assert a == b == "strasse post" and c == d
+
+
+def test_credits_and_people_are_those_seen_first(spark):
+    def movie(i, cast, crew):
+        return json.dumps({"id": i, "credits": {"cast": cast, "crew": crew}})
+    docs = spark.createDataFrame([
+        (movie(2, [{"id": 5, "name": "Late", "credit_id": "z", "character": "Second"}, {"id": 5, "name": "Later", "credit_id": "z", "character": "Third"}], [{"id": 6, "name": "Bo", "credit_id": "z", "job": "Writer"}, {"id": 6, "name": "Bo 2", "credit_id": "y", "job": "Director"}]),),
+        (movie(1, [{"id": None, "name": "No", "credit_id": "n"}, {"id": 5, "name": "Ann", "credit_id": "x", "character": "First"}], [{"id": 7, "name": "Cy", "credit_id": None}, {"id": 6, "name": "B", "credit_id": "w", "job": "Editor"}]),)], "payload string")
+    m = readers.movies(docs)
+    got = {r["credit_id"]: (r["film_id"], r["credit_type"], r["character"], r["job"]) for r in readers.movie_credits(m).collect()}
+    assert got == {"z": (2, "cast", "Second", None), "x": (1, "cast", "First", None), "y": (2, "crew", None, "Director"), "w": (1, "crew", None, "Editor")}
+    assert {r["person_id"]: r["name"] for r in readers.movie_people(m).collect()} == {5: "Late", 6: "Bo", 7: "Cy"}
+
+
+def test_faults_of_replies(spark):
+    texts = ['[]', 'x [{"id": 1}] y', '[{"id": 1}', '[{"id": 1]', 'none', '', None, '{"a": [1]}', '["a"]', '[[1]]', '[null]']
+    df = spark.createDataFrame(list(enumerate(texts)), "call_id int, text string")
+    assert {r["call_id"]: r["fault"] for r in decisions.reply_faults(df).collect()} == {2: "no-array", 3: "malformed", 4: "no-array", 5: "no-array", 6: "no-array", 7: "not-decisions", 8: "not-decisions", 9: "not-decisions"}

@@ -78,8 +78,9 @@ def alnum_count(text: Column) -> Column:
 
 
 def outlet_key(outlet: Column) -> Column:
-    """Lower case, one space between words, no leading "the "."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(outlet), r"\s+", " ")), "^the ", "")
+    """Case folded (upper, then lower case, so that letters like the sharp s count as what they stand for), one space between words, no leading "the "."""
+    # not one right upon the other: Spark would take the inner one away
+    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(F.upper(outlet), r"\s+", " "))), "^the ", "")
 
 
 def name_key(name: Column) -> Column:

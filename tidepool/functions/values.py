@@ -60,10 +60,31 @@ def f1(precision: Column, recall: Column) -> Column:
     return ratio(2 * precision * recall, precision + recall, 0.0)
 
 
-def backoff_seconds(attempt: Column, base: float, cap: float, retry_after: Column | None = None) -> Column:
-    """base doubled with each attempt, at most cap; a server's own wait, clamped to cap, comes first."""
+def backoff_seconds(attempt: Column, base: float, cap: float, retry_after: Column | None = None, longest: float | None = None, jitter: float = 0.0, draw: Column | None = None) -> Column:
+    """The wait after an attempt (from 1): base doubled with each, at most cap, then shortened by up to jitter of itself.
+
+    A server's own wait comes first, clamped to longest (cap if none); one that isn't positive says nothing. draw: where in the
+    jitter a call lies, from 0 to 1; from a hash of its key (draw_of), so that calls that failed together part and a replay waits the same.
+    """
     own = F.least(F.lit(float(cap)), F.lit(float(base)) * F.pow(F.lit(2.0), attempt - 1))
-    return own if retry_after is None else F.when(retry_after.isNotNull(), F.least(retry_after.cast("double"), F.lit(float(cap)))).otherwise(own)
+    if jitter:
+        if draw is None:
+            raise ValueError("jitter needs a draw")
+        own = own * (F.lit(1.0) - F.lit(float(jitter)) * draw)
+    return own if retry_after is None else F.when(retry_after > 0, F.least(retry_after.cast("double"), F.lit(float(cap if longest is None else longest)))).otherwise(own)
+
+
+def draw_of(*key: Column) -> Column:
+    """A number from 0 up to 1 from the hash of a key."""
+    return F.pmod(F.xxhash64(*key), F.lit(1 << 30)) / float(1 << 30)
+
+
+def wait_header(text: Column, now: Column) -> Column:
+    """Seconds that a Retry-After header asks for: a number, or a date of mail less now; null for anything else, for what isn't finite and for what has passed."""
+    number = F.when(text.rlike(r"^\s*[0-9]+(\.[0-9]+)?\s*$"), F.try_to_number(F.trim(text), F.lit("999999999999.999999")).cast("double"))
+    date = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", ""), r" (?:GMT|UTC|UT)$", " +0000"), F.lit("d MMM yyyy HH:mm:ss Z"))
+    seconds = F.coalesce(number, (F.unix_micros(F.when(text.rlike("[A-Za-z]"), date)) - F.unix_micros(now)) / 1e6)
+    return F.when(seconds > 0, seconds)
 
 
 def token_estimate(text: Column) -> Column:

@@ -23,12 +23,38 @@ REPLY = "array<struct<id:string,film:bigint,confidence:double,reason:string,cate
 
 
 def parsed_replies(replies: DataFrame, text: str = "text", call: str = "call_id") -> DataFrame:
-    """(call, position, id, film, confidence, reason, category) of each array found in a reply; a malformed one gives no rows."""
+    """(call, position, id, film, confidence, reason, category) of each array found in a reply; a malformed one gives no rows (see reply_faults)."""
     from tidepool.functions.text import json_span
 
     return replies.select(call, F.posexplode(F.from_json(json_span(F.col(text), array=True), REPLY)).alias("position", "r")).select(call, "position", "r.*")
 
 
+def fault_of(text: Column) -> Column:
+    """What is wrong with a reply: no-array, malformed (no JSON, or one broken off) or not-decisions (an array of anything but objects); null if nothing is. An empty array is an answer."""
+    from tidepool.functions.text import json_span
+
+    span = json_span(text, array=True)
+    value = F.try_parse_json(span)
+    kind = F.schema_of_variant(value)
+    return F.when(span.isNull(), "no-array").when(value.isNull(), "malformed").when(~kind.startswith("ARRAY<OBJECT") & (kind != "ARRAY<VOID>"), "not-decisions")
+
+
+def reply_faults(replies: DataFrame, text: str = "text", call: str = "call_id") -> DataFrame:
+    """(call, fault) of the replies that can't be read: calls to be made again."""
+    return replies.select(call, fault_of(F.col(text)).alias("fault")).where("fault IS NOT NULL")
+
+
+def answered_calls(replies: DataFrame, started: str = "started_at", finished: str = "finished_at", text: str = "text", call: str = "call_id") -> DataFrame:
+    """(call, fault, n_decisions, latency_ms, and the four token counts, 0 where the reply tells none): what each call of a classifier gave and cost."""
+    from tidepool.functions.text import json_span
+
+    fault = fault_of(F.col(text))
+    n = F.when(fault.isNull(), F.size(F.from_json(json_span(F.col(text), array=True), REPLY))).otherwise(0)
+    tokens = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")]
+    latency = ((F.unix_micros(finished) - F.unix_micros(started)) / 1000).cast("long")
+    return replies.select(call, fault.alias("fault"), n.cast("long").alias("n_decisions"), latency.alias("latency_ms"), *tokens)
+
+
 def apply_links(stories: DataFrame, replies: DataFrame, offered: DataFrame, floor: float, *, story: str = "story_id") -> DataFrame:
     """Each story with link_status, film and note. replies: (story, seq, film_index, confidence, reason, category), the last of a story counts.
 

@@ -157,3 +157,40 @@ def visible_calendar(releases: DataFrame, films: DataFrame, genres: DataFrame, d
     three = top_n(P.having(genres, once, "film_id"), ["film_id"], [F.asc("name")], 3, "place")
     return (once.withColumn("label", label).join(ordered_join(three, ["film_id"], "name", ["place"], "genres"), "film_id", "left")
             .join(ordered_join(P.having(directors, once, "film_id"), ["film_id"], "name", ["credit_order", "name"], "directors"), "film_id", "left"))
+
+
+def other_titles(films: DataFrame, titles: DataFrame, n: int = 8) -> DataFrame:
+    """(film_id, title, position): each film's titles that are neither its title nor its original one in any casing; one of each casing (the least), the first n by lower case."""
+    own = films.select("film_id", F.lower("title").alias("__a"), F.lower("original_title").alias("__b"))
+    low = F.lower(titles["title"])
+    other = titles.join(own, "film_id").where(~low.eqNullSafe(F.col("__a")) & ~low.eqNullSafe(F.col("__b")) & titles["title"].isNotNull()).select("film_id", "title")
+    return distinct_casings(other, "film_id", "title", [], n).withColumnRenamed("rank", "position")
+
+
+def film_page(films: DataFrame, *, events: DataFrame, summaries: DataFrame, members: DataFrame, stories: DataFrame, releases: DataFrame, genres: DataFrame, companies: DataFrame,
+              collections: DataFrame, titles: DataFrame, credits: DataFrame, hidden: tuple[str, ...] = ("other",), home: str = "US", billed: int = 12, outlets: int = 3) -> DataFrame:
+    """Films with all that their pages show: stage, and as ordered arrays events (oldest first, with summary, whether it was edited, and sources of different outlets), release_dates,
+    genres, production_companies, alternative_titles, cast and crew; collection is one struct or null.
+
+    films: (film_id, title, original_title, status, origin, collection_id, ...); events: (event_id, film_id, event_type, region, confidence, provenance, created_at); summaries: (event_id, summary, edited_at);
+    members: (event_id, story_id); stories: (story_id, outlet, url, headline, published_at); releases: (film_id, iso_3166_1, release_type, release_date, certification); genres, companies: (film_id, id, name);
+    collections: (collection_id, name, poster_path); titles: (film_id, title); credits: (film_id, name, credit_type, character, job, department, credit_order).
+    Each collection is cut and gathered by film before it is joined, so nothing multiplies.
+    """
+    key = films.select("film_id", "origin")
+    place = lambda rows, *order: rows.withColumn("position", F.row_number().over(Window.partitionBy("film_id").orderBy(*order)))
+    shown = events.join(key, "film_id").join(summaries, "event_id").where(P.visible_event(F.col("event_type"), hidden) & P.region_visible(F.col("event_type"), F.col("region"), F.col("origin"), home))
+    told = top_n_distinct(P.having(members, shown, "event_id").join(stories, "story_id"), ["event_id"], X.outlet_key(F.col("outlet")), [F.col("published_at").desc_nulls_last(), F.asc("story_id")], outlets)
+    sources = told.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url", "outlet", "headline", "published_at"))), lambda x: x.dropFields("rank")).alias("sources"))
+    shown = shown.join(sources, "event_id", "left").withColumn("sources", F.coalesce("sources", F.array().cast(sources.schema["sources"].dataType)))
+    shown = shown.select("film_id", "event_id", "event_type", "confidence", "created_at", "summary", F.col("edited_at").isNotNull().alias("summary_edited"), "provenance", "sources")
+    grade = V.mapped(F.col("release_type"), V.RELEASE_LABEL)
+    dates = releases.join(key, "film_id").where(P.displayable_release(F.col("release_type"), F.col("iso_3166_1"), F.col("origin"))).select("film_id", F.col("iso_3166_1").alias("country"), "release_type", grade.alias("type_label"), F.col("release_date").alias("date"), "certification")
+    billing = top_n(credits.where("credit_type = 'cast'"), ["film_id"], [F.col("credit_order").asc_nulls_last(), F.asc("name"), F.col("character").asc_nulls_last()], billed, "position")
+    crew = place(credits.where("credit_type = 'crew'"), *V.crew_order(F.col("department"), F.col("job"), F.col("credit_order"), F.col("name")))
+    out = detail(
+        films.withColumn("arc_stage", V.arc_stage(F.col("status"))), "film_id", events=place(shown, F.asc("created_at"), F.asc("event_id")), release_dates=place(dates, F.asc("date"), F.asc("release_type"), F.asc("country"), F.asc("certification")),
+        genres=place(genres, F.asc("name"), F.asc("id")).select("film_id", "position", "name"), production_companies=place(companies, F.asc("name"), F.asc("id")).select("film_id", "position", "name"),
+        alternative_titles=other_titles(films, titles).select("film_id", "position", "title"), cast=billing.select("film_id", "position", "name", "character"), crew=crew.select("film_id", "position", "name", "job", "department"))
+    one = collections.select("collection_id", F.struct("name", "poster_path").alias("collection"))
+    return out.join(one, "collection_id", "left").drop("collection_id")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as X
-from tidepool.operators import documents
+from tidepool.operators import decisions, documents, domains, feeds
 from tidepool.plans.registry import query
 from tidepool.plans.views import pick
+from tidepool.session import shared_folder
 from tidepool.sources import feed_documents, readers
 
 _HOSTS = (".co.uk", ".github.io", ".ck", ".www.ck", ".a.b.ck", ".city.kawasaki.jp", ".x.kawasaki.jp", ".nhs.uk", ".sch.uk", ".com.au", ".blogspot.com", ".io", ".unlisted")
@@ -107,3 +109,93 @@ def _order_documents(orders, lineitem, changed: bool):
 def document_diff(orders, lineitem):
     """Two versions of nested documents: a number that became a text, lines that went, a flag deep inside, an object that became an array."""
     return documents.document_changes(_order_documents(orders, lineitem, False), _order_documents(orders, lineitem, True), "order_id", "doc")
+
+
+# --- a film's page ---
+
+_PAGE = """f AS (SELECT p_partkey AS k, p_name AS title, p_brand AS original, CASE WHEN p_partkey % 2 = 0 THEN 'DE' END AS origin, p_partkey % 31 AS col FROM part),
+    l AS (SELECT l_partkey AS k, l_orderkey AS o, min(l_suppkey) AS s, max(l_shipdate) AS t, min(l_linenumber) AS n FROM lineitem GROUP BY 1, 2),
+    e AS (SELECT l.*, CASE WHEN n = 1 THEN 'release_date' WHEN n = 5 THEN 'other' ELSE 'casting' END AS kind, CASE o % 4 WHEN 1 THEN 'US' WHEN 2 THEN 'DE' WHEN 3 THEN 'FR' END AS region FROM l WHERE o % 3 <> 0),
+    v AS (SELECT e.* FROM e JOIN f USING (k) WHERE kind <> 'other' AND (kind <> 'release_date' OR region IS NULL OR region = 'US' OR coalesce(region = origin, false))),
+    st AS (SELECT l_orderkey AS o, l_suppkey AS s, max(l_shipdate) AS t FROM lineitem GROUP BY 1, 2),
+    so AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY o, s % 4 ORDER BY t DESC, s) = 1), sr AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY t DESC, s) AS r FROM so),
+    ss AS (SELECT o, string_agg(CAST(s AS VARCHAR), '+' ORDER BY r) AS src FROM sr WHERE r <= 3 GROUP BY o),
+    ev AS (SELECT k, string_agg(o || ':' || kind || ':' || (o % 5 = 0) || ':' || src, ',' ORDER BY t, CAST(o AS VARCHAR)) AS events FROM v JOIN ss USING (o) GROUP BY k),
+    rd AS (SELECT l_partkey AS k, l_linenumber AS y, CASE l_suppkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'DE' ELSE 'FR' END AS c, l_shipdate AS t, l_orderkey AS x FROM lineitem WHERE l_linenumber IN (2, 3)),
+    re AS (SELECT k, string_agg(strftime(t, '%Y-%m-%d') || c || CASE y WHEN 2 THEN 'Limited' ELSE 'Wide' END, ',' ORDER BY t, y, c, x) AS releases FROM rd JOIN f USING (k) WHERE c = 'US' OR coalesce(c = origin, false) GROUP BY k),
+    ge AS (SELECT k, string_agg(name, ',' ORDER BY name) AS genres FROM (SELECT DISTINCT l_partkey AS k, l_returnflag || l_linestatus AS name FROM lineitem) GROUP BY k),
+    co AS (SELECT k, string_agg(s_name, ',' ORDER BY s_name) AS companies FROM (SELECT DISTINCT l_partkey AS k, s_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey < 12) GROUP BY k),
+    ti AS (SELECT l_partkey AS k, CASE WHEN l_linenumber % 2 = 0 THEN c ELSE lower(c) END AS t FROM (SELECT *, CASE WHEN l_linenumber = 4 THEN upper(title) WHEN l_linenumber = 5 THEN original ELSE 'Alt ' || l_orderkey % 40 END AS c FROM lineitem JOIN f ON k = l_partkey)),
+    tl AS (SELECT ti.k, lower(t) AS low, min(t) AS t FROM ti JOIN f USING (k) WHERE lower(t) NOT IN (lower(title), lower(original)) GROUP BY ALL), tt AS (SELECT k, string_agg(t, ',' ORDER BY low) AS titles FROM (SELECT * FROM tl QUALIFY row_number() OVER (PARTITION BY k ORDER BY low) <= 8) GROUP BY k),
+    cr AS (SELECT l_partkey AS k, s_name AS name, l_linenumber AS n, l_orderkey AS o, l_returnflag AS fl FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+    ca AS (SELECT k, string_agg(name || '/' || ch, ',' ORDER BY n, name, ch) AS "cast" FROM (SELECT *, 'as ' || o AS ch FROM cr WHERE fl = 'N' QUALIFY row_number() OVER (PARTITION BY k ORDER BY n, name, ch) <= 12) GROUP BY k),
+    cw AS (SELECT k, string_agg(d || '/' || name, ',' ORDER BY CASE d WHEN 'Directing' THEN 0 WHEN 'Writing' THEN 1 WHEN 'Sound' THEN 5 ELSE 11 END, d, 'job ' || o, name) AS crew
+        FROM (SELECT *, CASE n WHEN 1 THEN 'Directing' WHEN 2 THEN 'Writing' WHEN 3 THEN 'Sound' ELSE '' END AS d FROM cr WHERE fl = 'A') GROUP BY k)"""
+
+
+@query(f"""WITH {_PAGE} SELECT f.k AS film_id, coalesce(events, '') AS events, coalesce(releases, '') AS release_dates, coalesce(genres, '') AS genres, coalesce(companies, '') AS companies, n_name AS collection, coalesce(titles, '') AS titles, coalesce("cast", '') AS "cast", coalesce(crew, '') AS crew
+    FROM f LEFT JOIN ev USING (k) LEFT JOIN re USING (k) LEFT JOIN ge USING (k) LEFT JOIN co USING (k) LEFT JOIN nation ON n_nationkey = col LEFT JOIN tt USING (k) LEFT JOIN ca USING (k) LEFT JOIN cw USING (k)""")
+def film_pages(part, lineitem, supplier, nation):
+    """Films with all eight collections of their pages."""
+    k, film = F.col("p_partkey"), F.col("l_partkey").alias("film_id")
+    films = part.select(k.alias("film_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("original_title"), F.lit("Released").alias("status"), F.when(k % 2 == 0, F.array(F.lit("DE"))).alias("origin"), (k % 31).alias("collection_id"))
+    made = lineitem.groupBy(film, F.col("l_orderkey").alias("event_id")).agg(F.max("l_shipdate").alias("created_at"), F.min("l_linenumber").alias("n"))
+    made = made.withColumn("event_key", F.concat_ws(":", "film_id", "event_id"))
+    events = made.select(F.col("event_key").alias("event_id"), "film_id", F.when(F.col("n") == 1, "release_date").when(F.col("n") == 5, "other").otherwise("casting").alias("event_type"), pick(F.col("event_id") % 4, None, "US", "DE", "FR").alias("region"),
+                         F.lit("confirmed").alias("confidence"), F.lit("story").alias("provenance"), "created_at")
+    summaries = made.where("event_id % 3 <> 0").select(F.col("event_key").alias("event_id"), F.col("event_id").cast("string").alias("summary"), F.when(F.col("event_id") % 5 == 0, F.col("created_at")).alias("edited_at"))
+    told = lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.max("l_shipdate").alias("published_at"))
+    story = F.col("l_orderkey") * 1_000_000 + F.col("l_suppkey")
+    members = made.select(F.col("event_key").alias("event_id"), F.col("event_id").alias("l_orderkey")).join(told.select("l_orderkey", "l_suppkey"), "l_orderkey").select("event_id", story.alias("story_id"))
+    stories = told.select(story.alias("story_id"), F.concat(F.lit("o"), (F.col("l_suppkey") % 4).cast("string")).alias("outlet"), F.col("l_suppkey").cast("string").alias("url"), F.lit("h").alias("headline"), "published_at")
+    releases = lineitem.select(film, pick(F.col("l_suppkey") % 3, "US", "DE", "FR").alias("iso_3166_1"), F.col("l_linenumber").alias("release_type"), F.col("l_shipdate").alias("release_date"), F.lit(None).cast("string").alias("certification"))
+    genres = lineitem.select(film, F.concat("l_returnflag", "l_linestatus").alias("name")).distinct().withColumn("id", F.lit(1))
+    companies = lineitem.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).where("s_nationkey < 12").select(film, F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")).distinct()
+    named = lineitem.join(part, F.col("l_partkey") == k)
+    text = F.when(F.col("l_linenumber") == 4, F.upper("p_name")).when(F.col("l_linenumber") == 5, F.col("p_brand")).otherwise(F.concat(F.lit("Alt "), (F.col("l_orderkey") % 40).cast("string")))
+    titles = named.select(film, F.when(F.col("l_linenumber") % 2 == 0, text).otherwise(F.lower(text)).alias("title"))
+    order = F.col("l_orderkey").cast("string")
+    credits = lineitem.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        film, F.col("s_name").alias("name"), F.when(F.col("l_returnflag") == "N", "cast").when(F.col("l_returnflag") == "A", "crew").alias("credit_type"), F.concat(F.lit("as "), order).alias("character"), F.concat(F.lit("job "), order).alias("job"),
+        pick(F.col("l_linenumber"), None, "Directing", "Writing", "Sound").alias("department"), F.when(F.col("l_returnflag") == "N", F.col("l_linenumber")).alias("credit_order"))
+    collections = nation.select(F.col("n_nationkey").alias("collection_id"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("poster_path"))
+    out = feeds.film_page(films, events=events, summaries=summaries, members=members, stories=stories, releases=releases, genres=genres, companies=companies, collections=collections, titles=titles, credits=credits)
+    joined = lambda c, f: F.array_join(F.transform(c, f), ",").alias(c)
+    event = lambda e: F.concat_ws(":", e["summary"], e["event_type"], e["summary_edited"].cast("string"), F.array_join(F.transform(e["sources"], lambda x: x["url"]), "+"))
+    return out.select("film_id", joined("events", event), joined("release_dates", lambda r: F.concat(F.date_format(r["date"], "yyyy-MM-dd"), r["country"], r["type_label"])), joined("genres", lambda g: g["name"]), joined("production_companies", lambda c: c["name"]).alias("companies"),
+                      F.col("collection.name").alias("collection"), joined("alternative_titles", lambda t: t["title"]).alias("titles"), joined("cast", lambda c: F.concat_ws("/", c["name"], c["character"])), joined("crew", lambda c: F.concat(F.coalesce(c["department"], F.lit("")), F.lit("/"), c["name"])))
+
+
+# --- domains and replies ---
+
+
+@query("""WITH d AS (SELECT DISTINCT source, CAST(coalesce(nullif(regexp_extract(source, '(\\d+)$', 1), ''), '0') AS INTEGER) AS n FROM documents WHERE source IS NOT NULL),
+    j AS (SELECT source AS domain, n, CASE WHEN n < 10 THEN CASE WHEN n % 2 = 0 THEN 'low' ELSE 'trusted' END ELSE 'acceptable' END AS tier, CASE WHEN n < 10 THEN 1 ELSE 2 END AS day FROM d WHERE n < 15),
+    o AS (SELECT lower(source) AS domain, n, CASE n % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'trust' ELSE 'none' END AS o FROM d WHERE n % 4 = 0),
+    x AS (SELECT coalesce(j.domain, o.domain) AS domain, tier AS llm_tier, coalesce(o, 'none') AS admin_override, CASE WHEN o IS NOT NULL THEN 3 ELSE day END AS day FROM j FULL JOIN o USING (domain))
+    SELECT domain, llm_tier, admin_override, CASE admin_override WHEN 'block' THEN 'blocked' WHEN 'trust' THEN 'trusted' ELSE coalesce(llm_tier, 'acceptable') END AS tier, day::INTEGER AS day, row_number() OVER (ORDER BY day DESC, domain) AS place FROM x""")
+def domain_table(documents):
+    """Domains judged once in two batches and overridden in a third, as the list shows them."""
+    rows = documents.where("source IS NOT NULL").select(F.col("source").alias("domain"), F.coalesce(F.nullif(F.regexp_extract("source", r"(\d+)$", 1), F.lit("")), F.lit("0")).cast("int").alias("n")).distinct()
+    table = domains.open_table(documents.sparkSession, shared_folder(documents.sparkSession))
+    first = rows.where("n < 10").select("domain", F.when(F.col("n") % 2 == 0, "low").otherwise("trusted").alias("tier"), F.lit("r").alias("reason"))
+    domains.judge(table, first, "m", dt.datetime(2024, 1, 1), 0)
+    domains.judge(table, rows.where("n < 15").select("domain", F.lit("acceptable").alias("tier"), F.lit("s").alias("reason")), "m", dt.datetime(2024, 1, 2), 1)
+    domains.override(table, rows.where("n % 4 = 0").select(F.concat(F.lit(" "), F.upper("domain")).alias("domain"), pick(F.col("n") % 3, "block", "trust", "none").alias("override")), dt.datetime(2024, 1, 3), 0)
+    out = domains.listed(table.rows())
+    place = F.row_number().over(Window.orderBy(F.desc("updated_at"), F.asc("domain")))  # a list of domains for a page
+    return out.select("domain", "llm_tier", "admin_override", "tier", F.dayofmonth("updated_at").alias("day"), place.alias("place"))
+
+
+@query("""WITH c AS (SELECT conv_id * 100 + turn AS call_id, turn, length(text) AS n, conv_id % 7 AS k FROM conversations WHERE text IS NOT NULL AND role = 'assistant')
+    SELECT call_id, CASE WHEN k = 0 THEN 2 WHEN k = 5 THEN 1 ELSE 0 END AS n_decisions, n + turn AS latency_ms, n AS input_tokens, CASE WHEN k = 4 THEN 0 ELSE n % 10 END AS output_tokens, 0 AS cache_read_tokens, 0 AS cache_write_tokens,
+        CASE k WHEN 1 THEN 'no-array' WHEN 2 THEN 'malformed' WHEN 3 THEN 'no-array' WHEN 6 THEN 'not-decisions' END AS fault FROM c""")
+def link_calls(conversations):
+    """What each call of a classifier gave and cost: broken replies are told apart from empty ones, with usage and latency."""
+    n = F.length("text")
+    reply = pick(F.col("conv_id") % 7, 'Sure: [{"id": "a", "film": 1, "confidence": 0.5, "reason": "about"}, {"id": "b", "film": null}] ok', "I can't say.", '[{"id": "a", "film": 1]', '{"id": "a"}', "[]", '```json\n[{"id": "c", "film": 3, "confidence": "x"}]\n```', '[1, 2] and [3')
+    start = F.lit(dt.datetime(2024, 1, 1))
+    calls = conversations.where("text IS NOT NULL AND role = 'assistant'").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("call_id"), reply.alias("text"), start.alias("started_at"), F.timestamp_micros(F.unix_micros(start) + (n + F.col("turn")).cast("long") * 1000).alias("finished_at"),
+        n.alias("input_tokens"), F.when(F.col("conv_id") % 7 != 4, n % 10).alias("output_tokens"), F.lit(None).cast("int").alias("cache_read_tokens"), F.lit(0).alias("cache_write_tokens"))
+    return decisions.answered_calls(calls)

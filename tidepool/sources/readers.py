@@ -34,11 +34,22 @@ def movies(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return _read(payloads, column).where("m IS NOT NULL AND m.__bad IS NULL").select("m.*", F.col(column).alias("raw")).drop("__bad").withColumn("release_date", F.try_to_date(F.nullif("release_date", F.lit(""))))
 
 
+def _credit_rows(m: DataFrame) -> DataFrame:
+    cast = m.select(F.col("id").alias("film_id"), F.posexplode("credits.cast").alias("position", "c")).select("film_id", "position", F.col("c.id").alias("person_id"), "c.name", "c.credit_id", F.lit("cast").alias("credit_type"), "c.character", F.lit(None).cast("string").alias("job"), F.lit(None).cast("string").alias("department"), F.col("c.order").alias("credit_order"))
+    crew = m.select(F.col("id").alias("film_id"), F.posexplode("credits.crew").alias("position", "c")).select("film_id", "position", F.col("c.id").alias("person_id"), "c.name", "c.credit_id", F.lit("crew").alias("credit_type"), F.lit(None).cast("string").alias("character"), "c.job", "c.department", F.lit(None).cast("int").alias("credit_order"))
+    return cast.unionByName(crew)
+
+
 def movie_credits(m: DataFrame) -> DataFrame:
-    """(film, person_id, name, credit_id, credit_type, job, department, credit_order), each credit_id once: cast before crew, then the lesser film id."""
-    cast = m.select(F.col("id").alias("film_id"), F.explode("credits.cast").alias("c")).select("film_id", F.col("c.id").alias("person_id"), "c.name", "c.credit_id", F.lit("cast").alias("credit_type"), F.lit(None).cast("string").alias("job"), F.lit(None).cast("string").alias("department"), F.col("c.order").alias("credit_order"))
-    crew = m.select(F.col("id").alias("film_id"), F.explode("credits.crew").alias("c")).select("film_id", F.col("c.id").alias("person_id"), "c.name", "c.credit_id", F.lit("crew").alias("credit_type"), "c.job", "c.department", F.lit(None).cast("int").alias("credit_order"))
-    return cast.unionByName(crew).groupBy("credit_id").agg(F.min(F.struct("credit_type", "film_id", "person_id", "name", "job", "department", "credit_order")).alias("s")).select("credit_id", "s.*")
+    """(film, person_id, name, credit_id, credit_type, character, job, department, credit_order), each credit_id once: the one seen first, cast before crew, each in its own order, then the lesser film id. Credits without an id or a person are dropped."""
+    rows = _credit_rows(m).where("credit_id IS NOT NULL AND person_id IS NOT NULL")
+    return rows.groupBy("credit_id").agg(F.min(F.struct("credit_type", "position", "film_id", "person_id", "name", "character", "job", "department", "credit_order")).alias("s")).select("credit_id", "s.*").drop("position")
+
+
+def movie_people(m: DataFrame) -> DataFrame:
+    """(person_id, name): each person once, with the name seen first, in cast before crew, each in its own order, then of the lesser film id."""
+    rows = _credit_rows(m).where("person_id IS NOT NULL AND name IS NOT NULL")
+    return rows.groupBy("person_id").agg(F.min(F.struct("credit_type", "position", "film_id", "name")).alias("s")).select("person_id", "s.name")
 
 
 def movie_release_dates(m: DataFrame) -> DataFrame:
