@@ -340,3 +340,21 @@ def test_faults_of_replies(spark):
     texts = ['[]', 'x [{"id": 1}] y', '[{"id": 1}', '[{"id": 1]', 'none', '', None, '{"a": [1]}', '["a"]', '[[1]]', '[null]']
     df = spark.createDataFrame(list(enumerate(texts)), "call_id int, text string")
     assert {r["call_id"]: r["fault"] for r in decisions.reply_faults(df).collect()} == {2: "no-array", 3: "malformed", 4: "no-array", 5: "no-array", 6: "no-array", 7: "not-decisions", 8: "not-decisions", 9: "not-decisions"}
+
+
+def test_numbers_of_documents_by_their_own_key(spark):
+    docs = [('{"k": 7}', 7), ('{"k": "7"}', None), ('{"a": {"k": "x"}, "k": -3}', -3), ('{"k": 7.5}', None), ('{"k": true}', None), ('{"k": 99999999999999999999}', None), ("no", None), (None, None), ('{"a": 1}', None), ('{"k": null}', None)]
+    df = spark.createDataFrame(docs, "t string, want long")
+    assert [r[0] for r in df.select(V.json_int(F.col("t"), "k")).collect()] == [w for _, w in docs]
+
+
+def test_small_helpers(spark, tmp_path):
+    log = spark.createDataFrame([(1, "running", TS(2024, 1, 1), TS(2024, 1, 1)), (2, "running", TS(2024, 1, 1), TS(2024, 1, 9)), (3, "finished", TS(2024, 1, 1), TS(2024, 1, 1))], "run int, status string, started_at timestamp, progressed_at timestamp")
+    assert rows(runs.cancel_stale(log, F.lit(TS(2024, 1, 5))).select("run", "status")) == [(1, "cancelled"), (2, "running"), (3, "finished")]
+    df = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 9), ("b", 9)], "k string, i int")
+    assert rows(decisions.chunked(df.where("k = 'a'"), "k", [F.asc("i")], 2).select("i", "chunk")) == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 2)]
+    assert rows(changes.duplicate_keys(df, ["k", "i"])) == [("b", 9, 2)]
+    assert sinks.report_lines(df.where("i = 4"), "%-3s|%3d", "k", "i").first()["line"] == "a  |  4"
+    assert streams.undated(spark.createDataFrame([(1, None), (2, TS(2024, 1, 1))], "i int, at timestamp"), "at").count() == 1
+    X.register(spark)
+    assert tuple(spark.sql("SELECT lower_nfc('E\u0301X'), name_key('  Straße  Ａ ')").first()) == ("éx", "strasse a")

@@ -143,6 +143,6 @@ def json_text(document: Column, key: str) -> Column:
 
 
 def json_int(document: Column, key: str) -> Column:
-    """A key's whole number; null for fractions, texts and booleans."""
-    return F.when(F.get_json_object(document, f"$.{key}").rlike(r"^-?\d+$") & ~F.regexp_like(document, F.lit(rf'"{key}"\s*:\s*"')),
-                  F.get_json_object(document, f"$.{key}").try_cast("long"))
+    """A key's whole number; null for fractions, texts, booleans and what is no readable document. Only the key's own value counts, whatever else stands in the document."""
+    value = F.try_variant_get(F.try_parse_json(document), f"$['{key}']", "variant")
+    return F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))

@@ -98,9 +98,9 @@ def class_counts(labels: DataFrame) -> DataFrame:
 def judge_verdict(reply: Column) -> tuple[Column, Column]:
     """(passed, reason) of a judge's JSON reply; whatever can't be read has failed."""
     span = X.json_span(reply)
-    said = F.get_json_object(span, "$.pass")
-    clear = F.coalesce(said.isin("true", "false") & ~F.regexp_like(span, F.lit(r'"pass"\s*:\s*"')), F.lit(False))
-    return clear & (said == "true"), F.when(clear, F.coalesce(F.get_json_object(span, "$.reason"), F.lit(""))).otherwise(F.lit("unparseable"))
+    said = F.try_variant_get(F.try_parse_json(span), "$.pass", "variant")
+    clear = F.coalesce(F.schema_of_variant(said) == "BOOLEAN", F.lit(False))
+    return clear & F.coalesce(F.try_variant_get(said, "$", "boolean"), F.lit(False)), F.when(clear, F.coalesce(F.get_json_object(span, "$.reason"), F.lit(""))).otherwise(F.lit("unparseable"))
 
 
 def redirect_target(body: Column) -> Column:

@@ -70,15 +70,6 @@ def band(value: Column, green: float, tune: float) -> Column:
     return F.when(value >= green, "green").when(value >= tune, "tune").otherwise("escalate")
 
 
-def cluster_gate(a: DataFrame, b: DataFrame, *, film: str = "film_id", event: str = "event_id") -> DataFrame:
-    """Do two clusterings agree in size: the share of films within one event of each other, and the totals within a tenth."""
-    count = lambda df, n: df.groupBy(film).agg(F.count_distinct(event).alias(n))
-    both = count(a, "a").join(count(b, "b"), film, "full_outer").select(F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
-    t = both.agg(F.count("*").alias("films"), F.count_if(F.abs(F.col("a") - F.col("b")) <= 1).alias("near"), F.sum("a").alias("total_a"), F.sum("b").alias("total_b"))
-    share = V.ratio(F.col("near"), F.col("films"), 1.0)
-    return t.withColumn("near_share", share).withColumn("passed", (share >= 0.9) & (F.abs(F.col("total_a") - F.col("total_b")) <= 0.1 * F.col("total_a")))
-
-
 def majority_type(df: DataFrame, cluster: str, gold_type: str) -> DataFrame:
     """The commonest type of each cluster, the least of equals."""
     n = df.groupBy(cluster, gold_type).agg(F.count("*").alias("n"))
