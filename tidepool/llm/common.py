@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +71,21 @@ def hash_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
     n = df.count()
     h = F.pmod(F.xxhash64(*columns), F.lit(1 << 40))
     return df.withColumn("__h", h).where(F.col("__h") < int((1 << 40) * min(1.0, (1.2 * rows + 50) / max(1, n)))).orderBy("__h").limit(rows).drop("__h")
+
+
+def give_back() -> None:
+    """Return freed memory to the system. A Python worker serves many tasks of unlike stages, and its allocators keep what one of them freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library of Linux; others give back by themselves
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives memory back at the end of its partition."""
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole

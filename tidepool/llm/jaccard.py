@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import blocks_for, materialize
+from tidepool.llm.common import blocks_for, materialize, tidy
 
 POSITIONS = 64
 LEAF = 64
@@ -122,7 +122,7 @@ def embed(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(ids, pa.string()), pa.array(sigs, pa.binary())], names=["doc_id", "set_id", "sig"])
 
     return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-            .mapInArrow(run, "doc_id long, set_id string, sig binary"))
+            .mapInArrow(tidy(run), "doc_id long, set_id string, sig binary"))
 
 
 def local_roots(close: np.ndarray) -> np.ndarray:
@@ -284,7 +284,7 @@ def _near_heads(rows: DataFrame, least: float) -> DataFrame:
                     head[x] = names[label[x]]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(label, pa.int32()), pa.array(head, pa.int64())], names=["id", "key", "label", "head"])
 
-    return rows.select("id", "key", "sig").mapInArrow(mark, "id long, key string, label int, head long")
+    return rows.select("id", "key", "sig").mapInArrow(tidy(mark), "id long, key string, label int, head long")
 
 
 def divide(large: DataFrame, reps: DataFrame, least: float, picks: list[int], node_rows: int):
@@ -495,7 +495,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, miss: float = 1e-6
 
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     # an id may have several texts: the set of least name is the one that was embedded, so it is compared too
-    named = texts.join(near, "id").mapInArrow(tokens, "id long, root long, name string, size int, tokens binary")
+    named = texts.join(near, "id").mapInArrow(tidy(tokens), "id long, root long, name string, size int, tokens binary")
     members = materialize(named.groupBy("id").agg(F.min_by(F.struct("root", "size", "tokens"), "name").alias("s")).select("id", "s.*"), "members")
     links = materialize(exact_links(members, threshold, near.count()), "links")
     degree = links.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))

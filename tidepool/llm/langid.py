@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import held_out
+from tidepool.llm.common import held_out, tidy
 
 FEATURES = 1 << 16
 STEP = 64  # words in a chunk
@@ -329,7 +329,7 @@ def detect(docs: DataFrame, sample_rows: int = 2400, doc_id: str = "doc_id", tex
                  pa.array(score, pa.float64()), pa.array(count.astype(np.int64), pa.int64()), pa.array(switches.astype(np.int64), pa.int64())],
                 names=["doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def keep_known(docs: DataFrame, sample_rows: int = 2400, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -355,4 +355,4 @@ def keep_known(docs: DataFrame, sample_rows: int = 2400, doc_id: str = "doc_id",
                 batch = batch.set_column(at, batch.schema.field(at).with_type(pa.string()), new)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import blocks_for, materialize
+from tidepool.llm.common import blocks_for, materialize, tidy
 
 CAPACITY = 4096
 RANK_BLOCKS = 1 << 16  # besides one of each length: so many counts of blocks are broadcast at most
@@ -142,7 +142,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=schema.names)
 
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text")).mapInArrow(tidy(run), schema)
 
 
 # --- the plan, over the histogram alone ---
@@ -305,4 +305,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
                 [*(batch.column(c) for c in schema.names[:5]), pa.array(p["base"][k] + r // p["each"][k]), pa.array(p["offset"][k] + r % p["each"][k] * length)],
                 names=schema.names)
 
-    return ranked.select(*schema.names[:5], "rank").mapInArrow(run, schema)
+    return ranked.select(*schema.names[:5], "rank").mapInArrow(tidy(run), schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import hash_sample
+from tidepool.llm.common import hash_sample, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 SECRET = len(KINDS)  # keys, tokens and passwords: found by the network alone and reported apart
@@ -431,7 +431,7 @@ def find(docs: DataFrame, sample_rows: int = 300, doc_id: str = "doc_id", text:
                  pa.array([written([x for x in a if x[2] == SECRET]) for _, a in got], pa.string()), pa.array([len(b) + len(a) for b, a in got], pa.int64())],
                 names=schema.names)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def _masked(text: str, spans: list[Span]) -> str:
@@ -455,4 +455,4 @@ def mask(docs: DataFrame, sample_rows: int = 300, doc_id: str = "doc_id", text:
             new = pa.array([t if t is None else _masked(t, b + a) for t, (b, a) in zip(texts, got, strict=True)], pa.string())
             yield batch.set_column(batch.schema.get_field_index(text), text, new)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.llm.common import blocks_for, materialize, materialize_by
+from tidepool.llm.common import blocks_for, materialize, materialize_by, tidy
 
 BLOCK_BYTES = 6_000_000
 PART_BYTES = 1_000_000
@@ -189,7 +189,7 @@ def blocks_of(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
         if ids:
             yield row()
 
-    return docs.select("doc_id", "text", *carry).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *carry).mapInArrow(tidy(run), schema)
 
 
 def unpacked(data: bytes, sizes: list[int]) -> list[bytes]:
@@ -304,7 +304,7 @@ def remove(docs: DataFrame, length: int = 50, gram: int = 24, keep_text: bool =
         bits = [np.packbits(x).tobytes() for x in np.split(hit, np.cumsum(n)[:-1])]
         return pa.table({"of_block": group["block"], "bucket": group["bucket"], "bits": pa.array(bits, pa.binary())})
 
-    asked = blocks.select("block", "doc_ids", "sizes", "data").mapInArrow(grams, "block long, bucket long, grams binary, multi binary")
+    asked = blocks.select("block", "doc_ids", "sizes", "data").mapInArrow(tidy(grams), "block long, bucket long, grams binary, multi binary")
     known = materialize(asked.groupBy("bucket").applyInArrow(repeated, "of_block long, bucket long, bits binary"), "dedup-known")
 
     def contexts(block: pa.Table, bits: pa.Table) -> tuple[list, list[bytes], Contexts]:
