@@ -358,3 +358,28 @@ def test_small_helpers(spark, tmp_path):
     assert streams.undated(spark.createDataFrame([(1, None), (2, TS(2024, 1, 1))], "i int, at timestamp"), "at").count() == 1
     X.register(spark)
     assert tuple(spark.sql("SELECT lower_nfc('E\u0301X'), name_key('  Straße  Ａ ')").first()) == ("éx", "strasse a")
+
+
+def test_best_films_and_tallies_without_pairs(spark):
+    """Counts, ranks and tallies told where each story is read are those of the pairs: in one block and several, films of several titles, a story in two rows, equal sets, nulls."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(14)]
+    stories = [(i % 55, sorted(set(rng.choices(words, k=7)))) for i in range(60)] + [(90, None), (91, []), (92, ["other"])]
+    titles = [(i % 70, i // 70, rng.sample(words, k=rng.randint(0, 4)), "") for i in range(90)]
+    terms = spark.createDataFrame(stories, "story_id long, tokens array<string>")
+    cat = spark.createDataFrame([*titles, (200, 0, None, "")], "film_id long, title_no long, tokens array<string>, fold string")
+    for own in (cat, cat.where("title_no = 0")):
+        scores = retrieval.token_scores(terms, own, small=0).where("score >= 0.5")
+        want = retrieval.cut(scores, 0.5, 6).select("story_id", "film_id", "score", "n_over", "rank").collect()
+        grid = sorted(retrieval.tallied(scores, [0.5, 0.75, 1.0]).select("story_id", "threshold", "n").collect())
+        assert len(want) > 200 and grid
+        for small in (50, 10**6):
+            got = retrieval.best_films(terms, own, 0.5, 6, small=small).select("story_id", "film_id", "score", "n_over", "rank")
+            assert sorted(got.collect()) == sorted(want)
+            assert sorted(retrieval.token_scores(terms, own, least=0.5, small=small).select("story_id", "film_id", "score").collect()) == sorted(scores.select("story_id", "film_id", "score").collect())
+            assert sorted(retrieval.tallies(terms, own, [0.5, 0.75, 1.0], small=small).select("story_id", "threshold", "n").collect()) == grid
+    plan = retrieval.best_films(terms, cat)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert retrieval.best_films(terms, cat.limit(0)).count() == 0

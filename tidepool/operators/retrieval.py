@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +19,9 @@ from tidepool.operators import automata
 # The operating point and the limits of health.
 THRESHOLD, CAP = 0.5, 47
 ZERO_LIMIT, SATURATION_LIMIT, LEAST_N = 0.10, 0.05, 50
+SEAM = "\u0001"  # between the tokens of a set; stands in no token
 LETTERS = 2_000_000  # letters of the folds that one automaton holds: some 100 MB in each Python worker
-SMALL = 500_000  # rows of the titles' index that may be broadcast: some 30 MB
+SMALL = 4_000_000  # rows of the titles' index that one block may hold: some 30 MB of numbers in each Python worker
 
 
 def searchable_titles(films: DataFrame, alternatives: DataFrame | None = None, *, film: str = "film_id", title: str = "title", original: str | None = None,
@@ -52,20 +57,177 @@ def story_terms(stories: DataFrame, *, story: str = "story_id", headline: str =
                           F.array(X.squash_fold(normal(F.coalesce(headline, F.lit("")))), X.squash_fold(normal(F.coalesce(dek, F.lit(""))))).alias("folds"))
 
 
+class TitleIndex:
+    """Titles of one block as arrays of numbers: for each token the distinct token sets it stands in, for each set its films in order."""
+
+    def __init__(self, titles: pa.Table):
+        """titles: film and key, the sorted tokens joined by SEAM."""
+        order = pc.sort_indices(titles["film"], null_placement="at_start") if titles.num_rows else pa.array([], pa.int64())
+        titles = titles.take(order).combine_chunks()
+        film, key = (pa.concat_arrays(titles[c].chunks or [pa.array([], titles.schema.field(c).type)]).dictionary_encode("encode") for c in ("film", "key"))
+        self.films = film.dictionary
+        at, of = film.indices.to_numpy().astype(np.int64), key.indices.to_numpy().astype(np.int64)
+        pairs = np.unique(of * max(1, len(self.films)) + at)
+        self.members = (pairs % max(1, len(self.films))).astype(np.int32)
+        self.begin = np.searchsorted(pairs, np.arange(len(key.dictionary) + 1) * max(1, len(self.films)))
+        self.several = len(pairs) > len(self.films)  # does a film have more than one set?
+        tokens = pc.split_pattern(key.dictionary, SEAM)
+        self.size = np.diff(tokens.offsets.to_numpy())
+        word = tokens.flatten().dictionary_encode()
+        self.words, no = word.dictionary, word.indices.to_numpy()
+        self.sets = np.repeat(np.arange(len(self.size)), self.size)[np.argsort(no, kind="stable")].astype(np.int32)
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(no, minlength=len(self.words)))]).astype(np.int64)
+
+    def reached(self, tokens: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(sets, scores) of the sets that hold a token of a story and reach least; each token is the number of a word."""
+        met = self.sets[spread(self.start[tokens], self.start[tokens + 1] - self.start[tokens])]
+        if len(met) * 8 < len(self.size):
+            found, hits = np.unique(met, return_counts=True)
+        else:
+            every = np.bincount(met, minlength=len(self.size))
+            found = np.flatnonzero(every)
+            hits = every[found]
+        ok = hits >= least * self.size[found] - 1e-9
+        return found[ok], hits[ok] / self.size[found[ok]]
+
+    def pairs(self, sets: np.ndarray, scores: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(films as places, scores): every film of the sets, or the first most of each, with its best score."""
+        n = self.begin[sets + 1] - self.begin[sets]
+        n = n if most is None else np.minimum(n, most)
+        film, score = self.members[spread(self.begin[sets], n)], np.repeat(scores, n)
+        if self.several:
+            order = np.lexsort((-score, film))
+            film, score = film[order], score[order]
+            first = np.diff(film, prepend=-1) != 0
+            film, score = film[first], score[first]
+        return film, score
+
+    def best(self, sets: np.ndarray, scores: np.ndarray, cap: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """(films in all, the best cap of them, their scores): best first, ties by film."""
+        if self.several:
+            film, score = self.pairs(sets, scores)
+            total = len(film)
+        else:
+            # sets below the score at which cap is full can't matter, nor a set's films behind its first cap
+            n = self.begin[sets + 1] - self.begin[sets]
+            total, order = int(n.sum()), np.argsort(-scores, kind="stable")
+            full = min(int(np.searchsorted(np.cumsum(n[order]), cap)), len(order) - 1)
+            near = scores >= scores[order[full]] if len(order) else scores > 0
+            film, score = self.pairs(sets[near], scores[near], cap)
+        order = np.lexsort((film, -score))[:cap]
+        return total, film[order], score[order]
+
+
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1 and on, n of each, one behind the other."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _blocks(titles: DataFrame, film: str, small: int, most: int = 16) -> list | None:
+    """Broadcast indexes of at most about `small` rows of the titles' index each (they are counted first); None if there are too many for `most` blocks.
+
+    A film's titles lie in one block.
+    """
+    own = F.array_sort(F.array_distinct("tokens"))
+    rows = titles.where(F.size("tokens") > 0).select(F.col(film).alias("film"), F.array_join(own, SEAM).alias("key"), F.size(own).alias("n"))
+    size = rows.agg(F.sum("n")).first()[0] or 0
+    if size > small * most:
+        return None
+    parts = max(1, math.ceil(size / max(1, small)))
+    own = lambda part: rows if parts == 1 else rows.where(F.pmod(F.xxhash64("film"), F.lit(parts)) == part)
+    return [titles.sparkSession.sparkContext.broadcast(TitleIndex(own(part).select("film", "key").toArrow())) for part in range(parts)]
+
+
+def _each_story(terms: DataFrame, blocks: list, story: str, least: float, schema: str, give: Callable[[TitleIndex, np.ndarray, np.ndarray], list]) -> DataFrame:
+    """What give makes of each story's sets and scores, as rows: the story, and the columns of schema in order, films as places.
+
+    Stories are dealt by their key once, then only read through: nothing is sorted, shuffled or kept by pairs of story and film.
+    """
+    one = terms.select(story, "tokens").repartition(story).groupBy(story).agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    out = None
+    for shared in blocks:
+        run = _reader(shared, story, least, give, [c.split()[0] for c in schema.split(", ")])
+        rows = one.mapInArrow(run, f"`{story}` {one.schema[story].dataType.simpleString()}, {schema}")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _reader(shared, story: str, least: float, give: Callable, names: list[str], most: int = 200_000):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            lists = batch.column("tokens")
+            ends = lists.offsets.to_numpy()
+            word = pc.index_in(lists.flatten(), value_set=index.words)
+            known = np.flatnonzero(word.is_valid().to_numpy(zero_copy_only=False))
+            word, ends = word.drop_null().to_numpy(), np.searchsorted(known, ends - ends[0])
+            at, columns, waiting = [], [], 0
+            for i in range(batch.num_rows):
+                made = give(index, *index.reached(word[ends[i]:ends[i + 1]], least))
+                at.append(np.full(len(made[0]), i))
+                columns.append(made)
+                waiting += len(made[0])
+                if waiting > most or i + 1 == batch.num_rows:
+                    data = [np.concatenate(c) for c in zip(*columns, strict=True)]
+                    data = [index.films.take(pa.array(c, pa.int64())) if n == "film" else pa.array(c) for n, c in zip(names, data, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(story).take(pa.array(np.concatenate(at), pa.int64())), *data], names=[story, *names])
+                    at, columns, waiting = [], [], 0
+
+    return run
+
+
 def token_scores(terms: DataFrame, titles: DataFrame, *, story: str = "story_id", film: str = "film_id", least: float = 0.0, small: int = SMALL) -> DataFrame:
     """(story, film, score): the best share of a title's distinct tokens that the story holds, where it reaches least.
 
-    Matches are counted per title before the best title is taken. An index of at most `small` rows (it is counted first) is broadcast:
-    stories are dealt by their key once, as whole rows, and all that follows stays in place. A larger one is joined by
+    Titles are gathered by their distinct token sets, an index of them is broadcast in blocks of at most `small` rows (they are counted first),
+    and stories are read through one by one (see best_films and tallies, which don't make the pairs). Beyond 16 blocks the index is joined by
     token, and with least over 0 only through the rarest tokens of each title (see rare_tokens), so that common words don't pair
     everything with everything; what meets there is then counted in full.
     """
-    index = inverted_index(titles, film)
-    if P.oversized(index, small):
-        return _scores_by_token(terms, index, story, film, least)
-    probe = terms.select(story, "tokens").repartition(story).select(story, F.explode("tokens").alias("token"))
-    hits = probe.join(F.broadcast(index), "token").groupBy(story, film, "title_no", "n_tokens").agg(F.count("*").alias("hits"))
-    return _best(hits, story, film, least)
+    blocks = _blocks(titles, film, small)
+    if blocks is None:
+        return _scores_by_token(terms, inverted_index(titles, film), story, film, least)
+    kind = titles.schema[film].dataType.simpleString()
+    return _each_story(terms, blocks, story, least, f"film {kind}, score double", lambda index, sets, scores: index.pairs(sets, scores)).withColumnRenamed("film", film)
+
+
+def best_films(terms: DataFrame, titles: DataFrame, threshold: float = THRESHOLD, cap: int = CAP, *, story: str = "story_id", film: str = "film_id", small: int = SMALL) -> DataFrame:
+    """What cut gives of the scores, (story, film, score, n_over, rank), without making them: each story's films are counted, and its best cap told, where the story is read."""
+    blocks = _blocks(titles, film, small)
+    if blocks is None:
+        return cut(_scores_by_token(terms, inverted_index(titles, film), story, film, threshold), threshold, cap, story=story, film=film)
+    kind = titles.schema[film].dataType.simpleString()
+
+    def give(index, sets, scores):
+        over = scores >= threshold
+        total, films, score = index.best(sets[over], scores[over], cap)
+        return [films, score, np.full(len(films), total, np.int64), np.arange(1, len(films) + 1, dtype=np.int32)]
+
+    out = _each_story(terms, blocks, story, threshold, f"film {kind}, score double, n_over long, rank int", give).withColumnRenamed("film", film)
+    if len(blocks) == 1:
+        return out
+    own = Window.partitionBy(story)  # at most cap rows of each block; its count stands at each block's first
+    out = out.withColumn("n_over", F.sum(F.when(F.col("rank") == 1, F.col("n_over"))).over(own))
+    return out.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), F.asc(film)))).where(F.col("rank") <= cap)
+
+
+def tallies(terms: DataFrame, titles: DataFrame, thresholds: list[float], *, story: str = "story_id", film: str = "film_id", small: int = SMALL) -> DataFrame:
+    """(story, threshold, n): how many films reach each threshold, where any does."""
+    blocks = _blocks(titles, film, small)
+    if blocks is None:
+        return tallied(_scores_by_token(terms, inverted_index(titles, film), story, film, min(thresholds)), thresholds, story=story)
+    grid = np.array(thresholds, np.float64)
+
+    def give(index, sets, scores):
+        if index.several:
+            _, scores = index.pairs(sets, scores)
+            n = (scores[:, None] >= grid).sum(0)
+        else:
+            n = ((scores[:, None] >= grid) * (index.begin[sets + 1] - index.begin[sets])[:, None]).sum(0)
+        return [grid[n > 0], n[n > 0].astype(np.int64)]
+
+    out = _each_story(terms, blocks, story, min(thresholds), "threshold double, n long", give)
+    return out if len(blocks) == 1 else out.groupBy(story, "threshold").agg(F.sum("n").alias("n"))
 
 
 def _best(hits: DataFrame, story: str, film: str, least: float) -> DataFrame:
@@ -163,14 +325,21 @@ def health(tally: DataFrame, by: list[str] | None = None) -> DataFrame:
         "soft_breach", F.coalesce(enough & (F.col("saturation_rate") > SATURATION_LIMIT), F.lit(False)))
 
 
+def tallied(scores: DataFrame, thresholds: list[float], *, story: str = "story_id") -> DataFrame:
+    """(story, threshold, n): how many of a story's scores reach each threshold."""
+    grid = F.array(*(F.lit(float(t)) for t in thresholds))
+    return scores.select(story, F.explode(F.filter(grid, lambda t: F.col("score") >= t)).alias("threshold")).groupBy(story, "threshold").agg(F.count("*").alias("n"))
+
+
 def sweep(scores: DataFrame, stories: DataFrame, thresholds: list[float], caps: list[int], *, story: str = "story_id") -> DataFrame:
-    """For each threshold and cap: stories, those with nothing, those capped, and candidates offered, from one scoring.
+    """For each threshold and cap: stories, those with nothing, those capped, and candidates offered, from one scoring."""
+    return sweep_of(tallied(scores, thresholds, story=story), stories, thresholds, caps, story=story)
 
-    Counts per story and threshold come first, so caps cost nothing more; the grid is a literal array.
-    """
+
+def sweep_of(tally: DataFrame, stories: DataFrame, thresholds: list[float], caps: list[int], *, story: str = "story_id") -> DataFrame:
+    """The same from counts (story, threshold, n): caps cost nothing more; the grid is a literal array."""
     grid = F.array(*(F.lit(float(t)) for t in thresholds))
-    each = scores.select(story, F.explode(F.filter(grid, lambda t: F.col("score") >= t)).alias("threshold")).groupBy(story, "threshold").agg(F.count("*").alias("n"))
-    sums = each.withColumn("cap", F.explode(F.array(*(F.lit(int(c)) for c in caps)))).groupBy("threshold", "cap").agg(
+    sums = tally.withColumn("cap", F.explode(F.array(*(F.lit(int(c)) for c in caps)))).groupBy("threshold", "cap").agg(
         F.count("*").alias("found"), F.count_if(F.col("n") > F.col("cap")).alias("saturated"), F.sum(F.least("n", F.col("cap").cast("long"))).alias("offered"))
     total = stories.select(F.count_distinct(story).alias("n_stories"))
     every = total.select("n_stories", F.explode(grid).alias("threshold")).select("n_stories", "threshold", F.explode(F.array(*(F.lit(int(c)) for c in caps))).alias("cap"))
@@ -193,6 +362,11 @@ def growth_curve(scores: DataFrame, films: DataFrame, sizes: list[int], threshol
     return counts.join(F.broadcast(edges), F.col(film) <= F.col("last")).groupBy("size").agg(F.sum("c").alias("candidates"))  # one row for each size
 
 
+def first_films(films: DataFrame, n: int, film: str = "film_id") -> DataFrame:
+    """The first n ids of films: all that a growth curve up to n looks at."""
+    return films.select(film).distinct().orderBy(film).limit(n)
+
+
 def coverage(labels: DataFrame, found: DataFrame, scores: DataFrame, films: DataFrame, cap: int = CAP, threshold: float = THRESHOLD, *, story: str = "story_id", film: str = "film_id") -> DataFrame:
     """labels (story, film) with outcome: retrieved, or why not: not-in-catalog, not-indexed, below-threshold or capped."""
     hit = found.select(story, film, F.col("rank").alias("hit_rank"))

@@ -150,6 +150,10 @@ def _catalog(pages):
     return pages.select(F.col("page_id").alias("film_id"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))
 
 
+def _terms(documents):
+    return retrieval.story_terms(documents.select(F.col("doc_id").alias("story_id"), F.lit("").alias("headline"), F.coalesce("text", F.lit("")).alias("dek")))
+
+
 def _scores(documents, pages):
     stories = documents.select(F.col("doc_id").alias("story_id"), F.lit("").alias("headline"), F.coalesce("text", F.lit("")).alias("dek"))
     return retrieval.token_scores(retrieval.story_terms(stories), retrieval.searchable_titles(_catalog(pages)), least=0.5)
@@ -166,7 +170,7 @@ _SCORES = f"""
 
 @query(f"WITH {_SCORES} SELECT story_id, film_id, round(score, 6) AS score, n_over, rank FROM ov WHERE rank <= 47")
 def candidate_topk(documents, pages):
-    return retrieval.cut(_scores(documents, pages), 0.5, 47).select("story_id", "film_id", F.round("score", 6).alias("score"), "n_over", "rank")
+    return retrieval.best_films(_terms(documents), retrieval.searchable_titles(_catalog(pages)), 0.5, 47).select("story_id", "film_id", F.round("score", 6).alias("score"), "n_over", "rank")
 
 
 @query(f"""WITH {_SCORES}, p AS (SELECT doc_id, coalesce(max(n_over), 0) AS n_over FROM documents LEFT JOIN ov ON story_id = doc_id GROUP BY doc_id)
