@@ -194,7 +194,10 @@ def threshold_sweep(documents, pages):
 @query(f"""WITH {_SCORES}, k AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS n FROM pages), z AS (SELECT unnest([50, 100, 200]) AS size)
     SELECT size::INTEGER AS size, count(*) AS candidates FROM z JOIN k ON n <= size JOIN sc ON film_id = page_id WHERE score >= 0.5 GROUP BY size""")
 def catalog_growth(documents, pages):
-    return retrieval.growth_curve(_scores(documents, pages), _catalog(pages), [50, 100, 200])
+    films = _catalog(pages)
+    known = P.having(films, retrieval.first_films(films, 200), "film_id")
+    scores = retrieval.token_scores(_terms(documents), retrieval.searchable_titles(known), least=0.5)
+    return retrieval.growth_curve(scores, films, [50, 100, 200])
 
 
 @query("""WITH d AS (SELECT doc_id AS story_id, regexp_replace(lower(nfc_normalize(coalesce(text, ''))), '[^\\p{L}\\p{N}]+', '', 'g') AS fold FROM documents),
