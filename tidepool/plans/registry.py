@@ -154,11 +154,6 @@ def _terms(documents):
     return retrieval.story_terms(documents.select(F.col("doc_id").alias("story_id"), F.lit("").alias("headline"), F.coalesce("text", F.lit("")).alias("dek")))
 
 
-def _scores(documents, pages):
-    stories = documents.select(F.col("doc_id").alias("story_id"), F.lit("").alias("headline"), F.coalesce("text", F.lit("")).alias("dek"))
-    return retrieval.token_scores(retrieval.story_terms(stories), retrieval.searchable_titles(_catalog(pages)), least=0.5)
-
-
 _TITLE = "lower(nfc_normalize(regexp_extract(html, '<title>(.*?)</title>', 1)))"
 _SCORES = f"""
     t AS (SELECT page_id AS film_id, list_distinct({_tokens(_TITLE)}) AS w FROM pages),
@@ -188,7 +183,8 @@ def retrieval_health(documents, pages):
     SELECT g.threshold::DOUBLE AS threshold, g.cap::INTEGER AS cap, (SELECT count(DISTINCT doc_id) FROM documents) AS n_stories, (SELECT count(DISTINCT doc_id) FROM documents) - count(e.story_id) AS zero,
            count(*) FILTER (e.n > g.cap) AS saturated, coalesce(sum(least(e.n, g.cap)), 0)::BIGINT AS offered FROM g LEFT JOIN e USING (threshold) GROUP BY ALL""")
 def threshold_sweep(documents, pages):
-    return retrieval.sweep(_scores(documents, pages), documents.select(F.col("doc_id").alias("story_id")), [0.5, 0.75, 1.0], [10, 47])
+    tally = retrieval.tallies(_terms(documents), retrieval.searchable_titles(_catalog(pages)), [0.5, 0.75, 1.0])
+    return retrieval.sweep_of(tally, documents.select(F.col("doc_id").alias("story_id")), [0.5, 0.75, 1.0], [10, 47])
 
 
 @query(f"""WITH {_SCORES}, k AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS n FROM pages), z AS (SELECT unnest([50, 100, 200]) AS size)
