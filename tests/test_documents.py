@@ -97,3 +97,16 @@ def test_changes_of_odd_documents(spark):
                    (6, "/0", "changed", "number", "1", "number", "2"), (6, "/1", "removed", "number", "2", None, None)}
     assert documents.document_changes(old.limit(0), new, "k", "d").count() == 0
     assert documents.paths(old.where(F.col("k") == 5), "k", "d").count() == 0
+
+
+def test_documents_go_down_in_few_passes(spark, monkeypatch):
+    """Both versions of documents of five levels are told apart in one pass; deeper ones take one more for each six levels, and lose nothing."""
+    passes, real = [], documents.written
+    monkeypatch.setattr(documents, "written", lambda df: passes.append(1) or real(df))
+    one = spark.createDataFrame([(1, '{"a": {"b": {"c": {"d": 1}}}}'), (2, '{"a": 1}')], "k int, d string")
+    two = spark.createDataFrame([(1, '{"a": {"b": {"c": {"d": 2}}}}'), (2, '{"a": 1}')], "k int, d string")
+    assert [tuple(r) for r in documents.document_changes(one, two, "k", "d").collect()] == [(1, "/a/b/c/d", "changed", "number", "1", "number", "2")]
+    assert len(passes) == 1
+    deep = lambda x: spark.createDataFrame([(1, '{"a":[' * 7 + x + "]}" * 7)], "k int, d string")
+    assert [tuple(r) for r in documents.document_changes(deep("1"), deep("[]"), "k", "d").collect()] == [(1, "/a/0" * 7, "changed", "number", "1", "array", "[]")]
+    assert len(passes) <= 4

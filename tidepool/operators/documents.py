@@ -14,30 +14,41 @@ def kind_of(v: Column) -> Column:
     return (F.when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t == "VOID", "null").otherwise("number"))
 
 
+LEVELS = 6  # levels of a document that one pass goes down
+
+
+def _leaves(rows: DataFrame, text: str) -> DataFrame:
+    """rows with path, kind and value in place of text: one row for each leaf.
+
+    A pass goes down LEVELS levels in place, without a shuffle: a leaf stays as it is, an object or array gives way to its parts. Only
+    what is nested deeper goes through another pass, so a document of any depth becomes rows.
+    """
+    spark, own = rows.sparkSession, [c for c in rows.columns if c != text]
+    level = rows.where(F.col(text).isNotNull()).select(*own, F.lit("").alias("path"), F.col(text).alias("text"), F.try_parse_json(F.col(text)).alias("v"))
+    out = None
+    while True:
+        for _ in range(LEVELS):
+            parts = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()).toDF("pos", "name", "part"))
+            step = F.coalesce(F.replace(F.replace("name", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")), F.col("pos").cast("string"))
+            level = parts.select(*own, F.when(step.isNull(), F.col("path")).otherwise(F.concat("path", F.lit("/"), step)).alias("path"),
+                                 F.when(step.isNull(), F.col("text")).alias("text"), F.when(step.isNull(), F.col("v")).otherwise(F.col("part")).alias("v"))
+        kind = F.when(F.col("v").isNull(), "malformed").otherwise(kind_of(F.col("v")))
+        done = written(level.select(*own, "path", kind.alias("kind"), F.coalesce(F.to_json("v"), "text").alias("value")))
+        deep = F.col("kind").isin("object", "array") & ~F.col("value").isin("{}", "[]")
+        found = done.where(~deep).select(*own, "path", "kind", "value")
+        out = found if out is None else out.unionByName(found)
+        if done.where(deep).isEmpty():
+            return out
+        level = done.where(deep).select(*own, "path", F.lit(None).cast("string").alias("text"), F.parse_json("value").alias("v"))
+
+
 def paths(docs: DataFrame, key: str, document: str) -> DataFrame:
     """(key, path, kind, value) of every leaf of the documents: a value that is no object or array, or an empty one of these.
 
     Paths are JSON pointers (/a/b/0), the whole document is the empty one; value is JSON text. A null document has no paths;
-    an unreadable one is a single leaf of kind malformed. Documents are walked level by level, so a document of any size
-    becomes rows, and each level is one pass of Spark.
+    an unreadable one is a single leaf of kind malformed.
     """
-    spark = docs.sparkSession
-    rows = docs.where(F.col(document).isNotNull()).select(F.col(key).alias("k"), F.lit("").alias("path"), F.col(document).alias("text"), F.try_parse_json(F.col(document)).alias("v"))
-    leaves = [rows.where("v IS NULL").select("k", "path", F.lit("malformed").alias("kind"), F.col("text").alias("value"))]
-    level = rows.where("v IS NOT NULL").select("k", "path", "v")
-    while True:
-        level = written(level.withColumn("kind", kind_of(F.col("v"))).withColumn("value", F.to_json("v")))
-        inner = F.col("kind").isin("object", "array") & ~F.col("value").isin("{}", "[]")
-        leaves.append(level.where(~inner).select("k", "path", "kind", "value"))
-        if level.where(inner).isEmpty():
-            break
-        parts = level.where(inner).select("k", "path", "v").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "name", "part"))
-        step = F.coalesce(F.replace(F.replace("name", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")), F.col("pos").cast("string"))
-        level = parts.select("k", F.concat("path", F.lit("/"), step).alias("path"), F.col("part").alias("v"))
-    out = leaves[0]
-    for x in leaves[1:]:
-        out = out.unionByName(x)
-    return out.withColumnRenamed("k", key)
+    return _leaves(docs.select(F.col(key).alias("k"), F.col(document).alias("doc")), "doc").withColumnRenamed("k", key)
 
 
 def document_changes(old: DataFrame, new: DataFrame, key: str, document: str) -> DataFrame:
@@ -45,10 +56,14 @@ def document_changes(old: DataFrame, new: DataFrame, key: str, document: str) ->
 
     A number and a text of the same letters differ. Elements of arrays are told by their place. Where an object takes the place
     of a value, the value's path is removed and the object's are added. A null document has no paths.
+
+    The two versions of a key meet once, as whole documents; equal ones go at once, the others' leaves are told apart within the key.
     """
-    both = old.select(key).intersect(new.select(key))
-    side = lambda df, name: paths(df.select(key, document).join(both, key, "left_semi"), key, document).select(key, "path", F.col("kind").alias(f"{name}_kind"), F.col("value").alias(f"{name}_value"))
-    rows = side(old, "old").join(side(new, "new"), [key, "path"], "full_outer")
-    differs = ~F.col("old_value").eqNullSafe(F.col("new_value")) | ~F.col("old_kind").eqNullSafe(F.col("new_kind"))
-    change = F.when(F.col("old_kind").isNull(), "added").when(F.col("new_kind").isNull(), "removed").otherwise("changed")
-    return rows.where(differs).select(key, "path", change.alias("change"), "old_kind", "old_value", "new_kind", "new_value")
+    side = lambda df, name: df.select(F.col(key).alias("k"), F.col(document).alias(name))
+    both = side(old, "old").join(side(new, "new"), "k").where(~F.col("old").eqNullSafe(F.col("new")))
+    docs = both.select("k", F.explode(F.array(F.struct(F.lit(False).alias("is_new"), F.col("old").alias("doc")), F.struct(F.lit(True).alias("is_new"), F.col("new").alias("doc")))).alias("d"))
+    leaf = F.struct("kind", "value")
+    pairs = _leaves(docs.select("k", "d.is_new", "d.doc"), "doc").groupBy("k", "path").agg(F.max(F.when(~F.col("is_new"), leaf)).alias("a"), F.max(F.when(F.col("is_new"), leaf)).alias("b"))
+    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed")
+    return pairs.where(~F.col("a").eqNullSafe(F.col("b"))).select(
+        F.col("k").alias(key), "path", change.alias("change"), F.col("a.kind").alias("old_kind"), F.col("a.value").alias("old_value"), F.col("b.kind").alias("new_kind"), F.col("b.value").alias("new_value"))
