@@ -383,3 +383,13 @@ def test_best_films_and_tallies_without_pairs(spark):
     plan = retrieval.best_films(terms, cat)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
     assert retrieval.best_films(terms, cat.limit(0)).count() == 0
+
+
+def test_set_changes_hold_nulls_equal_and_read_each_side_once(spark):
+    old = spark.createDataFrame([(1, None), (1, "a"), (1, "a"), (2, "b"), (3, "c")], "k long, v string")
+    new = spark.createDataFrame([(1, None), (1, "d"), (1, "d"), (2, "b"), (4, "e"), (5, "f")], "k long, v string")
+    seen = spark.createDataFrame([(1,), (1,), (2,), (3,), (4,), (None,)], "k long")
+    out = changes.set_changes(old, new, seen, "k", ["k", "v"])
+    assert rows(out, "k", "v") == [(1, "a", "removed"), (1, "d", "added"), (3, "c", "removed"), (4, "e", "added")]
+    # one reading of each side and one of the parents
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.functions import predicates as P
+
 # Columns whose changes aren't logged.
 UNLOGGED = ("popularity", "vote_average", "vote_count", "revenue", "tmdb_raw", "updated_at", "credits_observed_at", "release_dates_observed_at", "tmdb_missing_at")
 
@@ -61,10 +63,12 @@ def set_changes(previous: DataFrame, current: DataFrame, observed: DataFrame, pa
 
     observed: the parents that were looked at before. Without an earlier look there is no change, only a baseline;
     an earlier look that found nothing makes every member an addition.
+
+    Both sides meet in one grouping of members, in which nulls are equal; only what changed is held against the parents.
     """
-    seen = observed.select(parent).distinct()
-    a, b = (x.select(*identity).distinct().join(seen, parent, "left_semi") for x in (previous, current))
-    return b.join(a, identity, "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, identity, "left_anti").withColumn("change", F.lit("removed")))
+    sides = previous.select(*identity, F.lit(True).alias("__was"), F.lit(False).alias("__is")).unionByName(current.select(*identity, F.lit(False).alias("__was"), F.lit(True).alias("__is")))
+    rows = sides.groupBy(*identity).agg(F.bool_or("__was").alias("__was"), F.bool_or("__is").alias("__is")).where(F.col("__was") != F.col("__is"))
+    return P.having(rows, observed, parent).select(*identity, F.when(F.col("__is"), "added").otherwise("removed").alias("change"))
 
 
 def date_changes(previous: DataFrame, current: DataFrame, observed: DataFrame, parent: str, subject: list[str], date: str, order: str) -> DataFrame:
