@@ -393,3 +393,15 @@ def test_set_changes_hold_nulls_equal_and_read_each_side_once(spark):
     assert rows(out, "k", "v") == [(1, "a", "removed"), (1, "d", "added"), (3, "c", "removed"), (4, "e", "added")]
     # one reading of each side and one of the parents
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3
+
+
+def test_film_pages_shuffle_members_once(spark, data):
+    """No shuffle by story: the members bear the stories' columns."""
+    from tidepool.plans.registry import QUERIES
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["film_pages"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(event_id" in plan and "hashpartitioning(story_id" not in plan

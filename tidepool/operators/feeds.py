@@ -167,7 +167,7 @@ def other_titles(films: DataFrame, titles: DataFrame, n: int = 8) -> DataFrame:
     return distinct_casings(other, "film_id", "title", [], n).withColumnRenamed("rank", "position")
 
 
-def film_page(films: DataFrame, *, events: DataFrame, summaries: DataFrame, members: DataFrame, stories: DataFrame, releases: DataFrame, genres: DataFrame, companies: DataFrame,
+def film_page(films: DataFrame, *, events: DataFrame, summaries: DataFrame, members: DataFrame, stories: DataFrame | None = None, releases: DataFrame, genres: DataFrame, companies: DataFrame,
               collections: DataFrame, titles: DataFrame, credits: DataFrame, hidden: tuple[str, ...] = ("other",), home: str = "US", billed: int = 12, outlets: int = 3) -> DataFrame:
     """Films with all that their pages show: stage, and as ordered arrays events (oldest first, with summary, whether it was edited, and sources of different outlets), release_dates,
     genres, production_companies, alternative_titles, cast and crew; collection is one struct or null.
@@ -175,12 +175,14 @@ def film_page(films: DataFrame, *, events: DataFrame, summaries: DataFrame, memb
     films: (film_id, title, original_title, status, origin, collection_id, ...); events: (event_id, film_id, event_type, region, confidence, provenance, created_at); summaries: (event_id, summary, edited_at);
     members: (event_id, story_id); stories: (story_id, outlet, url, headline, published_at); releases: (film_id, iso_3166_1, release_type, release_date, certification); genres, companies: (film_id, id, name);
     collections: (collection_id, name, poster_path); titles: (film_id, title); credits: (film_id, name, credit_type, character, job, department, credit_order).
+    Without stories the members bear their columns: then the members, the largest table, are shuffled once, by event.
     Each collection is cut and gathered by film before it is joined, so nothing multiplies.
     """
     key = films.select("film_id", "origin")
     place = lambda rows, *order: rows.withColumn("position", F.row_number().over(Window.partitionBy("film_id").orderBy(*order)))
     shown = events.join(key, "film_id").join(summaries, "event_id").where(P.visible_event(F.col("event_type"), hidden) & P.region_visible(F.col("event_type"), F.col("region"), F.col("origin"), home))
-    told = top_n_distinct(P.having(members, shown, "event_id").join(stories, "story_id"), ["event_id"], X.outlet_key(F.col("outlet")), [F.col("published_at").desc_nulls_last(), F.asc("story_id")], outlets)
+    seen = P.having(members, shown, "event_id")
+    told = top_n_distinct(seen if stories is None else seen.join(stories, "story_id"), ["event_id"], X.outlet_key(F.col("outlet")), [F.col("published_at").desc_nulls_last(), F.asc("story_id")], outlets)
     sources = told.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url", "outlet", "headline", "published_at"))), lambda x: x.dropFields("rank")).alias("sources"))
     shown = shown.join(sources, "event_id", "left").withColumn("sources", F.coalesce("sources", F.array().cast(sources.schema["sources"].dataType)))
     shown = shown.select("film_id", "event_id", "event_type", "confidence", "created_at", "summary", F.col("edited_at").isNotNull().alias("summary_edited"), "provenance", "sources")
