@@ -88,3 +88,30 @@ def test_nearest_rank_of_all_and_of_other_types(spark):
     assert metrics.nearest_rank(df, "l", 0.25, [], 50).collect()[0]["l"] == plain_rank([r[2] for r in rows], 0.25)
     assert metrics.nearest_rank(df, "d", 0.25, [], 50).collect()[0]["d"] == df.select("d").orderBy("d").collect()[math.ceil(1009 * 0.25) - 1]["d"]
     assert metrics.nearest_rank(df.limit(0), "l", 0.5, ["i"]).count() == 0
+
+
+def test_heartbeats_go_through_blocks_in_batches(spark):
+    """Blocks that go over several batches, and batches of many blocks, give the rows of a plain walk; no call to Python for each block."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidepool.operators import runs
+
+    rng = random.Random(2)
+    log = [(rng.choice("abcde"), rng.randrange(40_000)) for _ in range(900)]
+    want, last = set(), {}
+    for k, t in sorted(log):
+        if k not in last or t - last[k] >= 300:
+            last[k] = t
+            want.add((k, t))
+    df = spark.createDataFrame(log, "k string, t long").withColumn("at", F.timestamp_seconds("t"))
+    out = runs.heartbeats(df, "k", "at", 300, 1200)
+    assert "FlatMapGroups" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "FlatMapCoGroups" not in plan
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = [(r[0], r[1]) for r in out.select("k", F.unix_seconds("at")).collect()]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(got) == len(set(got)) and set(got) == want

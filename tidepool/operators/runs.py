@@ -6,6 +6,7 @@ import bisect
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,32 +140,74 @@ def heartbeats(log: DataFrame, by: str, at: str, seconds: int, block_seconds: in
     rows = rows.withColumn("block", F.floor(F.col("us") / width))
     kind = rows.schema["k"].dataType.simpleString()
 
-    def entries(group: pa.Table) -> pa.Table:
-        times = np.sort(group["us"].to_numpy())
-        block = group["block"][0].as_py()
-        enter, leave = chain_exits(times, wait, block * width + wait)
-        return pa.table({"k": group["k"].slice(0, 1), "block": pa.array([block], pa.int64()), "enter": pa.array([enter], pa.list_(pa.int64())), "leave": pa.array([leave], pa.list_(pa.int64()))})
-
-    def compose(group: pa.Table) -> pa.Table:
-        group = group.sort_by("block")
-        t, starts = -(1 << 62), []
-        for enter, leave in zip(group["enter"].to_pylist(), group["leave"].to_pylist(), strict=True):
-            starts.append(t)
-            i = bisect.bisect_left(enter, t)
-            t = leave[i] + wait if i < len(enter) else t
-        return pa.table({"k": group["k"], "block": group["block"], "start": pa.array(starts, pa.int64())})
-
-    def emit(group: pa.Table, start: pa.Table) -> pa.Table:
-        times = np.sort(group["us"].to_numpy()) if group.num_rows else np.zeros(0, np.int64)
-        taken = times[chain_rows(times, wait, start["start"][0].as_py())] if len(times) else times
-        return pa.table({"k": group["k"].take(pa.array(np.zeros(len(taken), np.int64))), "us": pa.array(taken, pa.int64())})
-
-    tables = rows.groupBy("k", "block").applyInArrow(entries, f"k {kind}, block long, enter array<long>, leave array<long>")
-    starts = tables.groupBy("k").applyInArrow(compose, f"k {kind}, block long, start long")
-    out = rows.groupBy("k", "block").cogroup(starts.groupBy("k", "block")).applyInArrow(emit, f"k {kind}, us long")
+    def entries(batches):
+        for parts in _groups(batches, ["k", "block"]):
+            times, block = parts["us"].to_numpy(), parts["block"][0].as_py()
+            enter, leave = chain_exits(times, wait, block * width + wait)
+            yield [parts["k"].slice(0, 1), pa.array([block], pa.int64()), pa.array([enter], pa.list_(pa.int64())), pa.array([leave], pa.list_(pa.int64()))]
+
+    def compose(batches):
+        for group in _groups(batches, ["k"]):
+            t, starts = -(1 << 62), []
+            for enter, leave in zip(group["enter"].to_pylist(), group["leave"].to_pylist(), strict=True):
+                starts.append(t)
+                i = bisect.bisect_left(enter, t)
+                t = leave[i] + wait if i < len(enter) else t
+            yield [group["k"], group["block"], pa.array(starts, pa.int64())]
+
+    def emit(batches):
+        for group in _groups(batches, ["k", "block"]):
+            # the block's start stands before its rows
+            times, start = group["us"].slice(1).to_numpy(), group["start"][0].as_py()
+            taken = times[chain_rows(times, wait, start)]
+            yield [group["k"].take(pa.array(np.zeros(len(taken), np.int64))), pa.array(taken, pa.int64())]
+
+    dealt = lambda df, keys, *order: df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    tables = dealt(rows, ["k", "block"], "us").mapInArrow(_in_batches(entries, ["k", "block", "enter", "leave"]), f"k {kind}, block long, enter array<long>, leave array<long>")
+    starts = dealt(tables, ["k"], "block").mapInArrow(_in_batches(compose, ["k", "block", "start"]), f"k {kind}, block long, start long")
+    both = rows.withColumn("start", F.lit(None).cast("long")).unionByName(starts.withColumn("us", F.lit(None).cast("long")))
+    out = dealt(both, ["k", "block"], F.col("us").asc_nulls_first()).mapInArrow(_in_batches(emit, ["k", "us"]), f"k {kind}, us long")
     return out.select(F.col("k").alias(by), F.timestamp_micros("us").alias("at"))
 
 
+def _groups(batches, keys: list[str]):
+    """The rows of each group, as a mapping of columns, from batches sorted by keys: a group may go over several batches, one is held at a time."""
+    held = []
+    whole = lambda: {n: pa.concat_arrays([b.column(n) for b in held]) for n in held[0].schema.names} if len(held) > 1 else {n: held[0].column(n) for n in held[0].schema.names}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for c in keys:
+            column = batch.column(c)
+            new[1:] |= pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+            new[0] |= not held or held[-1].column(c)[-1] != column[0]
+        ends = [*np.flatnonzero(new).tolist(), batch.num_rows]
+        if held and ends[0] > 0:
+            held.append(batch.slice(0, ends[0]))
+        for begin, end in zip(ends, ends[1:]):
+            if held:
+                yield whole()
+            held = [batch.slice(begin, end - begin)]
+    if held:
+        yield whole()
+
+
+def _in_batches(run, names: list[str], most: int = 1000):
+    """run's groups of columns, some of them to one batch."""
+    def batches(source):
+        waiting = []
+        for columns in run(source):
+            waiting.append(columns)
+            if len(waiting) == most:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*waiting, strict=True)], names=names)
+                waiting = []
+        if waiting:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*waiting, strict=True)], names=names)
+
+    return batches
+
+
 def usage_by(calls: DataFrame, *keys: str) -> DataFrame:
     """Calls and the four token counts."""
     return calls.groupBy(*keys).agg(F.count("*").alias("calls"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")))
