@@ -25,3 +25,15 @@ def test_value_columns_with_waits_that_are_not_positive(spark, data, con, tmp_pa
     other = duckdb.connect()
     other.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert difference(QUERIES["value_columns"](spark, str(tmp_path)), other, ORACLE_SQL["value_columns"]) == ""
+
+
+@pytest.mark.parametrize("name", ["cluster_groups", "cluster_decisions"])
+def test_clustering_deals_films_into_tasks_by_their_number(spark, data, con, monkeypatch, name):
+    """A task holds about so many films, however many there are: the tasks grow with the table, the rows stay the same."""
+    from tidepool.operators import decisions
+
+    monkeypatch.setattr(decisions, "FILMS", 50)
+    films = con.sql("SELECT count(DISTINCT o_orderkey) FROM orders SEMI JOIN lineitem ON l_orderkey = o_orderkey").fetchall()[0][0]
+    out = QUERIES[name](spark, data)
+    assert f", {-(-films // 50)}), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString() and films > 1000
+    assert difference(out, con, ORACLE_SQL[name]) == ""

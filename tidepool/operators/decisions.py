@@ -110,6 +110,7 @@ def chunked(df: DataFrame, by: str, order: list[Column], size: int, name: str =
 # --- clustering: one film's groups in order; each decision depends on those before it ---
 
 GROUP_SCHEMA = "film_id long, group_no int, intent string, outcome string, event_type string, event_ref string, note string, region string, occurred_at timestamp, confidence string, subject_key array<string>, story_ids array<long>"
+FILMS = 50_000  # films of one task: their replies, stories and events are some 100 MB
 _EPOCH = dt.date(1970, 1, 1).toordinal()
 _DAY = 86_400_000_000
 
@@ -239,7 +240,11 @@ def cluster(stories: DataFrame, events: DataFrame, films: DataFrame, as_of: dt.d
     it, so a reply bounds its stories however many wait; events are those that the reply's positions point into. Films are spread over the cluster.
     Times, days and tiers are made numbers by Spark; Python only goes through the groups of a film, each of which depends on those before.
     """
-    # three tables meet per film: stories and events travel as arrays of one film each
+    # three tables meet per film, each dealt by it once: into as many tasks as the session shuffles by, or more, so that none holds over about FILMS films
+    spark = films.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-films.select("film_id").count() // FILMS))
+    films, stories, events = (x.repartition(parts, "film_id") for x in (films, stories, events))
+    # stories and events travel as arrays of one film each
     number = lambda c: (F.unix_micros(c).alias("us"), F.unix_date(F.to_date(c)).alias("day"))
     numbers = films.select("film_id", F.transform(F.regexp_extract_all("reply", F.lit(r"\d{1,9}"), F.lit(0)), lambda x: x.cast("int")).alias("numbers"))
     named = stories.withColumn("n", F.col("n").cast("int")).join(numbers, "film_id").where(F.array_contains("numbers", F.col("n")))
@@ -247,8 +252,7 @@ def cluster(stories: DataFrame, events: DataFrame, films: DataFrame, as_of: dt.d
     e = events.groupBy("film_id").agg(F.collect_list(F.struct("position", "event_ref", "event_type", "provenance", *number(F.col("occurred_at").cast("timestamp")), "subject_key")).alias("e"))
     changed = number(F.col("changed_at").cast("timestamp"))
     rows = films.select("film_id", "status", F.unix_date("release_date").alias("release_day"), changed[0].alias("changed_us"), changed[1].alias("changed_day"), F.coalesce("reply", F.lit("")).alias("reply"))
-    # films are dealt once, into as many tasks as the session shuffles by: rows are small, but each costs Python time
-    rows = rows.repartition(int(films.sparkSession.conf.get("spark.sql.shuffle.partitions")), "film_id").join(s, "film_id", "left").join(e, "film_id", "left")
+    rows = rows.join(s, "film_id", "left").join(e, "film_id", "left")
     today, rank = epoch_day(as_of), V.TIER_RANK[default_tier]
     types = [pa.int64(), pa.int32(), *[pa.string()] * 6, pa.timestamp("us", tz="UTC"), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
     columns = [c.split()[0] for c in GROUP_SCHEMA.split(", ")]

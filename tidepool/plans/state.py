@@ -77,7 +77,9 @@ def cluster_groups(orders, lineitem):
     first = [group("trailer", [1]), group("trailer", [1, 2]), group("casting", [2, 3], '["Ann", "Bo"]')]
     rest = [group("first_look", [1, 2, 3, 4], existing="1"), group("first_look", [5, 6]), group("first_look", [6, 7])]
     reply = lambda cast: '{"events": [' + ", ".join([*first, group("casting", [4], cast), *rest]) + "]}"
-    films = orders.select(k.alias("film_id"), F.lit("Planned").alias("status"), F.lit(None).cast("date").alias("release_date"), F.lit(None).cast("timestamp").alias("changed_at"),
+    # replies are wide: they are made once it is known which films have stories
+    asked = orders.join(lineitem.select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi")
+    films = asked.select(k.alias("film_id"), F.lit("Planned").alias("status"), F.lit(None).cast("date").alias("release_date"), F.lit(None).cast("timestamp").alias("changed_at"),
                           F.when(k % 2 == 0, reply('["Bo", "Cy"]')).otherwise(reply('["BO "]')).alias("reply"))
     rows = lineitem.groupBy(F.col("l_orderkey").alias("film_id"), "l_linenumber").agg(F.min("l_shipdate").alias("at"))
     stories = audits.latest_in_order(rows, ["film_id"], [F.asc("l_linenumber")], [F.asc("l_linenumber")], 100).select(
@@ -85,7 +87,7 @@ def cluster_groups(orders, lineitem):
     event = lambda rows, position, ref, kind, origin, names: rows.select(k.alias("film_id"), F.lit(position).alias("position"), F.concat(F.lit("e"), k.cast("string"), F.lit(ref)).alias("event_ref"), F.lit(kind).alias("event_type"),
                                                                         F.lit(origin).alias("provenance"), F.lit(dt.datetime(1997, 12, 30)).alias("occurred_at"), names.cast("array<string>").alias("subject_key"))
     known = event(orders.where(k % 5 == 0), 1, "t", "trailer", "story", F.array()).unionByName(event(orders.where(k % 7 == 0), 2, "c", "casting", "catalog", F.array(F.lit("bo"))))
-    out = decisions.cluster(stories, known, films.join(rows.select("film_id").distinct(), "film_id", "left_semi"), dt.date(1998, 1, 1))
+    out = decisions.cluster(stories, known, films, dt.date(1998, 1, 1))
     return out.select("film_id", "group_no", "intent", "outcome", "note", "event_ref", "confidence", texts("subject_key").alias("names"), F.size("story_ids").alias("stories"))
 
 
