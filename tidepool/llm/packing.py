@@ -10,12 +10,12 @@ time. Ranks within each length then send every piece to its place.
 from __future__ import annotations
 
 import bisect
-import re
 import string
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,82 +25,98 @@ CAPACITY = 4096
 RANK_BLOCKS = 1 << 16  # besides one of each length: so many counts of blocks are broadcast at most
 Config = tuple[int, list[tuple[int, int]]]  # how many sequences, (length, pieces of it in each)
 
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]*$"
 _MARKS = string.punctuation.replace("'", "")
-_SPACE = re.compile("[\x1c-\x1f᠎]")  # white space to Python alone, or to some Unicode versions
 _TRIAL = ("The", "naïve", "Straße", "don't", "word,", "word!!", "x.y", "ALL", "Été…", "日本語", "a1b2", "(see", "e-mail", "ÿ", "Ünïcödé?!", "tion***", "&&&", "i", "supercalifragilistic")
-_CACHE_WORDS = 300_000  # about 60 MB; a worker keeps them from task to task
+_CACHE_WORDS = 300_000  # a worker keeps them from task to task
+# the letters that byte-level tokenizers write for bytes, but for the space
+_BYTES = np.arange(256, dtype="<u4")
+_BYTES[[b for b in range(256) if not (32 <= b < 127 or 161 <= b < 173 or b > 173)]] = [*range(256, 288), *range(289, 324)]
 
 
 class Encoder:
     """Ids of whole texts, as the tokenizers library gives them; repeated words are encoded once.
 
     Where the tokenizer drops white space, never merges across it and parts Latin letters from the marks after them, a text's ids are those of
-    its words between white space, and a word's those of its letters and of its marks. That is tried on load, on words of all kinds; a tokenizer of
-    another kind reads whole texts.
+    its words between ASCII white space, and a word's those of its letters, in lower case and as bytes, by the tokenizer's model alone, and of its marks. That is
+    tried on load, on words of all kinds; a tokenizer of another kind reads whole texts. Words of anything else, other white space included, go through the
+    tokenizer as they are.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # on composed Latin letters between spaces the other normal forms and patterns do nothing
-        self.letters = Tokenizer.from_file(path)
-        self.letters.normalizer = normalizers.Lowercase()
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        size = self.tokenizer.get_vocab_size()
-        tokens = [str(self.tokenizer.id_to_token(i)) for i in range(size)]
-        self.ends = np.array([t.endswith("</w>") for t in tokens])
-        self.bytes = np.array([len(t.removesuffix("</w>")) for t in tokens])  # a letter of a token stands for a byte
-        self.cache: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.forget()
         self.by_word = True
         trial = [" ".join(_TRIAL), "  ".join(reversed(_TRIAL)), *_TRIAL]
         self.by_word = self.encode(trial) == self.whole(trial)
 
+    def forget(self) -> None:
+        """No words are known: their ids are one array, with where each word's begin and how many they are."""
+        self.words, self.ids = pa.array([], pa.large_string()), np.zeros(0, "<u4")
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
-        """Add words to the cache: runs of letters many at a time, cut apart at the tokens that end a word."""
-        cores, marks, rest = set(), set(), []
-        split = []
-        for w in words:
-            c = w.rstrip(_MARKS)
-            if c.isalpha() and (c.isascii() or _LATIN.fullmatch(c)):
-                m = w[len(c):]
-                split.append((w, c, m))
-                cores.add(c)
-                marks.add(m)
-            else:
-                rest.append(w)
-        known = {"": b""} | {c: self.cache[c] for c in cores if c in self.cache}
-        cores = [c for c in cores if c not in known]
-        for i in range(0, len(cores), 256):
-            part = cores[i:i + 256]
-            ids = np.array(self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            # as many ends as words, each after as many bytes as its word has
-            if len(cut) == len(part) and (np.diff(np.cumsum(self.bytes[ids])[cut - 1], prepend=0) == [len(c.encode()) for c in part]).all():
-                data, at = ids.tobytes(), [0, *(4 * cut).tolist()]
-                known.update((c, data[at[k]:at[k + 1]]) for k, c in enumerate(part))
-            else:
-                known.update(zip(part, self.whole(part), strict=True))
-        marks = [m for m in marks if m not in known]
-        known.update(zip(marks, self.whole(marks), strict=True))
-        self.cache.update((w, known[c] + known[m]) for w, c, m in split)
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """Add words that aren't known; their places."""
+        latin = pc.match_substring_regex(words, _LATIN)
+        parts, sizes = [], []
+        letters, rest = words.filter(latin), words.filter(pc.invert(latin))
+        for i in range(0, len(letters), 10_000):
+            some = " ".join(letters.slice(i, 10_000).to_numpy(zero_copy_only=False)).encode()
+            found = [self.model.tokenize(w) for w in _BYTES[np.frombuffer(some, np.uint8)].tobytes().decode("utf-32-le").split(" ")]
+            sizes += map(len, found)
+            parts.append(np.array([t.id for f in found for t in f], "<u4"))
         for i in range(0, len(rest), 1024):
-            self.cache.update(zip(rest[i:i + 1024], self.whole(rest[i:i + 1024]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+            found = [np.frombuffer(ids, "<u4") for ids in self.whole(rest.slice(i, 1024).to_pylist())]
+            sizes += map(len, found)
+            parts += found
+        size = np.array(sizes, np.int64)
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, *parts])
+        places = np.empty(len(words), np.int64)
+        places[np.argsort(~latin.to_numpy(zero_copy_only=False), kind="stable")] = len(self.words) + np.arange(len(words))
+        self.words = pa.concat_arrays([self.words, letters, rest])
+        return places
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_word:
-            return self.whole(texts)
-        if len(self.cache) > _CACHE_WORDS:
-            self.cache.clear()
-        split = [None if _SPACE.search(t) else t.split() for t in texts]
-        self.learn(set().union(*(w for w in split if w is not None)).difference(self.cache))
-        get = self.cache.__getitem__
-        return [self.whole([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
+            return self.whole(texts.to_pylist() if isinstance(texts, pa.Array) else texts)
+        if len(self.words) > _CACHE_WORDS:
+            self.forget()
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary
+        core = pc.ascii_rtrim(distinct, characters=_MARKS)
+        plain = pc.match_substring_regex(core, _LATIN)
+        marks = tails(distinct, pc.if_else(plain, pc.subtract(pc.binary_length(distinct), pc.binary_length(core)), 0).to_numpy())
+        # each word is its letters, or what it is else, and its marks
+        parts = pa.concat_arrays([pc.if_else(plain, pc.utf8_lower(core), distinct), marks]).dictionary_encode()
+        at = pc.fill_null(pc.index_in(parts.dictionary, value_set=self.words), -1).to_numpy().astype(np.int64)
+        new = at < 0
+        at[new] = self.learn(parts.dictionary.filter(pa.array(new)))
+        at = at[parts.indices.to_numpy()]
+        at = np.column_stack([at[:len(distinct)], at[len(distinct):]])[words.indices.to_numpy()].ravel()
+        size = self.size[at]
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(self.begin[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        upto = np.concatenate(([0], 4 * ends))[2 * (split.offsets.to_numpy() - split.offsets[0].as_py())].tolist()
+        return [ids[a:b] for a, b in zip(upto, upto[1:])]
+
+
+def tails(words: pa.Array, sizes: np.ndarray) -> pa.Array:
+    """The last bytes of each word, as many as sizes tells."""
+    sizes = sizes.astype(np.int64)
+    ends = np.cumsum(sizes)
+    stop = np.frombuffer(words.buffers()[1], np.int64)[words.offset + 1:words.offset + 1 + len(words)]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[np.repeat(stop - ends, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+    return pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(np.concatenate(([0], ends)).astype(np.int64)), pa.py_buffer(data.tobytes()))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -120,11 +136,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches):
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
+            texts = pc.fill_null(batch.column("text"), "")
             row, piece, start, length, crc = [], [], [], [], []
             at, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
+            for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+                size += n
                 if size < 2_000_000 and i + 1 < len(texts):
                     continue
                 for k, ids in enumerate(encoder.encode(texts[at:i + 1]), at):
