@@ -83,3 +83,20 @@ def test_the_stream_gives_the_same_in_any_batches(spark, tmp_path, machine):
     mark = max(r[1] for r in rows) - DAY
     want = sorted(str((key, *x)) for key in "abc" for x in keyed.advance(machine, [r[1:] for r in rows if r[0] == key and r[1] < mark], None, mark)[0])
     assert got == want and got
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_keys_of_any_kind_share_a_bucket(spark, tmp_path, buckets):
+    """Far fewer states than keys, and each key's rows are still its own."""
+    start = dt.datetime(2024, 1, 1)
+    names = ['a "b"', "", "ß\\", *map(str, range(40))]
+    rows = [(2**60 + i, dt.date(2024, 1, 1 + i % 28), name, start + dt.timedelta(microseconds=t * HOUR + i), x, 100 * i + t) for i, name in enumerate(names) for t, x in ((0, "story"), (30, "change"), (90, "story"), (999, "story"))]
+    spark.createDataFrame(rows, "n long, d date, s string, at timestamp, kind string, ref long").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("n long, d date, s string, at timestamp, kind string, ref long").parquet(str(tmp_path / "in"))
+    for k, key in enumerate("nds"):
+        out = streams.run_available(keyed.run(source, key, "at", F.col("kind"), "ref", keyed.Holds(2), "1 day", buckets=buckets), str(tmp_path / uuid.uuid4().hex))
+        micros = lambda t: (t - start) // dt.timedelta(microseconds=1)
+        mark = max(micros(r[3]) for r in rows) // 1000 * 1000 - DAY
+        want = [(x, *got) for x in {r[k] for r in rows} for got in keyed.advance(keyed.Holds(2), [[micros(r[3]), r[4], r[5]] for r in rows if r[k] == x and micros(r[3]) < mark], None, mark)[0]]
+        assert sorted((r[0], r[1], r[2], r[3], micros(r[4])) for r in out.collect()) == sorted(tuple(x) for x in want) and want
+        assert out.schema[key].dataType == source.schema[key].dataType

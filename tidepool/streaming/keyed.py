@@ -2,7 +2,8 @@
 
 Rows of a key wait in its state until the watermark has passed them and are then taken in event-time order, so what a machine
 decides doesn't depend on how rows were cut into batches or in what order they came. Its next deadline is the key's timer.
-Only what is still open stays: a key whose machine has nothing open leaves the state.
+Only what is still open stays: a key whose machine has nothing open leaves the state. Keys are dealt into buckets, whose calls
+and states they share.
 """
 
 from __future__ import annotations
@@ -123,38 +124,48 @@ def advance(machine: Machine, rows: Iterable[list], state, mark: int) -> tuple[l
     return out, state
 
 
-def run(rows: DataFrame, key: str, at: str, kind: Column, ref: str, machine: Machine, delay: str = "1 day") -> DataFrame:
+def run(rows: DataFrame, key: str, at: str, kind: Column, ref: str, machine: Machine, delay: str = "1 day", buckets: int = 4096) -> DataFrame:
     """(key, what the machine gives) for a stream of rows; rows without a time or a key take no part.
 
     delay: how late a row may come behind the latest one; the state holds the rows of that time.
+    buckets: keys are dealt into so many by their hash, and a bucket's keys share one state and one call, which cost the same for one key as for many.
+    It stays the same as long as the stream's state does; more of them suit more keys.
     """
+    own = rows.select(F.col(key).alias("key")).schema
+    form = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
     ready = rows.where(F.col(at).isNotNull() & F.col(key).isNotNull()).select(
-        F.col(key).alias("key"), F.col(at).alias("at"), F.unix_micros(at).alias("us"), kind.cast("string").alias("kind"), F.col(ref).cast("long").alias("ref"))
+        F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), F.to_json(F.struct(F.col(key).alias("key")), form).alias("key"),
+        F.col(at).alias("at"), F.unix_micros(at).alias("us"), kind.cast("string").alias("kind"), F.col(ref).cast("long").alias("ref"))
     names = [x.split()[0] for x in machine.out.split(", ")]
 
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, inner = json.loads(state.get[0]) if state.exists else ([], None)
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys = json.loads(state.get[0]) if state.exists else {}
         for pdf in frames:
-            waiting += [[int(a), k, int(r)] for a, k, r in zip(pdf["us"], pdf["kind"], pdf["ref"], strict=True)]
+            for k, a, x, r in zip(*(pdf[c].tolist() for c in ("key", "us", "kind", "ref")), strict=True):
+                keys.setdefault(k, ([], None))[0].append([int(a), x, int(r)])
         mark = max(0, state.getCurrentWatermarkMs())
-        # a time is passed once its millisecond lies before the watermark
-        out, inner = advance(machine, (r for r in waiting if r[0] // 1000 < mark), inner, mark * 1000)
-        waiting = [r for r in waiting if r[0] // 1000 >= mark]
-        timers = [r[0] for r in waiting] + ([machine.due(inner)] if inner is not None else [])
+        out, open_, timers = [], {}, []
+        for k, (waiting, inner) in keys.items():
+            # a time is passed once its millisecond lies before the watermark
+            more, inner = advance(machine, (r for r in waiting if r[0] // 1000 < mark), inner, mark * 1000)
+            out += [[k, *x] for x in more]
+            waiting = [r for r in waiting if r[0] // 1000 >= mark]
+            if waiting or inner is not None:
+                open_[k] = (waiting, inner)
+                timers += [r[0] for r in waiting] + ([machine.due(inner)] if inner is not None else [])
         if timers:
-            state.update((json.dumps([waiting, inner]),))
+            state.update((json.dumps(open_),))
             state.setTimeoutTimestamp(max(min(timers) // 1000, mark + 1))
         elif state.exists:
             state.remove()
         if out:
-            pdf = pd.DataFrame(out, columns=names)
+            pdf = pd.DataFrame(out, columns=["key", *names])
             pdf["at"] = pd.to_datetime(pdf["at"], unit="us")
             for c, t in (x.split() for x in machine.out.split(", ")):
                 if t == "long":
                     pdf[c] = pdf[c].astype("Int64")
-            yield pdf.assign(key=name[0])[["key", *names]]
+            yield pdf
 
-    kind_of_key = ready.schema["key"].dataType.simpleString()
-    out = ready.withWatermark("at", delay).groupBy("key").applyInPandasWithState(
-        step, f"key {kind_of_key}, {machine.out}", "state string", "append", GroupStateTimeout.EventTimeTimeout)
-    return out.withColumnRenamed("key", key)
+    out = ready.withWatermark("at", delay).groupBy("bucket").applyInPandasWithState(
+        step, f"key string, {machine.out}", "state string", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(F.from_json("key", own, form)["key"].alias(key), *names)
