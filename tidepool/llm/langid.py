@@ -9,12 +9,12 @@ language's mean probability. Code-switched text keeps a label for each word.
 
 from __future__ import annotations
 
+import re
 import unicodedata
-import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import held_out, tidy
@@ -22,6 +22,8 @@ from tidepool.llm.common import held_out, tidy
 FEATURES = 1 << 16
 STEP = 64  # words in a chunk
 PART = 300_000  # letters worked on at once
+WINDOW = re.compile(r"(?s).{1,400}(?!\S)|.{1,400}")  # what a text is cut into to learn from it: all of it, between words where it has any
+BUFFER = 8_192  # windows that a task holds and takes in an order of chance
 UND = "und"
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -88,12 +90,10 @@ def features_of(codes: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray,
     return out
 
 
-def emissions(codes: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def scores_of(features: list[tuple[np.ndarray, np.ndarray | None]], words: int, weights: np.ndarray) -> np.ndarray:
     """The score of each word for each language."""
-    total = np.zeros((len(starts), weights.shape[1]), np.float32)
-    if not len(starts):
-        return total
-    for slots, word in features_of(codes, starts):
+    total = np.zeros((words, weights.shape[1]), np.float32)
+    for slots, word in features:
         if word is None:
             total += weights[slots]
         elif len(word):
@@ -102,6 +102,11 @@ def emissions(codes: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.
     return total
 
 
+def emissions(codes: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The score of each word for each language."""
+    return scores_of(features_of(codes, starts) if len(starts) else [], len(starts), weights)
+
+
 def known_share(codes: np.ndarray, starts: np.ndarray, per_text: np.ndarray, used: np.ndarray) -> np.ndarray:
     """The share of each text's features that the weights have met before, less what chance makes of features never met: 1 if all are known, about 0 if none is."""
     n = len(starts)
@@ -187,66 +192,94 @@ def forward_backward(scores: np.ndarray, per_text: np.ndarray, transitions: np.n
     return out
 
 
-def train(texts: list[str], labels: np.ndarray, languages: int, epochs: int = 5, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (feature by language) and transitions, by adaptive gradient steps on the chain's log-likelihood.
+class Trainer:
+    """Weights (feature by language) and transitions, by adaptive gradient steps on the chain's log-likelihood; how often each feature was met.
 
     Sequences are made of windows of labelled documents, two windows one after the other, so that the language
     changes within them; every word bears its document's language.
     """
-    rng = np.random.default_rng(seed)
-    weights = np.zeros((FEATURES, languages), np.float32)
-    trans = np.where(np.eye(languages, dtype=bool), 2.0, 0.0).astype(np.float32)
-    seen_w, seen_t = np.full_like(weights, 1e-3), np.full_like(trans, 1.0)
-    for _ in range(epochs):
-        order = rng.permutation(len(texts))
-        for i in range(0, len(order), 256):
-            pick = order[i:i + 256]
-            codes, starts, per_text = words_of([texts[j] for j in pick])
-            if not len(starts):
-                continue
-            gold = np.repeat(labels[pick], per_text)
-            pairs = np.add.reduceat(np.append(per_text, 0) if len(per_text) % 2 else per_text, np.arange(0, len(per_text), 2))
-            soft = np.zeros_like(trans)
-            p = forward_backward(emissions(codes, starts, weights), pairs, trans, soft)
-            err = np.eye(languages, dtype=np.float32)[gold] - p
-            grad = np.zeros_like(weights)
-            for slots, word in features_of(codes, starts):
-                each = err if word is None else err[word]
-                for x in range(languages):
-                    grad[:, x] += np.bincount(slots, each[:, x], FEATURES)
-            grad /= len(pick)
-            seen_w += grad * grad
-            weights += rate * grad / np.sqrt(seen_w) * (grad != 0)
-            inner = np.ones(len(gold), bool)
-            ends = np.cumsum(pairs) - 1
-            inner[ends[ends >= 0]] = False
-            k = np.flatnonzero(inner)
-            k = k[k + 1 < len(gold)]
-            real = np.zeros_like(trans)
-            np.add.at(real, (gold[k], gold[k + 1]), 1)
-            g = (real - soft) / max(1, len(k))
-            seen_t += g * g
-            trans += rate * g / np.sqrt(seen_t)
-    return weights, np.clip(trans - trans.max(), -8, 0)
-
-
-def sample(docs: DataFrame, doc_id: str, text: str, lang: str, rows: int, windows: int = 2, width: int = 400) -> DataFrame:
-    """Windows of training documents: at most rows documents, as many of each language, at places spread over the text.
-
-    The bound: rows * windows * width characters, whatever the table's size.
+
+    def __init__(self, languages: int, rate: float = 0.5, seed: int = 7):
+        self.rate, self.rng = rate, np.random.default_rng(seed)
+        self.weights = np.zeros((FEATURES, languages), np.float32)
+        self.trans = np.where(np.eye(languages, dtype=bool), 2.0, 0.0).astype(np.float32)
+        self.met = np.zeros(FEATURES, np.int64)
+        self.seen_w, self.seen_t = np.full_like(self.weights, 1e-3), np.full_like(self.trans, 1.0)
+
+    def learn(self, texts: list[str], labels: np.ndarray, epochs: int = 1) -> None:
+        """As many passes over all texts, in an order of chance."""
+        for _ in range(epochs):
+            order = self.rng.permutation(len(texts))
+            for i in range(0, len(order), 256):
+                pick = order[i:i + 256]
+                self._step([texts[j] for j in pick], labels[pick])
+
+    def _step(self, texts: list[str], labels: np.ndarray) -> None:
+        codes, starts, per_text = words_of(texts)
+        if not len(starts):
+            return
+        weights, trans = self.weights, self.trans
+        languages = len(trans)
+        gold = np.repeat(labels, per_text)
+        pairs = np.add.reduceat(np.append(per_text, 0) if len(per_text) % 2 else per_text, np.arange(0, len(per_text), 2))
+        soft = np.zeros_like(trans)
+        features = features_of(codes, starts)
+        p = forward_backward(scores_of(features, len(starts), weights), pairs, trans, soft)
+        err = np.eye(languages, dtype=np.float32)[gold] - p
+        grad = np.zeros_like(weights)
+        for slots, word in features:
+            each = err if word is None else err[word]
+            for x in range(languages):
+                grad[:, x] += np.bincount(slots, each[:, x], FEATURES)
+            self.met += np.bincount(slots, minlength=FEATURES)
+        grad /= len(texts)
+        self.seen_w += grad * grad
+        weights += self.rate * grad / np.sqrt(self.seen_w) * (grad != 0)
+        inner = np.ones(len(gold), bool)
+        ends = np.cumsum(pairs) - 1
+        inner[ends[ends >= 0]] = False
+        k = np.flatnonzero(inner)
+        k = k[k + 1 < len(gold)]
+        real = np.zeros_like(trans)
+        np.add.at(real, (gold[k], gold[k + 1]), 1)
+        g = (real - soft) / max(1, len(k))
+        self.seen_t += g * g
+        trans += self.rate * g / np.sqrt(self.seen_t)
+
+
+def learned(rows: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, transitions and which features count as known, from the whole texts of all rows (doc_id, text, lang).
+
+    Rows are dealt into tasks by chance; each learns from its own, window by window, and the models are put together: a feature's weights are the mean
+    of those of the tasks, by how often each met it. Whole passes are made over all that a task has: one, or where that is at most BUFFER windows, five.
+    A feature is known if it is met more often than features are in the mean. That doesn't depend on how much there was to learn from.
     """
-    t = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
-        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in t.groupBy("lang").count().collect()}  # one row for each language
-    per = max(1, rows // max(1, len(sizes)))
-    # a large language is thinned by a hash of the id first, so that no task sees more than about twice the sample
-    share = F.coalesce(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 2 * per / n))))[F.col("lang")], F.lit(1.0)) if sizes else F.lit(1.0)
-    h = F.xxhash64("doc_id")
-    by = Window.partitionBy("lang").orderBy(h, "doc_id", F.xxhash64("text"))
-    first = (t.where(F.pmod(h, F.lit(1 << 20)) < share * (1 << 20))
-             .withColumn("n", F.row_number().over(by)).where(F.col("n") <= per))
-    place = [F.substring("text", F.greatest(F.lit(1), (F.length("text") * i / windows).cast("int") + 1), F.lit(width)) for i in range(windows)]
-    return first.select("lang", F.explode(F.array_distinct(F.array(*place))).alias("part"))
+    at = {n: i for i, n in enumerate(names)}
+    shape = (FEATURES, len(names))
+
+    def run(batches):
+        trainer, windows, labels, full, count = Trainer(len(names)), [], [], False, 0
+        for batch in batches:
+            for t, x in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+                found = WINDOW.findall(t)
+                windows += found
+                labels += [at[x]] * len(found)
+                count += len(found)
+                if len(windows) > BUFFER:
+                    trainer.learn(windows, np.array(labels))
+                    windows, labels, full = [], [], True
+        if windows:
+            trainer.learn(windows, np.array(labels), 1 if full else 5)
+        if count:
+            met = trainer.met.astype(np.float64) / (1 if full else 5)
+            sums = np.concatenate([(trainer.weights * met[:, None]).ravel(), met, trainer.trans.ravel() * count, [count]])
+            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+    parts = rows.repartition(F.xxhash64("doc_id", "text")).select("text", "lang").mapInArrow(tidy(run), "sums binary")
+    total = parts.rdd.map(lambda r: np.frombuffer(r["sums"])).treeReduce(np.add, 3)
+    weights, met, trans, count = np.split(total, np.cumsum([FEATURES * len(names), FEATURES, len(names) ** 2]))
+    trans = trans.reshape(len(names), -1) / count[0]
+    return ((weights.reshape(shape) / np.maximum(met, 1)[:, None]).astype(np.float32), np.clip(trans - trans.max(), -8, 0).astype(np.float32), met > met.mean())
 
 
 def runs_of(texts: list[str]):
@@ -260,29 +293,33 @@ def runs_of(texts: list[str]):
 
 
 class Labeller:
-    """A trained model that workers share: names of the languages, weights and transitions.
+    """A trained model that workers share: names of the languages, weights, transitions and known features.
 
-    least is the known share (see known_share) under which a text counts as in none of the languages: two thirds (0.65) of what all but a hundredth
-    of the windows reach that the weights weren't learned from; no bar where there are too few windows to tell.
+    It learns from the whole texts of all rows that aren't held out and have a language. least is the known share (see known_share) under which a text
+    counts as in none of the languages: two thirds (0.65) of what all but a hundredth of the texts reach that the weights weren't learned from; no bar where
+    there are too few texts to tell, and none without bar.
     """
 
-    def __init__(self, docs: DataFrame, sample_rows: int, doc_id: str, text: str, lang: str):
-        rows = sample(docs, doc_id, text, lang, sample_rows).collect()
-        self.names = sorted({r["lang"] for r in rows})
-        at = {n: i for i, n in enumerate(self.names)}
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, lang: str, bar: bool = False):
+        rows = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+            F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+        # of every five texts one sets the bar, the others the weights; a language that has texts of the first kind only is learned from these
+        sizes = {r["lang"]: (r["all"], r["apart"]) for r in rows.groupBy("lang").agg(F.count("*").alias("all"), F.count_if(F.crc32("text") % 5 == 0).alias("apart")).collect()}
+        self.names = sorted(sizes)
+        bar = bar and sum(n for n, _ in sizes.values()) >= 50 and all(k < n for n, k in sizes.values()) and any(k for _, k in sizes.values())
+        apart = F.crc32("text") % 5 == 0
         self.least = -np.inf
-        # windows of every fifth place set the bar, the others the weights
-        apart = np.array([zlib.crc32(r["part"].encode()) % 5 == 0 for r in rows], bool) & (len(rows) >= 100)
-        learn = [r for r, x in zip(rows, apart.tolist(), strict=True) if not x]
-        model = train([r["part"] for r in learn], np.array([at[r["lang"]] for r in learn]), len(at)) if at else None
-        self.model = docs.sparkSession.sparkContext.broadcast(model)
-        if model is not None and apart.any():
-            self.least = 0.65 * float(np.quantile(self.known([r["part"] for r, x in zip(rows, apart.tolist(), strict=True) if x]), 0.01))
+        self.model = docs.sparkSession.sparkContext.broadcast(learned(rows.where(~apart) if bar else rows, self.names) if sizes else None)
+        if bar:
+            def run(batches):
+                for batch in batches:
+                    yield pa.RecordBatch.from_arrays([pa.array(self.known(batch.column("text").to_pylist()), pa.float64())], names=["known"])
+
+            self.least = 0.65 * rows.where(apart).select("text").mapInArrow(tidy(run), "known double").agg(F.percentile_approx("known", 0.01, 100_000)).first()[0]
 
     def known(self, texts: list[str]) -> np.ndarray:
         """The known share of each text's features."""
-        used = np.abs(self.model.value[0]).sum(1) > 0
-        done = [known_share(*words_of(texts[a:b]), used) for a, b in runs_of(texts)]
+        done = [known_share(*words_of(texts[a:b]), self.model.value[2]) for a, b in runs_of(texts)]
         return np.concatenate(done) if done else np.zeros(0)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, ...]:
@@ -295,7 +332,7 @@ class Labeller:
         best, score, switches = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         if self.model.value is None or not len(starts):
             return best, score, per_text, switches
-        weights, trans = self.model.value
+        weights, trans, _ = self.model.value
         p = forward_backward(emissions(codes, starts, weights), per_text, trans)
         some = np.flatnonzero(per_text)
         begin = np.cumsum(per_text)[some] - per_text[some]
@@ -308,16 +345,16 @@ class Labeller:
         return best, score, per_text, switches
 
 
-def detect(docs: DataFrame, sample_rows: int = 2400, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_words and n_switches for every row of docs.
 
-    Learns from at most sample_rows documents whose crc32(doc_id as text) mod 5 is not 0 and whose lang is not
+    Learns from the whole texts of all documents whose crc32(doc_id as text) mod 5 is not 0 and whose lang is not
     null; predicts from the whole text alone. lang_pred is a learned value, or 'und' with score 0 if the text is
     null or holds no letter, or if nothing could be learned. n_switches counts neighbouring words with different
     labels. Repeated rows each keep a row; an empty table gives no rows; a null doc_id counts as not held out;
     other columns are ignored.
     """
-    label = Labeller(docs, sample_rows, doc_id, text, lang)
+    label = Labeller(docs, doc_id, text, lang)
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))
     schema = rows.select("doc_id", "held_out").schema.add("lang_pred", "string").add("score", "double").add("n_words", "long").add("n_switches", "long")
 
@@ -332,7 +369,7 @@ def detect(docs: DataFrame, sample_rows: int = 2400, doc_id: str = "doc_id", tex
     return rows.mapInArrow(tidy(run), schema)
 
 
-def keep_known(docs: DataFrame, sample_rows: int = 2400, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs whose text is in one of the learned languages, or in several; lang becomes the predicted language.
 
     Rows that detect would call 'und' go, and so do those of which the model knows too few features (affixes, n-grams, words; see Labeller.least):
@@ -341,7 +378,7 @@ def keep_known(docs: DataFrame, sample_rows: int = 2400, doc_id: str = "doc_id",
     with a letter stay. Other columns, repeated rows and the order of columns stay; an empty
     table gives no rows; a null text goes.
     """
-    label = Labeller(docs, sample_rows, doc_id, text, lang)
+    label = Labeller(docs, doc_id, text, lang, bar=True)
 
     def run(batches):
         for batch in batches:
