@@ -18,7 +18,8 @@ FOLD_MIN_CHARS = 6
 
 
 # Ranges whose letters are composed already and that hold no combining marks: Latin, Cyrillic, kana, Han, Hangul, punctuation.
-_COMPOSED = r"^[\x00-\u02FF\u0400-\u0482\u048A-\u052F\u2010-\u2027\u2030-\u205E\u20A0-\u20C0\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3]*$"
+# Latin stands before the nested class, here and in words: so it is looked at first, and the other ranges only where it fails.
+_COMPOSED = r"^[\x00-\u02FF[\u0400-\u0482\u048A-\u052F\u2010-\u2027\u2030-\u205E\u20A0-\u20C0\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3]]*$"
 # Fixed pattern: an initialism is two or more pairs of a letter and a dot or slash, the first not after a letter or digit, and perhaps one more
 # letter; from three letters on its separators go. As Spark's replacement has no conditions, one pair is replaced at a time, if what stands
 # before and after makes the run long enough.
@@ -32,18 +33,17 @@ def lower_nfc(text: Column) -> Column:
     def composed(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x.lower()))
 
-    plain = text.rlike(_COMPOSED)
-    return F.coalesce(F.when(plain, F.lower(text)), composed(F.when(~plain, text)))
+    return F.coalesce(composed(F.when(~text.rlike(_COMPOSED), text)), F.lower(text))  # the pattern is held against a text once
 
 
 def collapse_initialisms(text: Column) -> Column:
     """Runs of three letters and more, each before a dot or slash, lose their separators (u.s.a. -> usa); shorter runs stay."""
-    return F.when(text.rlike(r"\p{L}[./]\p{L}[./]"), F.regexp_replace(text, _INITIALISM, "$1$2$3")).otherwise(text)
+    return F.when(text.rlike(r"[./](?<=\p{L}.)\p{L}[./]"), F.regexp_replace(text, _INITIALISM, "$1$2$3")).otherwise(text)
 
 
 def words(text: Column) -> Column:
     """Runs of letters, digits and underscores in order."""
-    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(r"[a-z0-9_[\p{L}\p{N}]]+"), F.lit(0))
 
 
 def significant_tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:

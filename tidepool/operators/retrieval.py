@@ -75,12 +75,46 @@ class TitleIndex:
         self.size = np.diff(tokens.offsets.to_numpy())
         word = tokens.flatten().dictionary_encode()
         self.words, no = word.dictionary, word.indices.to_numpy()
-        self.sets = np.repeat(np.arange(len(self.size)), self.size)[np.argsort(no, kind="stable")].astype(np.int32)
+        of_set = np.repeat(np.arange(len(self.size)), self.size)
+        self.sets = of_set[np.argsort(no, kind="stable")].astype(np.int32)
         self.start = np.concatenate([[0], np.cumsum(np.bincount(no, minlength=len(self.words)))]).astype(np.int64)
+        # each set's tokens, the one of the fewest sets first, and the sets by that one
+        self.first = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
+        self.tokens = no[np.lexsort((no, np.diff(self.start)[no], of_set))].astype(np.int32)
+        own = np.flatnonzero(self.size)
+        rarest = self.tokens[self.first[own]]
+        self.by_rarest = own[np.argsort(rarest, kind="stable")].astype(np.int32)
+        self.rarest_start = np.concatenate([[0], np.cumsum(np.bincount(rarest, minlength=len(self.words)))]).astype(np.int64)
+        self.n_films = np.diff(self.begin)
+        self.present = None
+
+    def contained(self, tokens: np.ndarray) -> np.ndarray:
+        """The sets whose tokens all are a story's: few others share their rarest token with it."""
+        if self.present is None:
+            self.present = np.zeros(len(self.words), bool)  # all false between calls
+        present = self.present
+        present[tokens] = True
+        left = self.by_rarest[spread(self.rarest_start[tokens], self.rarest_start[tokens + 1] - self.rarest_start[tokens])]
+        found, place = [], 1
+        while len(left):
+            over = self.size[left] == place
+            found.append(left[over])
+            left = left[~over]
+            left = left[present[self.tokens[self.first[left] + place]]]
+            place += 1
+        present[tokens] = False
+        return np.concatenate(found) if found else left
+
+    def films_in(self, sets: np.ndarray) -> int:
+        """How many films the sets have."""
+        if not self.several:
+            return int(self.n_films[sets].sum())
+        return len(np.unique(self.members[spread(self.begin[sets], self.n_films[sets])]))
 
     def reached(self, tokens: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(sets, scores) of the sets that hold a token of a story and reach least; each token is the number of a word."""
-        met = self.sets[spread(self.start[tokens], self.start[tokens + 1] - self.start[tokens])]
+        met = [self.sets[a:b] for a, b in zip(self.start[tokens].tolist(), self.start[tokens + 1].tolist(), strict=True)]
+        met = np.concatenate(met) if met else self.sets[:0]
         if len(met) * 8 < len(self.size):
             found, hits = np.unique(met, return_counts=True)
         else:
@@ -130,29 +164,36 @@ def _blocks(titles: DataFrame, film: str, small: int, most: int = 16) -> list |
     """
     own = F.array_sort(F.array_distinct("tokens"))
     rows = titles.where(F.size("tokens") > 0).select(F.col(film).alias("film"), F.array_join(own, SEAM).alias("key"), F.size(own).alias("n"))
-    size = rows.agg(F.sum("n")).first()[0] or 0
-    if size > small * most:
-        return None
-    parts = max(1, math.ceil(size / max(1, small)))
-    own = lambda part: rows if parts == 1 else rows.where(F.pmod(F.xxhash64("film"), F.lit(parts)) == part)
-    return [titles.sparkSession.sparkContext.broadcast(TitleIndex(own(part).select("film", "key").toArrow())) for part in range(parts)]
+    rows = rows.persist()  # titles without their pages: counted and then gathered, made once
+    try:
+        size = rows.agg(F.sum("n")).first()[0] or 0
+        if size > small * most:
+            return None
+        parts = max(1, math.ceil(size / max(1, small)))
+        own = lambda part: rows if parts == 1 else rows.where(F.pmod(F.xxhash64("film"), F.lit(parts)) == part)
+        return [titles.sparkSession.sparkContext.broadcast(TitleIndex(own(part).select("film", "key").toArrow())) for part in range(parts)]
+    finally:
+        rows.unpersist()
 
 
-def _each_story(terms: DataFrame, blocks: list, story: str, least: float, schema: str, give: Callable[[TitleIndex, np.ndarray, np.ndarray], list]) -> DataFrame:
-    """What give makes of each story's sets and scores, as rows: the story, and the columns of schema in order, films as places.
+def _each_story(terms: DataFrame, blocks: list, story: str, schema: str, give: Callable[[TitleIndex, np.ndarray], list]) -> DataFrame:
+    """What give makes of each story's tokens (numbers of words), as rows: the story, and the columns of schema in order, films as places.
 
     Stories are dealt by their key once, then only read through: nothing is sorted, shuffled or kept by pairs of story and film.
+    Rows of one story are put together where a key repeats, which is looked up first.
     """
-    one = terms.select(story, "tokens").repartition(story).groupBy(story).agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    one = terms.select(story, "tokens").repartition(story)
+    if not terms.groupBy(story).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        one = one.groupBy(story).agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
     out = None
     for shared in blocks:
-        run = _reader(shared, story, least, give, [c.split()[0] for c in schema.split(", ")])
+        run = _reader(shared, story, give, [c.split()[0] for c in schema.split(", ")])
         rows = one.mapInArrow(run, f"`{story}` {one.schema[story].dataType.simpleString()}, {schema}")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def _reader(shared, story: str, least: float, give: Callable, names: list[str], most: int = 200_000):
+def _reader(shared, story: str, give: Callable, names: list[str], most: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
@@ -163,7 +204,7 @@ def _reader(shared, story: str, least: float, give: Callable, names: list[str],
             word, ends = word.drop_null().to_numpy(), np.searchsorted(known, ends - ends[0])
             at, columns, waiting = [], [], 0
             for i in range(batch.num_rows):
-                made = give(index, *index.reached(word[ends[i]:ends[i + 1]], least))
+                made = give(index, np.unique(word[ends[i]:ends[i + 1]]))
                 at.append(np.full(len(made[0]), i))
                 columns.append(made)
                 waiting += len(made[0])
@@ -188,7 +229,7 @@ def token_scores(terms: DataFrame, titles: DataFrame, *, story: str = "story_id"
     if blocks is None:
         return _scores_by_token(terms, inverted_index(titles, film), story, film, least)
     kind = titles.schema[film].dataType.simpleString()
-    return _each_story(terms, blocks, story, least, f"film {kind}, score double", lambda index, sets, scores: index.pairs(sets, scores)).withColumnRenamed("film", film)
+    return _each_story(terms, blocks, story, f"film {kind}, score double", lambda index, tokens: index.pairs(*index.reached(tokens, least))).withColumnRenamed("film", film)
 
 
 def best_films(terms: DataFrame, titles: DataFrame, threshold: float = THRESHOLD, cap: int = CAP, *, story: str = "story_id", film: str = "film_id", small: int = SMALL) -> DataFrame:
@@ -198,12 +239,13 @@ def best_films(terms: DataFrame, titles: DataFrame, threshold: float = THRESHOLD
         return cut(_scores_by_token(terms, inverted_index(titles, film), story, film, threshold), threshold, cap, story=story, film=film)
     kind = titles.schema[film].dataType.simpleString()
 
-    def give(index, sets, scores):
+    def give(index, tokens):
+        sets, scores = index.reached(tokens, threshold)
         over = scores >= threshold
         total, films, score = index.best(sets[over], scores[over], cap)
         return [films, score, np.full(len(films), total, np.int64), np.arange(1, len(films) + 1, dtype=np.int32)]
 
-    out = _each_story(terms, blocks, story, threshold, f"film {kind}, score double, n_over long, rank int", give).withColumnRenamed("film", film)
+    out = _each_story(terms, blocks, story, f"film {kind}, score double, n_over long, rank int", give).withColumnRenamed("film", film)
     if len(blocks) == 1:
         return out
     own = Window.partitionBy(story)  # at most cap rows of each block; its count stands at each block's first
@@ -211,23 +253,31 @@ def best_films(terms: DataFrame, titles: DataFrame, threshold: float = THRESHOLD
     return out.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), F.asc(film)))).where(F.col("rank") <= cap)
 
 
-def tallies(terms: DataFrame, titles: DataFrame, thresholds: list[float], *, story: str = "story_id", film: str = "film_id", small: int = SMALL) -> DataFrame:
-    """(story, threshold, n): how many films reach each threshold, where any does."""
+def tallies(terms: DataFrame, titles: DataFrame, thresholds: list[float], *, most: int | None = None, story: str = "story_id", film: str = "film_id", small: int = SMALL) -> DataFrame:
+    """(story, threshold, n): how many films reach each threshold, where any does.
+
+    With most, n is at most that: a story that holds all tokens of so many films' titles is told by these alone, which are found by the rarest token of each title.
+    """
     blocks = _blocks(titles, film, small)
+    bounded = lambda n: n if most is None else F.least(n, F.lit(most).cast("long"))
     if blocks is None:
-        return tallied(_scores_by_token(terms, inverted_index(titles, film), story, film, min(thresholds)), thresholds, story=story)
+        return tallied(_scores_by_token(terms, inverted_index(titles, film), story, film, min(thresholds)), thresholds, story=story).withColumn("n", bounded(F.col("n")))
     grid = np.array(thresholds, np.float64)
 
-    def give(index, sets, scores):
+    def give(index, tokens):
+        if most is not None and grid.max() <= 1 and index.films_in(index.contained(tokens)) >= most:
+            return [grid, np.full(len(grid), most, np.int64)]
+        sets, scores = index.reached(tokens, min(thresholds))
         if index.several:
             _, scores = index.pairs(sets, scores)
             n = (scores[:, None] >= grid).sum(0)
         else:
-            n = ((scores[:, None] >= grid) * (index.begin[sets + 1] - index.begin[sets])[:, None]).sum(0)
+            n = np.array([index.n_films[sets[scores >= t]].sum() for t in thresholds])
+        n = n if most is None else np.minimum(n, most)
         return [grid[n > 0], n[n > 0].astype(np.int64)]
 
-    out = _each_story(terms, blocks, story, min(thresholds), "threshold double, n long", give)
-    return out if len(blocks) == 1 else out.groupBy(story, "threshold").agg(F.sum("n").alias("n"))
+    out = _each_story(terms, blocks, story, "threshold double, n long", give)
+    return out if len(blocks) == 1 else out.groupBy(story, "threshold").agg(bounded(F.sum("n")).alias("n"))
 
 
 def _best(hits: DataFrame, story: str, film: str, least: float) -> DataFrame:
@@ -243,7 +293,7 @@ def rare_tokens(index: DataFrame, seen: DataFrame, film: str, least: float) -> D
 
 
 def _scores_by_token(terms: DataFrame, index: DataFrame, story: str, film: str, least: float) -> DataFrame:
-    seen = terms.select(story, F.explode("tokens").alias("token"))
+    seen = terms.select(story, F.explode("tokens").alias("token")).distinct()
     if least <= 0:
         return _best(seen.join(index, "token").groupBy(story, film, "title_no", "n_tokens").agg(F.count("*").alias("hits")), story, film, least)
     key = [film, "title_no", "n_tokens"]
@@ -313,6 +363,12 @@ def per_story(stories: DataFrame, found: DataFrame, cap: int = CAP, *, story: st
         story, F.coalesce("offered", F.lit(0)).alias("offered"), F.coalesce("n_over", F.lit(0)).alias("n_over"), (F.coalesce("n_over", F.lit(0)) > cap).alias("saturated"))
 
 
+def per_story_of(tally: DataFrame, stories: DataFrame, cap: int = CAP, *, story: str = "story_id") -> DataFrame:
+    """(story, offered, saturated) of every story from counts (story, n) of what reaches the threshold, which may end at cap + 1."""
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    return stories.select(story).join(tally.select(story, "n"), story, "left").select(story, F.least(n, F.lit(cap).cast("long")).alias("offered"), (n > cap).alias("saturated"))
+
+
 def health(tally: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counts, rates (null of nothing) and breaches: hard if too many stories find nothing, soft if too many are capped."""
     t = tally.groupBy(*(by or [])).agg(

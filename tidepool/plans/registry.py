@@ -173,9 +173,9 @@ def candidate_topk(documents, pages):
            round(count(*) FILTER (n_over = 0) / count(*), 6) AS zero_rate, round(count(*) FILTER (n_over > 47) / count(*), 6) AS saturation_rate, round(sum(least(n_over, 47)) / count(*), 6) AS mean_offered,
            count(*) >= 50 AND zero_rate > 0.1 AS hard_breach, count(*) >= 50 AND saturation_rate > 0.05 AS soft_breach FROM p""")
 def retrieval_health(documents, pages):
-    found = retrieval.best_films(_terms(documents), retrieval.searchable_titles(_catalog(pages)), 0.5, 47)
-    tally = retrieval.per_story(documents.select(F.col("doc_id").alias("story_id")), found)
-    return retrieval.health(tally).select("n", "zero", "saturated", "offered", *(F.round(c, 6).alias(c) for c in ("zero_rate", "saturation_rate", "mean_offered")), "hard_breach", "soft_breach")
+    tally = retrieval.tallies(_terms(documents), retrieval.searchable_titles(_catalog(pages)), [0.5], most=48)
+    told = retrieval.per_story_of(tally, documents.select(F.col("doc_id").alias("story_id")), 47)
+    return retrieval.health(told).select("n", "zero", "saturated", "offered", *(F.round(c, 6).alias(c) for c in ("zero_rate", "saturation_rate", "mean_offered")), "hard_breach", "soft_breach")
 
 
 @query(f"""WITH {_SCORES}, g AS (SELECT threshold, cap FROM (VALUES (0.5), (0.75), (1.0)) a(threshold), (VALUES (10), (47)) b(cap)),
