@@ -183,7 +183,7 @@ def retrieval_health(documents, pages):
     SELECT g.threshold::DOUBLE AS threshold, g.cap::INTEGER AS cap, (SELECT count(DISTINCT doc_id) FROM documents) AS n_stories, (SELECT count(DISTINCT doc_id) FROM documents) - count(e.story_id) AS zero,
            count(*) FILTER (e.n > g.cap) AS saturated, coalesce(sum(least(e.n, g.cap)), 0)::BIGINT AS offered FROM g LEFT JOIN e USING (threshold) GROUP BY ALL""")
 def threshold_sweep(documents, pages):
-    tally = retrieval.tallies(_terms(documents), retrieval.searchable_titles(_catalog(pages)), [0.5, 0.75, 1.0])
+    tally = retrieval.tallies(_terms(documents), retrieval.searchable_titles(_catalog(pages)), [0.5, 0.75, 1.0], most=48)
     return retrieval.sweep_of(tally, documents.select(F.col("doc_id").alias("story_id")), [0.5, 0.75, 1.0], [10, 47])
 
 
