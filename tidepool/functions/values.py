@@ -38,10 +38,14 @@ def event_rank(event_type: Column) -> Column:
     return mapped(event_type, {k: STAGES.index(v) for k, v in EVENT_STAGE.items()}, -1)
 
 
-def crew_order(department: Column, job: Column, order: Column, name: Column) -> list[Column]:
-    """Sort keys of crew: department by priority, then its name, job, billing (nulls last), name."""
+def crew_keys(department: Column, job: Column, order: Column, name: Column) -> list[Column]:
+    """What crew is sorted by: department by priority, then its name, job, billing (nulls last), name."""
     dept = F.coalesce(department, F.lit(""))
-    return [rank_of(dept, DEPARTMENT_ORDER, len(DEPARTMENT_ORDER)).asc(), dept.asc(), F.coalesce(job, F.lit("")).asc(), order.asc_nulls_last(), name.asc()]
+    return [rank_of(dept, DEPARTMENT_ORDER, len(DEPARTMENT_ORDER)), dept, F.coalesce(job, F.lit("")), order.isNull(), order, name]
+
+
+def crew_order(department: Column, job: Column, order: Column, name: Column) -> list[Column]:
+    return [k.asc() for k in crew_keys(department, job, order, name)]
 
 
 def ratio(part: Column, whole: Column, empty: float | None = None) -> Column:

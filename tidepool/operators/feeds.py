@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,40 +161,74 @@ def visible_calendar(releases: DataFrame, films: DataFrame, genres: DataFrame, d
             .join(ordered_join(P.having(directors, once, "film_id"), ["film_id"], "name", ["credit_order", "name"], "directors"), "film_id", "left"))
 
 
-def other_titles(films: DataFrame, titles: DataFrame, n: int = 8) -> DataFrame:
-    """(film_id, title, position): each film's titles that are neither its title nor its original one in any casing; one of each casing (the least), the first n by lower case."""
-    own = films.select("film_id", F.lower("title").alias("__a"), F.lower("original_title").alias("__b"))
-    low = F.lower(titles["title"])
-    other = titles.join(own, "film_id").where(~low.eqNullSafe(F.col("__a")) & ~low.eqNullSafe(F.col("__b")) & titles["title"].isNotNull()).select("film_id", "title")
-    return distinct_casings(other, "film_id", "title", [], n).withColumnRenamed("rank", "position")
+def other_titles(titles: Column, title: Column, original: Column, n: int = 8) -> Column:
+    """Of an array of (low, title) the titles that are neither of two in any casing; one of each casing (the least), the first n by lower case."""
+    other = F.filter(titles, lambda t: ~t["low"].eqNullSafe(title) & ~t["low"].eqNullSafe(original) & t["low"].isNotNull())
+    # the sorted array is told once, as the one item of another; the first of each casing stays
+    once = F.transform(F.array(F.array_sort(other)), lambda own: F.filter(own, lambda t, i: ~t["low"].eqNullSafe(F.get(own, i - 1)["low"])))
+    return F.transform(F.slice(F.get(once, F.lit(0)), 1, n), lambda t: t["title"])
+
+
+def in_order(items: Column, keys: Callable[[Column], list[Column]], *fields: str, first: int | None = None) -> Column:
+    """The items of an array by their keys (nulls first), with these fields; the first few, if asked for."""
+    keyed = F.array_sort(F.transform(items, lambda x: F.struct(F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys(x)))).alias("key"), F.struct(*(x[f].alias(f) for f in fields)).alias("item"))))
+    return F.transform(keyed if first is None else F.slice(keyed, 1, first), lambda x: x["item"])
+
+
+def event_sources(members: DataFrame, outlets: int = 3, fields: tuple[str, ...] = ("url", "outlet", "headline", "published_at")) -> DataFrame:
+    """(event_id, sources): the newest stories of different outlets, from (event_id, story_id, outlet, published_at, ...) of an event's members."""
+    told = top_n_distinct(members, ["event_id"], X.outlet_key(F.col("outlet")), [F.col("published_at").desc_nulls_last(), F.asc("story_id")], outlets)
+    return told.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", *fields))), lambda x: x.dropFields("rank")).alias("sources"))
 
 
 def film_page(films: DataFrame, *, events: DataFrame, summaries: DataFrame, members: DataFrame, stories: DataFrame | None = None, releases: DataFrame, genres: DataFrame, companies: DataFrame,
               collections: DataFrame, titles: DataFrame, credits: DataFrame, hidden: tuple[str, ...] = ("other",), home: str = "US", billed: int = 12, outlets: int = 3) -> DataFrame:
+    """What film_page_of gives, from tables of their own.
+
+    events: (event_id, film_id, event_type, region, confidence, provenance, created_at); summaries: (event_id, summary, edited_at); members: (event_id, story_id);
+    stories: (story_id, outlet, url, headline, published_at); releases: (film_id, iso_3166_1, release_type, release_date, certification); genres, companies: (film_id, id, name);
+    titles: (film_id, title); credits: (film_id, name, credit_type, character, job, department, credit_order). Without stories the members bear their columns.
+    """
+    sources = event_sources(members if stories is None else members.join(stories, "story_id"), outlets)
+    shown = events.join(summaries, "event_id").join(sources, "event_id", "left").where(P.visible_event(F.col("event_type"), hidden))
+    parts = {"event": (shown, EVENT), "release": (releases, RELEASE), "genre": (genres, ("id", "name")), "company": (companies, ("id", "name")), "credit": (credits, CREDIT)}
+    rows = titles.select("film_id", "title")
+    for name, (table, fields) in parts.items():
+        rows = rows.unionByName(table.select("film_id", F.struct(*fields).alias(name)), allowMissingColumns=True)
+    return film_page_of(films, rows, collections, hidden=hidden, home=home, billed=billed)
+
+
+EVENT = ("event_id", "event_type", "region", "confidence", "provenance", "created_at", "summary", "edited_at", "sources")
+RELEASE = ("iso_3166_1", "release_type", "release_date", "certification")
+CREDIT = ("name", "credit_type", "character", "job", "department", "credit_order")
+
+
+def film_page_of(films: DataFrame, rows: DataFrame, collections: DataFrame, *, hidden: tuple[str, ...] = ("other",), home: str = "US", billed: int = 12) -> DataFrame:
     """Films with all that their pages show: stage, and as ordered arrays events (oldest first, with summary, whether it was edited, and sources of different outlets), release_dates,
     genres, production_companies, alternative_titles, cast and crew; collection is one struct or null.
 
-    films: (film_id, title, original_title, status, origin, collection_id, ...); events: (event_id, film_id, event_type, region, confidence, provenance, created_at); summaries: (event_id, summary, edited_at);
-    members: (event_id, story_id); stories: (story_id, outlet, url, headline, published_at); releases: (film_id, iso_3166_1, release_type, release_date, certification); genres, companies: (film_id, id, name);
-    collections: (collection_id, name, poster_path); titles: (film_id, title); credits: (film_id, name, credit_type, character, job, department, credit_order).
-    Without stories the members bear their columns: then the members, the largest table, are shuffled once, by event.
-    Each collection is cut and gathered by film before it is joined, so nothing multiplies.
+    films: (film_id, title, original_title, status, origin, collection_id, ...); collections: (collection_id, name, poster_path). rows: (film_id, event, release, genre, company, title, credit), each but
+    the film null where a row has none: structs of EVENT, RELEASE, (id, name) and CREDIT, and a text. A row can bear items of several kinds, so one table that tells them all is shuffled once, by film,
+    and each film's items are cut and put in order where it is gathered. Equal genres, companies and titles of a film count once.
     """
-    key = films.select("film_id", "origin")
-    place = lambda rows, *order: rows.withColumn("position", F.row_number().over(Window.partitionBy("film_id").orderBy(*order)))
-    shown = events.join(key, "film_id").join(summaries, "event_id").where(P.visible_event(F.col("event_type"), hidden) & P.region_visible(F.col("event_type"), F.col("region"), F.col("origin"), home))
-    seen = P.having(members, shown, "event_id")
-    told = top_n_distinct(seen if stories is None else seen.join(stories, "story_id"), ["event_id"], X.outlet_key(F.col("outlet")), [F.col("published_at").desc_nulls_last(), F.asc("story_id")], outlets)
-    sources = told.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url", "outlet", "headline", "published_at"))), lambda x: x.dropFields("rank")).alias("sources"))
-    shown = shown.join(sources, "event_id", "left").withColumn("sources", F.coalesce("sources", F.array().cast(sources.schema["sources"].dataType)))
-    shown = shown.select("film_id", "event_id", "event_type", "confidence", "created_at", "summary", F.col("edited_at").isNotNull().alias("summary_edited"), "provenance", "sources")
-    grade = V.mapped(F.col("release_type"), V.RELEASE_LABEL)
-    dates = releases.join(key, "film_id").where(P.displayable_release(F.col("release_type"), F.col("iso_3166_1"), F.col("origin"))).select("film_id", F.col("iso_3166_1").alias("country"), "release_type", grade.alias("type_label"), F.col("release_date").alias("date"), "certification")
-    billing = top_n(credits.where("credit_type = 'cast'"), ["film_id"], [F.col("credit_order").asc_nulls_last(), F.asc("name"), F.col("character").asc_nulls_last()], billed, "position")
-    crew = place(credits.where("credit_type = 'crew'"), *V.crew_order(F.col("department"), F.col("job"), F.col("credit_order"), F.col("name")))
-    out = detail(
-        films.withColumn("arc_stage", V.arc_stage(F.col("status"))), "film_id", events=place(shown, F.asc("created_at"), F.asc("event_id")), release_dates=place(dates, F.asc("date"), F.asc("release_type"), F.asc("country"), F.asc("certification")),
-        genres=place(genres, F.asc("name"), F.asc("id")).select("film_id", "position", "name"), production_companies=place(companies, F.asc("name"), F.asc("id")).select("film_id", "position", "name"),
-        alternative_titles=other_titles(films, titles).select("film_id", "position", "title"), cast=billing.select("film_id", "position", "name", "character"), crew=crew.select("film_id", "position", "name", "job", "department"))
+    name_id = lambda x: [x["name"], x["id"]]
+    rows = rows.withColumn("title", F.when(F.col("title").isNotNull(), F.struct(F.lower("title").alias("low"), "title")))
+    each = rows.groupBy("film_id").agg(*(gather(c).alias(f"__{c}") for c, gather in (("event", F.collect_list), ("release", F.collect_list), ("genre", F.collect_set), ("company", F.collect_set), ("title", F.collect_set), ("credit", F.collect_list))))
+    out = films.withColumns({"arc_stage": V.arc_stage(F.col("status")), "__a": F.lower("title"), "__b": F.lower("original_title")}).join(each, "film_id", "left")
+    for c in each.columns[1:]:
+        out = out.withColumn(c, F.coalesce(c, F.array().cast(each.schema[c].dataType)))
+    shown = F.filter("__event", lambda e: P.visible_event(e["event_type"], hidden) & P.region_visible(e["event_type"], e["region"], F.col("origin"), home))
+    shown = F.transform(shown, lambda e: e.withField("summary_edited", e["edited_at"].isNotNull()).withField("sources", F.coalesce(e["sources"], F.array().cast(each.schema["__event"].dataType.elementType["sources"].dataType))))
+    dates = F.filter("__release", lambda r: P.displayable_release(r["release_type"], r["iso_3166_1"], F.col("origin"), home))
+    dates = F.transform(dates, lambda r: F.struct(r["iso_3166_1"].alias("country"), r["release_type"].alias("release_type"), V.mapped(r["release_type"], V.RELEASE_LABEL).alias("type_label"), r["release_date"].alias("date"), r["certification"].alias("certification")))
+    credited = lambda kind: F.filter("__credit", lambda c: c["credit_type"] == kind)
+    out = out.select(
+        *films.columns, "arc_stage",
+        in_order(shown, lambda e: [e["created_at"], e["event_id"]], "event_id", "event_type", "confidence", "created_at", "summary", "summary_edited", "provenance", "sources").alias("events"),
+        in_order(dates, lambda r: [r["date"], r["release_type"], r["country"], r["certification"]], "country", "release_type", "type_label", "date", "certification").alias("release_dates"),
+        in_order(F.col("__genre"), name_id, "name").alias("genres"), in_order(F.col("__company"), name_id, "name").alias("production_companies"),
+        F.transform(other_titles(F.col("__title"), F.col("__a"), F.col("__b")), lambda t: F.struct(t.alias("title"))).alias("alternative_titles"),
+        in_order(credited("cast"), lambda c: [c["credit_order"].isNull(), c["credit_order"], c["name"], c["character"].isNull(), c["character"]], "name", "character", first=billed).alias("cast"),
+        in_order(credited("crew"), lambda c: V.crew_keys(c["department"], c["job"], c["credit_order"], c["name"]), "name", "job", "department").alias("crew"))
     one = collections.select("collection_id", F.struct("name", "poster_path").alias("collection"))
     return out.join(one, "collection_id", "left").drop("collection_id")
