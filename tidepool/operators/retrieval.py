@@ -124,6 +124,48 @@ class TitleIndex:
         ok = hits >= least * self.size[found] - 1e-9
         return found[ok], hits[ok] / self.size[found[ok]]
 
+    def count_over(self, stories: list[np.ndarray], threshold: float, together: int = 2048) -> np.ndarray:
+        """For each story how many films reach the threshold, if each film has one set; many stories are counted at once, as bits of words."""
+        every = np.arange(int(self.size.max(initial=0)) + 1)
+        need = np.array([next((h for h in range(1, n + 1) if h / n >= threshold), n + 1) for n in every.tolist()])
+        return np.concatenate([np.zeros(0, np.int64), *(self._counted(stories[at:at + together], need) for at in range(0, len(stories), together))])
+
+    def _counted(self, stories: list[np.ndarray], need: np.ndarray, words: int = 16_384, rows: int = 32_768) -> np.ndarray:
+        """need: how many of its tokens a set of each size must meet. A chunk has about so many words; that many rows of bits are summed up at once."""
+        used = np.unique(np.concatenate(stories))
+        row = np.full(len(self.words), -1, np.int32)
+        row[used] = np.arange(len(used))
+        bits = np.zeros((len(used), -(-len(stories) // 64)), np.uint64)  # a token's stories
+        for i, tokens in enumerate(stories):
+            bits[row[tokens], i >> 6] |= np.uint64(1 << (i & 63))
+        # only sets of which some story could hold enough, and of these only tokens that a story has
+        of_set, met = np.repeat(np.arange(len(self.size)), self.size), row[self.tokens]
+        n = np.bincount(of_set[met >= 0], minlength=len(self.size))
+        able = n >= need[self.size]
+        met = met[(met >= 0) & able[of_set]]
+        able = np.flatnonzero(able)
+        n, least, films = n[able], need[self.size[able]], self.n_films[able]
+        first = np.cumsum(n) - n
+        order = np.lexsort((films, least, n))
+        edges = np.flatnonzero(np.diff(n[order] * len(need) + least[order], prepend=-1, append=-1))
+        out, waiting = np.zeros(bits.shape[1] * 64, np.int64), {}
+
+        def sum_up(j: int) -> None:
+            out[:] += ones(np.concatenate(waiting.pop(j))) << j
+
+        step = max(1, words // bits.shape[1])
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            for at in range(a, b, step):
+                own = order[at:min(b, at + step)]
+                enough = reached_bits([bits.take(met[first[own] + i], axis=0) for i in range(int(n[own[0]]))], int(least[own[0]]))
+                for j in range(int(films[own].max()).bit_length()):  # a set counts as often as it has films
+                    waiting.setdefault(j, []).append(enough[(films[own] >> j & 1).astype(bool)])
+                    if len(waiting[j]) * step >= rows:
+                        sum_up(j)
+        for j in list(waiting):
+            sum_up(j)
+        return out[:len(stories)]
+
     def pairs(self, sets: np.ndarray, scores: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(films as places, scores): every film of the sets, or the first most of each, with its best score."""
         n = self.begin[sets + 1] - self.begin[sets]
@@ -157,6 +199,42 @@ def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
+def add_bits(a: np.ndarray, b: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(sum, carry) of each place's bits."""
+    x = a ^ b
+    return (x, a & b) if c is None else (x ^ c, a & b | x & c)
+
+
+def reached_bits(items: list[np.ndarray], least: int) -> np.ndarray:
+    """The places at which at least so many of the items have a one: they are added up digit by digit, all places at once."""
+    digits, out = [], ~np.zeros_like(items[0])
+    while items:
+        carries = []
+        while len(items) > 1:
+            one, carry = add_bits(*items[-3:])
+            items[-3:] = [one]
+            carries.append(carry)
+        digits.append(items[0])
+        items = carries
+    for j, digit in enumerate(digits):
+        out = out & digit if least >> j & 1 else out | digit
+    return out if least < 1 << len(digits) else np.zeros_like(out)
+
+
+def ones(rows: np.ndarray) -> np.ndarray:
+    """How many ones each column of bits has: rows are added to one another by halves, digit by digit, until few are left to spread out."""
+    digits = [rows]
+    while len(digits[0]) > 64:
+        if len(digits[0]) % 2:
+            digits = [np.concatenate([d, np.zeros_like(d[:1])]) for d in digits]
+        half, carry, new = len(digits[0]) // 2, None, []
+        for d in digits:
+            one, carry = add_bits(d[:half], d[half:], carry)
+            new.append(one)
+        digits = [*new, carry]
+    return sum(np.unpackbits(d.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64) << j for j, d in enumerate(digits))
+
+
 def _blocks(titles: DataFrame, film: str, small: int, most: int = 16) -> list | None:
     """Broadcast indexes of at most about `small` rows of the titles' index each (they are counted first); None if there are too many for `most` blocks.
 
@@ -176,8 +254,8 @@ def _blocks(titles: DataFrame, film: str, small: int, most: int = 16) -> list |
         rows.unpersist()
 
 
-def _each_story(terms: DataFrame, blocks: list, story: str, schema: str, give: Callable[[TitleIndex, np.ndarray], list]) -> DataFrame:
-    """What give makes of each story's tokens (numbers of words), as rows: the story, and the columns of schema in order, films as places.
+def _each_story(terms: DataFrame, blocks: list, story: str, schema: str, give: Callable[[TitleIndex, list[np.ndarray]], Iterator[list]]) -> DataFrame:
+    """What give makes of each of some stories' tokens (numbers of words), as rows: the story, and the columns of schema in order, films as places.
 
     Stories are dealt by their key once, then only read through: nothing is sorted, shuffled or kept by pairs of story and film.
     Rows of one story are put together where a key repeats, which is looked up first.
@@ -203,8 +281,7 @@ def _reader(shared, story: str, give: Callable, names: list[str], most: int = 20
             known = np.flatnonzero(word.is_valid().to_numpy(zero_copy_only=False))
             word, ends = word.drop_null().to_numpy(), np.searchsorted(known, ends - ends[0])
             at, columns, waiting = [], [], 0
-            for i in range(batch.num_rows):
-                made = give(index, np.unique(word[ends[i]:ends[i + 1]]))
+            for i, made in enumerate(give(index, [np.unique(word[ends[i]:ends[i + 1]]) for i in range(batch.num_rows)])):
                 at.append(np.full(len(made[0]), i))
                 columns.append(made)
                 waiting += len(made[0])
@@ -229,21 +306,31 @@ def token_scores(terms: DataFrame, titles: DataFrame, *, story: str = "story_id"
     if blocks is None:
         return _scores_by_token(terms, inverted_index(titles, film), story, film, least)
     kind = titles.schema[film].dataType.simpleString()
-    return _each_story(terms, blocks, story, f"film {kind}, score double", lambda index, tokens: index.pairs(*index.reached(tokens, least))).withColumnRenamed("film", film)
+    return _each_story(terms, blocks, story, f"film {kind}, score double", lambda index, stories: (index.pairs(*index.reached(t, least)) for t in stories)).withColumnRenamed("film", film)
 
 
 def best_films(terms: DataFrame, titles: DataFrame, threshold: float = THRESHOLD, cap: int = CAP, *, story: str = "story_id", film: str = "film_id", small: int = SMALL) -> DataFrame:
-    """What cut gives of the scores, (story, film, score, n_over, rank), without making them: each story's films are counted, and its best cap told, where the story is read."""
+    """What cut gives of the scores, (story, film, score, n_over, rank), without making them: each story's films are counted, and its best cap told, where the story is read.
+
+    Where cap films' titles are held whole, they are the best, and the other films are only counted, for many stories at once.
+    """
     blocks = _blocks(titles, film, small)
     if blocks is None:
         return cut(_scores_by_token(terms, inverted_index(titles, film), story, film, threshold), threshold, cap, story=story, film=film)
     kind = titles.schema[film].dataType.simpleString()
 
-    def give(index, tokens):
-        sets, scores = index.reached(tokens, threshold)
-        over = scores >= threshold
-        total, films, score = index.best(sets[over], scores[over], cap)
-        return [films, score, np.full(len(films), total, np.int64), np.arange(1, len(films) + 1, dtype=np.int32)]
+    def give(index, stories):
+        held = [index.contained(t) if threshold <= 1 and not index.several else None for t in stories]
+        full = [i for i, sets in enumerate(held) if sets is not None and index.films_in(sets) >= max(1, cap)]
+        counts = dict(zip(full, index.count_over([stories[i] for i in full], threshold).tolist(), strict=True))
+        for i, tokens in enumerate(stories):
+            if i in counts:
+                total, (_, films, score) = counts[i], index.best(held[i], np.ones(len(held[i])), cap)
+            else:
+                sets, scores = index.reached(tokens, threshold)
+                over = scores >= threshold
+                total, films, score = index.best(sets[over], scores[over], cap)
+            yield [films, score, np.full(len(films), total, np.int64), np.arange(1, len(films) + 1, dtype=np.int32)]
 
     out = _each_story(terms, blocks, story, f"film {kind}, score double, n_over long, rank int", give).withColumnRenamed("film", film)
     if len(blocks) == 1:
@@ -264,7 +351,7 @@ def tallies(terms: DataFrame, titles: DataFrame, thresholds: list[float], *, mos
         return tallied(_scores_by_token(terms, inverted_index(titles, film), story, film, min(thresholds)), thresholds, story=story).withColumn("n", bounded(F.col("n")))
     grid = np.array(thresholds, np.float64)
 
-    def give(index, tokens):
+    def tally(index, tokens):
         if most is not None and grid.max() <= 1 and index.films_in(index.contained(tokens)) >= most:
             return [grid, np.full(len(grid), most, np.int64)]
         sets, scores = index.reached(tokens, min(thresholds))
@@ -276,7 +363,7 @@ def tallies(terms: DataFrame, titles: DataFrame, thresholds: list[float], *, mos
         n = n if most is None else np.minimum(n, most)
         return [grid[n > 0], n[n > 0].astype(np.int64)]
 
-    out = _each_story(terms, blocks, story, "threshold double, n long", give)
+    out = _each_story(terms, blocks, story, "threshold double, n long", lambda index, stories: (tally(index, t) for t in stories))
     return out if len(blocks) == 1 else out.groupBy(story, "threshold").agg(bounded(F.sum("n")).alias("n"))
 
 
